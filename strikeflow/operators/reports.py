@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from strikeflow.functions.rounding import np_round
+
 MONTHS = tuple(range(1, 13))
 
 
@@ -34,7 +36,7 @@ def monthly_value(s: DataFrame) -> DataFrame:
 
     def cells(prefix):
         return [
-            F.when(F.col(f"n{m}") > 0, F.bround(F.coalesce(F.col(f"{prefix}{m}"), F.lit(0.0)), 0)).alias(mcol(m))
+            F.when(F.col(f"n{m}") > 0, np_round(F.coalesce(F.col(f"{prefix}{m}"), F.lit(0.0)), 0)).alias(mcol(m))
             for m in MONTHS
         ]
 
@@ -59,8 +61,8 @@ def _per_tick_cases(s: DataFrame, scenario: str) -> DataFrame:
     ]
     for case in ("low", "mid", "high"):
         is_c = F.col("strike_case") == case
-        aggs.append(F.max(F.when(is_c, F.bround("duration", 1))).alias(f"dur_{case}"))
-        aggs.append(F.max(F.when(is_c, F.bround("cduration", 1))).alias(f"cdur_{case}"))
+        aggs.append(F.max(F.when(is_c, np_round(F.col("duration"), 1))).alias(f"dur_{case}"))
+        aggs.append(F.max(F.when(is_c, np_round(F.col("cduration"), 1))).alias(f"cdur_{case}"))
     return b.groupBy("zone", "zone_ord", "date", "year", "month", "day", "tick_id").agg(*aggs)
 
 
