@@ -1,27 +1,24 @@
 """Contract constraints: dispatch only in hour windows and on eligible
-weekdays, cap qualifying events per day and per week, bound durations.
-
-Split in two around the midnight carry (see ``dispatch``):
-``with_constrained_day`` needs only same-day rows; ``with_constrained_final``
-needs ``prev_strike`` and ``week_offset``.
-"""
+weekdays, cap qualifying events per day and per week, bound durations."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strikeflow.operators.dispatch import MIN_PER_SEC, flag, nullif0, w_running
+from strikeflow.operators.dispatch import MIN_PER_SEC, flag, nullif0, w_running, w_week
 
 
-def constrained_dispatch(dispatch: Column, outside_flag: bool) -> Column:
+def constrained_dispatch(outside_flag: bool) -> Column:
+    """Dispatch allowed by the windows and weekdays.  Entering a window while
+    the strike is on forces a dispatch (``entry``, see ``window_entry``)."""
     c = F.col
     entered = flag((c("strike") == 1) & c("entry"))
-    in_window = F.when(entered == 1, F.lit(1)).otherwise(dispatch)
+    in_window = F.when(entered == 1, F.lit(1)).otherwise(c("dispatch"))
     if outside_flag:
         return F.when(
             c("weekday_ok") == 1,
-            F.when(c("outside") & (c("min_duration") > 0), dispatch)
+            F.when(c("outside") & (c("min_duration") > 0), c("dispatch"))
             .when(c("inside"), in_window)
             .otherwise(F.lit(0)),
         ).otherwise(F.lit(0))
@@ -30,42 +27,34 @@ def constrained_dispatch(dispatch: Column, outside_flag: bool) -> Column:
     )
 
 
-def with_constrained_day(s: DataFrame, outside_flag: bool) -> DataFrame:
-    """Constrained event ordinal, qualifying markers, daily count, and the
-    weekly step -- all same-day quantities.
-
-    The start marker is built from a same-day dispatch (NULL previous flag at
-    the first tick of a date).  That is exact: at a date's first tick the
-    marker reduces to ``strike [and inside]`` whatever the previous day held,
-    because ``dispatch`` implies ``strike`` and not-outside implies inside."""
+def with_constrained_events(s: DataFrame, outside_flag: bool) -> DataFrame:
+    """Constrained dispatch and event ordinal (daily-window pass)."""
     c = F.col
-    same_day_dispatch = flag((c("strike") == 1) & (c("prev_in_day") == 0))
+    s = s.withColumn("cdispatch", constrained_dispatch(outside_flag))
     day_arm = (c("strike") == 1) & c("day_start")
     if not outside_flag:
         day_arm = day_arm & c("inside")
-    cmarker = flag((constrained_dispatch(same_day_dispatch, outside_flag) == 1) | day_arm)
-    s = s.withColumn("cmarker", cmarker)
-    s = s.withColumn("cevent", nullif0(F.sum("cmarker").over(w_running())))
+    s = s.withColumn("cmarker", flag((c("cdispatch") == 1) | day_arm))
+    return s.withColumn("cevent", nullif0(F.sum("cmarker").over(w_running())))
+
+
+def with_constrained(s: DataFrame, outside_flag: bool) -> DataFrame:
+    """Given cevent and event_max_duration: running constrained duration,
+    qualifying events (long enough, inside a window), daily and weekly counts,
+    and the constrained duration (NULL = not paid)."""
+    c = F.col
+    run_secs = F.sum("tick_secs").over(w_running("cevent"))
+    s = s.withColumn(
+        "cduration_raw",
+        F.when((c("strike") == 1) & c("cevent").isNotNull(), F.lit(MIN_PER_SEC) * run_secs),
+    )
     s = s.withColumn(
         "qualifying",
         flag((c("event_max_duration") >= c("min_duration")) & c("inside") & (c("cmarker") == 1)),
     )
     s = s.withColumn("daily", nullif0(F.sum("qualifying").over(w_running())))
-    s = s.withColumn("weekly_step", F.when(c("daily") <= c("daily_max"), c("qualifying")).otherwise(F.lit(0)))
-    s = s.withColumn("weekly_in_day", F.sum("weekly_step").over(w_running()))
-    run_secs = F.sum("tick_secs").over(w_running("cevent"))
-    return s.withColumn(
-        "cduration_raw",
-        F.when((c("strike") == 1) & c("cevent").isNotNull(), F.lit(MIN_PER_SEC) * run_secs),
-    )
-
-
-def with_constrained_final(s: DataFrame, outside_flag: bool) -> DataFrame:
-    """Needs prev_strike/dispatch and week_offset: constrained dispatch,
-    weekly count, constrained duration (NULL = not paid)."""
-    c = F.col
-    s = s.withColumn("cdispatch", constrained_dispatch(c("dispatch"), outside_flag))
-    s = s.withColumn("weekly", nullif0(c("week_offset") + c("weekly_in_day")))
+    weekly_step = F.when(c("daily") <= c("daily_max"), c("qualifying")).otherwise(F.lit(0))
+    s = s.withColumn("weekly", nullif0(F.sum(weekly_step).over(w_week())))
     d = c("cduration_raw")
     over_min = d >= c("min_duration")
     inside_rule = (

@@ -1,12 +1,19 @@
 """Per-series window operators: strike flags, dispatch, events, durations,
-value -- and the midnight carry that lets all of them run per series-day.
-
-Every window here is partitioned by (series, date, ...), so the work splits
-into one independent task slice per series-day.  Two quantities cross
-midnight: the previous tick's strike flag (dispatch/initial-tick tests) and
-the running weekly count of qualifying events.  Both are summarised to one
-row per series-day (``series_day_carry``), run through a window over that
-small table, and joined back.
+value -- and the midnight carry.
+
+The series table is hash-partitioned once by (zone, scenario, ISO week,
+calendar year) -- ``PART``, as integer columns so that sorts compare
+primitives; the three strike cases of a tick share a
+partition, which the reports use (events are numbered by the low case).  Every window here is partitioned by ``PART`` plus more
+keys (date, quarter hour, event), so all of them run inside that one
+partitioning; the weekly event count is itself a window over ``PART``.  The
+only quantity that crosses a partition boundary is the strike flag of the
+previous tick at the first tick of a date, which comes from a one-row-per-
+series-day table (``series_day_carry``).
+
+Sort sharing: windows with equal (partition, order) specs share one sort;
+the weekly window is ordered by (date, tick order), which is the same
+physical order as the daily windows, so it needs no sort of its own.
 """
 
 from __future__ import annotations
@@ -17,16 +24,32 @@ from pyspark.sql import functions as F
 from strikeflow.operators.series import SERIES
 
 ORDER = ("ord_ts", "tick_id")
+# partitioning of the series table; window keys follow it with case and date
+PART = ("zone_ord", "scen_ord", "week", "year")
 RUN = (Window.unboundedPreceding, Window.currentRow)
 MIN_PER_SEC = 1.0 / 60.0
 
 
+def partition_series(s: DataFrame, n: int) -> DataFrame:
+    """The single shuffle of the series table, into a fixed number of
+    partitions: the work after it (about ten window sorts) is heavy per byte,
+    so size-based coalescing of the shuffle would starve it of tasks."""
+    return s.repartition(n, *PART)
+
+
 def w_day() -> Window:
-    return Window.partitionBy(*SERIES, "date").orderBy(*ORDER)
+    return Window.partitionBy(*PART, "case_ord", "date").orderBy(*ORDER)
 
 
 def w_running(*keys: str) -> Window:
-    return Window.partitionBy(*SERIES, "date", *keys).orderBy(*ORDER).rowsBetween(*RUN)
+    """Running frame within (series, date, *keys), in tick order."""
+    return Window.partitionBy(*PART, "case_ord", "date", *keys).orderBy(*ORDER).rowsBetween(*RUN)
+
+
+def w_week() -> Window:
+    """Running frame within (series, ISO week, calendar year), in tick order
+    (date first: the same sort as the daily windows)."""
+    return Window.partitionBy(*PART, "case_ord").orderBy("date", *ORDER).rowsBetween(*RUN)
 
 
 def nullif0(c: Column) -> Column:
@@ -40,59 +63,43 @@ def flag(cond: Column) -> Column:
 
 def with_strike(s: DataFrame) -> DataFrame:
     """Price above the row-month LMP strike, sticky for the rest of its quarter hour."""
-    raw = flag(F.col("price") > F.col("k_lmp"))
-    return s.withColumn("strike", F.max(raw).over(w_running("hour", "interval")))
+    from strikeflow.operators.series import raw_strike
+
+    return s.withColumn("strike", F.max(raw_strike(F.col("price"), F.col("k_lmp"))).over(w_running("hour", "interval")))
 
 
-def with_events(s: DataFrame) -> DataFrame:
-    """Event ordinal within the day, running duration (minutes) on strike
-    ticks, and the longest duration of the tick's event.
+def with_dispatch(s: DataFrame) -> DataFrame:
+    """prev_strike (previous tick's flag; the day's first tick takes the carried
+    ``prev_day_strike``), dispatch = strike turns on, and the event ordinal.
+
+    A tick starts an event when it dispatches, or when the strike is on at
+    the first tick of a date; the ordinal persists until the next start."""
+    prev = F.when(F.col("day_start"), F.col("prev_day_strike")).otherwise(F.lag("strike").over(w_day()))
+    s = s.withColumn("prev_strike", prev)
+    s = s.withColumn("dispatch", flag((F.col("strike") == 1) & (F.col("prev_strike") == 0)))
+    marker = flag((F.col("dispatch") == 1) | ((F.col("strike") == 1) & F.col("day_start")))
+    return s.withColumn("event", nullif0(F.sum(marker).over(w_running())))
 
-    A tick starts an event when the strike turns on, or when it is on at the
-    first tick of a date; the ordinal persists until the next start."""
-    s = s.withColumn("prev_in_day", F.lag("strike").over(w_day()))
-    marker = flag((F.col("strike") == 1) & (F.col("day_start") | (F.col("prev_in_day") == 0)))
-    s = s.withColumn("event", nullif0(F.sum(marker).over(w_running())))
+
+def with_durations(s: DataFrame) -> DataFrame:
+    """Running duration (minutes) on strike ticks within the event, and the
+    longest duration of the tick's event (both in one sort)."""
     run_secs = F.sum("tick_secs").over(w_running("event"))
     s = s.withColumn(
         "duration",
         F.when((F.col("strike") == 1) & F.col("event").isNotNull(), F.lit(MIN_PER_SEC) * run_secs),
     )
-    return s.withColumn(
-        "event_max_duration",
-        F.when(F.col("event").isNotNull(), F.max("duration").over(Window.partitionBy(*SERIES, "date", "event"))),
+    whole_event = (
+        Window.partitionBy(*PART, "case_ord", "date", "event")
+        .orderBy(*ORDER)
+        .rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     )
-
-
-def series_day_carry(s: DataFrame) -> DataFrame:
-    """One row per (series, date): the strike flag of the previous date's last
-    tick, and the qualifying events counted earlier in the same (ISO week,
-    calendar year)."""
-    o = F.struct(*ORDER)
-    days = s.groupBy(*SERIES, "date", "week", "year").agg(
-        F.max_by("strike", o).alias("last_strike"),
-        F.sum("weekly_step").alias("n_weekly"),
-    )
-    by_series = Window.partitionBy(*SERIES).orderBy("date")
-    earlier_in_week = (
-        Window.partitionBy(*SERIES, "week", "year").orderBy("date").rowsBetween(Window.unboundedPreceding, -1)
-    )
-    return days.select(
-        *SERIES,
-        "date",
-        F.lag("last_strike").over(by_series).alias("prev_day_strike"),
-        F.coalesce(F.sum("n_weekly").over(earlier_in_week), F.lit(0)).cast("long").alias("week_offset"),
+    return s.withColumn(
+        "event_max_duration", F.when(F.col("event").isNotNull(), F.max("duration").over(whole_event))
     )
 
 
-def with_dispatch(s: DataFrame) -> DataFrame:
-    """Needs prev_day_strike (carry): prev_strike, dispatch = strike turns on."""
-    prev = F.when(F.col("day_start"), F.col("prev_day_strike")).otherwise(F.col("prev_in_day"))
-    s = s.withColumn("prev_strike", prev)
-    return s.withColumn("dispatch", flag((F.col("strike") == 1) & (F.col("prev_strike") == 0)))
-
-
-def tick_value(s: DataFrame, capture_pct: float, constrained: bool = False) -> Column:
+def tick_value(capture_pct: float, constrained: bool = False) -> Column:
     """$/MW value of a tick: (spp - strike) x quarter-hour share x 0.25 h; the
     tick where the strike turns on only captures ``capture_pct`` of it."""
     gain = F.col("spp") - F.col("k_spp")

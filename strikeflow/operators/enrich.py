@@ -29,8 +29,8 @@ def check_lolp_unique(lolp_distinct: DataFrame) -> None:
 
 
 def join_settlement(ticks: DataFrame, spp_wide: DataFrame) -> DataFrame:
-    """Both sides are hash-partitioned by date: the join adds no exchange of
-    the tick table."""
+    """Settlement prices per quarter hour; the caller broadcasts the wide
+    settlement table when its size check passes."""
     return ticks.join(spp_wide, list(KEYS), "left")
 
 

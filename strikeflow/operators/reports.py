@@ -52,8 +52,9 @@ def sort_value_report(r: DataFrame) -> DataFrame:
 
 def _per_tick_cases(s: DataFrame, scenario: str) -> DataFrame:
     """One row per (zone, tick): the low case's event ordinals beside the
-    rounded durations of all cases.  Grouping keys include ``date``, so this
-    reuses the table's hash(date) partitioning (no shuffle)."""
+    rounded durations of all cases.  The grouping keys include the series
+    table's partitioning keys (zone, scenario, week, year), so this and the
+    per-event aggregate below reuse it (no shuffle)."""
     b = s.filter(F.col("scenario") == scenario)
     aggs = [
         F.max(F.when(F.col("strike_case") == "low", F.col("event"))).alias("ev"),
@@ -63,10 +64,10 @@ def _per_tick_cases(s: DataFrame, scenario: str) -> DataFrame:
         is_c = F.col("strike_case") == case
         aggs.append(F.max(F.when(is_c, np_round(F.col("duration"), 1))).alias(f"dur_{case}"))
         aggs.append(F.max(F.when(is_c, np_round(F.col("cduration"), 1))).alias(f"cdur_{case}"))
-    return b.groupBy("zone", "zone_ord", "date", "year", "month", "day", "tick_id").agg(*aggs)
+    return b.groupBy("zone_ord", "scen_ord", "week", "year", "zone", "date", "month", "day", "tick_id").agg(*aggs)
 
 
-DAY_KEYS = ("zone", "zone_ord", "date", "year", "month", "day")
+DAY_KEYS = ("zone_ord", "scen_ord", "week", "year", "zone", "date", "month", "day")
 
 
 def duration_report(s: DataFrame, scenario: str) -> DataFrame:

@@ -1,9 +1,14 @@
 """Wide tick table -> long series table (tick x zone x scenario x strike case).
 
-The unpivot is an ``explode`` of a fixed-size array of structs.  It is a
-narrow operator: the output keeps the tick table's hash(date) partitioning,
-so the per-series windows that follow (all partitioned by date and more) run
-in the same stage as the explode, without a shuffle.
+The unpivot is an ``explode`` of a fixed-size array of structs, a narrow
+operator evaluated in the tick stage; the series table is then shuffled once
+(``dispatch.partition_series``).
+
+The one series quantity that crosses midnight -- the previous tick's strike
+flag at the first tick of a date -- is prepared here, still at tick level:
+the strike flag of a day's last tick is the maximum raw flag of its quarter
+hour, so 24 quarter-hour maxima per tick, one row per day, and a lag over
+days give it for every series without a second pass over the series table.
 """
 
 from __future__ import annotations
@@ -15,14 +20,16 @@ from strikeflow.functions.hours import in_windows, late_outside, outside_windows
 from strikeflow.params import Params
 
 SERIES = ("zone", "scenario", "strike_case")
+# integer stand-ins used as partition/sort keys (cheap comparisons)
+SERIES_ORD = ("zone_ord", "scen_ord", "case_ord")
 SCENARIO_PREFIX = {"base": "", "new_ordc": "new_"}
 
 # tick-level columns kept on every series row
 TICK_KEEP = (
-    "tick_id", "ts", "ord_ts", "date", "year", "month", "day", "week", "hour", "interval",
+    "tick_id", "ord_ts", "date", "year", "month", "day", "week", "hour", "interval",
     "day_start", "tick_secs", "weight", "weekday_ok",
     "daily_max", "weekly_max", "min_duration", "max_duration",
-    "inside", "outside", "late_out", "entry",
+    "inside", "outside", "late_out", "entry", "prev_day_strikes",
 )
 
 
@@ -39,39 +46,78 @@ def with_hour_rules(ticks: DataFrame, p: Params) -> DataFrame:
     )
 
 
-def valuation_strike(p: Params, case: str, last_month: Column | None) -> Column:
-    """Settlement-price strike used to value a tick.
+def valuation_strike(p: Params, last_month: Column | None) -> Column:
+    """Settlement-price strike used to value a tick (needs ``case_ord``).
 
     'row_month': the tick's own month.  'last_month': the strike of the latest
     month present anywhere in the data, for all ticks (``last_month`` is a
     scalar subquery column, evaluated once by Spark)."""
+    case_ix = F.col("case_ord") + 1
     if p.strike_basis == "row_month":
-        return F.col(f"{case}_spp")
+        return F.element_at(F.array(*[F.col(f"{c}_spp") for c in p.cases]), case_ix)
     if p.strike_basis == "last_month":
-        idx = ("low", "mid", "high").index(case)
-        by_month = F.array(*[F.lit(float(p.strikes_spp[m][idx])) for m in range(1, 13)])
-        return F.element_at(by_month, last_month)
+        idx = {c: ("low", "mid", "high").index(c) for c in p.cases}
+        table = F.array(
+            *[F.array(*[F.lit(float(p.strikes_spp[m][idx[c]])) for m in range(1, 13)]) for c in p.cases]
+        )
+        return F.element_at(F.element_at(table, case_ix), last_month)
     raise ValueError(f"unknown strike_basis {p.strike_basis!r}")
 
 
-def to_series(ticks: DataFrame, p: Params, last_month: Column | None) -> DataFrame:
-    entries = []
+def series_list(p: Params) -> list[tuple]:
+    """(zone, zone_ord, scenario, scen_ord, case, case_ord, price column,
+    spp column, lmp strike column)."""
+    out = []
     for zi, z in enumerate(p.zones):
-        for scen, pre in SCENARIO_PREFIX.items():
-            price = F.col(f"{pre}{z}_price")
-            spp = F.col(f"new_{z}_spp") if scen == "new_ordc" else F.col(f"{z}_spp")
+        for si, (scen, pre) in enumerate(SCENARIO_PREFIX.items()):
+            spp = f"new_{z}_spp" if scen == "new_ordc" else f"{z}_spp"
             for ci, case in enumerate(p.cases):
-                entries.append(
-                    F.struct(
-                        F.lit(z).alias("zone"),
-                        F.lit(zi).alias("zone_ord"),
-                        F.lit(scen).alias("scenario"),
-                        F.lit(case).alias("strike_case"),
-                        F.lit(ci).alias("case_ord"),
-                        price.alias("price"),
-                        spp.alias("spp"),
-                        F.col(f"{case}_lmp").alias("k_lmp"),
-                        valuation_strike(p, case, last_month).alias("k_spp"),
-                    )
-                )
-    return ticks.select(*TICK_KEEP, F.explode(F.array(*entries)).alias("s")).select(*TICK_KEEP, "s.*")
+                out.append((z, zi, scen, si, case, ci, f"{pre}{z}_price", spp, f"{case}_lmp"))
+    return out
+
+
+def raw_strike(price: Column, k_lmp: Column) -> Column:
+    """1 where the tick price is above the LMP strike (NULL price -> 0)."""
+    return F.when(price > k_lmp, F.lit(1)).otherwise(F.lit(0))
+
+
+def with_prev_day_strikes(ticks: DataFrame, p: Params, small) -> DataFrame:
+    """Array (in ``series_list`` order) of each series' strike flag at the
+    last tick of the previous date present; NULL for the first date.
+
+    ``ticks`` must be partitioned by (date, hour) or finer; ``small(df, rows)``
+    broadcasts the one-row-per-day table after its size check."""
+    from pyspark.sql import Window
+
+    w_qh = Window.partitionBy("date", "hour", "interval")
+    specs = series_list(p)
+    qh = F.array(*[F.max(raw_strike(F.col(pc), F.col(kc))).over(w_qh) for *_, pc, _, kc in specs])
+    days = ticks.select("date", "ord_ts", "tick_id", qh.alias("qh_strikes")).groupBy("date").agg(
+        F.max_by("qh_strikes", F.struct("ord_ts", "tick_id")).alias("last_strikes")
+    )
+    carry = days.select("date", F.lag("last_strikes").over(Window.orderBy("date")).alias("prev_day_strikes"))
+    return ticks.join(small(carry), "date", "left")
+
+
+def to_series(ticks: DataFrame, p: Params, last_month: Column | None) -> DataFrame:
+    entries = []
+    for i, (z, zi, scen, si, case, ci, pc, sc, kc) in enumerate(series_list(p)):
+        entries.append(
+            F.struct(
+                F.lit(z).alias("zone"),
+                F.lit(zi).alias("zone_ord"),
+                F.lit(scen).alias("scenario"),
+                F.lit(si).alias("scen_ord"),
+                F.lit(case).alias("strike_case"),
+                F.lit(ci).alias("case_ord"),
+                F.col(pc).alias("price"),
+                F.col(sc).alias("spp"),
+                F.col(kc).alias("k_lmp"),
+                F.element_at(F.col("prev_day_strikes"), i + 1).alias("prev_day_strike"),
+            )
+        )
+    keep = list(TICK_KEEP) + ([f"{c}_spp" for c in p.cases] if p.strike_basis == "row_month" else [])
+    exploded = ticks.select(*keep, F.explode(F.array(*entries)).alias("s")).select(*keep, "s.*")
+    return exploded.withColumn("k_spp", valuation_strike(p, last_month)).drop(
+        "prev_day_strikes", *[f"{c}_spp" for c in p.cases if p.strike_basis == "row_month"]
+    )

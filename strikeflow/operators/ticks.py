@@ -1,11 +1,12 @@
 """Tick preparation: calendar, ordering, tick lengths, quarter-hour weights.
 
-Partitioning: the tick table is hash-partitioned by ``date`` once
-(``partition_by_date``); every tick-level window below is partitioned by
-``date`` (or a superset), so none of them adds a shuffle.  What crosses
-midnight (next tick's timestamp, previous tick's hour) comes from a per-day
-summary: one row per calendar day, a size bounded by the date range, joined
-back as a broadcast.
+Partitioning: the tick table is hash-partitioned by (date, hour) once
+(``partition_by_chunk``); every tick-level window below is partitioned by
+(date, hour) or (date, hour, interval), so none of them adds a shuffle and a
+busy day still splits 24 ways.  What crosses an hour boundary (next tick's
+timestamp, previous tick's hour and date) comes from a per-hour summary: at
+most 24 rows per calendar day, a size bounded by the date range, joined back
+as a broadcast.
 """
 
 from __future__ import annotations
@@ -26,44 +27,48 @@ def with_calendar(ticks: DataFrame, p: Params) -> DataFrame:
     )
 
 
-def partition_by_date(df: DataFrame, date_col: str = "date") -> DataFrame:
-    """The single shuffle of the tick table (and, with the same key, of the
-    settlement table, so the two are co-partitioned for their join)."""
-    return df.repartition(date_col)
+CHUNK = ("date", "hour")
 
 
-def day_carry(ticks: DataFrame) -> DataFrame:
-    """Per calendar day: first timestamp of the next day present, and the last
-    hour of the previous day present.  One row per day (bounded by the date
-    range), so the un-partitioned window over it is cheap."""
+def partition_by_chunk(df: DataFrame, n: int) -> DataFrame:
+    """The single shuffle of the tick table (fixed partition count, see
+    ``dispatch.partition_series``: the stage after it also explodes every
+    tick into its series rows)."""
+    return df.repartition(n, *CHUNK)
+
+
+def chunk_carry(ticks: DataFrame) -> DataFrame:
+    """Per (date, hour): first timestamp of the next hour present, and the
+    hour and date of the previous hour present.  The un-partitioned window
+    runs over this small table only (<= 24 rows per day)."""
     o = F.struct(*ORDER)
-    days = ticks.groupBy("date").agg(
-        F.min_by("ts", o).alias("first_ts"),
-        F.max_by("hour", o).alias("last_hour"),
-    )
-    w = Window.orderBy("date")
-    return days.select(
-        "date",
-        F.lead("first_ts").over(w).alias("next_day_first_ts"),
-        F.lag("last_hour").over(w).alias("prev_day_last_hour"),
+    chunks = ticks.groupBy(*CHUNK).agg(F.min_by("ts", o).alias("first_ts"))
+    w = Window.orderBy(*CHUNK)
+    return chunks.select(
+        *CHUNK,
+        F.lead("first_ts").over(w).alias("next_chunk_first_ts"),
+        F.lag("hour").over(w).alias("prev_chunk_hour"),
+        F.lag("date").over(w).alias("prev_chunk_date"),
     )
 
 
 def with_tick_seconds_joined(ticks: DataFrame) -> DataFrame:
-    """Given ticks joined with ``day_carry`` on date: tick_secs (local-clock
-    seconds to the next tick; the very last tick runs to the end of its hour),
+    """Given ticks joined with ``chunk_carry``: tick_secs (local-clock seconds
+    to the next tick; the very last tick runs to the end of its hour),
     day_start (first tick of its date) and prev_hour (previous tick's hour)."""
-    w = Window.partitionBy("date").orderBy(*ORDER)
-    nxt = F.coalesce(F.lead("ts").over(w), F.col("next_day_first_ts"))
+    w = Window.partitionBy(*CHUNK).orderBy(*ORDER)
+    nxt = F.coalesce(F.lead("ts").over(w), F.col("next_chunk_first_ts"))
     prv = F.lag("hour").over(w)
     secs = F.timestamp_diff("MICROSECOND", F.col("ts"), nxt) / F.lit(1e6)
+    first_in_chunk = prv.isNull()
+    new_day = F.col("prev_chunk_date").isNull() | (F.col("prev_chunk_date") != F.col("date"))
     return ticks.withColumns(
         {
             "tick_secs": F.when(nxt.isNull(), (F.lit(60.0) - F.col("minute")) * F.lit(60.0)).otherwise(secs),
-            "day_start": prv.isNull(),
-            "prev_hour": F.coalesce(prv, F.col("prev_day_last_hour")),
+            "day_start": first_in_chunk & new_day,
+            "prev_hour": F.coalesce(prv, F.col("prev_chunk_hour")),
         }
-    ).drop("next_day_first_ts", "prev_day_last_hour")
+    ).drop("next_chunk_first_ts", "prev_chunk_hour", "prev_chunk_date")
 
 
 def with_interval_seconds(ticks: DataFrame) -> DataFrame:

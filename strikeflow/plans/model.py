@@ -2,15 +2,17 @@
 
 Physical shape (see README "Plan"):
 
-1. ticks and settlement rows are each hash-partitioned by date once; the
-   settlement pivot and the settlement join then need no further exchange of
-   the tick table;
-2. tick-level windows (tick length, quarter-hour weights, re-priced
-   quarter-hour price) are partitioned by date -> no exchange;
-3. the explode to series rows is narrow; every series window is partitioned
-   by (series, date, ...) -> no exchange;
-4. the midnight carry is a one-row-per-series-day table, broadcast back after
-   a size check (shuffle join beyond it);
+1. ticks are hash-partitioned by (date, hour) once; tick-level windows (tick
+   length, quarter-hour weights, re-priced quarter-hour price) run inside it;
+   what crosses an hour comes from a per-hour summary (<= 24 rows per day);
+2. the settlement pivot (<= ~100 rows per day) and the parameter tables are
+   broadcast after a size check (shuffle join beyond it);
+3. the explode to series rows is narrow; the series table is then shuffled
+   once by (series, ISO week, year), and every series window (quarter hour,
+   day, event, week) runs inside that partitioning;
+4. the previous day's last strike flag of every series is prepared at tick
+   level (one row per day, broadcast after a size check), so the series
+   table is read once;
 5. reports are partial/final aggregates of small width.
 """
 
@@ -45,6 +47,7 @@ class DispatchModel:
         params: Params | None = None,
         check_lolp: bool = True,
         max_broadcast_rows: int = MAX_BROADCAST_ROWS,
+        partitions: int | None = None,
     ):
         self.spark: SparkSession = ticks.sparkSession
         self.raw_ticks = ticks
@@ -52,6 +55,7 @@ class DispatchModel:
         self.lolp = E.distinct_lolp(lolp)
         self.p = params or Params()
         self.max_broadcast_rows = max_broadcast_rows
+        self.partitions = partitions
         if check_lolp:
             E.check_lolp_unique(self.lolp)
 
@@ -69,6 +73,12 @@ class DispatchModel:
     def _small(self, df: DataFrame, rows: int) -> DataFrame:
         return F.broadcast(df) if rows <= self.max_broadcast_rows else df
 
+    @property
+    def n_partitions(self) -> int:
+        """Partitions of the tick and series shuffles (``spark.sql.shuffle.partitions``
+        unless given)."""
+        return self.partitions or int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+
     @property
     def n_series(self) -> int:
         return len(self.p.zones) * len(SCENARIOS) * len(self.p.cases)
@@ -84,16 +94,17 @@ class DispatchModel:
 
     @cached_property
     def timed_ticks(self) -> DataFrame:
-        """Calendar + tick_secs/day_start/prev_hour + interval weights, hash(date)."""
-        t = TK.partition_by_date(self.calendar_ticks)
-        carry = TK.day_carry(t)
-        t = t.join(self._small(carry, self.n_days), "date", "left")
+        """Calendar + tick_secs/day_start/prev_hour + interval weights, hash(date, hour)."""
+        t = TK.partition_by_chunk(self.calendar_ticks, self.n_partitions)
+        carry = TK.chunk_carry(self.calendar_ticks)
+        t = t.join(self._small(carry, 24 * self.n_days), list(TK.CHUNK), "left")
         t = TK.with_tick_seconds_joined(t)
         return TK.with_interval_seconds(t)
 
     @cached_property
     def enriched_ticks(self) -> DataFrame:
-        t = E.join_settlement(self.timed_ticks, self.settlement_wide)
+        # settlement: at most ~100 quarter-hour rows per day
+        t = E.join_settlement(self.timed_ticks, self._small(self.settlement_wide, 100 * self.n_days))
         t = E.join_lolp(t, self.lolp)
         return E.join_month_params(t, strike_table(self.spark, self.p), constraint_table(self.spark, self.p))
 
@@ -104,30 +115,29 @@ class DispatchModel:
         t = P.with_new_ordc_spp(t, self.p.zones)
         return S.with_hour_rules(t, self.p)
 
+    @cached_property
+    def carried_ticks(self) -> DataFrame:
+        """Priced ticks plus each series' strike flag at the previous day's end."""
+        return S.with_prev_day_strikes(self.priced_ticks, self.p, lambda d: self._small(d, self.n_days))
+
     def last_month(self) -> Column:
         """Latest month present in the data, as a scalar-subquery column."""
         return self.raw_ticks.select(F.max(F.month("ts"))).scalar()
 
     # -- series table ------------------------------------------------------
-    @cached_property
-    def series_day(self) -> DataFrame:
-        """Everything that needs only same-day rows of a series."""
-        s = S.to_series(self.priced_ticks, self.p, self.last_month())
-        s = D.with_strike(s)
-        s = D.with_events(s)
-        return C.with_constrained_day(s, self.p.dispatch_outside)
-
     @cached_property
     def series(self) -> DataFrame:
-        a = self.series_day
-        carry = D.series_day_carry(a)
-        s = a.join(self._small(carry, self.n_series * self.n_days), [*S.SERIES, "date"], "left")
-        s = D.with_dispatch(s)
-        s = C.with_constrained_final(s, self.p.dispatch_outside)
+        s = S.to_series(self.carried_ticks, self.p, self.last_month())
+        s = D.partition_series(s, self.n_partitions)
+        s = D.with_strike(s)  # quarter-hour sort
+        s = D.with_dispatch(s)  # daily sort
+        s = C.with_constrained_events(s, self.p.dispatch_outside)  # daily sort (shared)
+        s = D.with_durations(s)  # event sort
+        s = C.with_constrained(s, self.p.dispatch_outside)  # constrained-event sort, daily/weekly sort
         return s.withColumns(
             {
-                "value": D.tick_value(s, self.p.capture_pct),
-                "cvalue": D.tick_value(s, self.p.capture_pct, constrained=True),
+                "value": D.tick_value(self.p.capture_pct),
+                "cvalue": D.tick_value(self.p.capture_pct, constrained=True),
             }
         )
 
