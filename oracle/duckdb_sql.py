@@ -62,7 +62,7 @@ def _phi(x: str) -> str:
         cont = f"({z} + {k} / {cont})"
     e = f"exp(-({z} * {z}) / 2e0)"
     tail = (f"(CASE WHEN {z} < 7.07106781186547e0 THEN {e} * {num} / {den} "
-            f"WHEN {z} <= 37e0 THEN {e} / {cont} / 2.506628274631e0 ELSE 0e0 END)")
+            f"WHEN {z} <= 37e0 THEN {e} / {cont} / 2.506628274631e0 WHEN {z} > 37e0 THEN 0e0 END)")
     return f"(CASE WHEN ({x}) > 0e0 THEN 1e0 - {tail} ELSE {tail} END)"
 
 

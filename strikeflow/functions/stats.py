@@ -32,6 +32,7 @@ def _horner(coeffs, z: Column) -> Column:
 
 
 def std_normal_cdf(x: Column) -> Column:
+    """Standard normal CDF; NULL for NULL input."""
     z = F.abs(x)
     e = F.exp(-(z * z) / F.lit(2.0))
     cont = z + F.lit(0.65)
@@ -40,7 +41,7 @@ def std_normal_cdf(x: Column) -> Column:
     tail = (
         F.when(z < F.lit(_SPLIT), e * _horner(_NUM, z) / _horner(_DEN, z))
         .when(z <= F.lit(_CUTOFF), e / cont / F.lit(_SQRT_2PI))
-        .otherwise(F.lit(0.0))
+        .when(z > F.lit(_CUTOFF), F.lit(0.0))
     )
     return F.when(x > F.lit(0.0), F.lit(1.0) - tail).otherwise(tail)
 

@@ -5,10 +5,9 @@ operator evaluated in the tick stage; the series table is then shuffled once
 (``dispatch.partition_series``).
 
 The one series quantity that crosses midnight -- the previous tick's strike
-flag at the first tick of a date -- is prepared here, still at tick level:
-the strike flag of a day's last tick is the maximum raw flag of its quarter
-hour, so 24 quarter-hour maxima per tick, one row per day, and a lag over
-days give it for every series without a second pass over the series table.
+flag at the first tick of a date -- is prepared here, from tick prices: the
+strike flag of a day's last tick is the maximum raw flag of its quarter hour
+(``prev_day_strikes``), so no second pass over the series table is needed.
 """
 
 from __future__ import annotations
@@ -81,22 +80,26 @@ def raw_strike(price: Column, k_lmp: Column) -> Column:
     return F.when(price > k_lmp, F.lit(1)).otherwise(F.lit(0))
 
 
-def with_prev_day_strikes(ticks: DataFrame, p: Params, small) -> DataFrame:
-    """Array (in ``series_list`` order) of each series' strike flag at the
-    last tick of the previous date present; NULL for the first date.
+def prev_day_strikes(ticks: DataFrame, p: Params) -> DataFrame:
+    """(date, prev_day_strikes): array (in ``series_list`` order) of each
+    series' strike flag at the last tick of the previous date present; NULL
+    for the first date.
 
-    ``ticks`` must be partitioned by (date, hour) or finer; ``small(df, rows)``
-    broadcasts the one-row-per-day table after its size check."""
+    Needs only tick prices and strikes (no windows), so it runs on the
+    unshuffled tick table and aggregates map-side: one row per quarter hour
+    (the maximum raw flag per series = the sticky flag of its last tick),
+    then one row per day (the day's last quarter hour), then a lag over days.
+    """
     from pyspark.sql import Window
 
-    w_qh = Window.partitionBy("date", "hour", "interval")
+    o = F.struct("ord_ts", "tick_id")
     specs = series_list(p)
-    qh = F.array(*[F.max(raw_strike(F.col(pc), F.col(kc))).over(w_qh) for *_, pc, _, kc in specs])
-    days = ticks.select("date", "ord_ts", "tick_id", qh.alias("qh_strikes")).groupBy("date").agg(
-        F.max_by("qh_strikes", F.struct("ord_ts", "tick_id")).alias("last_strikes")
+    qh = ticks.groupBy("date", "hour", "interval").agg(
+        F.max(o).alias("last"),
+        F.array(*[F.max(raw_strike(F.col(pc), F.col(kc))) for *_, pc, _, kc in specs]).alias("qh_strikes"),
     )
-    carry = days.select("date", F.lag("last_strikes").over(Window.orderBy("date")).alias("prev_day_strikes"))
-    return ticks.join(small(carry), "date", "left")
+    days = qh.groupBy("date").agg(F.max_by("qh_strikes", "last").alias("last_strikes"))
+    return days.select("date", F.lag("last_strikes").over(Window.orderBy("date")).alias("prev_day_strikes"))
 
 
 def to_series(ticks: DataFrame, p: Params, last_month: Column | None) -> DataFrame:

@@ -117,8 +117,15 @@ class DispatchModel:
 
     @cached_property
     def carried_ticks(self) -> DataFrame:
-        """Priced ticks plus each series' strike flag at the previous day's end."""
-        return S.with_prev_day_strikes(self.priced_ticks, self.p, lambda d: self._small(d, self.n_days))
+        """Priced ticks plus each series' strike flag at the previous day's end.
+
+        The carry is computed from the unshuffled ticks (prices need only
+        broadcast joins) and pre-aggregated before its small shuffle."""
+        t = E.join_lolp(self.calendar_ticks, self.lolp)
+        t = E.join_month_params(t, strike_table(self.spark, self.p), constraint_table(self.spark, self.p))
+        t = P.with_new_ordc(P.with_base_price(t, self.p.zones), self.p, self.p.zones)
+        carry = S.prev_day_strikes(t, self.p)
+        return self.priced_ticks.join(self._small(carry, self.n_days), "date", "left")
 
     def last_month(self) -> Column:
         """Latest month present in the data, as a scalar-subquery column."""
