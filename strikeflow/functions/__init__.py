@@ -2,6 +2,7 @@
 
 from strikeflow.functions.calendar import calendar_columns, season_of, order_key
 from strikeflow.functions.stats import normal_cdf, std_normal_cdf
+from strikeflow.functions.rounding import np_round
 from strikeflow.functions.hours import (
     in_windows,
     outside_windows,
@@ -16,6 +17,7 @@ __all__ = [
     "order_key",
     "normal_cdf",
     "std_normal_cdf",
+    "np_round",
     "in_windows",
     "outside_windows",
     "late_outside",

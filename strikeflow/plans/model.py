@@ -158,9 +158,38 @@ class DispatchModel:
     def strike_counts(self, zones=("lz_north",)) -> DataFrame:
         return R.strike_counts(self.series, zones)
 
-    def reports(self) -> dict[str, DataFrame]:
-        """All report tables of one run, keyed by sink name."""
-        mv = self.monthly_value()
+    REPORT_COLUMNS = (
+        "zone", "zone_ord", "scenario", "scen_ord", "strike_case", "case_ord", "week", "year", "date",
+        "month", "day", "hour", "tick_id", "strike", "event", "cevent", "duration", "cduration",
+        "value", "cvalue",
+    )
+
+    def materialized_series(self, mode: str = "checkpoint") -> DataFrame:
+        """The series table, cut to the report columns and computed once.
+
+        'checkpoint': written to the cluster's checkpoint folder
+        (``spark.checkpoint.dir``), which cuts the lineage -- lost executors
+        do not recompute the windows.  'persist': memory and local disk
+        (recomputed from lineage if an executor is lost)."""
+        from pyspark import StorageLevel
+
+        from strikeflow.session import checkpoint_dir
+
+        s = self.series.select(*self.REPORT_COLUMNS)
+        if mode == "checkpoint":
+            checkpoint_dir(self.spark)
+            return s.checkpoint(eager=True)
+        if mode == "persist":
+            return s.persist(StorageLevel.MEMORY_AND_DISK)
+        if mode == "none":
+            return s
+        raise ValueError(f"unknown materialize mode {mode!r}")
+
+    def reports(self, materialize: str = "checkpoint") -> dict[str, DataFrame]:
+        """All report tables of one run, keyed by sink name; the series table
+        is computed once for all of them (see ``materialized_series``)."""
+        s = self.materialized_series(materialize)
+        mv = R.monthly_value(s)
         out = {}
         for scen in SCENARIOS:
             for con in (False, True):
@@ -168,9 +197,9 @@ class DispatchModel:
                 out[name] = R.sort_value_report(
                     mv.filter((F.col("scenario") == scen) & (F.col("constrained") == F.lit(con)))
                 )
-        out["duration"] = self.duration_report("base").orderBy("zone_ord", "year", "month", "day", "event")
-        out["duration_new_ordc"] = self.duration_report("new_ordc").orderBy("zone_ord", "year", "month", "day", "event")
-        out["strike_counts"] = self.strike_counts().orderBy("scenario", "case_ord", "year", "hour")
+        out["duration"] = R.duration_report(s, "base").orderBy("zone_ord", "year", "month", "day", "event")
+        out["duration_new_ordc"] = R.duration_report(s, "new_ordc").orderBy("zone_ord", "year", "month", "day", "event")
+        out["strike_counts"] = R.strike_counts(s).orderBy("scenario", "case_ord", "year", "hour")
         out["strikes"] = strike_table(self.spark, self.p)
         out["constraints"] = constraint_table(self.spark, self.p)
         return out

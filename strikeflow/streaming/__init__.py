@@ -1,0 +1,7 @@
+"""Intentionally empty.
+
+The original model reads its inputs once and has no stream, watermark or
+stateful operator, so there is nothing to re-express with Structured
+Streaming.  The batch plan is append-friendly (all windows are partitioned
+by week or finer), should incremental runs be wanted later.
+"""
