@@ -41,24 +41,22 @@ def calendar_columns(df: DataFrame, ts: str = "ts") -> DataFrame:
     """Add date, year, month, day, weekday (Mon=0), weekday_name, ISO week,
     hour, minute, second, interval and season."""
     t = F.col(ts)
+    month = F.month(t)
+    weekday = F.weekday(t)
+    minute = F.minute(t)
     return df.withColumns(
         {
             "date": F.to_date(t),
             "year": F.year(t),
-            "month": F.month(t),
+            "month": month,
             "day": F.dayofmonth(t),
-            "weekday": F.weekday(t),
+            "weekday": weekday,
             "week": F.weekofyear(t),
             "hour": F.hour(t),
-            "minute": F.minute(t),
+            "minute": minute,
             "second": F.second(t),
-        }
-    ).withColumns(
-        {
-            "weekday_name": F.element_at(
-                F.array(*[F.lit(n) for n in WEEKDAY_NAMES]), F.col("weekday") + 1
-            ),
-            "interval": quarter_hour(F.col("minute")),
-            "season": season_of(F.col("month")),
+            "weekday_name": F.element_at(F.array(*[F.lit(n) for n in WEEKDAY_NAMES]), weekday + 1),
+            "interval": quarter_hour(minute),
+            "season": season_of(month),
         }
     )

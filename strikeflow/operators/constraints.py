@@ -30,12 +30,14 @@ def constrained_dispatch(outside_flag: bool) -> Column:
 def with_constrained_events(s: DataFrame, outside_flag: bool) -> DataFrame:
     """Constrained dispatch and event ordinal (daily-window pass)."""
     c = F.col
-    s = s.withColumn("cdispatch", constrained_dispatch(outside_flag))
+    cdispatch = constrained_dispatch(outside_flag)
     day_arm = (c("strike") == 1) & c("day_start")
     if not outside_flag:
         day_arm = day_arm & c("inside")
-    s = s.withColumn("cmarker", flag((c("cdispatch") == 1) | day_arm))
-    return s.withColumn("cevent", nullif0(F.sum("cmarker").over(w_running())))
+    cmarker = flag((cdispatch == 1) | day_arm)
+    return s.withColumns(
+        {"cdispatch": cdispatch, "cmarker": cmarker, "cevent": nullif0(F.sum(cmarker).over(w_running()))}
+    )
 
 
 def with_constrained(s: DataFrame, outside_flag: bool) -> DataFrame:
@@ -44,15 +46,14 @@ def with_constrained(s: DataFrame, outside_flag: bool) -> DataFrame:
     and the constrained duration (NULL = not paid)."""
     c = F.col
     run_secs = F.sum("tick_secs").over(w_running("cevent"))
-    s = s.withColumn(
-        "cduration_raw",
-        F.when((c("strike") == 1) & c("cevent").isNotNull(), F.lit(MIN_PER_SEC) * run_secs),
-    )
-    s = s.withColumn(
-        "qualifying",
-        flag((c("event_max_duration") >= c("min_duration")) & c("inside") & (c("cmarker") == 1)),
+    qualifying = flag((c("event_max_duration") >= c("min_duration")) & c("inside") & (c("cmarker") == 1))
+    s = s.withColumns(
+        {
+            "cduration_raw": F.when((c("strike") == 1) & c("cevent").isNotNull(), F.lit(MIN_PER_SEC) * run_secs),
+            "qualifying": qualifying,
+            "daily": nullif0(F.sum(qualifying).over(w_running())),
+        }
     )
-    s = s.withColumn("daily", nullif0(F.sum("qualifying").over(w_running())))
     weekly_step = F.when(c("daily") <= c("daily_max"), c("qualifying")).otherwise(F.lit(0))
     s = s.withColumn("weekly", nullif0(F.sum(weekly_step).over(w_week())))
     d = c("cduration_raw")

@@ -76,9 +76,9 @@ def with_dispatch(s: DataFrame) -> DataFrame:
     the first tick of a date; the ordinal persists until the next start."""
     prev = F.when(F.col("day_start"), F.col("prev_day_strike")).otherwise(F.lag("strike").over(w_day()))
     s = s.withColumn("prev_strike", prev)
-    s = s.withColumn("dispatch", flag((F.col("strike") == 1) & (F.col("prev_strike") == 0)))
-    marker = flag((F.col("dispatch") == 1) | ((F.col("strike") == 1) & F.col("day_start")))
-    return s.withColumn("event", nullif0(F.sum(marker).over(w_running())))
+    dispatch = flag((F.col("strike") == 1) & (F.col("prev_strike") == 0))
+    marker = flag((dispatch == 1) | ((F.col("strike") == 1) & F.col("day_start")))
+    return s.withColumns({"dispatch": dispatch, "event": nullif0(F.sum(marker).over(w_running()))})
 
 
 def with_durations(s: DataFrame) -> DataFrame:

@@ -19,7 +19,7 @@ def with_base_price(ticks: DataFrame, zones) -> DataFrame:
 def with_new_ordc(ticks: DataFrame, p: Params, zones) -> DataFrame:
     """Re-priced adders and zone prices (capped lambda, normal-CDF reserve terms)."""
     lam = F.col("system_lambda")
-    lam_c = F.col("lambda_capped")
+    lam_c = F.when(lam > F.lit(p.lambda_cap), F.lit(p.lambda_cap)).otherwise(lam)
     olcap, offcap = F.col("rtolcap"), F.col("rtoffcap")
     mu, sigma = F.col("lolp_mu"), F.col("lolp_sigma")
     voll, mcl = F.lit(p.voll), F.lit(p.mcl)
@@ -31,19 +31,18 @@ def with_new_ordc(ticks: DataFrame, p: Params, zones) -> DataFrame:
     on_scarcity = F.when(olcap <= mcl, F.lit(1.0)).otherwise(
         F.lit(1.0) - normal_cdf(olcap - mcl, F.lit(0.5) * mu, F.lit(0.707) * sigma)
     )
-    out = ticks.withColumn(
-        "lambda_capped", F.when(lam > F.lit(p.lambda_cap), F.lit(p.lambda_cap)).otherwise(lam)
-    )
-    out = out.withColumn(
-        "new_rtoffpa",
-        F.when(headroom > 0, F.lit(0.5) * headroom).otherwise(F.lit(0.0)) * off_scarcity,
-    )
-    out = out.withColumn(
+    capped = F.when(lam > F.lit(p.lambda_cap), F.lit(p.lambda_cap)).otherwise(lam)
+    out = ticks.withColumns(
+        {
+            "lambda_capped": capped,
+            "new_rtoffpa": F.when(headroom > 0, F.lit(0.5) * headroom).otherwise(F.lit(0.0)) * off_scarcity,
+            **{f"new_{z}": F.col(z) - (lam - lam_c) for z in zones},
+        }
+    ).withColumn(
         "new_rtorpa",
         F.col("new_rtoffpa")
         + F.lit(0.5) * F.when(headroom > 0, headroom).otherwise(F.lit(0.0)) * on_scarcity,
     )
-    out = out.withColumns({f"new_{z}": F.col(z) - (lam - lam_c) for z in zones})
     return out.withColumns({f"new_{z}_price": F.col(f"new_{z}") + F.col("new_rtorpa") for z in zones})
 
 

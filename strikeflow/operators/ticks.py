@@ -75,7 +75,5 @@ def with_interval_seconds(ticks: DataFrame) -> DataFrame:
     """interval_secs: tick seconds summed over the tick's quarter hour (date,
     hour, interval; both passes of a repeated hour together); weight: the
     tick's share of it (NULL for a zero-length quarter hour)."""
-    w = Window.partitionBy("date", "hour", "interval")
-    return ticks.withColumn("interval_secs", F.sum("tick_secs").over(w)).withColumn(
-        "weight", F.try_divide(F.col("tick_secs"), F.col("interval_secs"))
-    )
+    total = F.sum("tick_secs").over(Window.partitionBy("date", "hour", "interval"))
+    return ticks.withColumns({"interval_secs": total, "weight": F.try_divide(F.col("tick_secs"), total)})
