@@ -40,9 +40,15 @@ def monthly_value(s: DataFrame) -> DataFrame:
             for m in MONTHS
         ]
 
-    unc = g.select(*keys, F.lit(False).alias("constrained"), *cells("v"))
-    con = g.select(*keys, F.lit(True).alias("constrained"), *cells("c"))
-    return unc.unionByName(con)
+    # both flavours from the one aggregate (a union of two projections would
+    # be planned as two copies of the whole pipeline)
+    flavours = F.explode(
+        F.array(
+            F.struct(F.lit(False).alias("constrained"), *cells("v")),
+            F.struct(F.lit(True).alias("constrained"), *cells("c")),
+        )
+    ).alias("f")
+    return g.select(*keys, flavours).select(*keys, "f.*")
 
 
 def sort_value_report(r: DataFrame) -> DataFrame:
@@ -75,30 +81,37 @@ def duration_report(s: DataFrame, scenario: str) -> DataFrame:
     unconstrained and constrained, one row per (zone, year, month, day, event).
 
     Events are numbered by the low case.  For 'base' every column is keyed by
-    the unconstrained low event; for 'new_ordc' the constrained columns are
-    keyed by the constrained low event and matched on the ordinal."""
+    the unconstrained low event.  For 'new_ordc' the constrained columns are
+    keyed by the constrained low event and matched on the ordinal: each tick
+    contributes one row under each numbering and a single aggregate over
+    (day, ordinal) lines them up, keeping ordinals the unconstrained low case
+    has a duration for (the left side of the original merge)."""
     t = _per_tick_cases(s, scenario)
-    unc_cols = [F.max(f"dur_{c}").alias(f"dur_{c}") for c in ("low", "mid", "high")]
-    con_cols = [F.max(f"cdur_{c}").alias(f"cdur_{c}") for c in ("low", "mid", "high")]
+    cases = ("low", "mid", "high")
     if scenario == "base":
-        r = (
-            t.filter(F.col("ev").isNotNull())
-            .groupBy(*DAY_KEYS, F.col("ev").alias("event"))
-            .agg(*unc_cols, *con_cols)
-        )
+        keyed = t.filter(F.col("ev").isNotNull()).withColumnRenamed("ev", "event")
     else:
-        left = t.filter(F.col("ev").isNotNull()).groupBy(*DAY_KEYS, F.col("ev").alias("event")).agg(*unc_cols)
-        right = (
-            t.filter(F.col("cev").isNotNull())
-            .groupBy(*DAY_KEYS, F.col("cev").alias("event"))
-            .agg(*con_cols)
+        nulls = [F.lit(None).cast("double").alias(f"cdur_{c}") for c in cases]
+        unc = F.struct(F.col("ev").alias("event"), *[F.col(f"dur_{c}") for c in cases], *nulls)
+        con = F.struct(
+            F.col("cev").alias("event"),
+            *[F.lit(None).cast("double").alias(f"dur_{c}") for c in cases],
+            *[F.col(f"cdur_{c}") for c in cases],
         )
-        r = left.filter(F.col("dur_low").isNotNull()).join(right, [*DAY_KEYS, "event"], "left")
+        keyed = (
+            t.select(*DAY_KEYS, F.explode(F.array(unc, con)).alias("k"))
+            .select(*DAY_KEYS, "k.*")
+            .filter(F.col("event").isNotNull())
+        )
+    r = keyed.groupBy(*DAY_KEYS, "event").agg(
+        *[F.max(f"dur_{c}").alias(f"dur_{c}") for c in cases],
+        *[F.max(f"cdur_{c}").alias(f"cdur_{c}") for c in cases],
+    )
     r = r.filter(F.col("dur_low").isNotNull())
     return r.select(
         "zone", "zone_ord", "year", "month", "day", F.col("event").cast("int").alias("event"),
-        *[f"dur_{c}" for c in ("low", "mid", "high")],
-        *[f"cdur_{c}" for c in ("low", "mid", "high")],
+        *[f"dur_{c}" for c in cases],
+        *[f"cdur_{c}" for c in cases],
     )
 
 
