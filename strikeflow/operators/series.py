@@ -102,16 +102,30 @@ def prev_day_strikes(ticks: DataFrame, p: Params) -> DataFrame:
     return days.select("date", F.lag("last_strikes").over(Window.orderBy("date")).alias("prev_day_strikes"))
 
 
+def with_series_names(s: DataFrame, p: Params) -> DataFrame:
+    """zone / scenario / strike_case names from the integer ordinals.  Added
+    after the windows: strings stay out of the shuffle and the sorts."""
+    def name(values, ord_col):
+        return F.element_at(F.array(*[F.lit(v) for v in values]), F.col(ord_col) + 1)
+
+    return s.withColumns(
+        {
+            "zone": name(p.zones, "zone_ord"),
+            "scenario": name(tuple(SCENARIO_PREFIX), "scen_ord"),
+            "strike_case": name(p.cases, "case_ord"),
+        }
+    )
+
+
 def to_series(ticks: DataFrame, p: Params, last_month: Column | None) -> DataFrame:
+    """One row per tick and series, keyed by integer ordinals (names are added
+    later by ``with_series_names``)."""
     entries = []
     for i, (z, zi, scen, si, case, ci, pc, sc, kc) in enumerate(series_list(p)):
         entries.append(
             F.struct(
-                F.lit(z).alias("zone"),
                 F.lit(zi).alias("zone_ord"),
-                F.lit(scen).alias("scenario"),
                 F.lit(si).alias("scen_ord"),
-                F.lit(case).alias("strike_case"),
                 F.lit(ci).alias("case_ord"),
                 F.col(pc).alias("price"),
                 F.col(sc).alias("spp"),

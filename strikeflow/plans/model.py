@@ -141,12 +141,13 @@ class DispatchModel:
         s = C.with_constrained_events(s, self.p.dispatch_outside)  # daily sort (shared)
         s = D.with_durations(s)  # event sort
         s = C.with_constrained(s, self.p.dispatch_outside)  # constrained-event sort, daily/weekly sort
-        return s.withColumns(
+        s = s.withColumns(
             {
                 "value": D.tick_value(self.p.capture_pct),
                 "cvalue": D.tick_value(self.p.capture_pct, constrained=True),
             }
         )
+        return S.with_series_names(s, self.p)
 
     # -- reports -----------------------------------------------------------
     def monthly_value(self) -> DataFrame:

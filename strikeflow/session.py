@@ -18,6 +18,9 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
         .config("spark.sql.adaptive.enabled", "true")
+        # the model's plan is wide (about 100 tick columns, 24 series); constraint
+        # inference over it costs seconds of driver time and finds nothing useful
+        .config("spark.sql.constraintPropagation.enabled", "false")
         .config("spark.driver.memory", os.environ.get("STRIKEFLOW_DRIVER_MEMORY", "8g"))
         .getOrCreate()
     )
