@@ -47,13 +47,12 @@ def with_constrained(s: DataFrame, outside_flag: bool) -> DataFrame:
     c = F.col
     run_secs = F.sum("tick_secs").over(w_running("cevent"))
     qualifying = flag((c("event_max_duration") >= c("min_duration")) & c("inside") & (c("cmarker") == 1))
-    s = s.withColumns(
-        {
-            "cduration_raw": F.when((c("strike") == 1) & c("cevent").isNotNull(), F.lit(MIN_PER_SEC) * run_secs),
-            "qualifying": qualifying,
-            "daily": nullif0(F.sum(qualifying).over(w_running())),
-        }
+    # constrained-event sort first, then the daily and weekly windows back to
+    # back on one (date, tick order) sort
+    s = s.withColumn(
+        "cduration_raw", F.when((c("strike") == 1) & c("cevent").isNotNull(), F.lit(MIN_PER_SEC) * run_secs)
     )
+    s = s.withColumns({"qualifying": qualifying, "daily": nullif0(F.sum(qualifying).over(w_running()))})
     weekly_step = F.when(c("daily") <= c("daily_max"), c("qualifying")).otherwise(F.lit(0))
     s = s.withColumn("weekly", nullif0(F.sum(weekly_step).over(w_week())))
     d = c("cduration_raw")

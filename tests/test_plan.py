@@ -24,7 +24,16 @@ def test_single_series_exchange(spark):
     assert len(tick_exchanges) == 1
 
 
-def test_filters_and_columns_pruned_at_scan(spark):
-    m = DispatchModel.from_fixture(spark, SF_SMALL)
-    plan = m.monthly_value()._jdf.queryExecution().executedPlan().toString()
-    assert "ReadSchema: struct<event_id:bigint,ts:timestamp_ntz,value:double,props:string>" in plan or "user_id" not in plan
+def test_window_sorts_shared(spark):
+    plan = _plan(DispatchModel.from_fixture(spark, SF_SMALL).series)
+    above = plan[: plan.index("Exchange hashpartitioning(zone_ord")]
+    assert len(re.findall(r"\bWindow \[", above)) == 9
+    assert len(re.findall(r"\bSort \[", above)) == 5
+
+
+def test_columns_pruned_at_scan(spark):
+    plan = _plan(DispatchModel.from_fixture(spark, SF_SMALL).monthly_value())
+    schemas = re.findall(r"ReadSchema: struct<[^>]*>", plan)
+    assert schemas
+    for s in schemas:
+        assert "user_id" not in s and "event_type" not in s
