@@ -2,35 +2,75 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .chat import chat_report
 from .lines import line_dedup_report
 from .mixing import mix_report
+from .parsing import fingerprint_report
 from .quality import quality_report
 from .shared import table
+from .simhash import near_dedup_report
 from .sql import LINES, QUALITY
+from .substrings import substring_report
+from .tokenfile import token_file_report
+
+
+def tokenizer_file(name: str) -> str:
+    """A vocabulary file: in $TOKENIZER_DIR, or of the installed public_tokenizers."""
+    if folder := os.environ.get("TOKENIZER_DIR"):
+        return os.path.join(folder, name)
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op1_locally_consistent_parsing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint_report(table(spark, sf_dir, "documents"))
 
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup_report(table(spark, sf_dir, "documents"))
 
 
+def op4_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat_report(table(spark, sf_dir, "conversations"))
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_report(table(spark, sf_dir, "documents"))
 
 
+def op6_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup_report(table(spark, sf_dir, "documents"))
+
+
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_report(table(spark, sf_dir, "documents"))
+
+
 def op9_entropy_balancing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_report(table(spark, sf_dir, "documents"))
 
 
+def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_file_report(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
+        op1_locally_consistent_parsing,
         op2_line_dedup,
+        op4_chat_formatting,
         op5_quality_rules,
+        op6_simhash_near_dedup,
+        op8_substring_dedup,
         op9_entropy_balancing,
+        op10_token_files,
     )
 }
 

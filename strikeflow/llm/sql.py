@@ -30,7 +30,7 @@ QUALITY = rf"""
 WITH split AS (
   SELECT doc_id, coalesce(text, '') AS text,
          regexp_extract_all(coalesce(text, ''), '[^{_WS}]+') AS w,
-         list_filter(string_split(coalesce(text, ''), chr(10)), x -> regexp_matches(x, '[^{_WS}]')) AS l
+         [x FOR x IN string_split(coalesce(text, ''), chr(10)) IF regexp_matches(x, '[^{_WS}]')] AS l
   FROM documents
 ), windows AS (
   SELECT doc_id, i, array_to_string(list_slice(w, i, i + 4), ' ') AS win
@@ -40,7 +40,7 @@ WITH split AS (
 ), covered AS (
   SELECT doc_id, count(DISTINCT i + k) AS n FROM repeated, range(5) r(k) GROUP BY doc_id
 ), stats AS (
-  SELECT split.doc_id, len(w) AS n_words, coalesce(list_sum(list_transform(w, x -> length(x))), 0)::BIGINT AS word_chars,
+  SELECT split.doc_id, len(w) AS n_words, coalesce(list_sum([length(x) FOR x IN w]), 0)::BIGINT AS word_chars,
          length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS n_symbols,
          len(l) AS n_lines, len(l) - len(list_distinct(l)) AS n_dup_lines, coalesce(covered.n, 0) AS n_repeat_words
   FROM split LEFT JOIN covered USING (doc_id)
