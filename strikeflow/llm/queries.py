@@ -8,9 +8,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .chat import chat_report
+from .extraction import extraction_report
 from .lines import line_dedup_report
 from .mixing import mix_report
 from .parsing import fingerprint_report
+from .pieces import piece_report
 from .quality import quality_report
 from .shared import table
 from .simhash import near_dedup_report
@@ -36,6 +38,10 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup_report(table(spark, sf_dir, "documents"))
 
 
+def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return piece_report(table(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model"))
+
+
 def op4_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_report(table(spark, sf_dir, "conversations"))
 
@@ -48,6 +54,10 @@ def op6_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup_report(table(spark, sf_dir, "documents"))
 
 
+def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extraction_report(table(spark, sf_dir, "pages"))
+
+
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_report(table(spark, sf_dir, "documents"))
 
@@ -65,9 +75,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         op1_locally_consistent_parsing,
         op2_line_dedup,
+        op3_sentencepiece,
         op4_chat_formatting,
         op5_quality_rules,
         op6_simhash_near_dedup,
+        op7_html_extraction,
         op8_substring_dedup,
         op9_entropy_balancing,
         op10_token_files,

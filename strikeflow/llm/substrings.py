@@ -22,6 +22,7 @@ from collections.abc import Iterator
 from functools import cache
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -218,7 +219,7 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, kmer: int = KMER, id:
     joined = _joined(docs, window, kmer, id, text)
 
     @F.pandas_udf("string")
-    def cut(texts, spans):
+    def cut(texts: pd.Series, spans: pd.Series) -> pd.Series:
         return texts.combine(spans, lambda t, s: b" ".join(_cut(split(t), None if s is None else list(s))).decode("utf-8", "surrogatepass"))
 
     changed = joined.withColumn("_cut", F.when(F.col("_spans").isNotNull(), cut(F.col(text), F.col("_spans"))))
