@@ -1,11 +1,22 @@
-"""From raw documents to token ids: the corpus pipeline."""
+"""From raw documents to token ids: the corpus pipeline.
+
+``STAGES`` are applied in order; each takes (spark, docs, sf_dir) and works on
+all that the one before has kept.  All but the last return the columns of
+``documents``.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from strikeflow.llm import pieces
 from strikeflow.llm.lines import line_dedup
+from strikeflow.llm.mixing import mix_rows
 from strikeflow.llm.quality import quality_filter
+from strikeflow.llm.queries import tokenizer_file
+from strikeflow.llm.shared import Scratch, table
+from strikeflow.llm.simhash import near_dedup
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -13,26 +24,44 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return quality_filter(docs)
 
 
-def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the lines that ten or more of them share."""
-    return line_dedup(docs)
+def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the lines that ten or more of them share; n_chars follows the text."""
+    kept = line_dedup(docs)
+    return kept.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else kept
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies."""
+    return near_dedup(docs)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix of the sources takes them: some not at all, some up to three times."""
+    return mix_rows(docs)
+
+
+def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with the ids of their texts, ``ids``, and their number, ``n_tokens``."""
+    encoded = pieces.encode(docs, pieces.load(tokenizer_file("piece_bpe_32k.model")))
+    return encoded.withColumn("n_tokens", F.size("ids").cast("long"))
 
 
 STAGES = [
     ("quality_rules", quality_rules),
-    ("line_dedup", line_dedup_stage),
+    ("line_dedup", dedup_lines),
+    ("simhash_near_dedup", near_duplicates),
+    ("mixing", mix_sources),
+    ("sentencepiece_encoding", encode_pieces),
 ]
 
-#: SQL can't express SimHash near-dedup, entropy balancing or the encoding.
+#: SQL can't express the fingerprints' bits, the balanced rates or the encoding.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages on ``documents``, each written as Parquet and read by the next."""
-    from strikeflow.llm.shared import Scratch
-
     scratch = Scratch(spark, "pipeline")
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = table(spark, sf_dir, "documents")
     for i, (name, stage) in enumerate(STAGES):
         docs = scratch.stage(stage(spark, docs, sf_dir), f"{i}-{name}")
     return docs

@@ -121,19 +121,20 @@ def _whole_copies(hist: DataFrame, cap: int, corrections: int) -> DataFrame:
     return hist.drop("_sum", "_miss", "_best")
 
 
-def mix(docs: DataFrame, weights: dict | None = None, total: float | None = None, cap: int = MAX_REPEATS, id: str = "doc_id", text: str = "text", source: str = "source", corrections: int = CORRECTIONS) -> DataFrame:
+def mix(docs: DataFrame, weights: dict | None = None, total: float | None = None, cap: int = MAX_REPEATS, id: str = "doc_id", text: str = "text", source: str = "source", order: str | None = None, corrections: int = CORRECTIONS) -> DataFrame:
     """Per row of ``docs``: ``id``, size, source_size, target, rate, copies.
 
-    ``weights``: by source, null included; by default 5, 2, 1 in turn by code
+    ``order``: the column, by default ``id``, whose hash decides which of the
+    rows of equal source and size get a copy more.  ``weights``: by source, null included; by default 5, 2, 1 in turn by code
     point.  ``total``: words of the mix, by default all there are.  Size counts
     the words of the text; a null or blank text has size 0, rate and copies 0.
     A null source is a source of its own.  Rows of equal source and size are
-    told apart by a hash of id; repeated rows share copies evenly.  An empty
-    table gives an empty result; other columns don't matter.
+    told apart by that hash, then by id.  An empty table gives an empty result;
+    other columns don't matter.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "mixing")
-    sized = scratch.stage(docs.select(F.col(id).alias("id"), F.col(source).cast("string").alias("source"), F.size(words(F.col(text))).cast("long").alias("size")), "sized")
+    sized = scratch.stage(docs.select(F.col(id).alias("id"), F.xxhash64(F.col(order or id)).alias("_h"), F.col(source).cast("string").alias("source"), F.size(words(F.col(text))).cast("long").alias("size")), "sized")
     hist = scratch.stage(sized.groupBy("source", "size").agg(F.count("*").alias("n")), "hist")
     per = hist.groupBy("source").agg(F.sum(F.col("n") * F.col("size")).alias("size"), F.sum("n").alias("n")).collect()  # one row per source
     sizes, counts = {r["source"]: r["size"] for r in per}, {r["source"]: r["n"] for r in per}
@@ -150,7 +151,7 @@ def mix(docs: DataFrame, weights: dict | None = None, total: float | None = None
     hist = scratch.stage(_whole_copies(hist, cap, corrections).select("source", "size", "n", "rate", "copies", "target", "source_size"), "copies")
 
     # rank the documents of equal source and size in hash order: within small parts, then the parts' offsets
-    ranked = sized.withColumn("_h", F.xxhash64("id")).withColumn("_part", F.pmod(F.col("_h"), F.lit(RANK_PARTS)))
+    ranked = sized.withColumn("_part", F.pmod(F.col("_h"), F.lit(RANK_PARTS)))
     parts = ranked.groupBy("source", "size", "_part").agg(F.count("*").alias("_n"))
     offsets = parts.withColumn("_offset", F.sum("_n").over(Window.partitionBy("source", "size").orderBy("_part").rowsBetween(Window.unboundedPreceding, 0)) - F.col("_n"))
     offsets = offsets.join(hist.withColumnsRenamed({"source": "_s2", "size": "_z2"}), F.col("source").eqNullSafe(F.col("_s2")) & (F.col("size") == F.col("_z2"))).drop("_n", "_s2", "_z2")
@@ -164,6 +165,14 @@ def mix(docs: DataFrame, weights: dict | None = None, total: float | None = None
     )
 
 
+def mix_rows(docs: DataFrame, id: str = "doc_id", **options) -> DataFrame:
+    """Each row of ``docs`` as often as the mix takes it; columns as given, none named ``_row``, ``_key`` or ``_copy``."""
+    # rows are numbered once and staged, so that repeated rows keep apart
+    marked = Scratch(docs.sparkSession, "mixed").stage(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
+    taken = mix(marked, id="_row", order=id, **options).where("copies > 0").select(F.col("_row").alias("_key"), "copies")
+    return marked.join(taken, F.col("_row") == F.col("_key")).withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select(*docs.columns)
+
+
 def mix_report(docs: DataFrame) -> DataFrame:
     """The mix of the contract: doc_id, size, source_size, target, taken."""
     return mix(docs).select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "copies", "rate")
