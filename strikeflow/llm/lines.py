@@ -13,12 +13,16 @@ whose hash is settled.
 from __future__ import annotations
 
 from collections import defaultdict
+from collections.abc import Iterator
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import SPACE, Scratch, let
+from .shared import Scratch, let
 
 MIN_DOCS = 10
 BATCHES = 4
@@ -27,27 +31,40 @@ FAN_OUT = 2
 #: documents; more are joined by shuffle.
 BROADCAST_HASHES = 250_000
 
-UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+_WHITE = b" \t\n\x0b\x0c\r"
+_LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 
 
-def line_key(line: Column) -> Column:
-    """The line without ASCII white space at both ends, A-Z in lower case."""
-    return F.translate(F.regexp_replace(line, rf"\A[{SPACE}]+|[{SPACE}]+\z", ""), UPPER, LOWER)
+def line_keys(text: str | None) -> list[bytes]:
+    """Key of each line: without ASCII white space at both ends, A-Z in lower case; null text: one empty line."""
+    return [x.strip(_WHITE) for x in (text or "").encode("utf-8", "surrogatepass").translate(_LOWER).split(b"\n")]
 
 
-def lines_of(text: Column) -> Column:
-    """Lines of a text split at line feeds; null or empty: one empty line."""
-    return F.split(F.coalesce(text, F.lit("")), "\n", -1)
+def line_hashes(docs: DataFrame, batches: int, id: str = "doc_id", text: str = "text") -> DataFrame:
+    """A row per line that isn't blank: batch, id, t (hash of the text), at, first (in its document), a, b (128 bits of the key)."""
 
+    def of(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for r in rows:
+            owner, at, first, digest = [], [], [], []
+            for i, line in enumerate(r.column(3)):
+                seen = set()
+                for k, key in enumerate(line_keys(line.as_py())):
+                    if key:
+                        owner.append(i)
+                        at.append(k)
+                        first.append(key not in seen)
+                        digest.append(xxhash.xxh3_128_digest(key))
+                        seen.add(key)
+            pairs = np.frombuffer(b"".join(digest), dtype=np.int64).reshape(-1, 2)
+            owner = pa.array(owner, pa.int32())
+            yield pa.RecordBatch.from_arrays(
+                [*(r.column(i).take(owner) for i in range(3)), pa.array(at, pa.int32()), pa.array(first, pa.bool_()), pa.array(pairs[:, 0]), pa.array(pairs[:, 1])],
+                ["batch", "id", "t", "at", "first", "a", "b"],
+            )
 
-def _hash(key: Column) -> Column:
-    """128 bits as two longs; the empty key has none."""
-    return F.when(key != "", F.struct(F.xxhash64(key).alias("a"), F.xxhash64(key, F.lit(1)).alias("b")))
-
-
-def _line_hashes(text: Column) -> Column:
-    """Hash of each line, in order; null for blank lines."""
-    return F.transform(lines_of(text), lambda x: _hash(line_key(x)))
+    batch = F.pmod(F.xxhash64(F.col(id)), F.lit(batches)).cast("int")
+    rows = docs.select(batch.alias("batch"), F.col(id).cast("long").alias("id"), F.xxhash64(F.col(text)).alias("t"), F.col(text).alias("text"))
+    return rows.mapInArrow(of, "batch int, id long, t long, at int, first boolean, a long, b long")
 
 
 class LineRuns:
@@ -108,70 +125,54 @@ class LineRuns:
         return self.settled
 
 
-def frequent_lines(docs: DataFrame, min_docs: int = MIN_DOCS, batches: int = BATCHES, fan_out: int = FAN_OUT, id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Hashes (a, b) of the lines found in at least ``min_docs`` documents."""
+def frequent_places(docs: DataFrame, min_docs: int = MIN_DOCS, batches: int = BATCHES, fan_out: int = FAN_OUT, id: str = "doc_id", text: str = "text", broadcast_hashes: int = BROADCAST_HASHES) -> DataFrame:
+    """(id, t, found): per document with such lines, the places of those found in at least ``min_docs`` documents.
+
+    Few frequent hashes reach the documents' line hashes by broadcast, many by
+    a shuffle.
+    """
     spark = docs.sparkSession
     runs = LineRuns(spark, min_docs, fan_out)
-    rows = docs.select(
-        F.pmod(F.xxhash64(F.col(id)), F.lit(batches)).alias("batch"),
-        F.explode(F.array_compact(F.array_distinct(_line_hashes(F.col(text))))).alias("h"),
-    ).select("batch", "h.a", "h.b")
-    rows.write.option("compression", "zstd").partitionBy("batch").parquet(f"{runs.scratch.root}/hashes")
-    hashes = spark.read.schema("a long, b long, batch int").parquet(f"{runs.scratch.root}/hashes")
+    path = f"{runs.scratch.root}/hashes"
+    rows = line_hashes(docs, batches, id, text)
+    rows.write.option("compression", "zstd").partitionBy("batch").parquet(path)
+    hashes = spark.read.schema(rows.schema).parquet(path)
     for batch in range(batches):
-        runs.add(hashes.where(F.col("batch") == batch).select("a", "b"))
-    runs.scratch.drop("hashes")
-    return runs.finish()
-
+        runs.add(hashes.where((F.col("batch") == batch) & F.col("first")).select("a", "b"))
+    frequent = runs.finish()
+    few = frequent.count() <= broadcast_hashes
+    places = hashes.select("id", "t", "at", "a", "b").join(F.broadcast(frequent) if few else frequent, ["a", "b"])
+    return places.groupBy("id", "t").agg(F.collect_list("at").alias("found"))
 
-def split_lines(docs: DataFrame, frequent: DataFrame, id: str = "doc_id", text: str = "text", broadcast_hashes: int = BROADCAST_HASHES) -> DataFrame:
-    """``docs`` with ``_lines`` and ``_kept``: the lines, and those that aren't frequent, in order.
 
-    Few frequent hashes reach the documents' lines by broadcast, many by a
-    shuffle of the line hashes; either way the places found come back as one
-    row per document that has some.
-    """
-    few = frequent.count() <= broadcast_hashes
-    keyed = docs.withColumn("_row", F.struct(F.col(id).alias("id"), F.xxhash64(F.col(text)).alias("t")))
-    found = (
-        keyed.select("_row", F.posexplode(_line_hashes(F.col(text))).alias("_at", "_h"))
-        .where(F.col("_h").isNotNull())
-        .select("_row", "_at", "_h.a", "_h.b")
-        .join(F.broadcast(frequent) if few else frequent, ["a", "b"])
-        .groupBy(F.col("_row").alias("_key"))
-        .agg(F.collect_list("_at").alias("_found"))
-    )
-    left = let(
-        F.col("_lines"),
-        lambda x: F.transform(F.array_except(F.sequence(F.lit(0), F.size(x) - 1), F.col("_found")), lambda i: F.get(x, i)),
-    )
-    return (
-        keyed.join(found, F.col("_row").eqNullSafe(F.col("_key")), "left")
-        .withColumn("_lines", lines_of(F.col(text)))
-        .withColumn("_kept", F.when(F.col("_found").isNull(), F.col("_lines")).otherwise(left))
-        .drop("_row", "_key", "_found")
-    )
+def split_lines(docs: DataFrame, found: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
+    """``docs`` with ``_n`` lines and ``_kept``, the text without the lines at the places ``found``."""
+    lines = F.split(F.coalesce(F.col(text), F.lit("")), "\n", -1)
+    left = let(lines, lambda x: F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(x) - 1), F.col("_found")), lambda i: F.get(x, i)), "\n"))
+    found = found.withColumnsRenamed({"id": "_id", "t": "_t", "found": "_found"})
+    joined = docs.withColumn("_h", F.xxhash64(F.col(text))).join(found, F.col(id).cast("long").eqNullSafe(F.col("_id")) & (F.col("_h") == F.col("_t")), "left")
+    return joined.withColumn("_n", F.size(lines)).withColumn("_kept", F.when(F.col("_found").isNull(), F.coalesce(F.col(text), F.lit(""))).otherwise(left))
 
 
 def line_dedup(docs: DataFrame, min_docs: int = MIN_DOCS, batches: int = BATCHES, id: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` without the lines found in at least ``min_docs`` documents; columns as given.
 
-    Lines are compared by ``line_key``; blank lines always stay.  A null or
+    Lines are compared by ``line_keys``; blank lines always stay.  A null or
     empty text is one empty line and comes back empty.  Rows with the same id
     and text count as documents of their own.  A text that loses all lines
     comes back empty, an empty table stays empty, other columns pass through
-    (none may be named ``_row``, ``_key``, ``_found``, ``_lines`` or ``_kept``).
+    (none may be named ``_h``, ``_id``, ``_t``, ``_found``, ``_n`` or ``_kept``).
     """
-    split = split_lines(docs, frequent_lines(docs, min_docs, batches, id=id, text=text), id, text)
-    return split.withColumn(text, F.array_join("_kept", "\n")).select(*docs.columns)
+    split = split_lines(docs, frequent_places(docs, min_docs, batches, id=id, text=text), id, text)
+    return split.withColumn(text, F.col("_kept")).select(*docs.columns)
 
 
 def line_dedup_report(docs: DataFrame) -> DataFrame:
     """Per document: lines before, lines dropped, SHA-256 of what stays."""
     docs = docs.select("doc_id", "text")
-    return split_lines(docs, frequent_lines(docs)).select(
+    return split_lines(docs, frequent_places(docs)).select(
         "doc_id",
-        F.size("_lines").cast("long").alias("n_lines"),
-        (F.size("_lines") - F.size("_kept")).cast("long").alias("n_dropped"),
-        F.sha2(F.array_join("_kept", "\n"), 256).alias("kept_sha256"),
+        F.col("_n").cast("long").alias("n_lines"),
+        F.coalesce(F.size(F.array_distinct("_found")), F.lit(0)).cast("long").alias("n_dropped"),
+        F.sha2("_kept", 256).alias("kept_sha256"),
     )
