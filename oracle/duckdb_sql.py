@@ -32,7 +32,8 @@ LOLP = """(VALUES
 ) AS l(season, start_date, lolp_mu, lolp_sigma)"""
 
 SER = "zone, scenario, strike_case"
-ORD = "ts, tick_id"
+# instant order: of the repeated hour, the second pass comes after the first
+ORD = "date_trunc('hour', ts), repeated_hour = 'Y', ts, tick_id"
 
 
 def _constraints(daily_max=10, weekly_max=100, min_duration=11, max_duration=360,
@@ -95,14 +96,18 @@ def base_ctes() -> str:
 ev AS (
   SELECT event_id, value AS v, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k,
          CAST(date_trunc('second', ts) AS TIMESTAMP)
-           + to_days(CAST(floor((dayofmonth(ts) - 1) / 3) * 70 AS INTEGER)) AS t
+           + to_days(CAST(floor((dayofmonth(ts) - 1) / 3) * 70
+                          + CASE WHEN floor((dayofmonth(ts) - 1) / 3) = 4 THEN 14 ELSE 0 END AS INTEGER)) AS t
   FROM events
 ),
+flagged AS (
+  SELECT *, CASE WHEN date_trunc('hour', t) = TIMESTAMP '2024-11-03 01:00:00' AND k % 2 = 1 THEN 'Y' ELSE 'N' END AS pass FROM ev
+),
 raw_ticks AS (
-  SELECT event_id AS tick_id, t AS ts, 'N' AS repeated_hour, {zone_cols},
+  SELECT event_id AS tick_id, t AS ts, pass AS repeated_hour, {zone_cols},
          40e0 * v AS system_lambda, k / 10e0 AS rtorpa, k / 20e0 AS rtoffpa, (k % 7) / 10e0 AS rtordpa,
          2500e0 + 150e0 * k AS rtolcap, 10e0 * k AS rtoffcap
-  FROM ev
+  FROM flagged
 ),
 cal AS (
   SELECT *, CAST(ts AS DATE) AS date, CAST(year(ts) AS INTEGER) AS year, CAST(month(ts) AS INTEGER) AS month,
@@ -129,8 +134,8 @@ timed AS (
 spp_rows AS (
   SELECT strftime(t, '%m/%d/%Y') AS delivery_date, hour(t) + 1 AS delivery_hour,
          CASE WHEN minute(t) < 15 THEN 1 WHEN minute(t) < 30 THEN 2 WHEN minute(t) < 45 THEN 3 ELSE 4 END AS delivery_interval,
-         'N' AS repeated_hour, p.point_name, p.point_type, (2.5e0 * v) * p.f AS price
-  FROM ev, (VALUES {pts}) AS p(point_name, point_type, f)
+         pass AS repeated_hour, p.point_name, p.point_type, (2.5e0 * v) * p.f AS price
+  FROM flagged, (VALUES {pts}) AS p(point_name, point_type, f)
   WHERE (hour(t) * 4 + CASE WHEN minute(t) < 15 THEN 1 WHEN minute(t) < 30 THEN 2 WHEN minute(t) < 45 THEN 3 ELSE 4 END) % 29 <> 0
 ),
 spp AS (
@@ -344,9 +349,20 @@ def queries() -> dict[str, str]:
     def sq(cols: str, **kw) -> str:
         return with_ctes(f"SELECT {SERIES_KEYS}, {cols} FROM series", series=True, **kw)
 
-    q["strike_flags"] = sq("strike")
+    # three chains whose oracle has another form than the windows above: a strike
+    # is found by looking for a price above the strike earlier in the quarter
+    # hour, events and caps by counting earlier starts
+    same = "e.zone = s.zone AND e.scenario = s.scenario AND e.strike_case = s.strike_case"
+    before = "(date_trunc('hour', e.ts), e.repeated_hour = 'Y', e.ts, e.tick_id) <= (date_trunc('hour', s.ts), s.repeated_hour = 'Y', s.ts, s.tick_id)"
+    q["strike_flags"] = with_ctes(
+        "SELECT s.zone, s.scenario, s.strike_case, s.tick_id, CAST(count(e.tick_id) > 0 AS INTEGER) AS strike "
+        f"FROM long0 s LEFT JOIN (SELECT * FROM long0 WHERE price > k_lmp) e ON {same} AND e.date = s.date "
+        f"AND e.hour = s.hour AND e.\"interval\" = s.\"interval\" AND {before} GROUP BY 1, 2, 3, 4", series=True)
     q["dispatch_starts"] = sq("dispatch, prev_strike")
-    q["daily_events"] = sq("event")
+    q["daily_events"] = with_ctes(
+        "SELECT s.zone, s.scenario, s.strike_case, s.tick_id, nullif(count(e.tick_id), 0) AS event FROM l3 s "
+        "LEFT JOIN (SELECT * FROM l3 WHERE dispatch = 1 OR (strike = 1 AND date_changed)) e "
+        f"ON {same} AND e.date = s.date AND {before} GROUP BY 1, 2, 3, 4", series=True)
     q["event_durations"] = sq(f"{r4('duration')} AS duration, {r4('event_max_duration')} AS event_max_duration")
     q["tick_value_last_month"] = sq(f"{r4('value')} AS value")
     q["tick_value_row_month"] = sq(f"{r4('value')} AS value", basis="row_month")
@@ -356,7 +372,11 @@ def queries() -> dict[str, str]:
     q["constrained_dispatch_weekdays"] = sq(
         "cdispatch, cevent", constraints={"days": (1, 1, 1, 1, 0, 0, 1)})
     q["constrained_events"] = sq("cmarker, cevent, qualifying")
-    q["event_caps"] = sq("daily, weekly")
+    q["event_caps"] = with_ctes(
+        "SELECT s.zone, s.scenario, s.strike_case, s.tick_id, nullif(count(e.tick_id) FILTER (WHERE e.date = s.date), 0) AS daily, "
+        "nullif(count(e.tick_id) FILTER (WHERE e.daily <= e.daily_max), 0) AS weekly FROM l8 s "
+        "LEFT JOIN (SELECT * FROM l9 WHERE qualifying = 1) e "
+        f"ON {same} AND e.week = s.week AND e.year = s.year AND {before} GROUP BY 1, 2, 3, 4", series=True)
     q["event_caps_weekly25"] = sq("daily, weekly", constraints={"weekly_max": 25})
     q["constrained_durations"] = sq(f"{r4('cduration')} AS cduration")
     q["constrained_durations_outside"] = sq(f"{r4('cduration')} AS cduration", outside=True)

@@ -31,10 +31,14 @@ def order_key(ts: Column, repeated_hour: Column, timezone: str, second_pass_flag
     """Instant of a wall-clock tick, used only to order ticks.
 
     ``convert_timezone`` resolves the ambiguous autumn hour to its first pass;
-    rows flagged as the second pass are moved one hour later.
+    rows flagged as the second pass are moved one hour later.  The hour is
+    ambiguous if the instant one hour later shows the same wall clock; a flag
+    on any other hour changes nothing.
     """
     utc = F.convert_timezone(F.lit(timezone), F.lit("UTC"), ts)
-    return F.when(repeated_hour == F.lit(second_pass_flag), utc + F.expr("INTERVAL 1 HOUR")).otherwise(utc)
+    later = utc + F.expr("INTERVAL 1 HOUR")
+    again = F.convert_timezone(F.lit("UTC"), F.lit(timezone), later) == ts
+    return F.when((repeated_hour == F.lit(second_pass_flag)) & again, later).otherwise(utc)
 
 
 def calendar_columns(df: DataFrame, ts: str = "ts") -> DataFrame:

@@ -3,10 +3,10 @@ weekdays, cap qualifying events per day and per week, bound durations."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from strikeflow.operators.dispatch import MIN_PER_SEC, flag, nullif0, w_running, w_week
+from strikeflow.operators.dispatch import MIN_PER_SEC, PART, flag, nullif0, w_running
 
 
 def constrained_dispatch(outside_flag: bool) -> Column:
@@ -40,21 +40,38 @@ def with_constrained_events(s: DataFrame, outside_flag: bool) -> DataFrame:
     )
 
 
-def with_constrained(s: DataFrame, outside_flag: bool) -> DataFrame:
+def with_daily(s: DataFrame) -> DataFrame:
     """Given cevent and event_max_duration: running constrained duration,
-    qualifying events (long enough, inside a window), daily and weekly counts,
-    and the constrained duration (NULL = not paid)."""
+    qualifying events (long enough, inside a window), their daily count, and
+    ``week_step``, the day's running count of those within the daily cap."""
     c = F.col
     run_secs = F.sum("tick_secs").over(w_running("cevent"))
     qualifying = flag((c("event_max_duration") >= c("min_duration")) & c("inside") & (c("cmarker") == 1))
-    # constrained-event sort first, then the daily and weekly windows back to
-    # back on one (date, tick order) sort
+    # constrained-event sort first, then the daily windows on one sort
     s = s.withColumn(
         "cduration_raw", F.when((c("strike") == 1) & c("cevent").isNotNull(), F.lit(MIN_PER_SEC) * run_secs)
     )
     s = s.withColumns({"qualifying": qualifying, "daily": nullif0(F.sum(qualifying).over(w_running()))})
-    weekly_step = F.when(c("daily") <= c("daily_max"), c("qualifying")).otherwise(F.lit(0))
-    s = s.withColumn("weekly", nullif0(F.sum(weekly_step).over(w_week())))
+    step = F.when(c("daily") <= c("daily_max"), c("qualifying")).otherwise(F.lit(0))
+    return s.withColumn("week_step", F.sum(step).over(w_running()))
+
+
+def with_weekly(s: DataFrame) -> DataFrame:
+    """weekly: events counted so far in the (ISO week, calendar year), i.e. the
+    day's running count plus the totals of the week's days before.
+
+    ``s`` should be a written table: it is read once for the totals (one row
+    per series and day) and once for the result.  The totals join on ``PART``.
+    """
+    days = s.groupBy(*PART).agg(F.max("week").alias("w"), F.max("year").alias("y"), F.max("week_step").alias("n"))
+    before = Window.partitionBy("zone_ord", "scen_ord", "case_ord", "w", "y").orderBy("date").rowsBetween(Window.unboundedPreceding, -1)
+    days = days.select(*PART, F.coalesce(F.sum("n").over(before), F.lit(0)).alias("week_before"))
+    return s.join(F.broadcast(days), list(PART)).withColumn("weekly", nullif0(F.col("week_before") + F.col("week_step"))).drop("week_before", "week_step")
+
+
+def with_constrained(s: DataFrame, outside_flag: bool) -> DataFrame:
+    """The constrained duration (NULL = not paid), given the daily and weekly counts."""
+    c = F.col
     d = c("cduration_raw")
     over_min = d >= c("min_duration")
     inside_rule = (

@@ -1,19 +1,16 @@
 """Per-series window operators: strike flags, dispatch, events, durations,
 value -- and the midnight carry.
 
-The series table is hash-partitioned once by (zone, scenario, ISO week,
-calendar year) -- ``PART``, as integer columns so that sorts compare
-primitives; the three strike cases of a tick share a
-partition, which the reports use (events are numbered by the low case).  Every window here is partitioned by ``PART`` plus more
-keys (date, quarter hour, event), so all of them run inside that one
-partitioning; the weekly event count is itself a window over ``PART``.  The
-only quantity that crosses a partition boundary is the strike flag of the
-previous tick at the first tick of a date, which comes from a one-row-per-
-series-day table (``series_day_carry``).
-
-Sort sharing: windows with equal (partition, order) specs share one sort;
-the weekly window is ordered by (date, tick order), which is the same
-physical order as the daily windows, so it needs no sort of its own.
+The series table is hash-partitioned once by (zone, scenario, case, date) --
+``PART``, as integer columns and a date, so that sorts compare primitives.
+Every window here is partitioned by ``PART`` plus more keys (quarter hour,
+event), so all of them run inside that one partitioning, and its groups grow
+in number with the days of the data.  Two quantities cross midnight: the
+strike flag of the previous tick at the first tick of a date, which comes
+from the tick summary, and the weekly event count
+(``constraints.with_weekly``).
+
+Sort sharing: windows with equal (partition, order) specs share one sort.
 """
 
 from __future__ import annotations
@@ -21,11 +18,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from strikeflow.operators.series import SERIES
-
 ORDER = ("ord_ts", "tick_id")
-# partitioning of the series table; window keys follow it with case and date
-PART = ("zone_ord", "scen_ord", "week", "year")
+# partitioning of the series table; window keys begin with it
+PART = ("zone_ord", "scen_ord", "case_ord", "date")
 RUN = (Window.unboundedPreceding, Window.currentRow)
 MIN_PER_SEC = 1.0 / 60.0
 
@@ -38,18 +33,12 @@ def partition_series(s: DataFrame, n: int) -> DataFrame:
 
 
 def w_day() -> Window:
-    return Window.partitionBy(*PART, "case_ord", "date").orderBy(*ORDER)
+    return Window.partitionBy(*PART).orderBy(*ORDER)
 
 
 def w_running(*keys: str) -> Window:
     """Running frame within (series, date, *keys), in tick order."""
-    return Window.partitionBy(*PART, "case_ord", "date", *keys).orderBy(*ORDER).rowsBetween(*RUN)
-
-
-def w_week() -> Window:
-    """Running frame within (series, ISO week, calendar year), in tick order
-    (date first: the same sort as the daily windows)."""
-    return Window.partitionBy(*PART, "case_ord").orderBy("date", *ORDER).rowsBetween(*RUN)
+    return Window.partitionBy(*PART, *keys).orderBy(*ORDER).rowsBetween(*RUN)
 
 
 def nullif0(c: Column) -> Column:
@@ -90,7 +79,7 @@ def with_durations(s: DataFrame) -> DataFrame:
         F.when((F.col("strike") == 1) & F.col("event").isNotNull(), F.lit(MIN_PER_SEC) * run_secs),
     )
     whole_event = (
-        Window.partitionBy(*PART, "case_ord", "date", "event")
+        Window.partitionBy(*PART, "event")
         .orderBy(*ORDER)
         .rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     )

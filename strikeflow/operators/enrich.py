@@ -29,9 +29,18 @@ def check_lolp_unique(lolp_distinct: DataFrame) -> None:
 
 
 def join_settlement(ticks: DataFrame, spp_wide: DataFrame) -> DataFrame:
-    """Settlement prices per quarter hour; the caller broadcasts the wide
-    settlement table when its size check passes."""
-    return ticks.join(spp_wide, list(KEYS), "left")
+    """Settlement prices per quarter hour.
+
+    The wide table is first gathered to one row per (date, hour), at most
+    eight quarter hours (four intervals, two passes), so that the join runs
+    inside the ticks' (date, hour) partitioning and only this side moves."""
+    prices = [c for c in spp_wide.columns if c not in KEYS]
+    chunks = spp_wide.groupBy("date", "hour").agg(
+        F.map_from_entries(F.collect_list(F.struct(F.struct("interval", "repeated_hour"), F.struct(*prices)))).alias("_spp")
+    )
+    found = F.try_element_at(F.col("_spp"), F.struct("interval", "repeated_hour"))
+    joined = ticks.join(chunks, ["date", "hour"], "left").withColumn("_spp", F.when(F.col("repeated_hour").isNotNull(), found))
+    return joined.select(*ticks.columns, *[F.col("_spp")[c].alias(c) for c in prices])
 
 
 def join_lolp(ticks: DataFrame, lolp_distinct: DataFrame) -> DataFrame:

@@ -31,10 +31,9 @@ def with_new_ordc(ticks: DataFrame, p: Params, zones) -> DataFrame:
     on_scarcity = F.when(olcap <= mcl, F.lit(1.0)).otherwise(
         F.lit(1.0) - normal_cdf(olcap - mcl, F.lit(0.5) * mu, F.lit(0.707) * sigma)
     )
-    capped = F.when(lam > F.lit(p.lambda_cap), F.lit(p.lambda_cap)).otherwise(lam)
     out = ticks.withColumns(
         {
-            "lambda_capped": capped,
+            "lambda_capped": lam_c,
             "new_rtoffpa": F.when(headroom > 0, F.lit(0.5) * headroom).otherwise(F.lit(0.0)) * off_scarcity,
             **{f"new_{z}": F.col(z) - (lam - lam_c) for z in zones},
         }

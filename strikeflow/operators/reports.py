@@ -58,9 +58,8 @@ def sort_value_report(r: DataFrame) -> DataFrame:
 
 def _per_tick_cases(s: DataFrame, scenario: str) -> DataFrame:
     """One row per (zone, tick): the low case's event ordinals beside the
-    rounded durations of all cases.  The grouping keys include the series
-    table's partitioning keys (zone, scenario, week, year), so this and the
-    per-event aggregate below reuse it (no shuffle)."""
+    rounded durations of all cases.  The series table is partitioned by case
+    as well, so the three rows of a tick meet in this aggregate's shuffle."""
     b = s.filter(F.col("scenario") == scenario)
     aggs = [
         F.max(F.when(F.col("strike_case") == "low", F.col("event"))).alias("ev"),
@@ -70,10 +69,10 @@ def _per_tick_cases(s: DataFrame, scenario: str) -> DataFrame:
         is_c = F.col("strike_case") == case
         aggs.append(F.max(F.when(is_c, np_round(F.col("duration"), 1))).alias(f"dur_{case}"))
         aggs.append(F.max(F.when(is_c, np_round(F.col("cduration"), 1))).alias(f"cdur_{case}"))
-    return b.groupBy("zone_ord", "scen_ord", "week", "year", "zone", "date", "month", "day", "tick_id").agg(*aggs)
+    return b.groupBy(*DAY_KEYS, "tick_id").agg(*aggs)
 
 
-DAY_KEYS = ("zone_ord", "scen_ord", "week", "year", "zone", "date", "month", "day")
+DAY_KEYS = ("zone_ord", "zone", "date", "year", "month", "day")
 
 
 def duration_report(s: DataFrame, scenario: str) -> DataFrame:
@@ -115,7 +114,18 @@ def duration_report(s: DataFrame, scenario: str) -> DataFrame:
     )
 
 
-def strike_counts(s: DataFrame, zones=("lz_north",)) -> DataFrame:
+def by_month(table: DataFrame) -> DataFrame:
+    """A table of one row per month in report direction: one row per attribute, columns m01..m12."""
+    attributes = [c for c in table.columns if c != "month"]
+    long = table.select(
+        "month",
+        F.posexplode(F.array(*[F.struct(F.lit(a).alias("attribute"), F.col(a).cast("double").alias("value")) for a in attributes])).alias("ord", "e"),
+    )
+    cells = [F.max(F.when(F.col("month") == m, F.col("e.value"))).alias(mcol(m)) for m in MONTHS]
+    return long.groupBy("ord", F.col("e.attribute").alias("attribute")).agg(*cells).orderBy("ord").drop("ord")
+
+
+def strike_counts(s: DataFrame, zones) -> DataFrame:
     """Strike ticks by (scenario, zone, case, year, hour) x month."""
     keys = ("scenario", "zone", "zone_ord", "strike_case", "case_ord", "year", "hour")
     aggs = []

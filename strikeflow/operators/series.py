@@ -4,10 +4,9 @@ The unpivot is an ``explode`` of a fixed-size array of structs, a narrow
 operator evaluated in the tick stage; the series table is then shuffled once
 (``dispatch.partition_series``).
 
-The one series quantity that crosses midnight -- the previous tick's strike
-flag at the first tick of a date -- is prepared here, from tick prices: the
-strike flag of a day's last tick is the maximum raw flag of its quarter hour
-(``prev_day_strikes``), so no second pass over the series table is needed.
+The previous tick's strike flag at the first tick of a date comes from the
+tick summary (``ticks.chunk_summary``), the weekly event count of the days
+before from a one-row-per-series-day table (``constraints.with_weekly``).
 """
 
 from __future__ import annotations
@@ -19,8 +18,6 @@ from strikeflow.functions.hours import in_windows, late_outside, outside_windows
 from strikeflow.params import Params
 
 SERIES = ("zone", "scenario", "strike_case")
-# integer stand-ins used as partition/sort keys (cheap comparisons)
-SERIES_ORD = ("zone_ord", "scen_ord", "case_ord")
 SCENARIO_PREFIX = {"base": "", "new_ordc": "new_"}
 
 # tick-level columns kept on every series row
@@ -28,7 +25,7 @@ TICK_KEEP = (
     "tick_id", "ord_ts", "date", "year", "month", "day", "week", "hour", "interval",
     "day_start", "tick_secs", "weight", "weekday_ok",
     "daily_max", "weekly_max", "min_duration", "max_duration",
-    "inside", "outside", "late_out", "entry", "prev_day_strikes",
+    "inside", "outside", "late_out", "entry", "prev_strikes", "last_month",
 )
 
 
@@ -45,12 +42,11 @@ def with_hour_rules(ticks: DataFrame, p: Params) -> DataFrame:
     )
 
 
-def valuation_strike(p: Params, last_month: Column | None) -> Column:
+def valuation_strike(p: Params) -> Column:
     """Settlement-price strike used to value a tick (needs ``case_ord``).
 
     'row_month': the tick's own month.  'last_month': the strike of the latest
-    month present anywhere in the data, for all ticks (``last_month`` is a
-    scalar subquery column, evaluated once by Spark)."""
+    month present anywhere in the data, for all ticks."""
     case_ix = F.col("case_ord") + 1
     if p.strike_basis == "row_month":
         return F.element_at(F.array(*[F.col(f"{c}_spp") for c in p.cases]), case_ix)
@@ -59,7 +55,7 @@ def valuation_strike(p: Params, last_month: Column | None) -> Column:
         table = F.array(
             *[F.array(*[F.lit(float(p.strikes_spp[m][idx[c]])) for m in range(1, 13)]) for c in p.cases]
         )
-        return F.element_at(F.element_at(table, case_ix), last_month)
+        return F.element_at(F.element_at(table, case_ix), F.col("last_month"))
     raise ValueError(f"unknown strike_basis {p.strike_basis!r}")
 
 
@@ -80,26 +76,9 @@ def raw_strike(price: Column, k_lmp: Column) -> Column:
     return F.when(price > k_lmp, F.lit(1)).otherwise(F.lit(0))
 
 
-def prev_day_strikes(ticks: DataFrame, p: Params) -> DataFrame:
-    """(date, prev_day_strikes): array (in ``series_list`` order) of each
-    series' strike flag at the last tick of the previous date present; NULL
-    for the first date.
-
-    Needs only tick prices and strikes (no windows), so it runs on the
-    unshuffled tick table and aggregates map-side: one row per quarter hour
-    (the maximum raw flag per series = the sticky flag of its last tick),
-    then one row per day (the day's last quarter hour), then a lag over days.
-    """
-    from pyspark.sql import Window
-
-    o = F.struct("ord_ts", "tick_id")
-    specs = series_list(p)
-    qh = ticks.groupBy("date", "hour", "interval").agg(
-        F.max(o).alias("last"),
-        F.array(*[F.max(raw_strike(F.col(pc), F.col(kc))) for *_, pc, _, kc in specs]).alias("qh_strikes"),
-    )
-    days = qh.groupBy("date").agg(F.max_by("qh_strikes", "last").alias("last_strikes"))
-    return days.select("date", F.lag("last_strikes").over(Window.orderBy("date")).alias("prev_day_strikes"))
+def strike_flags(p: Params) -> list[Column]:
+    """Each series' raw strike flag of a tick, in ``series_list`` order."""
+    return [raw_strike(F.col(pc), F.col(kc)) for *_, pc, _, kc in series_list(p)]
 
 
 def with_series_names(s: DataFrame, p: Params) -> DataFrame:
@@ -117,11 +96,13 @@ def with_series_names(s: DataFrame, p: Params) -> DataFrame:
     )
 
 
-def to_series(ticks: DataFrame, p: Params, last_month: Column | None) -> DataFrame:
-    """One row per tick and series, keyed by integer ordinals (names are added
-    later by ``with_series_names``)."""
+def to_series(ticks: DataFrame, p: Params, zones=None, scenarios=None) -> DataFrame:
+    """One row per tick and wanted series (all by default), keyed by integer
+    ordinals (names are added later by ``with_series_names``)."""
     entries = []
     for i, (z, zi, scen, si, case, ci, pc, sc, kc) in enumerate(series_list(p)):
+        if (zones and z not in zones) or (scenarios and scen not in scenarios):
+            continue
         entries.append(
             F.struct(
                 F.lit(zi).alias("zone_ord"),
@@ -130,11 +111,11 @@ def to_series(ticks: DataFrame, p: Params, last_month: Column | None) -> DataFra
                 F.col(pc).alias("price"),
                 F.col(sc).alias("spp"),
                 F.col(kc).alias("k_lmp"),
-                F.element_at(F.col("prev_day_strikes"), i + 1).alias("prev_day_strike"),
+                F.element_at(F.col("prev_strikes"), i + 1).alias("prev_day_strike"),
             )
         )
     keep = list(TICK_KEEP) + ([f"{c}_spp" for c in p.cases] if p.strike_basis == "row_month" else [])
     exploded = ticks.select(*keep, F.explode(F.array(*entries)).alias("s")).select(*keep, "s.*")
-    return exploded.withColumn("k_spp", valuation_strike(p, last_month)).drop(
-        "prev_day_strikes", *[f"{c}_spp" for c in p.cases if p.strike_basis == "row_month"]
+    return exploded.withColumn("k_spp", valuation_strike(p)).drop(
+        "prev_strikes", "last_month", *[f"{c}_spp" for c in p.cases if p.strike_basis == "row_month"]
     )

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strikeflow.params import POINT_TYPES, POINTS
@@ -10,6 +10,13 @@ from strikeflow.params import POINT_TYPES, POINTS
 KEYS = ("date", "hour", "interval", "repeated_hour")
 
 
+def _delivery_date() -> Column:
+    """The delivery date; a text that is no MM/dd/yyyy date raises when it is read."""
+    text = F.col("delivery_date")
+    date = F.try_to_timestamp(text, F.lit("MM/dd/yyyy")).cast("date")
+    return F.when(date.isNull(), F.raise_error(F.concat(F.lit("not a settlement date (MM/dd/yyyy): "), text)).cast("date")).otherwise(date)
+
+
 def shape_settlement(spp: DataFrame, points: dict = POINTS, types=POINT_TYPES) -> DataFrame:
     """Mean price per (date, hour-beginning, interval, repeated flag) and point.
 
@@ -26,7 +33,7 @@ def shape_settlement(spp: DataFrame, points: dict = POINTS, types=POINT_TYPES) -
         & F.col("delivery_interval").isNotNull()
         & F.col("repeated_hour").isNotNull()
     ).select(
-        F.try_to_timestamp(F.col("delivery_date"), F.lit("MM/dd/yyyy")).cast("date").alias("date"),
+        _delivery_date().alias("date"),
         (F.col("delivery_hour") - 1).cast("int").alias("hour"),
         F.col("delivery_interval").cast("int").alias("interval"),
         "repeated_hour",
@@ -43,4 +50,4 @@ def shape_settlement(spp: DataFrame, points: dict = POINTS, types=POINT_TYPES) -
     any_value = F.lit(False)
     for c in value_cols:
         any_value = any_value | F.col(c).isNotNull()
-    return named.filter(F.col("date").isNotNull() & any_value)
+    return named.filter(any_value)

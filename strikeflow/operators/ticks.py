@@ -4,14 +4,14 @@ Partitioning: the tick table is hash-partitioned by (date, hour) once
 (``partition_by_chunk``); every tick-level window below is partitioned by
 (date, hour) or (date, hour, interval), so none of them adds a shuffle and a
 busy day still splits 24 ways.  What crosses an hour boundary (next tick's
-timestamp, previous tick's hour and date) comes from a per-hour summary: at
-most 24 rows per calendar day, a size bounded by the date range, joined back
-as a broadcast.
+timestamp, previous tick's hour, date and strike flags) comes from a per-hour
+summary of at most 24 rows per calendar day, joined on (date, hour): the tick
+side is partitioned by these keys already, so only the summary moves.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strikeflow.functions.calendar import calendar_columns, order_key
@@ -37,23 +37,43 @@ def partition_by_chunk(df: DataFrame, n: int) -> DataFrame:
     return df.repartition(n, *CHUNK)
 
 
-def chunk_carry(ticks: DataFrame) -> DataFrame:
-    """Per (date, hour): first timestamp of the next hour present, and the
-    hour and date of the previous hour present.  The un-partitioned window
-    runs over this small table only (<= 24 rows per day)."""
-    o = F.struct(*ORDER)
-    chunks = ticks.groupBy(*CHUNK).agg(F.min_by("ts", o).alias("first_ts"))
+def chunk_summary(ticks: DataFrame, p: Params, flags: list[Column]) -> DataFrame:
+    """Per (date, hour), what its ticks need from the hours around it: the
+    first timestamp of the next hour present, hour and date of the previous
+    one, its last tick's strike flags (``prev_strikes``, one per entry of
+    ``flags``), and the latest month of all ticks.
+
+    ``flags`` are each series' raw strike flag of a tick.  A quarter hour's
+    maximum is the sticky flag of its last tick, so one map-side hash
+    aggregate of primitive values per quarter hour reads the unshuffled
+    ticks; ties and order are settled on its result.  The un-partitioned
+    window runs over at most 24 rows per calendar day.
+    """
+    first_pass = F.when(~F.coalesce(F.col("repeated_hour") == p.repeated_flag, F.lit(False)), F.col("ts"))
+    names = [f"s{i}" for i in range(len(flags))]
+    quarters = ticks.groupBy(*CHUNK, "interval").agg(
+        F.min(first_pass).alias("first_pass"),
+        F.min("ts").alias("first_any"),
+        F.max("ord_ts").alias("last"),
+        *[F.max(f).alias(n) for f, n in zip(flags, names)],
+    )
+    chunks = quarters.groupBy(*CHUNK).agg(
+        F.coalesce(F.min("first_pass"), F.min("first_any")).alias("first_ts"),
+        F.max_by(F.array(*names), "last").alias("strikes"),
+    )
     w = Window.orderBy(*CHUNK)
     return chunks.select(
         *CHUNK,
         F.lead("first_ts").over(w).alias("next_chunk_first_ts"),
         F.lag("hour").over(w).alias("prev_chunk_hour"),
         F.lag("date").over(w).alias("prev_chunk_date"),
+        F.lag("strikes").over(w).alias("prev_strikes"),
+        F.max(F.month("date")).over(Window.partitionBy()).alias("last_month"),
     )
 
 
 def with_tick_seconds_joined(ticks: DataFrame) -> DataFrame:
-    """Given ticks joined with ``chunk_carry``: tick_secs (local-clock seconds
+    """Given ticks joined with ``chunk_summary``: tick_secs (local-clock seconds
     to the next tick; the very last tick runs to the end of its hour),
     day_start (first tick of its date) and prev_hour (previous tick's hour)."""
     w = Window.partitionBy(*CHUNK).orderBy(*ORDER)

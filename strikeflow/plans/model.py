@@ -1,26 +1,26 @@
-"""The dispatch-valuation pipeline as one lazy DataFrame plan.
+"""The dispatch-valuation pipeline.
 
 Physical shape (see README "Plan"):
 
 1. ticks are hash-partitioned by (date, hour) once; tick-level windows (tick
    length, quarter-hour weights, re-priced quarter-hour price) run inside it;
-   what crosses an hour comes from a per-hour summary (<= 24 rows per day);
-2. the settlement pivot (<= ~100 rows per day) and the parameter tables are
-   broadcast after a size check (shuffle join beyond it);
-3. the explode to series rows is narrow; the series table is then shuffled
-   once by (series, ISO week, year), and every series window (quarter hour,
-   day, event, week) runs inside that partitioning;
-4. the previous day's last strike flag of every series is prepared at tick
-   level (one row per day, broadcast after a size check), so the series
-   table is read once;
-5. reports are partial/final aggregates of small width.
+   what crosses an hour comes from one per-hour summary (<= 24 rows per day)
+   that joins on the same keys, as the settlement prices do; the parameter
+   tables (4 and 12 rows) are broadcast;
+2. the explode to the wanted series is narrow; the series table is then
+   shuffled once by (zone, scenario, case, date), and every series window
+   (quarter hour, day, event) runs inside that partitioning;
+3. the weekly event count needs the totals of other days: the series-day
+   table is written to the shared folder once, and its totals (one row per
+   series and day) join back;
+4. reports are partial/final aggregates of small width.
 """
 
 from __future__ import annotations
 
 from functools import cached_property
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strikeflow.operators import constraints as C
@@ -32,11 +32,9 @@ from strikeflow.operators import series as S
 from strikeflow.operators import ticks as TK
 from strikeflow.operators.settlement import shape_settlement
 from strikeflow.params import SCENARIOS, Params, constraint_table, strike_table
+from strikeflow.session import stage
 from strikeflow.sources.fixtures import load_fixture
 
-# broadcast limit for the per-day / per-series-day summary tables
-MAX_BROADCAST_ROWS = 1_000_000
-
 
 class DispatchModel:
     def __init__(
@@ -45,8 +43,6 @@ class DispatchModel:
         settlement: DataFrame,
         lolp: DataFrame,
         params: Params | None = None,
-        check_lolp: bool = True,
-        max_broadcast_rows: int = MAX_BROADCAST_ROWS,
         partitions: int | None = None,
     ):
         self.spark: SparkSession = ticks.sparkSession
@@ -54,35 +50,20 @@ class DispatchModel:
         self.settlement = settlement
         self.lolp = E.distinct_lolp(lolp)
         self.p = params or Params()
-        self.max_broadcast_rows = max_broadcast_rows
         self.partitions = partitions
-        if check_lolp:
-            E.check_lolp_unique(self.lolp)
+        E.check_lolp_unique(self.lolp)
 
     @classmethod
     def from_fixture(cls, spark: SparkSession, sf_dir: str, params: Params | None = None, **kw) -> "DispatchModel":
         ticks, spp, lolp = load_fixture(spark, sf_dir)
         return cls(ticks, spp, lolp, params, **kw)
 
-    # -- size checks -------------------------------------------------------
-    @cached_property
-    def n_days(self) -> int:
-        """Distinct tick dates (a scan of the timestamp column only)."""
-        return self.raw_ticks.select(F.to_date("ts").alias("d")).distinct().count()
-
-    def _small(self, df: DataFrame, rows: int) -> DataFrame:
-        return F.broadcast(df) if rows <= self.max_broadcast_rows else df
-
     @property
     def n_partitions(self) -> int:
         """Partitions of the tick and series shuffles (``spark.sql.shuffle.partitions``
         unless given)."""
         return self.partitions or int(self.spark.conf.get("spark.sql.shuffle.partitions"))
 
-    @property
-    def n_series(self) -> int:
-        return len(self.p.zones) * len(SCENARIOS) * len(self.p.cases)
-
     # -- tick table --------------------------------------------------------
     @cached_property
     def calendar_ticks(self) -> DataFrame:
@@ -92,19 +73,26 @@ class DispatchModel:
     def settlement_wide(self) -> DataFrame:
         return shape_settlement(self.settlement)
 
+    @cached_property
+    def chunk_summary(self) -> DataFrame:
+        """One row per (date, hour), from the unshuffled ticks: prices need
+        only the parameter tables, the aggregate is map-side."""
+        t = E.join_lolp(self.calendar_ticks, self.lolp)
+        t = t.join(F.broadcast(strike_table(self.spark, self.p)), "month", "left")
+        t = P.with_new_ordc(P.with_base_price(t, self.p.zones), self.p, self.p.zones)
+        return TK.chunk_summary(t, self.p, S.strike_flags(self.p))
+
     @cached_property
     def timed_ticks(self) -> DataFrame:
         """Calendar + tick_secs/day_start/prev_hour + interval weights, hash(date, hour)."""
         t = TK.partition_by_chunk(self.calendar_ticks, self.n_partitions)
-        carry = TK.chunk_carry(self.calendar_ticks)
-        t = t.join(self._small(carry, 24 * self.n_days), list(TK.CHUNK), "left")
+        t = t.join(self.chunk_summary, list(TK.CHUNK), "left")
         t = TK.with_tick_seconds_joined(t)
         return TK.with_interval_seconds(t)
 
     @cached_property
     def enriched_ticks(self) -> DataFrame:
-        # settlement: at most ~100 quarter-hour rows per day
-        t = E.join_settlement(self.timed_ticks, self._small(self.settlement_wide, 100 * self.n_days))
+        t = E.join_settlement(self.timed_ticks, self.settlement_wide)
         t = E.join_lolp(t, self.lolp)
         return E.join_month_params(t, strike_table(self.spark, self.p), constraint_table(self.spark, self.p))
 
@@ -115,40 +103,32 @@ class DispatchModel:
         t = P.with_new_ordc_spp(t, self.p.zones)
         return S.with_hour_rules(t, self.p)
 
-    @cached_property
-    def carried_ticks(self) -> DataFrame:
-        """Priced ticks plus each series' strike flag at the previous day's end.
-
-        The carry is computed from the unshuffled ticks (prices need only
-        broadcast joins) and pre-aggregated before its small shuffle."""
-        t = E.join_lolp(self.calendar_ticks, self.lolp)
-        t = E.join_month_params(t, strike_table(self.spark, self.p), constraint_table(self.spark, self.p))
-        t = P.with_new_ordc(P.with_base_price(t, self.p.zones), self.p, self.p.zones)
-        carry = S.prev_day_strikes(t, self.p)
-        return self.priced_ticks.join(self._small(carry, self.n_days), "date", "left")
-
-    def last_month(self) -> Column:
-        """Latest month present in the data, as a scalar-subquery column."""
-        return self.raw_ticks.select(F.max(F.month("ts"))).scalar()
-
     # -- series table ------------------------------------------------------
-    @cached_property
-    def series(self) -> DataFrame:
-        s = S.to_series(self.carried_ticks, self.p, self.last_month())
+    def series_days(self, zones=None, scenarios=None) -> DataFrame:
+        """All that a series' own day decides: strikes, dispatch, events,
+        durations, values, constrained events and their daily count; for the
+        given zones and scenarios (default: all)."""
+        s = S.to_series(self.priced_ticks, self.p, zones, scenarios)
         s = D.partition_series(s, self.n_partitions)
         s = D.with_strike(s)  # quarter-hour sort
         s = D.with_dispatch(s)  # daily sort
         s = C.with_constrained_events(s, self.p.dispatch_outside)  # daily sort (shared)
         s = D.with_durations(s)  # event sort
-        s = C.with_constrained(s, self.p.dispatch_outside)  # constrained-event sort, daily/weekly sort
-        s = s.withColumns(
-            {
-                "value": D.tick_value(self.p.capture_pct),
-                "cvalue": D.tick_value(self.p.capture_pct, constrained=True),
-            }
-        )
+        s = C.with_daily(s)  # constrained-event sort, daily sort
+        s = s.withColumn("value", D.tick_value(self.p.capture_pct))
         return S.with_series_names(s, self.p)
 
+    @cached_property
+    def staged_days(self) -> DataFrame:
+        """``series_days`` of all series, written once to the shared folder."""
+        return stage(self.series_days(), "series-days")
+
+    @cached_property
+    def series(self) -> DataFrame:
+        """The series table with the weekly caps, constrained durations and values."""
+        s = C.with_constrained(C.with_weekly(self.staged_days), self.p.dispatch_outside)
+        return s.withColumn("cvalue", D.tick_value(self.p.capture_pct, constrained=True))
+
     # -- reports -----------------------------------------------------------
     def monthly_value(self) -> DataFrame:
         return R.monthly_value(self.series)
@@ -157,40 +137,18 @@ class DispatchModel:
         return R.duration_report(self.series, scenario)
 
     def strike_counts(self, zones=("lz_north",)) -> DataFrame:
-        return R.strike_counts(self.series, zones)
-
-    REPORT_COLUMNS = (
-        "zone", "zone_ord", "scenario", "scen_ord", "strike_case", "case_ord", "week", "year", "date",
-        "month", "day", "hour", "tick_id", "strike", "event", "cevent", "duration", "cduration",
-        "value", "cvalue",
-    )
-
-    def materialized_series(self, mode: str = "checkpoint") -> DataFrame:
-        """The series table, cut to the report columns and computed once.
-
-        'checkpoint': written to the cluster's checkpoint folder
-        (``spark.checkpoint.dir``), which cuts the lineage -- lost executors
-        do not recompute the windows.  'persist': memory and local disk
-        (recomputed from lineage if an executor is lost)."""
-        from pyspark import StorageLevel
-
-        from strikeflow.session import checkpoint_dir
-
-        s = self.series.select(*self.REPORT_COLUMNS)
-        if mode == "checkpoint":
-            checkpoint_dir(self.spark)
-            return s.checkpoint(eager=True)
-        if mode == "persist":
-            return s.persist(StorageLevel.MEMORY_AND_DISK)
-        if mode == "none":
-            return s
-        raise ValueError(f"unknown materialize mode {mode!r}")
-
-    def reports(self, materialize: str = "checkpoint") -> dict[str, DataFrame]:
-        """All report tables of one run, keyed by sink name; the series table
-        is computed once for all of them (see ``materialized_series``)."""
-        s = self.materialized_series(materialize)
-        mv = R.monthly_value(s)
+        """Strike counts of the given zones; only their series are made."""
+        return R.strike_counts(self.series_days(zones=zones), zones)
+
+    def reports(self, strike_zones=None) -> dict[str, DataFrame]:
+        """All report tables of one run, keyed by sink name.
+
+        The series table is written once (``staged_days``), the monthly values
+        are aggregated once and written too; nine reports read them.
+        ``strike_zones``: zones of the strike counts, by default all of
+        ``Params.zones``."""
+        s = self.series
+        mv = stage(R.monthly_value(s), "monthly-value")
         out = {}
         for scen in SCENARIOS:
             for con in (False, True):
@@ -200,7 +158,8 @@ class DispatchModel:
                 )
         out["duration"] = R.duration_report(s, "base").orderBy("zone_ord", "year", "month", "day", "event")
         out["duration_new_ordc"] = R.duration_report(s, "new_ordc").orderBy("zone_ord", "year", "month", "day", "event")
-        out["strike_counts"] = R.strike_counts(s).orderBy("scenario", "case_ord", "year", "hour")
-        out["strikes"] = strike_table(self.spark, self.p)
-        out["constraints"] = constraint_table(self.spark, self.p)
+        counts = R.strike_counts(self.staged_days, tuple(strike_zones or self.p.zones))
+        out["strike_counts"] = counts.orderBy("scenario", "zone_ord", "case_ord", "year", "hour")
+        out["strikes"] = R.by_month(strike_table(self.spark, self.p))
+        out["constraints"] = R.by_month(constraint_table(self.spark, self.p))
         return out

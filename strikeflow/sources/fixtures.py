@@ -46,14 +46,25 @@ LOLP_ROWS = (
 )
 BLOCK_DAYS = 3
 BLOCK_SHIFT_DAYS = 70
+# one block is moved on to the days around the end of daylight saving time,
+# whose hour 1 comes twice; odd k are ticks of its second pass
+AUTUMN_BLOCK, AUTUMN_SHIFT_DAYS = 4, 14
+REPEATED_HOUR = "2024-11-03 01:00:00"
 SKIP_MODULUS = 29
 
 
 def _shifted_ts(ts: Column) -> Column:
-    """Whole seconds, and every block of three source days moved 70 days on."""
+    """Whole seconds, every block of three source days moved 70 days on, and one to the autumn's clock change."""
     base = F.date_trunc("second", ts).cast("timestamp_ntz")
-    shift = (F.floor((F.dayofmonth(ts) - 1) / BLOCK_DAYS) * BLOCK_SHIFT_DAYS).cast("int")
-    return base + F.make_dt_interval(days=shift)
+    block = F.floor((F.dayofmonth(ts) - 1) / BLOCK_DAYS)
+    shift = block * BLOCK_SHIFT_DAYS + F.when(block == AUTUMN_BLOCK, AUTUMN_SHIFT_DAYS).otherwise(0)
+    return base + F.make_dt_interval(days=shift.cast("int"))
+
+
+def _repeated(ts: Column, k: Column) -> Column:
+    """'Y' for the second pass of the repeated hour, else 'N'."""
+    start = F.lit(REPEATED_HOUR).cast("timestamp_ntz")
+    return F.when((F.date_trunc("hour", ts).cast("timestamp_ntz") == start) & (k % 2 == 1), F.lit("Y")).otherwise(F.lit("N"))
 
 
 def _k(props: Column) -> Column:
@@ -66,7 +77,7 @@ def ticks_from_events(events: DataFrame) -> DataFrame:
     cols = {
         "tick_id": F.col("event_id"),
         "ts": _shifted_ts(F.col("ts")),
-        "repeated_hour": F.lit("N"),
+        "repeated_hour": _repeated(_shifted_ts(F.col("ts")), k),
         **{z: (F.lit(2.0) * v) * F.lit(f) for z, f in ZONE_FACTORS.items()},
         "system_lambda": F.lit(40.0) * v,
         "rtorpa": k / F.lit(10.0),
@@ -83,11 +94,12 @@ def ticks_from_events(events: DataFrame) -> DataFrame:
 def settlement_from_events(events: DataFrame) -> DataFrame:
     """One settlement row per event and point, in two yearly parts (unioned)."""
     ts = _shifted_ts(F.col("ts"))
-    base = events.select(ts.alias("t"), F.col("value").alias("v")).select(
+    base = events.select(ts.alias("t"), F.col("value").alias("v"), _k(F.col("props")).alias("k")).select(
         F.date_format("t", "MM/dd/yyyy").alias("delivery_date"),
         F.year("t").alias("year"),
         F.hour("t").alias("h"),
         quarter_hour(F.minute("t")).alias("delivery_interval"),
+        _repeated(F.col("t"), F.col("k")).alias("repeated_hour"),
         "v",
     ).filter(((F.col("h") * 4 + F.col("delivery_interval")) % SKIP_MODULUS) != 0)
     points = F.explode(
@@ -103,7 +115,7 @@ def settlement_from_events(events: DataFrame) -> DataFrame:
         "year",
         (F.col("h") + 1).alias("delivery_hour"),
         "delivery_interval",
-        F.lit("N").alias("repeated_hour"),
+        "repeated_hour",
         "p.point_name",
         "p.point_type",
         ((F.lit(2.5) * F.col("v")) * F.col("p.f")).alias("price"),

@@ -1,41 +1,96 @@
 """Typed readers for the three market inputs (Parquet or CSV, any Spark source).
 
-The settlement history usually arrives as one file per year; pass all of them
-and Spark reads them as one relation (a union by name).
+The inputs may name their columns as the market operator's files do
+(``TICK_NAMES`` and so on) or as this package does; a column that is neither
+is ignored, a missing one raises.  The settlement history usually arrives as
+one file per year; pass all of them and Spark reads them as one relation.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from strikeflow import schemas
 
+# Column names of the operator's files, by the names used here.
+TICK_NAMES = {
+    "ts": "SCEDTimestamp", "repeated_hour": "RepeatedHourFlag", "hb_north": "HB_NORTH", "lz_north": "LZ_NORTH",
+    "lz_houston": "LZ_HOUSTON", "lz_south": "LZ_SOUTH", "lz_west": "LZ_WEST", "system_lambda": "System Lamda",
+    "rtorpa": "RTORPA", "rtoffpa": "RTOFFPA", "rtordpa": "RTORDPA", "rtolcap": "RTOLCAP", "rtoffcap": "RTOFFCAP",
+}
+SETTLEMENT_NAMES = {
+    "delivery_date": "Delivery Date", "delivery_hour": "Delivery Hour", "delivery_interval": "Delivery Interval",
+    "repeated_hour": "Repeated Hour Flag", "point_name": "Settlement Point Name", "point_type": "Settlement Point Type",
+    "price": "Settlement Point Price",
+}
+LOLP_NAMES = {
+    "season": "Season", "start_date": "Start Date", "end_date": "End Date", "start_hour": "Start Hour", "end_hour": "End Hour",
+    "lolp_mu": "Average + (0.5 * Stand Deviation)", "lolp_sigma": "Standard Deviation",
+}
+#: Settlement and season columns that may be missing: the season's dates are never used.
+OPTIONAL = frozenset(("start_date", "end_date", "start_hour", "end_hour"))
+TS_FORMATS = ("yyyy-MM-dd HH:mm:ss", "MM/dd/yyyy HH:mm:ss", "MM/dd/yyyy HH:mm", "yyyy-MM-dd'T'HH:mm:ss")
 
-def _reader(spark: SparkSession, schema, fmt: str, options: dict | None):
-    r = spark.read.schema(schema).format(fmt)
+
+class MissingColumnsError(ValueError):
+    pass
+
+
+def _load(spark: SparkSession, paths, fmt: str, options: dict | None) -> DataFrame:
+    r = spark.read.format(fmt)
     if fmt == "csv":
         r = r.option("header", "true")
-    for k, v in (options or {}).items():
-        r = r.option(k, v)
-    return r
+    return r.options(**(options or {})).load(paths)
+
+
+def _timestamp(c: Column) -> Column:
+    """Local wall clock from text in any of TS_FORMATS; other texts raise when they are read."""
+    parsed = F.coalesce(*[F.try_to_timestamp(c, F.lit(f)).cast("timestamp_ntz") for f in TS_FORMATS])
+    bad = F.raise_error(F.concat(F.lit("not a timestamp: "), c)).cast("timestamp_ntz")
+    return F.when(c.isNotNull() & parsed.isNull(), bad).otherwise(parsed)
+
+
+def _typed(df: DataFrame, schema: T.StructType, names: Mapping[str, str], columns: Mapping[str, str] | None) -> DataFrame:
+    """``df`` cut to ``schema``; ``columns`` maps this package's names to the file's where they differ from both."""
+    out, missing = [], []
+    for field in schema.fields:
+        given = [n for n in ((columns or {}).get(field.name), field.name, names.get(field.name)) if n in df.columns]
+        if given:
+            c = F.col(f"`{given[0]}`")
+            text = isinstance(df.schema[given[0]].dataType, T.StringType)
+            c = _timestamp(c) if text and isinstance(field.dataType, T.TimestampNTZType) else c.cast(field.dataType)
+            out.append(c.alias(field.name))
+        elif field.name in OPTIONAL:
+            out.append(F.lit(None).cast(field.dataType).alias(field.name))
+        elif field.name != "tick_id":
+            missing.append(names[field.name])
+    if missing:
+        raise MissingColumnsError(f"no column {', '.join(missing)} among {', '.join(df.columns)}")
+    return df.select(*out)
+
 
+def read_ticks(spark: SparkSession, path: str, fmt: str = "parquet", options: dict | None = None, columns: Mapping[str, str] | None = None) -> DataFrame:
+    """Real-time price ticks, cut to the columns the model uses.
 
-def read_ticks(spark: SparkSession, path: str, fmt: str = "parquet", options: dict | None = None) -> DataFrame:
-    """Real-time price ticks, cut to the columns the model uses."""
-    return _reader(spark, schemas.TICK, fmt, options).load(path).select(*schemas.TICK_COLUMNS)
+    ``tick_id`` only settles the order of ticks of the same instant.  Where the
+    files have none, it is a number that rises with the position in the files
+    as Spark reads them (``monotonically_increasing_id``)."""
+    df = _typed(_load(spark, path, fmt, options), schemas.TICK, TICK_NAMES, columns)
+    if "tick_id" not in df.columns:
+        df = df.withColumn("tick_id", F.monotonically_increasing_id())
+    return df.select(*schemas.TICK_COLUMNS)
 
 
-def read_settlement(
-    spark: SparkSession, paths: Sequence[str] | str, fmt: str = "parquet", options: dict | None = None
-) -> DataFrame:
+def read_settlement(spark: SparkSession, paths: Sequence[str] | str, fmt: str = "parquet", options: dict | None = None, columns: Mapping[str, str] | None = None) -> DataFrame:
     """Quarter-hour settlement prices (long: one row per point), all years."""
-    if isinstance(paths, str):
-        paths = [paths]
-    return _reader(spark, schemas.SETTLEMENT, fmt, options).load(list(paths))
+    paths = [paths] if isinstance(paths, str) else list(paths)
+    return _typed(_load(spark, paths, fmt, options), schemas.SETTLEMENT, SETTLEMENT_NAMES, columns)
 
 
-def read_lolp(spark: SparkSession, path: str, fmt: str = "parquet", options: dict | None = None) -> DataFrame:
+def read_lolp(spark: SparkSession, path: str, fmt: str = "parquet", options: dict | None = None, columns: Mapping[str, str] | None = None) -> DataFrame:
     """Seasonal loss-of-load parameters."""
-    return _reader(spark, schemas.LOLP, fmt, options).load(path)
+    return _typed(_load(spark, path, fmt, options), schemas.LOLP, LOLP_NAMES, columns)

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+#: Reports of a dozen rows, written as one file.
+SMALL = ("strikes", "constraints")
+
 
 def _blank_nulls(df: DataFrame) -> DataFrame:
     """Missing values shown as '' (text output only; typed outputs keep NULL)."""
@@ -14,10 +17,12 @@ def _blank_nulls(df: DataFrame) -> DataFrame:
 def write_reports(reports: dict[str, DataFrame], out_dir: str, fmt: str = "parquet", mode: str = "overwrite") -> None:
     """Write ``{name: DataFrame}`` to ``{out_dir}/{name}`` (Parquet or CSV).
 
-    """
+    A report's rows are in order within its files and from file to file."""
     for name, df in reports.items():
         path = f"{out_dir}/{name}"
+        df = df.coalesce(1) if name in SMALL else df
         if fmt == "csv":
-            _blank_nulls(df).write.mode(mode).option("header", "true").csv(path)
+            # '' and not the writer's default "" for empty values, so that they read back as missing
+            _blank_nulls(df).write.mode(mode).option("header", "true").option("emptyValue", "").csv(path)
         else:
             df.write.mode(mode).parquet(path)

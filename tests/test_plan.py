@@ -1,8 +1,11 @@
-"""Plan shape: no Python in the plan, one shuffle of the series table."""
+"""Plan shape: no Python in the plan, one shuffle of the series table, keyed by date."""
 
 import re
 
+from pyspark.sql import functions as F
+
 from strikeflow.plans.model import DispatchModel
+from strikeflow.sources.fixtures import load_fixture
 from tests.conftest import SF_SMALL
 
 
@@ -17,15 +20,15 @@ def test_no_python_udfs(spark):
 
 def test_single_series_exchange(spark):
     m = DispatchModel.from_fixture(spark, SF_SMALL)
-    plan = _plan(m.series)
-    series_exchanges = re.findall(r"Exchange hashpartitioning\(zone_ord", plan)
-    assert len(series_exchanges) == 1
+    plan = _plan(m.series_days())
+    series_exchanges = re.findall(r"Exchange hashpartitioning\(zone_ord#\d+, scen_ord#\d+, case_ord#\d+, date#\d+, \d+\)", plan)
+    assert len(series_exchanges) == 1 == len(re.findall(r"Exchange hashpartitioning\(zone_ord", plan))
     tick_exchanges = re.findall(r"Exchange hashpartitioning\(date#\d+, hour#\d+, \d+\), REPARTITION", plan)
     assert len(tick_exchanges) == 1
 
 
 def test_window_sorts_shared(spark):
-    plan = _plan(DispatchModel.from_fixture(spark, SF_SMALL).series)
+    plan = _plan(DispatchModel.from_fixture(spark, SF_SMALL).series_days())
     above = plan[: plan.index("Exchange hashpartitioning(zone_ord")]
     assert len(re.findall(r"\bWindow \[", above)) == 9
     assert len(re.findall(r"\bSort \[", above)) == 5
@@ -37,3 +40,33 @@ def test_columns_pruned_at_scan(spark):
     assert schemas
     for s in schemas:
         assert "user_id" not in s and "event_type" not in s
+
+
+def _scans(df) -> int:
+    return len(re.findall(r"FileScan parquet", _plan(df)))
+
+
+def test_ticks_are_read_twice(spark):
+    """Once for the per-hour summary, once for the tick table; nothing else reads them."""
+    ticks, spp, lolp = load_fixture(spark, SF_SMALL)
+    settled = spark.createDataFrame([], spp.schema)
+    assert _scans(DispatchModel(ticks, settled, lolp).series_days()) == 2
+
+
+def test_summary_hashes_the_raw_ticks(spark):
+    plan = _plan(DispatchModel.from_fixture(spark, SF_SMALL).chunk_summary)
+    first = plan.rindex("Exchange hashpartitioning(date#")
+    assert "SortAggregate" not in plan[first:] and "HashAggregate" in plan[first:]
+
+
+def test_building_a_model_reads_no_ticks(spark):
+    """Only the seasons are looked at before a query runs."""
+    ticks, spp, lolp = load_fixture(spark, "/root/testdata/sf0.001")
+    broken = ticks.withColumn("ts", F.raise_error(F.lit("read")).cast("timestamp_ntz"))
+    DispatchModel(broken, spp, lolp).series_days()
+
+
+def test_strike_counts_make_the_wanted_zones_only(spark):
+    plan = _plan(DispatchModel.from_fixture(spark, SF_SMALL).strike_counts(("lz_west",)))
+    generate = [line for line in plan.splitlines() if "Generate explode(" in line]
+    assert generate and all(line.count("price") <= 2 * 6 for line in generate if "zone_ord" in line)
