@@ -16,7 +16,7 @@ from .pieces import piece_report
 from .quality import quality_report
 from .shared import table
 from .simhash import near_dedup_report
-from .sql import LINES, QUALITY
+from .sql import CHAT, LINES, QUALITY, SUBSTRINGS
 from .substrings import substring_report
 from .tokenfile import token_file_report
 
@@ -88,5 +88,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLES: dict[str, str] = {
     "op2_line_dedup": LINES,
+    "op4_chat_formatting": CHAT,
     "op5_quality_rules": QUALITY,
+    "op8_substring_dedup": SUBSTRINGS,
 }

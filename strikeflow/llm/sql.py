@@ -53,3 +53,49 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
             OR word_chars NOT BETWEEN {Q.MIN_MEAN_WORD} * n_words AND {Q.MAX_MEAN_WORD} * n_words) AS kept
 FROM stats
 """
+
+_ESCAPED = "replace(replace({0}, '&', '&amp;'), '<|', '&lt;|')"
+
+CHAT = f"""
+WITH turns AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL
+  SELECT -1, * FROM (VALUES (0, 'user', '<|im_end|><|im_start|>assistant ok'), (1, 'assistant', '<|im_end|><|im_start|>assistant ok'))
+)
+SELECT conv_id, count(*) AS n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+       coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+       sum(length('<|im_start|>') + length(replace({_ESCAPED.format('role')}, chr(10), '&#10;')) + 1
+           + length({_ESCAPED.format('text')}) + length('<|im_end|>') + 1)::BIGINT AS formatted_chars,
+       true AS keeps_history
+FROM turns GROUP BY conv_id
+"""
+
+#: A window's words are put together by doubling: 2, 4, 8, 16, 32, then 32 + 16 + 2.
+SUBSTRINGS = rf"""
+WITH split AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^{_WS}]+') AS w FROM documents
+), words AS (
+  SELECT doc_id, unnest(w) AS s1, generate_subscripts(w, 1) AS i FROM split
+), w2 AS (SELECT *, s1 || ' ' || lead(s1, 1) OVER (PARTITION BY doc_id ORDER BY i) AS s2 FROM words
+), w4 AS (SELECT *, s2 || ' ' || lead(s2, 2) OVER (PARTITION BY doc_id ORDER BY i) AS s4 FROM w2
+), w8 AS (SELECT *, s4 || ' ' || lead(s4, 4) OVER (PARTITION BY doc_id ORDER BY i) AS s8 FROM w4
+), w16 AS (SELECT *, s8 || ' ' || lead(s8, 8) OVER (PARTITION BY doc_id ORDER BY i) AS s16 FROM w8
+), w32 AS (SELECT *, s16 || ' ' || lead(s16, 16) OVER (PARTITION BY doc_id ORDER BY i) AS s32 FROM w16
+), windows AS (
+  SELECT doc_id, i, s32 || ' ' || lead(s16, 32) OVER (PARTITION BY doc_id ORDER BY i)
+                        || ' ' || lead(s2, 48) OVER (PARTITION BY doc_id ORDER BY i) AS win
+  FROM w32
+), repeated AS (
+  SELECT doc_id, i FROM (SELECT *, min(doc_id) OVER (PARTITION BY win) AS source FROM windows WHERE win IS NOT NULL) WHERE doc_id > source
+), removed AS (
+  SELECT DISTINCT doc_id, i + k AS i FROM repeated, range(50) r(k)
+), kept AS (
+  SELECT words.doc_id, count(*) AS n_words, count(removed.i) AS n_removed,
+         string_agg(s1, ' ' ORDER BY words.i) FILTER (removed.i IS NULL) AS text
+  FROM words LEFT JOIN removed ON removed.doc_id = words.doc_id AND removed.i = words.i GROUP BY words.doc_id
+)
+SELECT doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept.text, '')) AS kept_sha256
+FROM split LEFT JOIN kept USING (doc_id)
+"""

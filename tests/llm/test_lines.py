@@ -1,10 +1,8 @@
 import hashlib
 from collections import Counter
 
-import duckdb
-from conftest_llm import LOWER, SF, collected
+from conftest_llm import LOWER, collected
 from strikeflow.llm import lines as L
-from strikeflow.llm.queries import ORACLES, QUERIES
 
 
 def key(line):
@@ -61,12 +59,3 @@ def test_shuffled_hashes_give_the_same(odd):
 
 def test_empty(empty):
     assert L.line_dedup(empty).count() == 0 and L.line_dedup_report(empty).count() == 0
-
-
-def test_sql(spark):
-    con = duckdb.connect()
-    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{SF}/documents.parquet'")
-    cur = con.execute(ORACLES["op2_line_dedup"])
-    names = [d[0] for d in cur.description]
-    got = QUERIES["op2_line_dedup"](spark, SF).select(*names)
-    assert sorted(cur.fetchall()) == sorted(tuple(r) for r in got.collect())

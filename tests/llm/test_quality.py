@@ -1,9 +1,7 @@
 from collections import Counter
 
-import duckdb
-from conftest_llm import SF, WORD, collected
+from conftest_llm import WORD, collected
 from strikeflow.llm import quality as Q
-from strikeflow.llm.queries import ORACLES, QUERIES
 
 
 def brute(text):
@@ -57,12 +55,3 @@ def test_empty(empty):
 def test_no_python_in_the_plan(odd):
     plan = Q.quality_report(odd)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
-
-
-def test_sql(spark):
-    con = duckdb.connect()
-    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{SF}/documents.parquet'")
-    df = QUERIES["op5_quality_rules"](spark, SF)
-    cur = con.execute(ORACLES["op5_quality_rules"])
-    names = [d[0] for d in cur.description]
-    assert sorted(cur.fetchall()) == sorted(tuple(r) for r in df.select(*names).collect())
