@@ -164,11 +164,13 @@ def repeated_spans(docs: DataFrame, scratch: Scratch, window: int = WINDOW, kmer
     """(id, t, spans): word ranges (first, end) of windows that also start in a document with a smaller id."""
     rows = _rows(docs, id, text)
     edges = scratch.stage(_stretch_table(rows, window, kmer), "edges")
+    # the right sides below are written first, so that both sides of each join are plain shuffles, whose hot keys Spark can split
     shared = edges.groupBy(F.col("k").alias("k2")).agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high").select("k2")
+    shared = scratch.stage(shared, "kmers")
     edges = scratch.stage(edges.join(shared, F.col("k") == F.col("k2"), "left_semi"), "shared")
     scratch.drop("edges")
     paths = scratch.stage(edges.groupBy(F.col("k").alias("k2"), F.col("p").alias("p2")).agg(F.min("id").alias("source")), "paths")
-    branched = paths.groupBy(F.col("k2").alias("k3")).agg(F.count("*").alias("n")).where("n > 1").select("k3")
+    branched = scratch.stage(paths.groupBy(F.col("k2").alias("k3")).agg(F.count("*").alias("n")).where("n > 1").select("k3"), "branched")
     placed = scratch.stage(edges.join(paths, (F.col("k") == F.col("k2")) & (F.col("p") == F.col("p2"))).select("k", "id", "t", "first", "last", "source"), "placed")
     later = placed.where("id > source").select("id", "t", "first", (F.col("last") + window).alias("end"))
 
@@ -181,6 +183,7 @@ def repeated_spans(docs: DataFrame, scratch: Scratch, window: int = WINDOW, kmer
     opened = rows.join(runs, (F.col("id") == F.col("id2")) & (F.col("t") == F.col("t2"))).select("id", "t", "text", "runs")
     windows = scratch.stage(_window_table(opened, window), "windows")
     first = windows.groupBy(F.col("a").alias("a2"), F.col("b").alias("b2")).agg(F.min("id").alias("source"), F.max("id").alias("high")).where("source < high").drop("high")
+    first = scratch.stage(first, "sources")
     branches = (
         windows.join(first, (F.col("a") == F.col("a2")) & (F.col("b") == F.col("b2")))
         .where("id > source")
