@@ -10,8 +10,8 @@ model to the path that its merges take, the best-scored neighbours first.
 Characters that no piece covers become byte pieces, or the unknown id where the
 model has none.
 
-The dictionary of units returns to the texts by input split: one row per
-split and distinct unit, not one per occurrence.
+The dictionary of units returns to the texts by parts of input splits: one row
+per part and distinct unit, not one per occurrence.
 """
 
 from __future__ import annotations
@@ -23,6 +23,7 @@ from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -33,7 +34,12 @@ from .shared import Scratch, let
 SPACE = "▁"
 #: Units of more code points are segmented by ``segment``.
 LONG = 48
+#: Parts of an input split that meet their dictionaries separately.
+SHARES = 4
+#: Units whose lattices a task holds.
+UNITS_TOGETHER = 20_000
 _KEY = 64  # edge key: start * _KEY + length
+_BITS = 20  # of a piece's id, and of its rank
 #: Ways to cut units, the finest first; one is used if no piece reaches across its cuts.
 _UNITS = (
     rf"{SPACE}*[\p{{L}}\p{{M}}]+|{SPACE}*[^{SPACE}\p{{L}}\p{{M}}\n]+|{SPACE}+|\n",
@@ -154,60 +160,45 @@ def _best(unit: str, model: Model) -> list[int]:
     return cuts[::-1]
 
 
-def _edges(unit: Column, longest: int) -> Column:
-    n = F.length(unit)
-    return F.flatten(
-        F.transform(
-            F.sequence(F.lit(0), n - 1),
-            lambda s: F.transform(
-                F.sequence(F.lit(1), F.least(F.lit(longest), n - s)),
-                lambda k: F.struct((s * _KEY + k).alias("key"), F.substring(unit, s + 1, k).alias("piece")),
-            ),
-        )
-    )
-
-
 def _fold_merges(n: Column, edges: Column) -> Column:
-    """Cuts of the path that merges the best-scored neighbours first, the left of equals."""
+    """Cuts of the path that merges the best-ranked neighbours first, the left of equals."""
 
     def step(cuts: Column, _: Column) -> Column:
+        # rank and place in one number; null where the neighbours don't make a piece
         merges = F.transform(
             F.sequence(F.lit(0), F.size(cuts) - 3),
-            lambda i: let(
-                F.try_element_at(edges, F.get(cuts, i) * _KEY + F.get(cuts, i + 2) - F.get(cuts, i)),
-                lambda e: F.when(e.isNotNull(), F.struct(e["score"].alias("score"), (-i).alias("left"))),
-            ),
+            lambda i: F.shiftleft(F.shiftright(F.try_element_at(edges, F.get(cuts, i) * _KEY + F.get(cuts, i + 2) - F.get(cuts, i)), _BITS), 12) + i,
         )
-        merged = let(F.array_max(merges), lambda best: F.when(best.isNull(), cuts).otherwise(F.filter(cuts, lambda x, j: j != 1 - best["left"])))
+        merged = let(F.array_min(merges), lambda best: F.when(best.isNull(), cuts).otherwise(F.filter(cuts, lambda x, j: j != best.bitwiseAND(F.lit(4095)) + 1)))
         return F.when(F.size(cuts) < 3, cuts).otherwise(merged)
 
     return F.aggregate(F.sequence(F.lit(1), F.greatest(F.lit(1), n - 1)), F.sequence(F.lit(0), n), step)
 
 
-def _fold_viterbi(n: Column, edges: Column, longest: int, low: float) -> Column:
+def _fold_viterbi(n: Column, edges: Column, longest: int, scores: list[float], low: float) -> Column:
     """Cuts of the path of the greatest sum of scores; of equals that whose last piece is the shorter."""
     start = F.array(F.struct(F.lit(0.0).alias("score"), F.lit(0).alias("back")))
+    by_rank = F.array(*[F.lit(float(x)) for x in scores])
 
     def step(state: Column, end: Column) -> Column:
         found = F.transform(
             F.sequence(F.lit(1), F.least(F.lit(longest), end)),
             lambda k: let(
-                F.try_element_at(edges, (end - k) * _KEY + k),
-                lambda e: F.when(
-                    e.isNotNull() | (k == 1),
-                    F.struct((F.get(state, end - k)["score"] + F.coalesce(e["score"], F.lit(low))).alias("score"), (end - k).alias("back")),
+                F.get(by_rank, F.shiftright(F.try_element_at(edges, (end - k) * _KEY + k), _BITS).cast("int")),
+                lambda score: F.when(
+                    score.isNotNull() | (k == 1),
+                    F.struct((F.get(state, end - k)["score"] + F.coalesce(score, F.lit(low))).alias("score"), (end - k).alias("back")),
                 ),
             ),
         )
         return F.concat(state, F.array(F.array_max(found)))
 
     def walk(state: Column) -> Column:
-        back = F.aggregate(
+        return F.aggregate(
             F.sequence(F.lit(1), n),
             F.array(n),
             lambda cuts, _: F.when(F.get(cuts, F.lit(0)) == 0, cuts).otherwise(F.concat(F.array(F.get(state, F.get(cuts, F.lit(0)))["back"]), cuts)),
         )
-        return back
 
     return let(F.aggregate(F.sequence(F.lit(1), n), start, step), walk)
 
@@ -224,32 +215,54 @@ def _ids(unit: Column, cuts: Column, edges: Column, model: Model) -> Column:
             F.sequence(F.lit(0), F.size(cuts) - 2),
             lambda i: let(
                 F.try_element_at(edges, F.get(cuts, i) * _KEY + F.get(cuts, i + 1) - F.get(cuts, i)),
-                lambda e: F.when(e.isNotNull(), F.array(e["id"])).otherwise(unknown(F.substring(unit, F.get(cuts, i) + 1, F.lit(1)))),
+                lambda e: F.when(e.isNotNull(), F.array(e.bitwiseAND(F.lit((1 << _BITS) - 1)).cast("int"))).otherwise(unknown(F.substring(unit, F.get(cuts, i) + 1, F.lit(1)))),
             ),
         )
     )
 
 
+def ranked(model: Model) -> list[float]:
+    """The model's scores, best first; a piece's rank is its score's place."""
+    return sorted({s for _, s in model.pieces.values()}, reverse=True)
+
+
 def piece_table(spark: SparkSession, model: Model) -> DataFrame:
-    return spark.createDataFrame([(p, i, float(s)) for p, (i, s) in model.pieces.items()], "piece string, id int, score double")
+    """(piece, value) with rank and id in one number; as many rows as the model has pieces."""
+    rank = {s: r for r, s in enumerate(ranked(model))}
+    return spark.createDataFrame([(p, rank[s] << _BITS | i) for p, (i, s) in model.pieces.items()], "piece string, value long")
 
 
 def encode_units(units: DataFrame, model: Model) -> DataFrame:
-    """(unit, ids) of distinct non-empty units, by the lattice; those over LONG code points by ``segment``."""
+    """(unit, ids) of distinct non-empty units, by the lattice; those over LONG code points by ``segment``.
+
+    ``units`` should be a written table: it is counted first.  Partitions are
+    made of UNITS_TOGETHER units, so that a task's edges stay in memory.
+    """
     spark = units.sparkSession
-    short = units.where(F.length("unit") <= LONG).select("unit").repartition("unit")
-    # the piece table has as many rows as the model has pieces
+    longest = min(LONG, model.longest)
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), units.count() // UNITS_TOGETHER)
+    short = units.where(F.length("unit") <= LONG).select("unit").repartition(parts, "unit")
+    substrings = (
+        short.select("unit", F.length("unit").alias("n"), F.explode(F.sequence(F.lit(0), F.length("unit") - 1)).alias("s"))
+        .select("unit", "s", F.explode(F.sequence(F.lit(1), F.least(F.lit(longest), F.col("n") - F.col("s")))).alias("k"))
+        .select("unit", (F.col("s") * _KEY + F.col("k")).cast("long").alias("key"), F.substring("unit", F.col("s") + 1, F.col("k")).alias("piece"))
+    )
     edges = (
-        short.select("unit", F.explode(_edges(F.col("unit"), min(LONG, model.longest))).alias("e"))
-        .select("unit", "e.key", "e.piece")
-        .join(F.broadcast(piece_table(spark, model)), "piece")
+        substrings.join(F.broadcast(piece_table(spark, model)), "piece")
         .groupBy("unit")
-        .agg(F.map_from_entries(F.collect_list(F.struct("key", F.struct("id", "score")))).alias("edges"))
+        .agg(F.collect_list(F.shiftleft("key", 2 * _BITS).bitwiseOR(F.col("value"))).alias("e"))
+        .select(
+            "unit",
+            F.map_from_arrays(
+                F.transform("e", lambda x: F.shiftright(x, 2 * _BITS).cast("int")),
+                F.transform("e", lambda x: x.bitwiseAND(F.lit((1 << 2 * _BITS) - 1))),
+            ).alias("edges"),
+        )
     )
-    lattice = short.withColumnRenamed("unit", "u").join(edges, F.col("u") == F.col("unit"), "left").select(F.col("u").alias("unit"), F.coalesce("edges", F.create_map().cast("map<int,struct<id:int,score:double>>")).alias("edges"))
+    lattice = short.withColumnRenamed("unit", "u").join(edges, F.col("u") == F.col("unit"), "left").select(F.col("u").alias("unit"), F.coalesce("edges", F.create_map().cast("map<int,bigint>")).alias("edges"))
     n, e = F.length("unit"), F.col("edges")
-    low = min(s for _, s in model.pieces.values()) - 10
-    cuts = _fold_merges(n, e) if model.kind == "bpe" else _fold_viterbi(n, e, min(LONG, model.longest), low)
+    scores = ranked(model)
+    cuts = _fold_merges(n, e) if model.kind == "bpe" else _fold_viterbi(n, e, longest, scores, scores[-1] - 10)
     found = lattice.select("unit", let(cuts, lambda c: _ids(F.col("unit"), c, e, model)).alias("ids"))
 
     def long(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -259,53 +272,35 @@ def encode_units(units: DataFrame, model: Model) -> DataFrame:
     return found.unionByName(units.where(F.length("unit") > LONG).select("unit").mapInArrow(long, "unit string, ids array<int>"))
 
 
-class _Words:
-    """Units of the words of texts; a word is what stands between single spaces."""
-
-    def __init__(self, unit: str):
-        self.find = regex.compile(unit).findall
-
-    def of(self, text: str) -> Iterator[tuple[str, list[str]]]:
-        """Distinct words of a text with their units; a text with spaces side by side or at an end is one word."""
-        if not text:
-            return
-        if "  " in text or text[0] == " " or text[-1] == " " or SPACE in text:
-            yield text, self.find(spaced(text))
-        else:
-            for word in set(text.split(" ")):
-                yield word, self.find(spaced(word))
-
-    def split(self, text: str) -> list[str]:
-        if not text:
-            return []
-        return [text] if "  " in text or text[0] == " " or text[-1] == " " or SPACE in text else text.split(" ")
+def _words(text: str | None) -> list[str]:
+    """What stands between the lone spaces of a text; one with spaces side by side or at an end is one word."""
+    if not text:
+        return []
+    return [text] if "  " in text or text[0] == " " or text[-1] == " " or SPACE in text else text.split(" ")
 
 
 def _units_of(docs: DataFrame, text: str, model: Model) -> DataFrame:
-    """(part, unit): the distinct units of each input split."""
+    """(part, unit): the distinct units of each part of an input split."""
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, seen, units = _Words(model.unit), set(), defaultdict(set)
+        find = regex.compile(model.unit).findall
+        seen, units = defaultdict(set), defaultdict(set)
         for b in batches:
             for part, t in zip(b.column(0).to_pylist(), b.column(1)):
-                t = t.as_py()
-                if not t:
-                    continue
-                for word in set(words.split(t)):
-                    if (part, word) not in seen:
-                        if len(word) < LONG:
-                            seen.add((part, word))
-                        units[part].update(words.find(spaced(word)))
+                new = set(_words(t.as_py())).difference(seen[part])
+                units[part].update(u for w in new for u in find(spaced(w)))
+                seen[part].update(w for w in new if len(w) < LONG)
+        seen.clear()
         for part, found in units.items():
             rows = list(found)
             for i in range(0, len(rows), 20_000):
                 some = rows[i : i + 20_000]
-                yield pa.RecordBatch.from_arrays([pa.array([part] * len(some), pa.int64()), pa.array(some, pa.string())], ["part", "unit"])
+                yield pa.RecordBatch.from_arrays([pa.repeat(pa.scalar(part, pa.int64()), len(some)), pa.array(some, pa.string())], ["part", "unit"])
 
     return docs.select(F.col("_part").cast("long").alias("part"), F.col(text).alias("text")).mapInArrow(of, "part long, unit string")
 
 
-def encode(docs: DataFrame, model: Model, text: str = "text", into: str = "ids", drop_text: bool = False) -> DataFrame:
+def encode(docs: DataFrame, model: Model, text: str = "text", into: str = "ids") -> DataFrame:
     """``docs`` with column ``into``: the ids of the text, those of the model's own encoder.
 
     A null or empty text has no ids.  Equal texts get equal ids, repeated rows
@@ -313,46 +308,48 @@ def encode(docs: DataFrame, model: Model, text: str = "text", into: str = "ids",
     named ``_part`` or like ``into``, which are replaced.
     """
     scratch = Scratch(docs.sparkSession, "pieces")
-    placed = docs.withColumn("_part", F.spark_partition_id().cast("long"))
+    share = F.pmod(F.xxhash64(F.col(text)), F.lit(SHARES))
+    placed = docs.withColumn("_part", F.spark_partition_id().cast("long") * SHARES + share)
     vocabulary = scratch.stage(_units_of(placed, text, model).groupBy("unit").agg(F.collect_set("part").alias("parts")), "units")
     known = encode_units(vocabulary, model).withColumnRenamed("unit", "u")
     given = vocabulary.join(known, F.col("unit") == F.col("u")).select(F.explode("parts").alias("_part"), "unit", "ids")
 
-    schema = [f for f in placed.schema.fields if f.name not in ("_part", into) and not (drop_text and f.name == text)]
+    schema = [f for f in placed.schema.fields if f.name not in ("_part", into)]
     names = [f.name for f in schema]
     out_type = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in schema] + [f"`{into}` array<int>"])
 
     def of(rows: pa.Table, units: pa.Table) -> pa.Table:
-        words, ids = _Words(model.unit), dict(zip(units.column("unit").to_pylist(), units.column("ids").to_pylist()))
-        known: dict[str, list[int]] = {}
-
-        def word_ids(word: str) -> list[int]:
-            found: list[int] = []
-            for u in words.find(spaced(word)):
-                # a split that Spark reads anew in another way may hold a unit that is not in its dictionary
-                found += ids[u] if u in ids else segment(u, model)
+        find, ids, known = regex.compile(model.unit).findall, _dictionary(units), {}
+
+        def word_ids(word: str) -> bytes:
+            # a split that Spark reads anew in another way may hold a unit that is not in its dictionary
+            return b"".join([ids[u] if u in ids else np.array(segment(u, model), "<i4").tobytes() for u in find(spaced(word))])
+
+        def text_ids(t: str | None) -> bytes:
+            words = _words(t)
+            for w in set(words).difference(known):
+                known[w] = word_ids(w)
+            found = b"".join(map(known.__getitem__, words))
+            if len(words) == 1 and len(words[0]) >= LONG:
+                del known[words[0]]
             return found
 
-        out = []
-        for t in rows.column(text).to_pylist():
-            found: list[int] = []
-            for word in words.split(t or ""):
-                got = known.get(word)
-                if got is None:
-                    got = known[word] = word_ids(word)
-                found += got
-            out.append(pa.array(found, pa.int32()))
-        lists = pa.ListArray.from_arrays(pa.array([0, *_running(map(len, out))], pa.int32()), pa.concat_arrays(out) if out else pa.array([], pa.int32()))
+        out = [text_ids(t.as_py()) for chunk in rows.column(text).chunks for t in chunk]
+        ends = np.cumsum([0, *(len(x) // 4 for x in out)]).astype(np.int32)
+        lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(out), "<i4")))
         return pa.table([*(rows.column(n) for n in names), lists], [*names, into])
 
     return placed.groupBy("_part").cogroup(given.groupBy("_part")).applyInArrow(of, out_type)
 
 
-def _running(sizes) -> Iterator[int]:
-    total = 0
-    for n in sizes:
-        total += n
-        yield total
+def _dictionary(units: pa.Table) -> dict[str, bytes]:
+    """Ids of each unit, four bytes each."""
+    found: dict[str, bytes] = {}
+    for b in units.to_batches():
+        lists = b.column(b.schema.get_field_index("ids"))
+        data, cuts = lists.values.to_numpy(zero_copy_only=False).astype("<i4").tobytes(), (4 * lists.offsets.to_numpy()).tolist()
+        found.update(zip(b.column(b.schema.get_field_index("unit")).to_pylist(), [data[i:j] for i, j in zip(cuts, cuts[1:])]))
+    return found
 
 
 def decode_ids(ids: list[int], model: Model) -> str:
