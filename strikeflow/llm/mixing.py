@@ -166,11 +166,11 @@ def mix(docs: DataFrame, weights: dict | None = None, total: float | None = None
 
 
 def mix_rows(docs: DataFrame, id: str = "doc_id", **options) -> DataFrame:
-    """Each row of ``docs`` as often as the mix takes it; columns as given, none named ``_row``, ``_key`` or ``_copy``."""
+    """Each row of ``docs`` as often as the mix takes it; columns as given, none named ``_row``, ``_key``, ``_copies`` or ``_copy``."""
     # rows are numbered once and staged, so that repeated rows keep apart
     marked = Scratch(docs.sparkSession, "mixed").stage(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
-    taken = mix(marked, id="_row", order=id, **options).where("copies > 0").select(F.col("_row").alias("_key"), "copies")
-    return marked.join(taken, F.col("_row") == F.col("_key")).withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select(*docs.columns)
+    taken = mix(marked, id="_row", order=id, **options).where("copies > 0").select(F.col("_row").alias("_key"), F.col("copies").alias("_copies"))
+    return marked.join(taken, F.col("_row") == F.col("_key")).withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies")))).select(*docs.columns)
 
 
 def mix_report(docs: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ import re
 SF = "/root/testdata/sf0.001"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, a long, b long, size long, id string, t string, fp long, k long"
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, a long, b long, size long, id string, t string, fp long, k long, copies long, component_id long, unit string, found string, batch int, turns string"
 
 
 def odd_rows():
@@ -21,7 +21,7 @@ def odd_rows():
     texts += ["zz" * 700, "中文" * 80, "<|endoftext|> <|im_end|> & &amp; ▁x  y ", "tail  ", " head"]
     rows = [(i, t, "en", ["s1", "s2", None, "é", "s10"][i % 5], None) for i, t in enumerate(texts)]
     rows += [rows[7], rows[20], rows[20], (None, long, None, None, 1), (None, "null id " * 30, None, "s1", None), (-5, texts[12], "de", "s2", 3), (10**15, texts[13], "de", "s1", 3)]
-    return [(*r, 1, 2, 3, "x", "y", 4, None) for r in rows]
+    return [(*r, 1, 2, 3, "x", "y", 4, None, 7, 8, "u", "f", 9, "") for r in rows]
 
 
 def collected(df, *columns):
