@@ -31,7 +31,7 @@ KINDS = (
     ("form", "fieldset", "button", "legend", "option"), ("table", "tbody", "thead", "tr", "td", "th"), ("body",),
 )
 CHROME = frozenset(
-    "ad ads advert advertisement adverts banner breadcrumb breadcrumbs button buttons comment comments complementary consent contentinfo cookie cookies copyright dialog disqus foot footer form gdpr header login masthead menu modal nav navbar navigation newsletter notice overlay pager pagination popup promo promoted promotion recommended related reply replies respond search share sharing sidebar signup site skyscraper social sponsor sponsored subscribe tags teaser toolbar topbar widget widgets".split()
+    "ad adbox ads advert advertisement advertising adverts alert alerts banner breadcrumb breadcrumbs button buttons comment commentlist comments complementary consent contentinfo cookie cookiebanner cookiebar cookies copyright dialog disqus foot footer form gdpr header infobar login masthead menu modal nav navbar navigation navmenu newsletter notice notices notification notifications overlay pager pagination popup promo promoted promotion recommended related replies reply respond search share sharing sidebar sidenav signup site skyscraper social sponsor sponsored subnav subscribe tags teaser toolbar topbar topnav userbar widget widgets".split()
 )
 BODY = frozenset("article articlebody blogpost body content entry main maincontent post prose story text".split())
 
@@ -49,7 +49,7 @@ def features(page: Page) -> np.ndarray:
         pieces[block] += 1
         stops[block] += text[-1] in ".!?…”\""
     linked, kids = np.minimum(np.array(page.linked, dtype=float), own), np.zeros(n)
-    below, below_linked, inside = own.copy(), linked.copy(), np.zeros(n)
+    below, below_linked, inside, main = own.copy(), linked.copy(), np.zeros(n), np.zeros(n, dtype=bool)
     for i in range(n - 1, 0, -1):
         up = page.parent[i]
         below[up] += below[i]
@@ -59,7 +59,10 @@ def features(page: Page) -> np.ndarray:
     for i, (tag, names) in enumerate(zip(page.tag, page.names)):
         out[i, _KIND.get(tag, len(KINDS))] = 1
         chrome = bool(names & CHROME)
-        inside[i] = chrome or tag in ("nav", "footer", "aside", "form") or (i > 0 and inside[page.parent[i]])
+        up = page.parent[i]
+        main[i] = tag in KINDS[0] or bool(names & BODY) or (i > 0 and main[up])
+        # a header outside the main part is the site's; inside, it has the article's title
+        inside[i] = chrome or tag in ("nav", "footer", "aside", "form") or (tag == "header" and not main[i]) or (i > 0 and inside[up])
         out[i, -8] = chrome
         out[i, -7] = bool(names & BODY) and not chrome
     out[:, -6] = inside

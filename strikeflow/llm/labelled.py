@@ -27,4 +27,12 @@ PAGES = (
     f"<body><nav>{_LINKS}</nav><div class='ad'>{_SHORT}</div><article data-y='1'><h1>Ice</h1><p>ice</p></article><footer>&copy; mill.example &middot; {_LONG}</footer></body>",
     f"<body><nav>{_LINKS}</nav><div class='ad'></div><article data-y='1'><h1>Old</h1><p><b>{_LONG}<br><p>{_SHORT}</p><p><a href='/m'>{_MORE}</a></p></article><footer></footer></body>",
     f"<body><div class='topbar'><p>{_MORE}</p></div><div class='main-content'><div class='article-body' data-y='1'><p>{_LONG}</p><h3>Notes</h3><p>{_MORE}</p></div></div><div class='site-footer'><p>{_LONG}</p></div></body>",
+    f"<body><header><h1>The Daily</h1><a href='/'>x</a></header><aside class='sidebar'><h2>More</h2><p>{_LONG}</p></aside><article data-y='1'><h1>Ice</h1><p>{_SHORT}</p><p>{_LONG}</p></article><form><label>{_SHORT}</label><p>{_MORE}</p></form><footer><p>{_MORE}</p></footer></body>",
+    f"<body><header><h1>The Daily</h1><p>News of the river, every day.</p></header><main data-y='1'><p>{_SHORT}</p><p>{_MORE}</p></main><footer>{_SHORT}</footer></body>",
+    f"<body><header><div>The Daily</div><div>{_SHORT}</div></header><article data-y='1'><div><div><p>{_SHORT}</p></div><div>{_LONG}</div></div><div>{_SHORT}</div></article><footer>f</footer></body>",
+    f"<body><nav>{_LINKS}</nav><article data-y='1'><div>{_LONG}</div><div>{_MORE}</div><div><h2>Notes</h2>{_SHORT}<p>{_MORE}</p></div></article><div class='ad'>{_LONG}</div></body>",
+    f"<body><nav>{_LINKS}</nav><div class='content' data-y='1'><div>{_SHORT}</div><section><div>{_MORE}</div></section></div><div class='widget'>{_SHORT}</div></body>",
+    f"<body><header><h1>The Daily</h1><nav>{_LINKS}</nav></header><article data-y='1'><h1>Ice</h1><p>{_LONG}</p><section class='comments' data-y='0'><h2>Comments</h2><ul><li>{_LONG}</li><li>{_SHORT}</li></ul></section></article></body>",
+    f"<body><header><h1>The Daily</h1><p>{_SHORT}</p></header><p data-y='1'>{_MORE}</p><p data-y='1'>{_SHORT}</p><footer>{_LONG}</footer></body>",
+    f"<body><nav>{_LINKS}</nav><div class='post-content' data-y='1'><h2>Ice</h2><div>{_LONG}</div><div>{_MORE}</div></div><div class='related'>{_SHORT}</div></body>",
 )
