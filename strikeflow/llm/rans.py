@@ -19,7 +19,7 @@ import zlib
 import numpy as np
 
 TABLE_BITS = 20
-LANES = 64
+LANES = 128
 STRIDE = 128
 BLOCK = 4 * STRIDE * LANES
 _LOW = np.uint64(1 << 31)
