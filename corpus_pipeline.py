@@ -2,7 +2,9 @@
 
 ``STAGES`` are applied in order; each takes (spark, docs, sf_dir) and works on
 all that the one before has kept.  All but the last return the columns of
-``documents``.
+``documents``.  A null text counts as empty, and such documents go in the first
+stage; repeated rows are near copies of each other, of which one stays; an empty
+table stays empty; further columns of ``documents`` pass through.
 """
 
 from __future__ import annotations

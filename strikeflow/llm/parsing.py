@@ -32,6 +32,10 @@ TOSSES = 3
 #: under SHORT characters keep those of all levels.
 LEVEL = 3
 SHORT = 400
+#: Stands for a null id, below all others.
+LOWEST = -(1 << 63)
+#: Ranges of ids that documents are sorted in; the driver holds an id of each.
+MAX_RANGES = 10_000
 #: Code points parsed side by side.
 BATCH_CHARS = 200_000
 
@@ -173,33 +177,34 @@ def fingerprint_documents(docs: DataFrame, id: str = "doc_id", text: str = "text
     return docs.select(F.col(id).cast("long").alias(id), F.coalesce(text, F.lit(""))).mapInArrow(of, f"`{id}` long, fingerprint string")
 
 
-def _buckets(docs: DataFrame, parts: int) -> tuple[list[int], int | None]:
-    """Up to ``parts`` ids of the table that cut it into even ranges, and the largest id."""
-    cuts = [i / parts for i in range(1, parts)]
-    row = docs.agg(F.percentile_approx("id", cuts, 20 * parts).alias("cuts"), F.max("id").alias("top")).first()
-    return sorted({c for c in row["cuts"] or [] if c < row["top"]}), row["top"]
+def _edges(ids: DataFrame, ranges: int) -> np.ndarray:
+    """Up to ``ranges`` ids of the table, sorted, that cut it into even ranges; the last is its largest id."""
+    cuts = [i / ranges for i in range(1, ranges)]
+    row = ids.agg(F.percentile_approx("id", cuts, 20 * ranges).alias("cuts"), F.max("id").alias("top")).first()
+    return np.unique([*(row["cuts"] or []), *([] if row["top"] is None else [row["top"]])]).astype(np.int64)
 
 
 def neighbours(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Rows (bucket, carry, id, text) in partitions sorted so that a document's next stands behind it.
+    """Rows (bucket, carry, id, none, text) in partitions sorted so that a document's next stands behind it.
 
     The order is by descending id.  Ranges of ids are the buckets; the largest id
-    of a range is an id of the table, and its row also stands, as ``carry``, at the end of
-    the range above, and that of the last range at the end of the lowest one.
+    of a range is an id of the table, and its rows also stand, as ``carry``, at the end of
+    the range above, and those of the last range at the end of the lowest one.
     """
-    lowest = -(1 << 63)
-    rows = docs.select(F.coalesce(F.col(id).cast("long"), F.lit(lowest)).alias("id"), F.col(id).isNull().alias("none"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    rows = docs.select(F.coalesce(F.col(id).cast("long"), F.lit(LOWEST)).alias("id"), F.col(id).isNull().alias("none"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    cuts, top = _buckets(rows.select("id"), 4 * parts)
-    if top is None:
-        top = lowest
-    edges = F.array(*[F.lit(c).cast("long") for c in [*cuts, top]])
-    # number of edges below the id: the edges are sorted, so the first one not below tells it
-    bucket = F.size(F.filter(edges, lambda e: e < F.col("id")))
-    above = F.when(F.col("id") == top, 0).when(F.array_contains(edges, F.col("id")), F.col("bucket") + 1)
-    placed = rows.withColumn("bucket", bucket).withColumn("above", above)
-    places = F.array_compact(F.array(F.struct("bucket", F.lit(False).alias("carry")), F.when(F.col("above").isNotNull(), F.struct(F.col("above").alias("bucket"), F.lit(True).alias("carry")))))
-    spread = placed.select("id", "none", "text", F.explode(places).alias("at")).select("at.bucket", "at.carry", "id", "none", "text")
+    edges = _edges(rows.select("id"), min(4 * parts, MAX_RANGES))
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ids = b.column(0).to_numpy()
+            bucket = np.searchsorted(edges, ids)  # edges below the id
+            at_edge = np.flatnonzero(edges[bucket] == ids)
+            above = np.where(ids[at_edge] == edges[-1], 0, bucket[at_edge] + 1)
+            for chosen, to, carry in ((b, bucket, False), (b.take(pa.array(at_edge)), above, True)):
+                yield pa.RecordBatch.from_arrays([pa.array(to, pa.int32()), pa.repeat(pa.scalar(carry), len(to)), *chosen.columns], ["bucket", "carry", "id", "none", "text"])
+
+    spread = rows.mapInArrow(place, "bucket int, carry boolean, id long, none boolean, text string")
     return spread.repartition(parts, "bucket").sortWithinPartitions("bucket", "carry", F.desc("id"), "text")
 
 
@@ -223,8 +228,10 @@ def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int | None, str,
 def fingerprint_report(docs: DataFrame) -> DataFrame:
     """Fingerprints of every text and of its edited form, and how near they are.
 
-    Documents with equal ids come by text; a null id comes last and stays null.
-    The only document of a table is its own next one.
+    A null text counts as empty.  Documents with equal ids come by text; a null
+    id comes last and stays null.  The only document of a table is its own next
+    one, repeated rows are each other's, and an empty table gives an empty
+    result.  Other columns don't matter.
     """
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
