@@ -10,9 +10,11 @@ neighbours.  Phrases begin where a label is a local maximum.  All this looks at
 a bounded neighbourhood only: equal substrings are cut and named alike, but for
 a few symbols at their ends, at whatever offset they stand.
 
-The fingerprint is a sketch of the names of the higher levels, whose phrases
-are long enough to tell texts apart: the least name in each of BINS parts.
-The likeness of two fingerprints estimates how far their names agree.
+The fingerprint is a sketch of the names of all levels, the same for every
+text: the least name in each of BINS parts.  Every level has parts of its own,
+most of them the higher levels, whose phrases are long enough to tell texts
+apart; so the many names of the low ones don't crowd them out.  The likeness of
+two fingerprints estimates how far their names agree.
 """
 
 from __future__ import annotations
@@ -28,10 +30,9 @@ from pyspark.sql import functions as F
 BINS = 64
 DIGITS = 6
 TOSSES = 3
-#: First level whose names are kept (phrases of about 27 characters); texts
-#: under SHORT characters keep those of all levels.
-LEVEL = 3
-SHORT = 400
+#: Bins of level 1, level 2, and level 3 and up (phrases of about 27 characters
+#: and more).  Long texts share most phrases of level 1, so these get few.
+LEVEL_BINS = (2, 14, 48)
 #: Stands for a null id, below all others.
 LOWEST = -(1 << 63)
 #: Ranges of ids that documents are sorted in; the driver holds an id of each.
@@ -40,6 +41,7 @@ MAX_RANGES = 10_000
 BATCH_CHARS = 200_000
 
 _EMPTY = (1 << 4 * DIGITS) - 1
+_FIRST_BIN = (0, LEVEL_BINS[0], LEVEL_BINS[0] + LEVEL_BINS[1])
 _ONE = np.uint64(1)
 
 
@@ -115,31 +117,25 @@ def sketches(texts: list[str]) -> np.ndarray:
     sizes = np.array([len(p) for p in points])
     text = np.repeat(np.arange(len(texts), dtype=np.int32), sizes)
     symbols = np.concatenate(points).astype(np.uint64) + _ONE if len(text) else np.zeros(0, np.uint64)
-    names, owners = [np.zeros(int((sizes == 0).sum()), np.uint64)], [np.flatnonzero(sizes == 0)]
-    short, level = sizes < SHORT, 0
+    out = np.full(len(texts) * BINS, _EMPTY, dtype=np.int64)
+    none = np.flatnonzero(sizes == 0)
+    _keep(out, np.zeros(len(none), np.uint64), none, 0)
+    level = 0
     while len(symbols):
         symbols, text = _phrases(symbols, text)
         level += 1
-        count = np.bincount(text, minlength=len(texts))
-        done = (count == 1)[text]
-        use = done | short[text] if level < LEVEL else np.ones(len(symbols), dtype=bool)
-        names.append(_mix(symbols[use] + np.uint64(level)) if use.any() else np.zeros(0, np.uint64))
-        owners.append(text[use])
+        _keep(out, _mix(symbols + np.uint64(level)), text, level)
+        done = (np.bincount(text, minlength=len(texts)) == 1)[text]
         symbols, text = symbols[~done], text[~done]
-    return _bins(np.concatenate(names), np.concatenate(owners), len(texts))
+    return out.reshape(len(texts), BINS)
 
 
-def _bins(names: np.ndarray, owners: np.ndarray, n: int) -> np.ndarray:
+def _keep(out: np.ndarray, names: np.ndarray, owners: np.ndarray, level: int) -> None:
+    """Lower the bins in ``out`` to the names of a level; an empty text's only name has level 0."""
+    at = min(max(level, 1), len(LEVEL_BINS)) - 1
     names = _mix(names)
-    slot = owners * BINS + (names >> np.uint64(58)).astype(np.int64)
-    value = ((names >> np.uint64(8)) & np.uint64(_EMPTY)).astype(np.int64) % _EMPTY
-    order = np.lexsort((value, slot))
-    slot, value = slot[order], value[order]
-    least = np.ones(len(slot), dtype=bool)
-    least[1:] = slot[1:] != slot[:-1]
-    out = np.full(n * BINS, _EMPTY, dtype=np.int64)
-    out[slot[least]] = value[least]
-    return out.reshape(n, BINS)
+    slot = owners * np.int64(BINS) + _FIRST_BIN[at] + ((names >> np.uint64(48)) * np.uint64(LEVEL_BINS[at]) >> np.uint64(16)).astype(np.int64)
+    np.minimum.at(out, slot, ((names >> np.uint64(8)) & np.uint64(_EMPTY)).astype(np.int64) % _EMPTY)
 
 
 def likeness(a: np.ndarray, b: np.ndarray) -> np.ndarray:

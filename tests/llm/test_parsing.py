@@ -69,3 +69,21 @@ def test_equal_texts_have_equal_fingerprints(odd, empty):
             got.setdefault(r.text, set()).add(r.fingerprint)
     assert P.fingerprint_documents(odd).count() == odd.count()
     assert P.fingerprint_report(empty).count() == 0
+
+
+def test_likeness_does_not_depend_on_the_length():
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choices("abcdefghij", k=rng.randint(2, 9)))
+    prose = lambda n: " ".join(word() for _ in range(n))[:n]
+    near = lambda a, b: P.likeness(*np.split(P.sketches([a, b]), 2))[0]
+    for _ in range(20):
+        text = prose(405)
+        assert near(text, text[:395]) > 0.6 and near(text, prose(395)) < 0.1
+
+
+def test_edited_form_under_400_characters(spark):
+    rng = random.Random(7)
+    text = " ".join("".join(rng.choices("abcdefghij", k=rng.randint(2, 9))) for _ in range(90))[:450]
+    df = spark.createDataFrame([(2, text), (1, "")], "doc_id long, text string")
+    near = {r.doc_id: r.near_edited for r in P.fingerprint_report(df).collect()}
+    assert near[2] > 0.4 and near[1] == 1
