@@ -143,7 +143,7 @@ def model() -> tuple[np.ndarray, np.ndarray]:
 
 def extract(pages: Sequence[str], weights: np.ndarray, edge: np.ndarray) -> list[str]:
     """Main text of each page: the pieces of its content blocks, one a line."""
-    parsed = [parse(p) for p in pages]
+    parsed = [parse(p, labels=False) for p in pages]
     forest = Forest(parsed)
     p, _ = marginals(forest, weights, edge)
     return ["\n".join(text for block, text in page.pieces if p[start + block] > 0.5) for page, start in zip(parsed, forest.starts)]

@@ -36,8 +36,12 @@ class Page:
     pieces: list[tuple[int, str]] = field(default_factory=list)
 
 
-def parse(html: str) -> Page:
-    """The page's tree; any text parses, also an empty one or one without tags."""
+def parse(html: str, labels: bool = True) -> Page:
+    """The page's tree; any text parses, also an empty one or one without tags.
+
+    Without ``labels``, as for pages that nobody has labelled, ``data-y`` is an
+    attribute like any other and may have any value.
+    """
     page, stack, links = Page(), [("body", 0)], 0
     run: list[str] = []
 
@@ -118,7 +122,7 @@ def parse(html: str) -> Page:
         page.parent.append(up)
         page.tag.append(tag)
         page.names.append(frozenset(_NAME.findall(" ".join(found.values()).lower())))
-        page.label.append(page.label[up] if label is None else int(label))
+        page.label.append(int(label) if labels and label is not None else page.label[up])
         page.linked.append(0)
         stack.append((tag, len(page.tag) - 1))
     if at < n:

@@ -77,3 +77,11 @@ def test_odd_rows(spark):
     out = X.extract_pages(df)
     assert out.columns == df.columns and out.count() == len(rows)
     assert X.extraction_report(df.limit(0)).count() == 0 and X.extract_pages(df.limit(0)).count() == 0
+
+
+def test_odd_pages_with_the_label_attribute(spark):
+    values = ["12.5", "abc", "", "0", "1", None]
+    html = [f"<body><nav{y}><a href='/'>Home</a></nav><div{y}><article{y}>{PAGES[0].split('<article data-y=' + chr(39) + '1' + chr(39) + '>')[1]}" for y in ("" if v is None else f' data-y="{v}"' for v in values)]
+    df = spark.createDataFrame([(i, "u", h) for i, h in enumerate(html)], "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in X.extraction_report(df).collect()}
+    assert len(got) == len(values) and set(got.values()) == {labelled(PAGES[0])}
