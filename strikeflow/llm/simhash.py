@@ -172,13 +172,18 @@ def simhash_components(docs: DataFrame, id: str = "doc_id", text: str = "text",
     unless no row of it has another.  Repeated rows come back repeated, an
     empty table empty; other columns don't matter.
     """
+    return _rooted(docs, id, text, shingle, scratch).drop("root")
+
+
+def _rooted(docs: DataFrame, id: str, text: str, shingle: int, scratch: Scratch | None = None) -> DataFrame:
+    """(id, t, fp, root, component_id): ``root`` tells components apart also where they share an id."""
     scratch = scratch or Scratch(docs.sparkSession, "simhash")
     prints = scratch.stage(fingerprints(docs, id, text, shingle), "prints")
     roots = fingerprint_components(prints, scratch).withColumnRenamed("fp", "f")
     firsts = prints.groupBy("fp").agg(F.min("id").alias("first"))
     rooted = scratch.stage(firsts.join(roots, F.col("fp") == F.col("f"), "left").select("fp", "first", F.coalesce("root", "fp").alias("root")), "rooted")
     least = rooted.groupBy(F.col("root").alias("r")).agg(F.min("first").alias("component_id"))
-    named = scratch.stage(rooted.join(least, F.col("root") == F.col("r")).select(F.col("fp").alias("f"), "component_id"), "named")
+    named = scratch.stage(rooted.join(least, F.col("root") == F.col("r")).select(F.col("fp").alias("f"), "root", "component_id"), "named")
     return prints.join(named, F.col("fp") == F.col("f")).drop("f")
 
 
@@ -187,12 +192,12 @@ def near_dedup(docs: DataFrame, id: str = "doc_id", text: str = "text", shingle:
 
     Of rows with this id, the one whose text has the least hash stays.  A
     document with a null id stays only where its component has no other.
+    Components that share an id keep a row each.
     Columns may not be named ``_id``, ``_t`` or ``_h``.
     """
-    rows = simhash_components(docs, id, text, shingle)
+    rows = _rooted(docs, id, text, shingle)
     first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "t")).alias("first")
-    by = F.struct("component_id", F.when(F.col("component_id").isNull(), F.col("fp")).alias("fp"))
-    keep = rows.groupBy(by.alias("group")).agg(first).select(F.col("first.id").alias("_id"), F.col("first.t").alias("_t"))
+    keep = rows.groupBy("root").agg(first).select(F.col("first.id").alias("_id"), F.col("first.t").alias("_t"))
     hashed = docs.withColumn("_h", F.xxhash64(F.col(text)))
     kept = hashed.join(keep, F.col(id).cast("long").eqNullSafe(F.col("_id")) & (F.col("_h") == F.col("_t")))
     return kept.dropDuplicates(["_id", "_t"]).select(*docs.columns)

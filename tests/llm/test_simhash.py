@@ -104,3 +104,10 @@ def test_long_chain_settles(spark):
 
 def test_empty(empty):
     assert H.near_dedup_report(empty).count() == 0 and H.near_dedup(empty).count() == 0
+
+
+def test_components_that_share_an_id_keep_a_row_each(spark):
+    one, two = "the quick brown fox jumps over the lazy dog", "an entirely different text about rivers and mills"
+    df = spark.createDataFrame([(5, one), (5, two), (6, one), (7, two), (None, "some words without any id"), (None, "some words without any id")], "doc_id long, text string")
+    kept = sorted(((r.doc_id, r.text) for r in H.near_dedup(df).collect()), key=repr)
+    assert kept == [(5, two), (5, one), (None, "some words without any id")]
