@@ -142,7 +142,7 @@ def frequent_places(docs: DataFrame, min_docs: int = MIN_DOCS, batches: int = BA
     frequent = runs.finish()
     few = frequent.count() <= broadcast_hashes
     places = hashes.select("id", "t", "at", "a", "b").join(F.broadcast(frequent) if few else frequent, ["a", "b"])
-    return places.groupBy("id", "t").agg(F.collect_list("at").alias("found"))
+    return places.groupBy("id", "t").agg(F.collect_set("at").alias("found"))
 
 
 def split_lines(docs: DataFrame, found: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:

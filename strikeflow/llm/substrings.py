@@ -178,7 +178,7 @@ def repeated_spans(docs: DataFrame, scratch: Scratch, window: int = WINDOW, kmer
         placed.where("id = source")
         .join(branched, F.col("k") == F.col("k3"), "left_semi")
         .groupBy(F.col("id").alias("id2"), F.col("t").alias("t2"))
-        .agg(F.collect_list(F.struct("first", "last")).alias("runs"))
+        .agg(F.collect_set(F.struct("first", "last")).alias("runs"))
     )
     opened = rows.join(runs, (F.col("id") == F.col("id2")) & (F.col("t") == F.col("t2"))).select("id", "t", "text", "runs")
     windows = scratch.stage(_window_table(opened, window), "windows")
@@ -189,7 +189,7 @@ def repeated_spans(docs: DataFrame, scratch: Scratch, window: int = WINDOW, kmer
         .where("id > source")
         .select("id", "t", F.col("at").alias("first"), (F.col("at") + window).alias("end"))
     )
-    return later.unionByName(branches).groupBy("id", "t").agg(F.collect_list(F.struct("first", "end")).alias("spans"))
+    return later.unionByName(branches).groupBy("id", "t").agg(F.collect_set(F.struct("first", "end")).alias("spans"))
 
 
 def _cut(w: list[bytes], spans: list[dict] | None) -> list[bytes]:

@@ -59,3 +59,10 @@ def test_shuffled_hashes_give_the_same(odd):
 
 def test_empty(empty):
     assert L.line_dedup(empty).count() == 0 and L.line_dedup_report(empty).count() == 0
+
+
+def test_places_of_repeated_rows_are_listed_once(spark):
+    text = "\n".join(f"line {i % 3}" for i in range(6))
+    df = spark.createDataFrame([(1, text)] * 30 + [(None, text)] * 30, "doc_id long, text string").repartition(4)
+    assert [sorted(r.found) for r in L.frequent_places(df).collect()] == [list(range(6))] * 2
+    assert {(r.doc_id, r.text) for r in L.line_dedup(df).collect()} == {(1, ""), (None, "")}

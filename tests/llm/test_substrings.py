@@ -74,3 +74,14 @@ def test_repeating_texts(spark):
 
 def test_empty(empty):
     assert S.substring_report(empty).count() == 0 and S.substring_dedup(empty).count() == 0
+
+
+def test_spans_of_repeated_rows_are_listed_once(spark):
+    from strikeflow.llm.shared import Scratch
+
+    passage = [f"w{i}" for i in range(90)]
+    texts = [" ".join(passage), " ".join(["x"] + passage[:70]), " ".join(passage[5:] + ["y"] * 60)]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)] * 20, "doc_id long, text string").repartition(4)
+    spans = {r.id: [tuple(s) for s in r.spans] for r in S.repeated_spans(df, Scratch(spark, "t")).collect()}
+    assert set(spans) == {1, 2} and all(len(s) == len(set(s)) for s in spans.values())
+    assert {(r.doc_id, r.text) for r in S.substring_dedup(df).collect()} == {(0, texts[0]), (1, "x"), (2, " ".join(["y"] * 60))}
