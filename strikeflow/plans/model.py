@@ -136,8 +136,9 @@ class DispatchModel:
     def duration_report(self, scenario: str = "base") -> DataFrame:
         return R.duration_report(self.series, scenario)
 
-    def strike_counts(self, zones=("lz_north",)) -> DataFrame:
-        """Strike counts of the given zones; only their series are made."""
+    def strike_counts(self, zones=None) -> DataFrame:
+        """Strike counts of the given zones, by default all of ``Params.zones``; only their series are made."""
+        zones = tuple(zones or self.p.zones)
         return R.strike_counts(self.series_days(zones=zones), zones)
 
     def reports(self, strike_zones=None) -> dict[str, DataFrame]:

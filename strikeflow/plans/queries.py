@@ -128,7 +128,7 @@ def monthly_value(spark, sf_dir):
 
 
 def strike_counts(spark, sf_dir):
-    return _model(spark, sf_dir).strike_counts().drop("zone_ord", "case_ord")
+    return _model(spark, sf_dir).strike_counts(("lz_north",)).drop("zone_ord", "case_ord")
 
 
 def duration_report_base(spark, sf_dir):

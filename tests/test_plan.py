@@ -4,6 +4,7 @@ import re
 
 from pyspark.sql import functions as F
 
+from strikeflow.params import Params
 from strikeflow.plans.model import DispatchModel
 from strikeflow.sources.fixtures import load_fixture
 from tests.conftest import SF_SMALL
@@ -70,3 +71,8 @@ def test_strike_counts_make_the_wanted_zones_only(spark):
     plan = _plan(DispatchModel.from_fixture(spark, SF_SMALL).strike_counts(("lz_west",)))
     generate = [line for line in plan.splitlines() if "Generate explode(" in line]
     assert generate and all(line.count("price") <= 2 * 6 for line in generate if "zone_ord" in line)
+
+
+def test_strike_counts_are_of_all_zones_by_default(spark):
+    counts = DispatchModel.from_fixture(spark, SF_SMALL).strike_counts()
+    assert {r.zone for r in counts.select("zone").distinct().collect()} == set(Params().zones)
