@@ -14,11 +14,14 @@ from .mixing import mix_report
 from .parsing import fingerprint_report
 from .pieces import piece_report
 from .quality import quality_report
+from .repair import repair_report
 from .shared import table
 from .simhash import near_dedup_report
-from .sql import CHAT, LINES, QUALITY, SUBSTRINGS
+from .spelling import spelling_report
+from .sql import CHAT, LINES, QUALITY, REPAIR, SPELLING, SUBSTRINGS, TOPK
 from .substrings import substring_report
 from .tokenfile import token_file_report
+from .topk import top_k_report
 
 
 def tokenizer_file(name: str) -> str:
@@ -70,6 +73,18 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_file_report(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"))
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_report(table(spark, sf_dir, "documents"))
+
+
+def op12_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_k_report(table(spark, sf_dir, "embeddings"))
+
+
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair_report(table(spark, sf_dir, "conversations"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -83,6 +98,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_substring_dedup,
         op9_entropy_balancing,
         op10_token_files,
+        op11_spelling_variants,
+        op12_exact_top_k,
+        op13_conversation_repair,
     )
 }
 
@@ -91,4 +109,7 @@ ORACLES: dict[str, str] = {
     "op4_chat_formatting": CHAT,
     "op5_quality_rules": QUALITY,
     "op8_substring_dedup": SUBSTRINGS,
+    "op11_spelling_variants": SPELLING,
+    "op12_exact_top_k": TOPK,
+    "op13_conversation_repair": REPAIR,
 }

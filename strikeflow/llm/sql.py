@@ -99,3 +99,151 @@ WITH split AS (
 SELECT doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept.text, '')) AS kept_sha256
 FROM split LEFT JOIN kept USING (doc_id)
 """
+
+#: CRC-32 of texts' UTF-8 bytes: ``crc`` holds the table that its polynomial gives.
+_CRC_TABLE = """
+crc AS (
+  SELECT list(v ORDER BY n) AS steps
+  FROM (SELECT n, list_reduce(list_prepend(CAST(n AS UBIGINT), list_transform(range(8), lambda i: CAST(i AS UBIGINT))),
+                              lambda c, i: CASE WHEN c % 2 = 1 THEN xor(c >> 1, CAST(3988292384 AS UBIGINT)) ELSE c >> 1 END) AS v
+        FROM range(256) r(n))
+)"""
+
+
+def _crc(text: str) -> str:
+    """CRC-32 of ``text``, where ``crc`` is joined."""
+    code = f"hex(encode({text}))"
+    bytes_ = f"list_transform(range(length({code}) // 2), lambda i: CAST('0x' || substr({code}, 2 * i + 1, 2) AS UBIGINT))"
+    start = "CAST(4294967295 AS UBIGINT)"
+    folded = f"list_reduce(list_prepend({start}, {bytes_}), lambda c, b: xor(c >> 8, steps[CAST(xor(c, b) & 255 AS BIGINT) + 1]))"
+    return f"CAST(xor({folded}, {start}) AS BIGINT)"
+
+
+SPELLING = rf"""
+WITH RECURSIVE {_CRC_TABLE}, runs AS (
+  SELECT doc_id, run, count(*) AS n
+  FROM (SELECT doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                                 '[A-Za-zÀ-ÿ]+')) AS run FROM documents)
+  GROUP BY doc_id, run
+), hashed AS (
+  SELECT run, n, {_crc("coalesce(CAST(doc_id AS VARCHAR), '') || ':' || run")} AS h FROM runs, crc
+), words AS (
+  SELECT word, CAST(sum(n) AS BIGINT) AS n
+  FROM (SELECT n, CASE WHEN h % 199 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word FROM hashed)
+  WHERE length(word) >= 6 GROUP BY word HAVING sum(n) >= 5
+), shorter AS (
+  SELECT word, n, i, substr(word, 1, i - 1) || substr(word, i + 1) AS rest
+  FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM words)
+), near AS (
+  SELECT a.word, b.word AS other, b.n AS other_n FROM shorter a JOIN shorter b ON a.rest = b.rest AND a.i = b.i AND a.word <> b.word
+  UNION SELECT a.word, b.word, b.n FROM shorter a JOIN words b ON a.rest = b.word
+  UNION SELECT b.word, a.word, a.n FROM shorter a JOIN words b ON a.rest = b.word
+), best AS (
+  SELECT words.word, words.n, count(other) AS n_near,
+         first(other ORDER BY other_n DESC, other) FILTER (other IS NOT NULL) AS other, max(other_n) AS other_n
+  FROM words LEFT JOIN near ON near.word = words.word GROUP BY words.word, words.n
+), forms AS (
+  SELECT word, n, n_near, CASE WHEN other_n >= 5 * n THEN other END AS form, CASE WHEN other_n >= 5 * n THEN other_n END AS form_n FROM best
+), chain AS (
+  SELECT word, word AS root, form AS next FROM forms
+  UNION ALL SELECT chain.word, forms.word, forms.form FROM chain JOIN forms ON forms.word = chain.next
+)
+SELECT forms.word, form, root, n, n_near, form_n FROM forms JOIN chain ON chain.word = forms.word AND chain.next IS NULL
+"""
+
+TOPK = """
+WITH taken AS (
+  SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS q
+  FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), scored AS (
+  SELECT a.r, a.vec_id AS query_id, b.vec_id,
+         coalesce(CAST(list_sum(list_transform(range(1, least(len(a.q), len(b.q)) + 1), lambda i: a.q[i] * b.q[i])) AS BIGINT), 0) AS score
+  FROM taken a JOIN taken b ON a.r <> b.r WHERE a.vec_id % 100 = 0
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY r ORDER BY score DESC, vec_id ASC NULLS LAST) AS place FROM scored
+)
+SELECT query_id, CAST(place AS INTEGER) AS rank, vec_id, score FROM ranked WHERE place <= 10
+"""
+
+
+def _ways(into: str, *ways: str) -> str:
+    return f"list_min(list_filter([{', '.join(ways)}], lambda w: w IS NOT NULL)) AS {into}"
+
+
+def _repair() -> str:
+    far = "NULL::STRUCT(cost BIGINT, audit VARCHAR, said VARCHAR[])"
+
+    def then(state: str, cost: str, letter: str, line: str | None, when: str = "true") -> str:
+        said = f"list_append({state}.said, {line})" if line else f"{state}.said"
+        return f"CASE WHEN {state} IS NOT NULL AND {when} THEN {{'cost': {state}.cost + {cost}, 'audit': {state}.audit || '{letter}', 'said': {said}}} END"
+
+    def inserted(source: str, table: str) -> str:
+        """All states after up to three more inserts."""
+        user, assistant = "'user:'", "'assistant:'"
+        step = f"SELECT * REPLACE (list_min(list_filter([u, {then('e', '3', 'I', user)}, {then('s', '3', 'I', user)}, {then('a', '3', 'I', user)}], lambda w: w IS NOT NULL)) AS u, " \
+               f"list_min(list_filter([a, {then('u', '3', 'I', assistant)}], lambda w: w IS NOT NULL)) AS a) FROM "
+        return f"{table} AS ({step}({step}({step}{source})))"
+
+    text, cut = "r.role || ':' || r.text", "CASE WHEN r.cut THEN 3 ELSE 0 END"
+    kind = "substr(r.role, 1, 1)"
+    user, assistant = "'user:' || r.text", "'assistant:' || r.text"
+    keep = lambda s, k: then(f"b.{s}", cut, "K", text, f"NOT r.gone AND {kind} = '{k}'")
+    rerole = lambda s, line: then(f"b.{s}", f"3 + {cut}", "R", line, "NOT r.gone")
+    drop = lambda s: then(f"b.{s}", "4", "D", None)
+    turn = ", ".join([
+        drop("e") + " AS e",
+        _ways("s", drop("s"), keep("e", "s")),
+        _ways("u", drop("u"), *[f(*x) for s in "esa" for f, x in ((keep, (s, "u")), (rerole, (s, user)))]),
+        _ways("a", drop("a"), keep("u", "a"), rerole("u", assistant)),
+    ])
+    return rf"""
+WITH RECURSIVE {_CRC_TABLE}, fated AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+         {_crc("coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ')")} % 20 AS fate
+  FROM conversations, crc
+), damaged AS (
+  SELECT conv_id, turn, CASE WHEN fate = 4 THEN 'user' ELSE role END AS role,
+         CASE fate WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+         unnest(CASE fate WHEN 0 THEN [] WHEN 3 THEN [1, 2] ELSE [1] END) AS copy
+  FROM fated
+), placed AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, md5(text)) AS i,
+         regexp_replace(text, '[{_WS}]+$', '') AS shown
+  FROM damaged
+), faults AS (
+  SELECT *, shown = '' AS blank, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 AS again,
+         right(shown, 1) NOT IN ('.', '!', '?') AS open,
+         lag(substr(role, 1, 1)) OVER (PARTITION BY conv_id ORDER BY i) || '>' || substr(role, 1, 1) AS pair
+  FROM placed
+), r AS (
+  SELECT *, blank OR again AS gone, NOT blank AND NOT again AND open AS cut FROM faults
+), facts AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (blank) AS blank,
+         count(*) FILTER (again AND NOT blank) AS duplicate, count(*) FILTER (cut) AS truncated,
+         count(*) FILTER (pair NOT IN ('s>u', 'u>a', 'a>u')) AS illegal, max(i) AS n
+  FROM r GROUP BY conv_id
+), walk AS (
+  SELECT conv_id, CAST(0 AS BIGINT) AS i, {{'cost': CAST(0 AS BIGINT), 'audit': '', 'said': CAST([] AS VARCHAR[])}} AS e,
+         {far} AS s, {far} AS u, {far} AS a
+  FROM facts
+  UNION ALL
+  SELECT * FROM (
+    WITH {inserted("walk", "b")}
+    SELECT r.conv_id, r.i, {turn} FROM b JOIN r ON r.conv_id IS NOT DISTINCT FROM b.conv_id AND r.i = b.i + 1
+  )
+), ended AS (
+  SELECT conv_id, i, unnest([e, a]) AS way FROM ({inserted("walk", "w").removeprefix("w AS (").removesuffix(")")})
+), cheapest AS (
+  SELECT ended.conv_id, min(way) AS way FROM ended JOIN facts ON ended.conv_id IS NOT DISTINCT FROM facts.conv_id AND ended.i = facts.n
+  WHERE way IS NOT NULL GROUP BY ended.conv_id
+)
+SELECT c.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate,
+       coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, coalesce(way.cost, 0) AS cost,
+       coalesce(way.audit, '') AS audit, sha256(coalesce(array_to_string(way.said, chr(10)), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) c
+LEFT JOIN facts ON facts.conv_id IS NOT DISTINCT FROM c.conv_id LEFT JOIN cheapest ON cheapest.conv_id IS NOT DISTINCT FROM c.conv_id
+"""
+
+
+REPAIR = _repair()
