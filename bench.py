@@ -4,10 +4,9 @@ Prints one JSON line: {"metric", "value", "unit", "queries", "sf"}.
 
 Each query is executed in full from the parquet input (``noop`` sink, no
 collect).  The report queries share one ``DispatchModel`` object, as a user
-running several reports would: the first of them also writes the series-day
-table that the others read.  ``all_reports`` is the production path of a model
-of its own: the series-day table is written once, and nine Parquet reports are
-made from it.  A warm-up on the smallest fixture runs first so JVM start-up is not
+running several reports would: the first of them also writes the carries and
+the facts that others read.  ``all_reports`` is the production path of a model
+of its own: both are written once, and nine Parquet reports are made from them.  A warm-up on the smallest fixture runs first so JVM start-up is not
 billed to a query.
 """
 
@@ -57,7 +56,7 @@ def main() -> None:
         "duration_report_base": lambda: model.duration_report("base"),
         "duration_report_new_ordc": lambda: model.duration_report("new_ordc"),
         "strike_counts": lambda: model.strike_counts(),
-        "constrained_value": lambda: model.series.select("zone", "scenario", "strike_case", "tick_id", "cvalue"),
+        "constrained_value": lambda: model.series_table(("cvalue",)).select("zone", "scenario", "strike_case", "tick_id", "cvalue"),
     }
     for name in HEADLINE:
         _run(plans[name]())

@@ -394,7 +394,7 @@ def queries() -> dict[str, str]:
         + ", ".join(f"CASE WHEN count(*) FILTER (WHERE month = {m}) > 0 THEN "
                     f"CAST(coalesce(sum(strike) FILTER (WHERE month = {m}), 0) AS BIGINT) END AS m{m:02d}"
                     for m in range(1, 13))
-        + " FROM series WHERE zone = 'lz_north' GROUP BY scenario, zone, strike_case, year, hour",
+        + " FROM series GROUP BY scenario, zone, strike_case, year, hour",
         series=True)
     q["duration_report_base"] = with_ctes(_duration_report_sql("base"), series=True)
     q["duration_report_new_ordc"] = with_ctes(_duration_report_sql("new_ordc"), series=True)

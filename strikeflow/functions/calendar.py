@@ -27,18 +27,25 @@ def quarter_hour(minute: Column) -> Column:
     )
 
 
+def second_pass(ts: Column, repeated_hour: Column, timezone: str, second_pass_flag: str) -> Column:
+    """Is a tick flagged as the second pass of the autumn repeated hour, in that hour?
+
+    The hour is ambiguous if the instant one hour later shows the same wall
+    clock; a flag on any other hour changes nothing.
+    """
+    later = F.convert_timezone(F.lit(timezone), F.lit("UTC"), ts) + F.expr("INTERVAL 1 HOUR")
+    again = F.convert_timezone(F.lit("UTC"), F.lit(timezone), later) == ts
+    return F.coalesce((repeated_hour == F.lit(second_pass_flag)) & again, F.lit(False))
+
+
 def order_key(ts: Column, repeated_hour: Column, timezone: str, second_pass_flag: str) -> Column:
     """Instant of a wall-clock tick, used only to order ticks.
 
     ``convert_timezone`` resolves the ambiguous autumn hour to its first pass;
-    rows flagged as the second pass are moved one hour later.  The hour is
-    ambiguous if the instant one hour later shows the same wall clock; a flag
-    on any other hour changes nothing.
+    rows of the second pass are moved one hour later.
     """
     utc = F.convert_timezone(F.lit(timezone), F.lit("UTC"), ts)
-    later = utc + F.expr("INTERVAL 1 HOUR")
-    again = F.convert_timezone(F.lit("UTC"), F.lit(timezone), later) == ts
-    return F.when((repeated_hour == F.lit(second_pass_flag)) & again, later).otherwise(utc)
+    return F.when(second_pass(ts, repeated_hour, timezone, second_pass_flag), utc + F.expr("INTERVAL 1 HOUR")).otherwise(utc)
 
 
 def calendar_columns(df: DataFrame, ts: str = "ts") -> DataFrame:

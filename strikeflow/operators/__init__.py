@@ -1,8 +1,9 @@
 """DataFrame -> DataFrame operators, composed with ``df.transform``.
 
-Layout: ``ticks`` (one row per price tick, all zones as columns) is built by
-``ticks``/``settlement``/``enrich``/``pricing``; ``series`` unpivots it into
-the long table (one row per tick x zone x scenario x strike case) on which
-``dispatch`` and ``constraints`` run their window functions; ``reports``
-aggregates the long table.
+Layout: ``ticks`` (one row per price tick) is built by ``ticks``/``enrich``/
+``pricing``; ``zones`` makes a row per tick and zone of it, with the zone's
+series (scenario x strike case) side by side, and runs the windows of one
+quarter hour; ``carries`` scans what quarter hours hand on to each other;
+``dispatch``/``constraints`` put both together for each tick; ``series`` is the
+long table, one row per tick and series; ``reports`` aggregates.
 """

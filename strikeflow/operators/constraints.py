@@ -1,87 +1,38 @@
 """Contract constraints: dispatch only in hour windows and on eligible
-weekdays, cap qualifying events per day and per week, bound durations."""
+weekdays, cap qualifying events per day and per week, bound durations.
 
-from __future__ import annotations
-
-from pyspark.sql import Column, DataFrame, Window
-from pyspark.sql import functions as F
+Rules of one tick, or of one quarter's first tick, as SQL text: they are written
+out for each series of a zone, and one text a column keeps the plan's
+construction short.  Arguments are column names or expressions; the columns of a
+date and hour (``weekday_ok``, ``inside``, ``min_duration`` and so on) are taken by name.
+"""
 
-from strikeflow.operators.dispatch import MIN_PER_SEC, PART, flag, nullif0, w_running
+from __future__ import annotations
 
 
-def constrained_dispatch(outside_flag: bool) -> Column:
+def constrained_dispatch(outside_flag: bool, strike: str, dispatch: str) -> str:
     """Dispatch allowed by the windows and weekdays.  Entering a window while
     the strike is on forces a dispatch (``entry``, see ``window_entry``)."""
-    c = F.col
-    entered = flag((c("strike") == 1) & c("entry"))
-    in_window = F.when(entered == 1, F.lit(1)).otherwise(c("dispatch"))
+    in_window = f"CASE WHEN {strike} = 1 AND entry THEN 1 ELSE {dispatch} END"
     if outside_flag:
-        return F.when(
-            c("weekday_ok") == 1,
-            F.when(c("outside") & (c("min_duration") > 0), c("dispatch"))
-            .when(c("inside"), in_window)
-            .otherwise(F.lit(0)),
-        ).otherwise(F.lit(0))
-    return F.when(c("outside"), F.lit(0)).otherwise(
-        F.when(c("weekday_ok") == 1, in_window).otherwise(F.lit(0))
-    )
-
+        return f"CASE WHEN weekday_ok = 1 THEN CASE WHEN outside AND min_duration > 0 THEN {dispatch} WHEN inside THEN {in_window} ELSE 0 END ELSE 0 END"
+    return f"CASE WHEN outside THEN 0 WHEN weekday_ok = 1 THEN {in_window} ELSE 0 END"
 
-def with_constrained_events(s: DataFrame, outside_flag: bool) -> DataFrame:
-    """Constrained dispatch and event ordinal (daily-window pass)."""
-    c = F.col
-    cdispatch = constrained_dispatch(outside_flag)
-    day_arm = (c("strike") == 1) & c("day_start")
-    if not outside_flag:
-        day_arm = day_arm & c("inside")
-    cmarker = flag((cdispatch == 1) | day_arm)
-    return s.withColumns(
-        {"cdispatch": cdispatch, "cmarker": cmarker, "cevent": nullif0(F.sum(cmarker).over(w_running()))}
-    )
 
+def constrained_marker(outside_flag: bool, strike: str, cdispatch: str, day_start: str) -> str:
+    """Start of a constrained event: a constrained dispatch, or the strike on at the first tick of a date."""
+    in_reach = "" if outside_flag else " AND inside"
+    return f"CASE WHEN {cdispatch} = 1 OR ({strike} = 1 AND {day_start}{in_reach}) THEN 1 ELSE 0 END"
 
-def with_daily(s: DataFrame) -> DataFrame:
-    """Given cevent and event_max_duration: running constrained duration,
-    qualifying events (long enough, inside a window), their daily count, and
-    ``week_step``, the day's running count of those within the daily cap."""
-    c = F.col
-    run_secs = F.sum("tick_secs").over(w_running("cevent"))
-    qualifying = flag((c("event_max_duration") >= c("min_duration")) & c("inside") & (c("cmarker") == 1))
-    # constrained-event sort first, then the daily windows on one sort
-    s = s.withColumn(
-        "cduration_raw", F.when((c("strike") == 1) & c("cevent").isNotNull(), F.lit(MIN_PER_SEC) * run_secs)
-    )
-    s = s.withColumns({"qualifying": qualifying, "daily": nullif0(F.sum(qualifying).over(w_running()))})
-    step = F.when(c("daily") <= c("daily_max"), c("qualifying")).otherwise(F.lit(0))
-    return s.withColumn("week_step", F.sum(step).over(w_running()))
 
+def within_daily_cap(n: str) -> str:
+    """How many of a day's first ``n`` qualifying events the daily cap lets count for the week."""
+    return f"least(bigint({n}), bigint(greatest(daily_max, 0)))"
 
-def with_weekly(s: DataFrame) -> DataFrame:
-    """weekly: events counted so far in the (ISO week, calendar year), i.e. the
-    day's running count plus the totals of the week's days before.
 
-    ``s`` should be a written table: it is read once for the totals (one row
-    per series and day) and once for the result.  The totals join on ``PART``.
-    """
-    days = s.groupBy(*PART).agg(F.max("week").alias("w"), F.max("year").alias("y"), F.max("week_step").alias("n"))
-    before = Window.partitionBy("zone_ord", "scen_ord", "case_ord", "w", "y").orderBy("date").rowsBetween(Window.unboundedPreceding, -1)
-    days = days.select(*PART, F.coalesce(F.sum("n").over(before), F.lit(0)).alias("week_before"))
-    return s.join(F.broadcast(days), list(PART)).withColumn("weekly", nullif0(F.col("week_before") + F.col("week_step"))).drop("week_before", "week_step")
-
-
-def with_constrained(s: DataFrame, outside_flag: bool) -> DataFrame:
-    """The constrained duration (NULL = not paid), given the daily and weekly counts."""
-    c = F.col
-    d = c("cduration_raw")
-    over_min = d >= c("min_duration")
-    inside_rule = (
-        F.when((c("weekly") > c("weekly_max")) & over_min, F.lit(None))
-        .when((c("daily") > c("daily_max")) & over_min, F.lit(None))
-        .when((d > c("max_duration")) | c("late_out"), F.lit(None))
-        .otherwise(d)
-    )
-    if outside_flag:
-        outside_rule = F.when(c("duration") >= c("min_duration"), F.lit(None)).otherwise(c("duration"))
-    else:
-        outside_rule = F.lit(None)
-    return s.withColumn("cduration", F.when(c("inside"), inside_rule).otherwise(outside_rule).cast("double"))
+def constrained_duration(outside_flag: bool, d: str, duration: str, daily: str, weekly: str) -> str:
+    """The constrained duration (NULL = not paid) from the running one ``d``, given the daily and weekly counts."""
+    over_cap = f"({weekly} > weekly_max OR {daily} > daily_max) AND {d} >= min_duration"
+    inside_rule = f"CASE WHEN {over_cap} THEN NULL WHEN {d} > max_duration OR late_out THEN NULL ELSE {d} END"
+    outside_rule = f"CASE WHEN {duration} >= min_duration THEN NULL ELSE {duration} END" if outside_flag else "NULL"
+    return f"double(CASE WHEN inside THEN {inside_rule} ELSE {outside_rule} END)"

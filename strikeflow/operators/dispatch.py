@@ -1,105 +1,66 @@
-"""Per-series window operators: strike flags, dispatch, events, durations,
-value -- and the midnight carry.
-
-The series table is hash-partitioned once by (zone, scenario, case, date) --
-``PART``, as integer columns and a date, so that sorts compare primitives.
-Every window here is partitioned by ``PART`` plus more keys (quarter hour,
-event), so all of them run inside that one partitioning, and its groups grow
-in number with the days of the data.  Two quantities cross midnight: the
-strike flag of the previous tick at the first tick of a date, which comes
-from the tick summary, and the weekly event count
-(``constraints.with_weekly``).
-
-Sort sharing: windows with equal (partition, order) specs share one sort.
-"""
+"""Dispatch, events, durations and values of each tick, from the zone table's
+local columns and its quarter's carries; no window is left to run."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
-from pyspark.sql import functions as F
-
-ORDER = ("ord_ts", "tick_id")
-# partitioning of the series table; window keys begin with it
-PART = ("zone_ord", "scen_ord", "case_ord", "date")
-RUN = (Window.unboundedPreceding, Window.currentRow)
-MIN_PER_SEC = 1.0 / 60.0
-
-
-def partition_series(s: DataFrame, n: int) -> DataFrame:
-    """The single shuffle of the series table, into a fixed number of
-    partitions: the work after it (about ten window sorts) is heavy per byte,
-    so size-based coalescing of the shuffle would starve it of tasks."""
-    return s.repartition(n, *PART)
-
-
-def w_day() -> Window:
-    return Window.partitionBy(*PART).orderBy(*ORDER)
-
-
-def w_running(*keys: str) -> Window:
-    """Running frame within (series, date, *keys), in tick order."""
-    return Window.partitionBy(*PART, *keys).orderBy(*ORDER).rowsBetween(*RUN)
-
-
-def nullif0(c: Column) -> Column:
-    return F.when(c != 0, c)
-
-
-def flag(cond: Column) -> Column:
-    """1 where cond is true, else 0 (NULL counts as false)."""
-    return F.when(cond, F.lit(1)).otherwise(F.lit(0))
-
-
-def with_strike(s: DataFrame) -> DataFrame:
-    """Price above the row-month LMP strike, sticky for the rest of its quarter hour."""
-    from strikeflow.operators.series import raw_strike
-
-    return s.withColumn("strike", F.max(raw_strike(F.col("price"), F.col("k_lmp"))).over(w_running("hour", "interval")))
-
-
-def with_dispatch(s: DataFrame) -> DataFrame:
-    """prev_strike (previous tick's flag; the day's first tick takes the carried
-    ``prev_day_strike``), dispatch = strike turns on, and the event ordinal.
-
-    A tick starts an event when it dispatches, or when the strike is on at
-    the first tick of a date; the ordinal persists until the next start."""
-    prev = F.when(F.col("day_start"), F.col("prev_day_strike")).otherwise(F.lag("strike").over(w_day()))
-    s = s.withColumn("prev_strike", prev)
-    dispatch = flag((F.col("strike") == 1) & (F.col("prev_strike") == 0))
-    marker = flag((dispatch == 1) | ((F.col("strike") == 1) & F.col("day_start")))
-    return s.withColumns({"dispatch": dispatch, "event": nullif0(F.sum(marker).over(w_running()))})
-
-
-def with_durations(s: DataFrame) -> DataFrame:
-    """Running duration (minutes) on strike ticks within the event, and the
-    longest duration of the tick's event (both in one sort)."""
-    run_secs = F.sum("tick_secs").over(w_running("event"))
-    s = s.withColumn(
-        "duration",
-        F.when((F.col("strike") == 1) & F.col("event").isNotNull(), F.lit(MIN_PER_SEC) * run_secs),
-    )
-    whole_event = (
-        Window.partitionBy(*PART, "event")
-        .orderBy(*ORDER)
-        .rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    )
-    return s.withColumn(
-        "event_max_duration", F.when(F.col("event").isNotNull(), F.max("duration").over(whole_event))
-    )
+import re
 
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-def tick_value(capture_pct: float, constrained: bool = False) -> Column:
-    """$/MW value of a tick: (spp - strike) x quarter-hour share x 0.25 h; the
-    tick where the strike turns on only captures ``capture_pct`` of it."""
-    gain = F.col("spp") - F.col("k_spp")
-    initial = (F.col("strike") == 1) & (F.col("prev_strike") == 0)
-    if constrained:
-        kept = F.col("cduration").isNotNull()
-        v = (
-            F.when(initial & kept, F.lit(capture_pct) * gain)
-            .when(kept, F.col("strike") * gain)
-            .otherwise(F.lit(0.0))
-        )
-    else:
-        v = F.when(initial, F.lit(capture_pct) * gain).otherwise(F.col("strike") * gain)
-    return v * F.lit(0.25) * F.col("weight")
+from strikeflow.operators.carries import CARRY, minutes
+from strikeflow.operators.constraints import constrained_dispatch, constrained_duration, constrained_marker, within_daily_cap
+from strikeflow.operators.zones import QUARTER, series_of_zone
+from strikeflow.params import Params
+
+#: Columns that a series gets, numbered as its others.
+SERIES_COLUMNS = (
+    "strike", "prev_strike", "dispatch", "event", "duration", "event_max_duration", "cdispatch", "cmarker", "cevent",
+    "cduration_raw", "qualifying", "daily", "weekly", "cduration", "part", "cpart",
+)
+
+
+def with_carries(z: DataFrame, gathered: DataFrame, p: Params) -> DataFrame:
+    """Every tick's series columns.  The carries join on the quarter, by which the zone table is partitioned and sorted.
+
+    ``part`` and ``cpart`` are the shares of the tick's gain that its unconstrained and constrained value have:
+    the tick where the strike turns on only captures ``capture_pct``."""
+    z = z.join(gathered, list(QUARTER), "left")
+    for step in _steps(p):
+        z = z.withColumns({f"{name}{x}": F.expr(re.sub("#", str(x), e)) for x, *_ in series_of_zone(p) for name, e in step.items()})
+    return z
+
+
+def _steps(p: Params) -> list[dict[str, str]]:
+    """The columns to add, in turn, as SQL text; # stands for the series' number."""
+    out = p.dispatch_outside
+    # qualifying events of the quarter so far: starts are on strike, so in the event whose longest duration is m_end
+    counted = f"(d_in# + CASE WHEN inside AND {minutes('m_end#')} >= min_duration THEN starts# + cfirst# ELSE 0 END)"
+    share = f"CASE WHEN dispatch# = 1 THEN {p.capture_pct!r}D ELSE double(strike#) END"
+    return [
+        {name: f"carry[#].{name}" for name in CARRY} | {"prev_strike": "CASE WHEN q_first THEN carry[#].prev ELSE was# END"},
+        {
+            "dispatch": "CASE WHEN strike# = 1 AND prev_strike# = 0 THEN 1 ELSE 0 END",
+            "event": "nullif(CASE WHEN strike# = 1 THEN e_end# ELSE e_in# END, 0)",
+            "cevent": "nullif(ce_in# + cfirst# + starts#, 0)",
+            "daily": f"nullif({counted}, 0)",
+            "weekly": f"nullif(w_in# + {within_daily_cap(counted)} - {within_daily_cap('d_in#')}, 0)",
+        },
+        {
+            "duration": f"CASE WHEN strike# = 1 AND event# IS NOT NULL THEN {minutes('cum_us + base#')} END",
+            "event_max_duration": f"CASE WHEN event# IS NOT NULL THEN {minutes('CASE WHEN strike# = 1 THEN m_end# ELSE m_in# END')} END",
+            "cduration_raw": "CASE WHEN strike# = 1 AND cevent# IS NOT NULL THEN "
+            + minutes("cum_us + coalesce(-last_start#, CASE WHEN cfirst# = 1 THEN 0 ELSE cbase# END)")
+            + " END",
+            "cdispatch": constrained_dispatch(out, "strike#", "dispatch#"),
+            "part": share,
+        },
+        {
+            "cmarker": constrained_marker(out, "strike#", "cdispatch#", "day_start"),
+            "cduration": constrained_duration(out, "cduration_raw#", "duration#", "daily#", "weekly#"),
+        },
+        {
+            "qualifying": "CASE WHEN event_max_duration# >= min_duration AND inside AND cmarker# = 1 THEN 1 ELSE 0 END",
+            "cpart": "CASE WHEN cduration# IS NOT NULL THEN part# ELSE 0.0D END",
+        },
+    ]

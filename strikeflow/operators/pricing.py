@@ -16,8 +16,8 @@ def with_base_price(ticks: DataFrame, zones) -> DataFrame:
     )
 
 
-def with_new_ordc(ticks: DataFrame, p: Params, zones) -> DataFrame:
-    """Re-priced adders and zone prices (capped lambda, normal-CDF reserve terms)."""
+def with_new_adders(ticks: DataFrame, p: Params) -> DataFrame:
+    """Re-priced adders (capped lambda, normal-CDF reserve terms); they are the same for all zones."""
     lam = F.col("system_lambda")
     lam_c = F.when(lam > F.lit(p.lambda_cap), F.lit(p.lambda_cap)).otherwise(lam)
     olcap, offcap = F.col("rtolcap"), F.col("rtoffcap")
@@ -35,13 +35,20 @@ def with_new_ordc(ticks: DataFrame, p: Params, zones) -> DataFrame:
         {
             "lambda_capped": lam_c,
             "new_rtoffpa": F.when(headroom > 0, F.lit(0.5) * headroom).otherwise(F.lit(0.0)) * off_scarcity,
-            **{f"new_{z}": F.col(z) - (lam - lam_c) for z in zones},
         }
-    ).withColumn(
+    )
+    return out.withColumn(
         "new_rtorpa",
         F.col("new_rtoffpa")
         + F.lit(0.5) * F.when(headroom > 0, headroom).otherwise(F.lit(0.0)) * on_scarcity,
     )
+
+
+def with_new_ordc(ticks: DataFrame, p: Params, zones) -> DataFrame:
+    """Re-priced adders, and zone prices as columns."""
+    out = with_new_adders(ticks, p)
+    shift = F.col("system_lambda") - F.col("lambda_capped")
+    out = out.withColumns({f"new_{z}": F.col(z) - shift for z in zones})
     return out.withColumns({f"new_{z}_price": F.col(f"new_{z}") + F.col("new_rtorpa") for z in zones})
 
 

@@ -1,117 +1,152 @@
-"""Report aggregates over the long series table.
-
-Month columns are a fixed list (m01..m12) built with conditional aggregates
-in a single groupBy, so each report is one partial+final aggregation; a
-(year, month) cell with no ticks stays NULL, one whose values are all NULL
-sums to 0.
+"""Report aggregates over the zone table.
+
+``facts`` is one pass over it, without a shuffle: value sums, strike counts and
+longest durations of all the zone's series, by hour and event.  All reports are
+made from these few rows, so a run writes them once, and facts of earlier dates
+can be kept (``plans.incremental``).
+Month columns are a fixed list (m01..m12); a (year, month) cell with no ticks
+stays NULL, one whose values are all NULL sums to 0.
+
+Value sums are kept as whole numbers (``exact_sums``): they add up to the same
+result in any order and partitioning, and partial sums can be stored and added
+later.  They do not contain the strike: the value of a month is
+``a - strike * b``, so a new last month, whose strike values all earlier ticks
+(``strike_basis``), needs no earlier tick.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strikeflow.functions.rounding import np_round
+from strikeflow.operators.series import named, valuation_strike
+from strikeflow.operators.zones import series_of_zone
+from strikeflow.params import SCENARIOS, Params
 
 MONTHS = tuple(range(1, 13))
+#: Binary places of the whole and of the fine part of a stored sum.
+WHOLE, FINE = 20, 32
+SUMS = ("a", "b", "ca", "cb")
+MONTH_KEYS = ("scen_ord", "zone_ord", "case_ord", "year", "month")
 
 
 def mcol(m: int) -> str:
     return f"m{m:02d}"
 
 
-def monthly_value(s: DataFrame) -> DataFrame:
-    """$/MW by (scenario, constrained, zone, strike case, year) x month,
-    rounded to whole dollars (half to even)."""
-    keys = ("scenario", "zone", "zone_ord", "strike_case", "case_ord", "year")
-    aggs = []
-    for m in MONTHS:
-        in_m = F.col("month") == m
-        aggs += [
-            F.count(F.when(in_m, 1)).alias(f"n{m}"),
-            F.sum(F.when(in_m, F.col("value"))).alias(f"v{m}"),
-            F.sum(F.when(in_m, F.col("cvalue"))).alias(f"c{m}"),
-        ]
-    g = s.groupBy(*keys).agg(*aggs)
-
-    def cells(prefix):
-        return [
-            F.when(F.col(f"n{m}") > 0, np_round(F.coalesce(F.col(f"{prefix}{m}"), F.lit(0.0)), 0)).alias(mcol(m))
-            for m in MONTHS
-        ]
-
-    # both flavours from the one aggregate (a union of two projections would
-    # be planned as two copies of the whole pipeline)
-    flavours = F.explode(
-        F.array(
-            F.struct(F.lit(False).alias("constrained"), *cells("v")),
-            F.struct(F.lit(True).alias("constrained"), *cells("c")),
-        )
-    ).alias("f")
-    return g.select(*keys, flavours).select(*keys, "f.*")
+def exact_sums(v: str, name: str) -> list[Column]:
+    """Sum of ``v`` as two whole numbers, of its multiples of 2^-20 and of the rest's of 2^-52; nulls count nothing.
 
+    Good for sums up to 2^43 of up to 2^31 rows; what is cut off a row is below 2^-52."""
+    scaled = f"(({v}) * {float(1 << WHOLE)!r}D)"
+    parts = {"whole": f"floor({scaled})", "fine": f"floor(({scaled} - floor({scaled})) * {float(1 << FINE)!r}D)"}
+    return [F.expr(f"coalesce(sum({e}), 0L)").alias(f"{name}_{kind}") for kind, e in parts.items()]
+
+
+def total(name: str) -> Column:
+    """The sum that ``exact_sums`` stored."""
+    return (F.col(f"{name}_whole") + F.col(f"{name}_fine") / F.lit(float(1 << FINE))) / F.lit(float(1 << WHOLE))
 
-def sort_value_report(r: DataFrame) -> DataFrame:
-    """Report order: year, then strike case low < mid < high, then zone."""
-    return r.orderBy("scenario", "constrained", "year", "case_ord", "zone_ord")
 
+def facts(z: DataFrame, p: Params) -> DataFrame:
+    """Per zone, date, hour and low-case event: one aggregation for all reports, inside the zone table's partitioning.
 
-def _per_tick_cases(s: DataFrame, scenario: str) -> DataFrame:
-    """One row per (zone, tick): the low case's event ordinals beside the
-    rounded durations of all cases.  The series table is partitioned by case
-    as well, so the three rows of a tick meet in this aggregate's shuffle."""
-    b = s.filter(F.col("scenario") == scenario)
-    aggs = [
-        F.max(F.when(F.col("strike_case") == "low", F.col("event"))).alias("ev"),
-        F.max(F.when(F.col("strike_case") == "low", F.col("cevent"))).alias("cev"),
+    Of the ticks of an hour that share the low case's events (``event``, of the base scenario; ``new_event`` and
+    ``new_cevent``, of the new curve, unconstrained and constrained): their number ``n``, and per series its ticks on
+    strike, the sums of the captured part of each tick's quarter-hour share, times its price (``a``) and alone
+    (``b``), unconstrained and constrained (``ca``, ``cb``), and its longest durations."""
+    series = series_of_zone(p)
+    base, new = (next(x for x, si, ci in series if (si, ci) == (i, 0)) for i in (0, 1))
+    aggs = [F.count("*").alias("n")]
+    for x, si, _ in series:
+        aggs.append(F.sum(F.col(f"strike{x}").cast("long")).alias(f"strike{x}"))
+        for c in ("", "c"):
+            b = f"CASE WHEN spp{si} IS NOT NULL THEN {c}part{x} * 0.25D * weight END"
+            aggs += exact_sums(f"{b} * spp{si}", f"{c}a{x}") + exact_sums(b, f"{c}b{x}")
+        aggs += [F.max(f"duration{x}").alias(f"dur{x}"), F.max(f"cduration{x}").alias(f"cdur{x}")]
+    events = [F.col(f"event{base}").alias("event"), F.col(f"event{new}").alias("new_event"), F.col(f"cevent{new}").alias("new_cevent")]
+    return z.groupBy("zone_ord", "date", "hour", *events).agg(*aggs)
+
+
+def month_sums(facts: DataFrame, p: Params) -> DataFrame:
+    """Per series, year and month: ticks ``n`` and the sums of ``facts``."""
+    sums = [f"{s}#_{kind}" for s in SUMS for kind in ("whole", "fine")]
+    months = facts.groupBy("zone_ord", F.year("date").alias("year"), F.month("date").alias("month"))
+    g = months.agg(F.sum("n").alias("n"), *[F.sum(c.replace("#", str(x))).alias(c.replace("#", str(x))) for c in sums for x, *_ in series_of_zone(p)])
+    return _spread(g, ("zone_ord", "year", "month", "n"), p, {c.replace("#", ""): c for c in sums})
+
+
+def _spread(g: DataFrame, kept: Sequence[str], p: Params, columns: dict[str, str]) -> DataFrame:
+    """The columns of a zone's series (# stands for the number) as a row per series."""
+    rows = [
+        f"named_struct('scen_ord', {si}, 'case_ord', {ci}, " + ", ".join(f"'{name}', {c.replace('#', str(x))}" for name, c in columns.items()) + ")"
+        for x, si, ci in series_of_zone(p)
     ]
-    for case in ("low", "mid", "high"):
-        is_c = F.col("strike_case") == case
-        aggs.append(F.max(F.when(is_c, np_round(F.col("duration"), 1))).alias(f"dur_{case}"))
-        aggs.append(F.max(F.when(is_c, np_round(F.col("cduration"), 1))).alias(f"cdur_{case}"))
-    return b.groupBy(*DAY_KEYS, "tick_id").agg(*aggs)
+    return g.select(*kept, F.expr(f"explode(array({', '.join(rows)}))").alias("s")).select(*kept, "s.*")
+
+
+def monthly_value(facts: DataFrame, p: Params) -> DataFrame:
+    """$/MW by (scenario, constrained, zone, strike case, year) x month, rounded to whole dollars (half to even)."""
+    sums = month_sums(facts, p).crossJoin(F.broadcast(facts.agg(F.max(F.month("date")).alias("last_month"))))  # one row
+    k = F.expr(f"element_at(array({', '.join(valuation_strike(p, ci) for ci in range(len(p.cases)))}), case_ord + 1)")
+    worth = [(con, np_round(total(f"{c}a") - k * total(f"{c}b"), 0)) for con, c in ((False, ""), (True, "c"))]
+    flavours = F.explode(F.array(*[F.struct(F.lit(con).alias("constrained"), v.alias("v")) for con, v in worth]))
+    keys = ("scen_ord", "zone_ord", "case_ord", "year", "constrained")
+    r = sums.select(*MONTH_KEYS, flavours.alias("f")).select(*MONTH_KEYS, "f.*")
+    r = r.groupBy(*keys).agg(*[F.max(F.when(F.col("month") == m, F.col("v"))).alias(mcol(m)) for m in MONTHS])
+    return _names(r, p).select("scenario", "zone", "zone_ord", "strike_case", "case_ord", "year", "constrained", *map(mcol, MONTHS))
 
 
-DAY_KEYS = ("zone_ord", "zone", "date", "year", "month", "day")
+def _names(r: DataFrame, p: Params) -> DataFrame:
+    given = {"zone": (p.zones, "zone_ord"), "scenario": (SCENARIOS, "scen_ord"), "strike_case": (p.cases, "case_ord")}
+    return r.withColumns({name: named(values, F.col(c)) for name, (values, c) in given.items() if c in r.columns})
 
 
-def duration_report(s: DataFrame, scenario: str) -> DataFrame:
-    """Longest (rounded) duration per day and event, for the three strike cases
-    unconstrained and constrained, one row per (zone, year, month, day, event).
+def sort_value_report(r: DataFrame) -> DataFrame:
+    """Report order: year, then strike case low < mid < high, then zone."""
+    return r.orderBy("scenario", "constrained", "year", "case_ord", "zone_ord")
+
 
-    Events are numbered by the low case.  For 'base' every column is keyed by
-    the unconstrained low event.  For 'new_ordc' the constrained columns are
-    keyed by the constrained low event and matched on the ordinal: each tick
-    contributes one row under each numbering and a single aggregate over
-    (day, ordinal) lines them up, keeping ordinals the unconstrained low case
-    has a duration for (the left side of the original merge)."""
-    t = _per_tick_cases(s, scenario)
-    cases = ("low", "mid", "high")
+def duration_report(facts: DataFrame, p: Params, scenario: str) -> DataFrame:
+    """Longest (rounded) duration per day and event, for the strike cases unconstrained and constrained, one row per
+    (zone, year, month, day, event).
+
+    Events are numbered by the low case.  For 'base' every column is keyed by the unconstrained low event.  For
+    'new_ordc' the constrained columns are keyed by the constrained low event and matched on the ordinal: each fact
+    has a row under each numbering and a single aggregate over (day, ordinal) lines them up, keeping ordinals the
+    unconstrained low case has a duration for (the left side of the original merge)."""
+    number = {p.cases[ci]: x for x, si, ci in series_of_zone(p) if SCENARIOS[si] == scenario}
+    dur, cdur = ({f"{d}_{c}": F.col(f"{d}{x}") for c, x in number.items()} for d in ("dur", "cdur"))
     if scenario == "base":
-        keyed = t.filter(F.col("ev").isNotNull()).withColumnRenamed("ev", "event")
+        keyed = facts.select("zone_ord", "date", "event", *[v.alias(k) for k, v in (dur | cdur).items()])
     else:
-        nulls = [F.lit(None).cast("double").alias(f"cdur_{c}") for c in cases]
-        unc = F.struct(F.col("ev").alias("event"), *[F.col(f"dur_{c}") for c in cases], *nulls)
-        con = F.struct(
-            F.col("cev").alias("event"),
-            *[F.lit(None).cast("double").alias(f"dur_{c}") for c in cases],
-            *[F.col(f"cdur_{c}") for c in cases],
-        )
-        keyed = (
-            t.select(*DAY_KEYS, F.explode(F.array(unc, con)).alias("k"))
-            .select(*DAY_KEYS, "k.*")
-            .filter(F.col("event").isNotNull())
-        )
-    r = keyed.groupBy(*DAY_KEYS, "event").agg(
-        *[F.max(f"dur_{c}").alias(f"dur_{c}") for c in cases],
-        *[F.max(f"cdur_{c}").alias(f"cdur_{c}") for c in cases],
-    )
-    r = r.filter(F.col("dur_low").isNotNull())
-    return r.select(
-        "zone", "zone_ord", "year", "month", "day", F.col("event").cast("int").alias("event"),
-        *[f"dur_{c}" for c in cases],
-        *[f"cdur_{c}" for c in cases],
-    )
+        none = F.lit(None).cast("double")
+        unc = F.struct(F.col("new_event").alias("event"), *[v.alias(k) for k, v in dur.items()], *[none.alias(k) for k in cdur])
+        con = F.struct(F.col("new_cevent").alias("event"), *[none.alias(k) for k in dur], *[v.alias(k) for k, v in cdur.items()])
+        keyed = facts.select("zone_ord", "date", F.explode(F.array(unc, con)).alias("k")).select("zone_ord", "date", "k.*")
+    # rounding keeps the order, so the longest is rounded once
+    longest = keyed.filter(F.col("event").isNotNull()).groupBy("zone_ord", "date", "event").agg(*[np_round(F.max(k), 1).alias(k) for k in (*dur, *cdur)])
+    return _names(longest.filter(F.col(f"dur_{p.cases[0]}").isNotNull()), p).select(
+        "zone", "zone_ord", F.year("date").alias("year"), F.month("date").alias("month"), F.dayofmonth("date").alias("day"),
+        F.col("event").cast("int").alias("event"), *dur, *cdur,
+    )
+
+
+def strike_sums(z: DataFrame, p: Params) -> DataFrame:
+    """Per series, year, month and hour, its ticks on strike: from the sticky flags alone, or added up from ``facts``."""
+    counts = [F.sum(F.col(f"strike{x}").cast("long")).alias(f"strike{x}") for x, *_ in series_of_zone(p)]
+    g = z.groupBy("zone_ord", F.year("date").alias("year"), F.month("date").alias("month"), "hour").agg(*counts)
+    return _spread(g, ("zone_ord", "year", "month", "hour"), p, {"strike": "strike#"})
+
+
+def strike_counts(sums: DataFrame, p: Params) -> DataFrame:
+    """Strike ticks by (scenario, zone, case, year, hour) x month, from one row per series, year, month and hour."""
+    keys = ("scen_ord", "zone_ord", "case_ord", "year", "hour")
+    r = sums.groupBy(*keys).agg(*[F.max(F.when(F.col("month") == m, F.col("strike"))).alias(mcol(m)) for m in MONTHS])
+    return _names(r, p).select("scenario", "zone", "zone_ord", "strike_case", "case_ord", "year", "hour", *map(mcol, MONTHS))
 
 
 def by_month(table: DataFrame) -> DataFrame:
@@ -123,17 +158,3 @@ def by_month(table: DataFrame) -> DataFrame:
     )
     cells = [F.max(F.when(F.col("month") == m, F.col("e.value"))).alias(mcol(m)) for m in MONTHS]
     return long.groupBy("ord", F.col("e.attribute").alias("attribute")).agg(*cells).orderBy("ord").drop("ord")
-
-
-def strike_counts(s: DataFrame, zones) -> DataFrame:
-    """Strike ticks by (scenario, zone, case, year, hour) x month."""
-    keys = ("scenario", "zone", "zone_ord", "strike_case", "case_ord", "year", "hour")
-    aggs = []
-    for m in MONTHS:
-        in_m = F.col("month") == m
-        aggs.append(
-            F.when(F.count(F.when(in_m, 1)) > 0, F.coalesce(F.sum(F.when(in_m, F.col("strike"))), F.lit(0)))
-            .cast("long")
-            .alias(mcol(m))
-        )
-    return s.filter(F.col("zone").isin(*zones)).groupBy(*keys).agg(*aggs)

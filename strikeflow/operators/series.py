@@ -1,121 +1,61 @@
-"""Wide tick table -> long series table (tick x zone x scenario x strike case).
+"""Series: names, valuation strikes, and the long table (one row per tick,
+zone, scenario and strike case) made from the zone table.
 
-The unpivot is an ``explode`` of a fixed-size array of structs, a narrow
-operator evaluated in the tick stage; the series table is then shuffled once
-(``dispatch.partition_series``).
-
-The previous tick's strike flag at the first tick of a date comes from the
-tick summary (``ticks.chunk_summary``), the weekly event count of the days
-before from a one-row-per-series-day table (``constraints.with_weekly``).
+The long table is the last, narrow step (an ``explode`` of a fixed array);
+nothing is shuffled or written in this form.
 """
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strikeflow.functions.hours import in_windows, late_outside, outside_windows, window_entry
-from strikeflow.params import Params
-
-SERIES = ("zone", "scenario", "strike_case")
-SCENARIO_PREFIX = {"base": "", "new_ordc": "new_"}
+from strikeflow.operators.dispatch import SERIES_COLUMNS
+from strikeflow.operators.zones import series_of_zone
+from strikeflow.params import SCENARIOS, Params
 
-# tick-level columns kept on every series row
+#: Columns of a tick and zone on every row of the long table.
 TICK_KEEP = (
-    "tick_id", "ord_ts", "date", "year", "month", "day", "week", "hour", "interval",
-    "day_start", "tick_secs", "weight", "weekday_ok",
-    "daily_max", "weekly_max", "min_duration", "max_duration",
-    "inside", "outside", "late_out", "entry", "prev_strikes", "last_month",
-)
-
-
-def with_hour_rules(ticks: DataFrame, p: Params) -> DataFrame:
-    """Window predicates evaluated once per tick instead of once per series."""
-    h = F.col("hour")
-    return ticks.withColumns(
-        {
-            "inside": in_windows(h),
-            "outside": outside_windows(h),
-            "late_out": late_outside(h),
-            "entry": window_entry(h, F.col("prev_hour"), p.window_entry),
-        }
-    )
-
-
-def valuation_strike(p: Params) -> Column:
-    """Settlement-price strike used to value a tick (needs ``case_ord``).
-
-    'row_month': the tick's own month.  'last_month': the strike of the latest
-    month present anywhere in the data, for all ticks."""
-    case_ix = F.col("case_ord") + 1
-    if p.strike_basis == "row_month":
-        return F.element_at(F.array(*[F.col(f"{c}_spp") for c in p.cases]), case_ix)
-    if p.strike_basis == "last_month":
-        idx = {c: ("low", "mid", "high").index(c) for c in p.cases}
-        table = F.array(
-            *[F.array(*[F.lit(float(p.strikes_spp[m][idx[c]])) for m in range(1, 13)]) for c in p.cases]
-        )
-        return F.element_at(F.element_at(table, case_ix), F.col("last_month"))
-    raise ValueError(f"unknown strike_basis {p.strike_basis!r}")
-
-
-def series_list(p: Params) -> list[tuple]:
-    """(zone, zone_ord, scenario, scen_ord, case, case_ord, price column,
-    spp column, lmp strike column)."""
-    out = []
-    for zi, z in enumerate(p.zones):
-        for si, (scen, pre) in enumerate(SCENARIO_PREFIX.items()):
-            spp = f"new_{z}_spp" if scen == "new_ordc" else f"{z}_spp"
-            for ci, case in enumerate(p.cases):
-                out.append((z, zi, scen, si, case, ci, f"{pre}{z}_price", spp, f"{case}_lmp"))
-    return out
+    "tick_id", "ord_ts", "date", "year", "month", "day", "week", "hour", "interval", "day_start", "weight",
+    "weekday_ok", "daily_max", "weekly_max", "min_duration", "max_duration", "inside", "outside", "late_out", "entry", "zone_ord",
+)
 
 
-def raw_strike(price: Column, k_lmp: Column) -> Column:
-    """1 where the tick price is above the LMP strike (NULL price -> 0)."""
-    return F.when(price > k_lmp, F.lit(1)).otherwise(F.lit(0))
+def valuation_strike(p: Params, case: int) -> str:
+    """Settlement-price strike of a case that values a tick, as SQL text."""
+    return f"element_at(array({', '.join(f'{float(p.strikes_spp[m][case])!r}D' for m in range(1, 13))}), {valuation_month(p)})"
 
 
-def strike_flags(p: Params) -> list[Column]:
-    """Each series' raw strike flag of a tick, in ``series_list`` order."""
-    return [raw_strike(F.col(pc), F.col(kc)) for *_, pc, _, kc in series_list(p)]
+def valuation_month(p: Params) -> str:
+    """The column of the month whose strike values a tick: 'row_month', its own; 'last_month', the latest present anywhere in the data."""
+    if p.strike_basis not in ("row_month", "last_month"):
+        raise ValueError(f"unknown strike_basis {p.strike_basis!r}")
+    return "month" if p.strike_basis == "row_month" else "last_month"
 
 
-def with_series_names(s: DataFrame, p: Params) -> DataFrame:
-    """zone / scenario / strike_case names from the integer ordinals.  Added
-    after the windows: strings stay out of the shuffle and the sorts."""
-    def name(values, ord_col):
-        return F.element_at(F.array(*[F.lit(v) for v in values]), F.col(ord_col) + 1)
+def named(values: Sequence[str], ordinal: Column) -> Column:
+    return F.element_at(F.array(*[F.lit(v) for v in values]), ordinal + 1)
 
-    return s.withColumns(
-        {
-            "zone": name(p.zones, "zone_ord"),
-            "scenario": name(tuple(SCENARIO_PREFIX), "scen_ord"),
-            "strike_case": name(p.cases, "case_ord"),
-        }
-    )
 
+def to_series(z: DataFrame, p: Params, scenarios=None, columns=None) -> DataFrame:
+    """The long table with values: $/MW = (spp - strike) x share of the quarter hour x 0.25 h x the captured part.
 
-def to_series(ticks: DataFrame, p: Params, zones=None, scenarios=None) -> DataFrame:
-    """One row per tick and wanted series (all by default), keyed by integer
-    ordinals (names are added later by ``with_series_names``)."""
+    ``columns``: the series columns to make, beside the keys (default: all)."""
     entries = []
-    for i, (z, zi, scen, si, case, ci, pc, sc, kc) in enumerate(series_list(p)):
-        if (zones and z not in zones) or (scenarios and scen not in scenarios):
+    for x, si, ci in series_of_zone(p):
+        if scenarios and SCENARIOS[si] not in scenarios:
             continue
-        entries.append(
-            F.struct(
-                F.lit(zi).alias("zone_ord"),
-                F.lit(si).alias("scen_ord"),
-                F.lit(ci).alias("case_ord"),
-                F.col(pc).alias("price"),
-                F.col(sc).alias("spp"),
-                F.col(kc).alias("k_lmp"),
-                F.element_at(F.col("prev_strikes"), i + 1).alias("prev_day_strike"),
-            )
-        )
-    keep = list(TICK_KEEP) + ([f"{c}_spp" for c in p.cases] if p.strike_basis == "row_month" else [])
-    exploded = ticks.select(*keep, F.explode(F.array(*entries)).alias("s")).select(*keep, "s.*")
-    return exploded.withColumn("k_spp", valuation_strike(p)).drop(
-        "prev_strikes", "last_month", *[f"{c}_spp" for c in p.cases if p.strike_basis == "row_month"]
-    )
+        k = valuation_strike(p, ci)
+        gain, quarter = f"(spp{si} - {k})", "* 0.25D * weight"
+        made = {
+            "scenario": f"'{SCENARIOS[si]}'", "strike_case": f"'{p.cases[ci]}'", "scen_ord": str(si), "case_ord": str(ci),
+            "price": f"price{si}", "spp": f"spp{si}", "k_spp": k, **{c: f"{c}{x}" for c in SERIES_COLUMNS if c not in ("part", "cpart")},
+            "value": f"part{x} * {gain} {quarter}",
+            "cvalue": f"CASE WHEN cduration{x} IS NOT NULL THEN cpart{x} * {gain} ELSE 0.0D END {quarter}",
+        }
+        wanted = [c for c in made if columns is None or c in columns or c in ("scenario", "strike_case")]
+        entries.append("named_struct(" + ", ".join(f"'{name}', {made[name]}" for name in wanted) + ")")
+    rows = z.select(*TICK_KEEP, named(p.zones, F.col("zone_ord")).alias("zone"), F.expr(f"explode(array({', '.join(entries)}))").alias("s"))
+    return rows.select(*TICK_KEEP, "zone", "s.*")

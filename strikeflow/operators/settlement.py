@@ -1,4 +1,4 @@
-"""Quarter-hour settlement prices: long (one row per point) -> wide."""
+"""Quarter-hour settlement prices (long: one row per point): mean per quarter hour, wide or by zone."""
 
 from __future__ import annotations
 
@@ -17,16 +17,10 @@ def _delivery_date() -> Column:
     return F.when(date.isNull(), F.raise_error(F.concat(F.lit("not a settlement date (MM/dd/yyyy): "), text)).cast("date")).otherwise(date)
 
 
-def shape_settlement(spp: DataFrame, points: dict = POINTS, types=POINT_TYPES) -> DataFrame:
-    """Mean price per (date, hour-beginning, interval, repeated flag) and point.
-
-    Unwanted points/types are filtered before the pivot (pushed to the scan);
-    the pivot value list is fixed, so Spark needs no extra distinct pass, and
-    the mean is aggregated map-side before the shuffle.  The result has at
-    most ~100 rows per calendar day.
-    """
-    kept = spp.filter(
-        F.col("point_name").isin(*points.keys())
+def _kept(spp: DataFrame, points, types) -> DataFrame:
+    """Rows of the wanted points and point types with all keys (pushed to the scan), keys typed."""
+    return spp.filter(
+        F.col("point_name").isin(*points)
         & F.col("point_type").isin(*types)
         & F.col("delivery_date").isNotNull()
         & F.col("delivery_hour").isNotNull()
@@ -40,6 +34,30 @@ def shape_settlement(spp: DataFrame, points: dict = POINTS, types=POINT_TYPES) -
         "point_name",
         "price",
     )
+
+
+def by_chunk(spp: DataFrame, ordinals: DataFrame, types=POINT_TYPES) -> DataFrame:
+    """One row per (zone_ord, date, hour): ``_settled``, the mean price by (interval, repeated flag), at most
+    eight of them.
+
+    ``ordinals`` (point, zone_ord) has a row per wanted point, from the
+    parameters; any number of points will do, none of them is a column."""
+    kept = _kept(spp, [r["point"] for r in ordinals.collect()], types)
+    means = kept.join(F.broadcast(ordinals), kept["point_name"] == ordinals["point"]).groupBy("zone_ord", *KEYS).agg(F.avg("price").alias("price"))
+    return means.filter(F.col("price").isNotNull()).groupBy("zone_ord", "date", "hour").agg(
+        F.map_from_entries(F.collect_list(F.struct(F.struct("interval", "repeated_hour"), "price"))).alias("_settled")
+    )
+
+
+def shape_settlement(spp: DataFrame, points: dict = POINTS, types=POINT_TYPES) -> DataFrame:
+    """Mean price per (date, hour-beginning, interval, repeated flag) and point.
+
+    Unwanted points/types are filtered before the pivot (pushed to the scan);
+    the pivot value list is fixed, so Spark needs no extra distinct pass, and
+    the mean is aggregated map-side before the shuffle.  The result has at
+    most ~100 rows per calendar day.
+    """
+    kept = _kept(spp, points.keys(), types)
     wide = (
         kept.groupBy(*KEYS)
         .pivot("point_name", list(points.keys()))

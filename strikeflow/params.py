@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field, replace
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
@@ -82,6 +83,8 @@ class Params:
         default_factory=lambda: {m: MonthConstraints() for m in range(1, 13)}
     )
     zones: tuple[str, ...] = ZONES
+    # settlement point -> zone (or hub), for all points that are read
+    points: dict = field(default_factory=lambda: dict(POINTS))
     cases: tuple[str, ...] = CASES
     # 'last_month': valuation strike of the last month present in the data,
     # for every row (as the original computes it); 'row_month': the row's month.
@@ -124,10 +127,16 @@ CONSTRAINT_SCHEMA = T.StructType(
 )
 
 
+def _local(spark: SparkSession, rows: list[tuple], schema: T.StructType) -> DataFrame:
+    """Rows that become part of the plan: no job has to read them."""
+    kinds = {T.IntegerType: pa.int32(), T.DoubleType: pa.float64()}
+    columns = [pa.array(c, kinds[type(f.dataType)]) for c, f in zip(zip(*rows), schema.fields)]
+    return spark.createDataFrame(pa.table(columns, names=schema.names), schema)
+
+
 def strike_table(spark: SparkSession, p: Params) -> DataFrame:
     """12-row strike dimension: month, low/mid/high_spp, low/mid/high_lmp."""
-    rows = [(m, *p.strikes_spp[m], *p.strikes_lmp[m]) for m in range(1, 13)]
-    return spark.createDataFrame(rows, STRIKE_SCHEMA)
+    return _local(spark, [(m, *p.strikes_spp[m], *p.strikes_lmp[m]) for m in range(1, 13)], STRIKE_SCHEMA)
 
 
 def constraint_table(spark: SparkSession, p: Params) -> DataFrame:
@@ -139,4 +148,4 @@ def constraint_table(spark: SparkSession, p: Params) -> DataFrame:
             (m, c.daily_max, c.weekly_max, float(c.min_duration), float(c.max_duration),
              c.w1_start, c.w1_end, c.w2_start, c.w2_end, *c.days)
         )
-    return spark.createDataFrame(rows, CONSTRAINT_SCHEMA)
+    return _local(spark, rows, CONSTRAINT_SCHEMA)

@@ -3,17 +3,16 @@
 Physical shape (see README "Plan"):
 
 1. ticks are hash-partitioned by (date, hour) once; tick-level windows (tick
-   length, quarter-hour weights, re-priced quarter-hour price) run inside it;
-   what crosses an hour comes from one per-hour summary (<= 24 rows per day)
-   that joins on the same keys, as the settlement prices do; the parameter
-   tables (4 and 12 rows) are broadcast;
-2. the explode to the wanted series is narrow; the series table is then
-   shuffled once by (zone, scenario, case, date), and every series window
-   (quarter hour, day, event) runs inside that partitioning;
-3. the weekly event count needs the totals of other days: the series-day
-   table is written to the shared folder once, and its totals (one row per
-   series and day) join back;
-4. reports are partial/final aggregates of small width.
+   length, quarter-hour weights) run inside it; what crosses an hour comes from
+   one per-hour summary (<= 24 rows per day) that joins on the same keys; the
+   parameter tables (4 and 12 rows) are broadcast;
+2. a row per zone is made of each tick and shuffled once by (zone, date, hour);
+   the six series of a zone stand side by side, and one sort serves all windows;
+3. each quarter hour is reduced to a narrow carry; the carries are scanned by
+   series, day and week, written once (``carries``) and joined back, so no
+   window looks beyond a quarter hour of ticks;
+4. reports are partial/final aggregates of small width; strike counts need
+   neither carries nor settlement prices.
 """
 
 from __future__ import annotations
@@ -23,16 +22,17 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strikeflow.operators import constraints as C
+from strikeflow.operators import carries as CA
 from strikeflow.operators import dispatch as D
 from strikeflow.operators import enrich as E
 from strikeflow.operators import pricing as P
 from strikeflow.operators import reports as R
 from strikeflow.operators import series as S
+from strikeflow.operators import settlement as ST
 from strikeflow.operators import ticks as TK
-from strikeflow.operators.settlement import shape_settlement
+from strikeflow.operators import zones as Z
 from strikeflow.params import SCENARIOS, Params, constraint_table, strike_table
-from strikeflow.session import stage
+from strikeflow.session import Staged
 from strikeflow.sources.fixtures import load_fixture
 
 
@@ -44,13 +44,20 @@ class DispatchModel:
         lolp: DataFrame,
         params: Params | None = None,
         partitions: int | None = None,
+        prices: DataFrame | None = None,
+        past: "Past | None" = None,
     ):
+        """``prices``: zone prices as a long table (tick_id, ts, point, lmp) instead of columns of ``ticks``, for any
+        number of points; ``past``: what earlier data left behind (``plans.incremental``)."""
         self.spark: SparkSession = ticks.sparkSession
         self.raw_ticks = ticks
         self.settlement = settlement
         self.lolp = E.distinct_lolp(lolp)
         self.p = params or Params()
         self.partitions = partitions
+        self.prices = prices
+        self.past = past
+        self.staged = Staged(self.spark)
         E.check_lolp_unique(self.lolp)
 
     @classmethod
@@ -71,16 +78,12 @@ class DispatchModel:
 
     @cached_property
     def settlement_wide(self) -> DataFrame:
-        return shape_settlement(self.settlement)
+        return ST.shape_settlement(self.settlement)
 
     @cached_property
     def chunk_summary(self) -> DataFrame:
-        """One row per (date, hour), from the unshuffled ticks: prices need
-        only the parameter tables, the aggregate is map-side."""
-        t = E.join_lolp(self.calendar_ticks, self.lolp)
-        t = t.join(F.broadcast(strike_table(self.spark, self.p)), "month", "left")
-        t = P.with_new_ordc(P.with_base_price(t, self.p.zones), self.p, self.p.zones)
-        return TK.chunk_summary(t, self.p, S.strike_flags(self.p))
+        """One row per (date, hour), from the unshuffled ticks (their timestamps only)."""
+        return TK.chunk_summary(self.calendar_ticks, self.p, self.past and self.past.edge)
 
     @cached_property
     def timed_ticks(self) -> DataFrame:
@@ -100,67 +103,102 @@ class DispatchModel:
     def priced_ticks(self) -> DataFrame:
         t = P.with_base_price(self.enriched_ticks, self.p.zones)
         t = P.with_new_ordc(t, self.p, self.p.zones)
-        t = P.with_new_ordc_spp(t, self.p.zones)
-        return S.with_hour_rules(t, self.p)
+        return P.with_new_ordc_spp(t, self.p.zones)
 
-    # -- series table ------------------------------------------------------
-    def series_days(self, zones=None, scenarios=None) -> DataFrame:
-        """All that a series' own day decides: strikes, dispatch, events,
-        durations, values, constrained events and their daily count; for the
-        given zones and scenarios (default: all)."""
-        s = S.to_series(self.priced_ticks, self.p, zones, scenarios)
-        s = D.partition_series(s, self.n_partitions)
-        s = D.with_strike(s)  # quarter-hour sort
-        s = D.with_dispatch(s)  # daily sort
-        s = C.with_constrained_events(s, self.p.dispatch_outside)  # daily sort (shared)
-        s = D.with_durations(s)  # event sort
-        s = C.with_daily(s)  # constrained-event sort, daily sort
-        s = s.withColumn("value", D.tick_value(self.p.capture_pct))
-        return S.with_series_names(s, self.p)
+    # -- zone table --------------------------------------------------------
+    def zone_ticks(self, zones=None) -> DataFrame:
+        """One row per tick and zone with both prices, hash(zone, date, hour)."""
+        t = P.with_new_adders(E.join_lolp(self.timed_ticks, self.lolp), self.p)
+        z = Z.by_zone(t, self.p, zones) if self.prices is None else Z.with_prices(t, self.prices, self.p, zones)
+        return Z.with_rules(Z.partition_zones(Z.point_prices(z), self.n_partitions), self.p)
+
+    def zone_strikes(self, zones=None) -> DataFrame:
+        """Zone ticks with the sticky strike flags of all their series (the one sort)."""
+        return Z.with_strikes(self.zone_ticks(zones), self.p)
+
+    def zone_local(self, zones=None) -> DataFrame:
+        """What each quarter hour knows of itself."""
+        if zones is None:
+            return self._all_zones_local
+        return Z.with_local(Z.with_new_spp(self.zone_strikes(zones)), self.p)
+
+    @cached_property
+    def _all_zones_local(self) -> DataFrame:
+        return self.zone_local(self.p.zones)
+
+    def scanned(self, zones=None) -> DataFrame:
+        """The carries of each quarter hour and series."""
+        past = self.past
+        return CA.scan(CA.quarters(self.zone_local(zones), self.p), self.p, past and past.last, past and past.weeks)
+
+    @cached_property
+    def carries(self) -> DataFrame:
+        """``scanned``, written once to the shared folder: a narrow row per series and quarter hour."""
+        return self.staged.write(self.scanned(), "carries")
+
+    def _zone_series(self, scanned: DataFrame, zones=None) -> DataFrame:
+        z = D.with_carries(self.zone_local(zones), CA.gathered(scanned), self.p)
+        return Z.with_settlement(z, ST.by_chunk(self.settlement, Z.zone_ordinals(self.spark, self.p, zones)))
+
+    @cached_property
+    def zone_series(self) -> DataFrame:
+        """Zone ticks with events, durations, caps and captured parts of all their series."""
+        return self._zone_series(self.carries)
 
     @cached_property
-    def staged_days(self) -> DataFrame:
-        """``series_days`` of all series, written once to the shared folder."""
-        return stage(self.series_days(), "series-days")
+    def facts(self) -> DataFrame:
+        """Value sums and strike counts by hour, durations by event: written once, and read by all reports."""
+        return self.staged.write(R.facts(self.zone_series, self.p), "facts")
+
+    # -- series table ------------------------------------------------------
+    def series_days(self, zones=None, scenarios=None, columns=None) -> DataFrame:
+        """The series table of the given zones and scenarios (default: all), with the given series columns (default:
+        all); nothing is read or written yet."""
+        return S.to_series(self._zone_series(self.scanned(zones), zones), self.p, scenarios, columns)
+
+    def series_table(self, columns=None) -> DataFrame:
+        """One row per tick, zone, scenario and strike case, from the written carries."""
+        return S.to_series(self.zone_series, self.p, columns=columns)
 
     @cached_property
     def series(self) -> DataFrame:
-        """The series table with the weekly caps, constrained durations and values."""
-        s = C.with_constrained(C.with_weekly(self.staged_days), self.p.dispatch_outside)
-        return s.withColumn("cvalue", D.tick_value(self.p.capture_pct, constrained=True))
+        return self.series_table()
 
     # -- reports -----------------------------------------------------------
     def monthly_value(self) -> DataFrame:
-        return R.monthly_value(self.series)
+        return R.monthly_value(self.facts, self.p)
 
     def duration_report(self, scenario: str = "base") -> DataFrame:
-        return R.duration_report(self.series, scenario)
+        return R.duration_report(self.facts, self.p, scenario)
 
     def strike_counts(self, zones=None) -> DataFrame:
-        """Strike counts of the given zones, by default all of ``Params.zones``; only their series are made."""
-        zones = tuple(zones or self.p.zones)
-        return R.strike_counts(self.series_days(zones=zones), zones)
+        """Strike counts of the given zones, by default all of ``Params.zones``; only their rows are made, and
+        neither carries nor settlement prices."""
+        return R.strike_counts(R.strike_sums(self.zone_strikes(zones), self.p), self.p)
 
     def reports(self, strike_zones=None) -> dict[str, DataFrame]:
-        """All report tables of one run, keyed by sink name.
-
-        The series table is written once (``staged_days``), the monthly values
-        are aggregated once and written too; nine reports read them.
-        ``strike_zones``: zones of the strike counts, by default all of
-        ``Params.zones``."""
-        s = self.series
-        mv = stage(R.monthly_value(s), "monthly-value")
-        out = {}
-        for scen in SCENARIOS:
-            for con in (False, True):
-                name = "value" + ("_new_ordc" if scen == "new_ordc" else "") + ("_constrained" if con else "")
-                out[name] = R.sort_value_report(
-                    mv.filter((F.col("scenario") == scen) & (F.col("constrained") == F.lit(con)))
-                )
-        out["duration"] = R.duration_report(s, "base").orderBy("zone_ord", "year", "month", "day", "event")
-        out["duration_new_ordc"] = R.duration_report(s, "new_ordc").orderBy("zone_ord", "year", "month", "day", "event")
-        counts = R.strike_counts(self.staged_days, tuple(strike_zones or self.p.zones))
-        out["strike_counts"] = counts.orderBy("scenario", "zone_ord", "case_ord", "year", "hour")
-        out["strikes"] = R.by_month(strike_table(self.spark, self.p))
-        out["constraints"] = R.by_month(constraint_table(self.spark, self.p))
-        return out
+        """All report tables of one run, keyed by sink name, from the facts.
+
+        ``strike_zones``: zones of the strike counts, by default all of ``Params.zones``."""
+        return report_tables(self.spark, self.p, self.facts, strike_zones)
+
+    def close(self) -> None:
+        """Removes what this model has written to the shared folder; its tables can't be read afterwards."""
+        self.staged.close()
+
+
+def report_tables(spark: SparkSession, p: Params, facts: DataFrame, strike_zones=None) -> dict[str, DataFrame]:
+    """The nine reports by sink name, in report order."""
+    out = {}
+    values = R.monthly_value(facts, p)
+    for scen in SCENARIOS:
+        for con in (False, True):
+            name = "value" + ("_new_ordc" if scen == "new_ordc" else "") + ("_constrained" if con else "")
+            out[name] = R.sort_value_report(values.filter((F.col("scenario") == scen) & (F.col("constrained") == F.lit(con))))
+    for scen, name in zip(SCENARIOS, ("duration", "duration_new_ordc")):
+        out[name] = R.duration_report(facts, p, scen).orderBy("zone_ord", "year", "month", "day", "event")
+    counts = R.strike_counts(R.strike_sums(facts, p), p).filter(F.col("zone").isin(*(strike_zones or p.zones)))
+    out["strike_counts"] = counts.orderBy("scenario", "zone_ord", "case_ord", "year", "hour")
+    out["strikes"] = R.by_month(strike_table(spark, p))
+    out["constraints"] = R.by_month(constraint_table(spark, p))
+    return out

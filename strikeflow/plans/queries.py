@@ -105,14 +105,9 @@ def new_ordc_settlement(spark, sf_dir):
     return t.select("tick_id", *[r4(f"new_{z}_spp") for z in ZONES])
 
 
-#: columns that need the weekly count, hence the written series-day table
-_WEEKLY = {"weekly", "cduration", "cvalue"}
-
-
 def _series_query(*cols, params: Params | None = None) -> Callable[[SparkSession, str], DataFrame]:
     def q(spark, sf_dir):
-        m = _model(spark, sf_dir, params)
-        s = m.series if _WEEKLY & set(cols) else m.series_days()
+        s = _model(spark, sf_dir, params).series_days(columns=cols)
         return s.select(*SERIES_KEYS, *[r4(c) if c in _DOUBLES else F.col(c) for c in cols])
 
     return q
@@ -128,7 +123,7 @@ def monthly_value(spark, sf_dir):
 
 
 def strike_counts(spark, sf_dir):
-    return _model(spark, sf_dir).strike_counts(("lz_north",)).drop("zone_ord", "case_ord")
+    return _model(spark, sf_dir).strike_counts().drop("zone_ord", "case_ord")
 
 
 def duration_report_base(spark, sf_dir):

@@ -22,6 +22,8 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
         # the model's plan is wide (about 100 tick columns, 24 series); constraint
         # inference over it costs seconds of driver time and finds nothing useful
         .config("spark.sql.constraintPropagation.enabled", "false")
+        # the model writes out each series' columns; noting where each was written costs more than analysing it
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .config("spark.driver.memory", os.environ.get("STRIKEFLOW_DRIVER_MEMORY", "8g"))
         .getOrCreate()
     )
@@ -42,10 +44,24 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return d
 
 
-def stage(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written as Parquet to the shared folder and read again: computed
-    once, and its lineage ends in files that outlive a lost executor."""
-    spark = df.sparkSession
-    path = f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+class Staged:
+    """Tables written to the shared folder, in a folder of their own, until ``close``."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark = spark
+        self.root: str | None = None
+
+    def write(self, df: DataFrame, name: str) -> DataFrame:
+        """``df`` written as Parquet and read again: computed once, and its
+        lineage ends in files that outlive a lost executor."""
+        if self.root is None:
+            self.root = f"{checkpoint_dir(self.spark).rstrip('/')}/strikeflow-{uuid.uuid4().hex}"
+        path = f"{self.root}/{name}"
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def close(self) -> None:
+        if self.root is not None:
+            path = self.spark._jvm.org.apache.hadoop.fs.Path(self.root)
+            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+            self.root = None

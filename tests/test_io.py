@@ -147,15 +147,14 @@ def test_stray_flag_does_not_reorder(spark):
 
 
 def test_one_hot_day_spreads_and_equals_the_plain_form(spark):
-    """A day with a third of all ticks: the series stage has a group per zone, scenario and case of it."""
+    """A day with a third of all ticks splits by zone and hour, and the carries make up for it."""
     from tests.micro import model
 
     busy = [tick(i, ts, 100.0 + (i * 37) % 400) for i, ts in enumerate(every("2024-01-10 00:00:00", 5, 288))]
     calm = [tick(1000 + i, ts, 100.0 + (i * 53) % 400) for i, ts in enumerate(every("2024-01-11 00:00:00", 60, 24 * 24))]
     m = model(spark, busy + calm, partitions=64)
-    days = m.series_days()
-    hot = days.filter("date = DATE '2024-01-10'").select("zone_ord", "scen_ord", "case_ord", F.spark_partition_id().alias("p"))
-    assert hot.select("p").distinct().count() > 8
+    hot = m.zone_strikes().filter("date = DATE '2024-01-10'").select(F.spark_partition_id().alias("p"))
+    assert hot.select("p").distinct().count() > 24
     weekly = {}
     rows = m.series.orderBy("zone", "scenario", "strike_case", "ord_ts").collect()
     for r in rows:  # the plain running count of a series over its week

@@ -1,42 +1,80 @@
-"""Plan shape: no Python in the plan, one shuffle of the series table, keyed by date."""
+"""Plan shape: no Python in the plan, one shuffle of the ticks and one of the zone table, one sort of it,
+no table of tick x series rows shuffled or written."""
 
 import re
 
 from pyspark.sql import functions as F
 
+from strikeflow.operators import carries as CA
+from strikeflow.operators import reports as R
 from strikeflow.params import Params
 from strikeflow.plans.model import DispatchModel
 from strikeflow.sources.fixtures import load_fixture
 from tests.conftest import SF_SMALL
 
+ZONE_EXCHANGE = r"Exchange hashpartitioning\(zone_ord#\d+, date#\w+, hour#\w+, \d+\), REPARTITION"
+TICK_EXCHANGE = r"Exchange hashpartitioning\(date#\w+, hour#\w+, \d+\), REPARTITION"
+
 
 def _plan(df) -> str:
     return df._jdf.queryExecution().executedPlan().toString()
 
 
+def _model(spark):
+    return DispatchModel.from_fixture(spark, SF_SMALL)
+
+
 def test_no_python_udfs(spark):
-    plan = _plan(DispatchModel.from_fixture(spark, SF_SMALL).monthly_value())
-    assert "BatchEvalPython" not in plan and "ArrowEvalPython" not in plan and "PythonUDF" not in plan
+    m = _model(spark)
+    for df in (m.scanned(), m.zone_series, m.monthly_value(), m.strike_counts()):
+        plan = _plan(df)
+        assert "BatchEvalPython" not in plan and "ArrowEvalPython" not in plan and "PythonUDF" not in plan
+
+
+def test_one_shuffle_of_ticks_and_of_zones(spark):
+    plan = _plan(_model(spark).scanned())
+    assert len(re.findall(ZONE_EXCHANGE, plan)) == 1 == len(re.findall(TICK_EXCHANGE, plan))
+
 
+def test_one_sort_serves_all_windows_of_a_quarter(spark):
+    plan = _plan(CA.quarters(_model(spark).zone_local(), Params()))
+    above = plan[: re.search(ZONE_EXCHANGE, plan).start()]
+    assert len(re.findall(r"\bWindow \[", above)) == 3
+    assert len(re.findall(r"\bSort \[", above)) == 1
+    # reduced where they lie
+    assert "Exchange hashpartitioning" not in above and "HashAggregate" in above
 
-def test_single_series_exchange(spark):
-    m = DispatchModel.from_fixture(spark, SF_SMALL)
-    plan = _plan(m.series_days())
-    series_exchanges = re.findall(r"Exchange hashpartitioning\(zone_ord#\d+, scen_ord#\d+, case_ord#\d+, date#\d+, \d+\)", plan)
-    assert len(series_exchanges) == 1 == len(re.findall(r"Exchange hashpartitioning\(zone_ord", plan))
-    tick_exchanges = re.findall(r"Exchange hashpartitioning\(date#\d+, hour#\d+, \d+\), REPARTITION", plan)
-    assert len(tick_exchanges) == 1
 
+def test_facts_are_aggregated_without_a_shuffle(spark):
+    m = _model(spark)
+    plan = _plan(R.facts(m.zone_series, m.p))
+    assert not re.search(r"Exchange hashpartitioning\([^)]*event", plan)
 
-def test_window_sorts_shared(spark):
-    plan = _plan(DispatchModel.from_fixture(spark, SF_SMALL).series_days())
-    above = plan[: plan.index("Exchange hashpartitioning(zone_ord")]
-    assert len(re.findall(r"\bWindow \[", above)) == 9
-    assert len(re.findall(r"\bSort \[", above)) == 5
+
+def test_strike_counts_need_no_series(spark):
+    """Counted from the flags: a shuffle of the ticks, one of the zones, one of the counts; no settlement prices."""
+    plan = _plan(_model(spark).strike_counts())
+    assert len(re.findall(ZONE_EXCHANGE, plan)) == 1 == len(re.findall(TICK_EXCHANGE, plan))
+    assert "case_ord" not in plan[re.search(ZONE_EXCHANGE, plan).start() :]
+    assert "_settled" not in plan and "price_spp" not in plan and "delivery_date" not in plan
+
+
+def test_written_tables_are_narrow(spark):
+    """A run writes the carries, a row per series and quarter hour, and the facts; no ticks."""
+    m = _model(spark)
+    m.reports()
+    import os
+
+    assert sorted(os.listdir(m.staged.root)) == ["carries", "facts"]
+    assert "tick_id" not in m.carries.columns + m.facts.columns
+    quarters = m.calendar_ticks.select("date", "hour", "interval", "second_pass").distinct().count()
+    assert m.carries.count() == quarters * 24
+    m.close()
+    assert m.staged.root is None
 
 
 def test_columns_pruned_at_scan(spark):
-    plan = _plan(DispatchModel.from_fixture(spark, SF_SMALL).monthly_value())
+    plan = _plan(_model(spark).scanned())
     schemas = re.findall(r"ReadSchema: struct<[^>]*>", plan)
     assert schemas
     for s in schemas:
@@ -51,11 +89,11 @@ def test_ticks_are_read_twice(spark):
     """Once for the per-hour summary, once for the tick table; nothing else reads them."""
     ticks, spp, lolp = load_fixture(spark, SF_SMALL)
     settled = spark.createDataFrame([], spp.schema)
-    assert _scans(DispatchModel(ticks, settled, lolp).series_days()) == 2
+    assert _scans(DispatchModel(ticks, settled, lolp).scanned()) == 2
 
 
 def test_summary_hashes_the_raw_ticks(spark):
-    plan = _plan(DispatchModel.from_fixture(spark, SF_SMALL).chunk_summary)
+    plan = _plan(_model(spark).chunk_summary)
     first = plan.rindex("Exchange hashpartitioning(date#")
     assert "SortAggregate" not in plan[first:] and "HashAggregate" in plan[first:]
 
@@ -68,11 +106,17 @@ def test_building_a_model_reads_no_ticks(spark):
 
 
 def test_strike_counts_make_the_wanted_zones_only(spark):
-    plan = _plan(DispatchModel.from_fixture(spark, SF_SMALL).strike_counts(("lz_west",)))
-    generate = [line for line in plan.splitlines() if "Generate explode(" in line]
-    assert generate and all(line.count("price") <= 2 * 6 for line in generate if "zone_ord" in line)
+    plan = _plan(_model(spark).strike_counts(("lz_west",)))
+    generate = [line for line in plan.splitlines() if "Generate explode(" in line and "lmp" in line]
+    assert generate and all("lz_west" in line and "lz_south" not in line for line in generate)
 
 
 def test_strike_counts_are_of_all_zones_by_default(spark):
-    counts = DispatchModel.from_fixture(spark, SF_SMALL).strike_counts()
+    counts = _model(spark).strike_counts()
     assert {r.zone for r in counts.select("zone").distinct().collect()} == set(Params().zones)
+
+
+def test_strike_counts_of_both_ways_agree(spark):
+    m = _model(spark)
+    rows = lambda df: sorted(map(tuple, df.collect()))
+    assert rows(m.strike_counts()) == rows(m.reports()["strike_counts"])
