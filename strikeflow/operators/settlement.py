@@ -10,7 +10,7 @@ from strikeflow.params import POINT_TYPES, POINTS
 KEYS = ("date", "hour", "interval", "repeated_hour")
 
 
-def _delivery_date() -> Column:
+def delivery_date() -> Column:
     """The delivery date; a text that is no MM/dd/yyyy date raises when it is read."""
     text = F.col("delivery_date")
     date = F.try_to_timestamp(text, F.lit("MM/dd/yyyy")).cast("date")
@@ -27,7 +27,7 @@ def _kept(spp: DataFrame, points, types) -> DataFrame:
         & F.col("delivery_interval").isNotNull()
         & F.col("repeated_hour").isNotNull()
     ).select(
-        _delivery_date().alias("date"),
+        delivery_date().alias("date"),
         (F.col("delivery_hour") - 1).cast("int").alias("hour"),
         F.col("delivery_interval").cast("int").alias("interval"),
         "repeated_hour",

@@ -7,7 +7,7 @@ from strikeflow.sources.fixtures import (
     lolp_fixture,
     load_fixture,
 )
-from strikeflow.sources.sinks import write_reports
+from strikeflow.sources.sinks import publish_reports, published_report, remove_unpublished, write_reports, write_ticks
 
 __all__ = [
     "read_ticks",
@@ -17,5 +17,9 @@ __all__ = [
     "settlement_from_events",
     "lolp_fixture",
     "load_fixture",
+    "publish_reports",
+    "published_report",
+    "remove_unpublished",
     "write_reports",
+    "write_ticks",
 ]
