@@ -398,6 +398,10 @@ def queries() -> dict[str, str]:
         series=True)
     q["duration_report_base"] = with_ctes(_duration_report_sql("base"), series=True)
     q["duration_report_new_ordc"] = with_ctes(_duration_report_sql("new_ordc"), series=True)
+    q["monthly_value_long_prices"] = q["monthly_value_extended"] = q["monthly_value"]
+    ctes, report = q["duration_report_base"].rsplit("\nSELECT", 1)
+    cells = ", ".join(f"CASE WHEN zone = '{z}' THEN {d}_{c} END AS {z}_{d}_{c}" for z in ZONES for d in ("dur", "cdur") for c in ("low", "mid", "high"))
+    q["duration_report_by_zone"] = f"{ctes}\nSELECT zone, year, month, day, event, {cells} FROM (SELECT{report})"
     return q
 
 

@@ -135,6 +135,20 @@ def duration_report(facts: DataFrame, p: Params, scenario: str) -> DataFrame:
     )
 
 
+def duration_report_by_zone(report: DataFrame, p: Params) -> DataFrame:
+    """The duration report as a sheet: the zones' frames one below the other, each with columns of its own
+    (``{zone}_dur_low`` and so on), which are missing in the others' rows."""
+    values = [c for c in report.columns if c.startswith(("dur_", "cdur_"))]
+    frames = [
+        report.filter(F.col("zone") == z).select("zone", "year", "month", "day", "event", *[F.col(v).alias(f"{z}_{v}") for v in values])
+        for z in p.zones
+    ]
+    out = frames[0]
+    for f in frames[1:]:
+        out = out.unionByName(f, allowMissingColumns=True)
+    return out
+
+
 def strike_sums(z: DataFrame, p: Params) -> DataFrame:
     """Per series, year, month and hour, its ticks on strike: from the sticky flags alone, or added up from ``facts``."""
     counts = [F.sum(F.col(f"strike{x}").cast("long")).alias(f"strike{x}") for x, *_ in series_of_zone(p)]

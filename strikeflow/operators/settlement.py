@@ -36,13 +36,13 @@ def _kept(spp: DataFrame, points, types) -> DataFrame:
     )
 
 
-def by_chunk(spp: DataFrame, ordinals: DataFrame, types=POINT_TYPES) -> DataFrame:
+def by_chunk(spp: DataFrame, points, ordinals: DataFrame, types=POINT_TYPES) -> DataFrame:
     """One row per (zone_ord, date, hour): ``_settled``, the mean price by (interval, repeated flag), at most
     eight of them.
 
-    ``ordinals`` (point, zone_ord) has a row per wanted point, from the
-    parameters; any number of points will do, none of them is a column."""
-    kept = _kept(spp, [r["point"] for r in ordinals.collect()], types)
+    ``ordinals`` (point, zone_ord) has a row per wanted point of ``points``;
+    any number of points will do, none of them is a column."""
+    kept = _kept(spp, points, types)
     means = kept.join(F.broadcast(ordinals), kept["point_name"] == ordinals["point"]).groupBy("zone_ord", *KEYS).agg(F.avg("price").alias("price"))
     return means.filter(F.col("price").isNotNull()).groupBy("zone_ord", "date", "hour").agg(
         F.map_from_entries(F.collect_list(F.struct(F.struct("interval", "repeated_hour"), "price"))).alias("_settled")

@@ -17,10 +17,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from strikeflow.functions.hours import in_windows, late_outside, outside_windows, weekday_eligible, window_entry
 from strikeflow.operators.constraints import constrained_dispatch, constrained_marker
-from strikeflow.params import SCENARIOS, Params, constraint_table, strike_table
+from strikeflow.params import SCENARIOS, Params, constraint_table, local_rows, strike_table
 
 CHUNK = ("zone_ord", "date", "hour")
 QUARTER = (*CHUNK, "interval", "second_pass")
@@ -45,13 +46,14 @@ def by_zone(ticks: DataFrame, p: Params, zones=None) -> DataFrame:
 def zone_ordinals(spark: SparkSession, p: Params, zones=None) -> DataFrame:
     """point, zone_ord: the wanted zones' points by name; its size is that of the parameters."""
     rows = [(point, p.zones.index(z)) for point, z in p.points.items() if z in p.zones and (not zones or z in zones)]
-    return spark.createDataFrame(rows, "point string, zone_ord int")
+    return local_rows(spark, rows, T.StructType([T.StructField("point", T.StringType()), T.StructField("zone_ord", T.IntegerType())]))
 
 
 def with_prices(ticks: DataFrame, prices: DataFrame, p: Params, zones=None) -> DataFrame:
     """Ticks and a long price table (tick_id, ts, point, lmp) -> a row per zone, as ``by_zone``.
 
-    Both meet on (date, hour) and the tick, by which the ticks are partitioned already."""
+    Both meet on (date, hour) and the tick; the ticks are partitioned by (date, hour) already.  ``ts`` is the
+    tick's local time.  A price without a tick, or of an unwanted point, is left out, and so is a tick without a price."""
     ordinals = F.broadcast(zone_ordinals(ticks.sparkSession, p, zones))
     long = prices.select(F.to_date("ts").alias("date"), F.hour("ts").alias("hour"), "tick_id", "point", "lmp").join(ordinals, "point").drop("point")
     return ticks.drop("lmp", "zone_ord").join(long, ["date", "hour", "tick_id"])

@@ -127,16 +127,16 @@ CONSTRAINT_SCHEMA = T.StructType(
 )
 
 
-def _local(spark: SparkSession, rows: list[tuple], schema: T.StructType) -> DataFrame:
+def local_rows(spark: SparkSession, rows: list[tuple], schema: T.StructType) -> DataFrame:
     """Rows that become part of the plan: no job has to read them."""
-    kinds = {T.IntegerType: pa.int32(), T.DoubleType: pa.float64()}
-    columns = [pa.array(c, kinds[type(f.dataType)]) for c, f in zip(zip(*rows), schema.fields)]
+    kinds = {T.IntegerType: pa.int32(), T.DoubleType: pa.float64(), T.StringType: pa.string()}
+    columns = [pa.array([r[i] for r in rows], kinds[type(f.dataType)]) for i, f in enumerate(schema.fields)]
     return spark.createDataFrame(pa.table(columns, names=schema.names), schema)
 
 
 def strike_table(spark: SparkSession, p: Params) -> DataFrame:
     """12-row strike dimension: month, low/mid/high_spp, low/mid/high_lmp."""
-    return _local(spark, [(m, *p.strikes_spp[m], *p.strikes_lmp[m]) for m in range(1, 13)], STRIKE_SCHEMA)
+    return local_rows(spark, [(m, *p.strikes_spp[m], *p.strikes_lmp[m]) for m in range(1, 13)], STRIKE_SCHEMA)
 
 
 def constraint_table(spark: SparkSession, p: Params) -> DataFrame:
@@ -148,4 +148,4 @@ def constraint_table(spark: SparkSession, p: Params) -> DataFrame:
             (m, c.daily_max, c.weekly_max, float(c.min_duration), float(c.max_duration),
              c.w1_start, c.w1_end, c.w2_start, c.w2_end, *c.days)
         )
-    return _local(spark, rows, CONSTRAINT_SCHEMA)
+    return local_rows(spark, rows, CONSTRAINT_SCHEMA)

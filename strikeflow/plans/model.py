@@ -138,7 +138,7 @@ class DispatchModel:
 
     def _zone_series(self, scanned: DataFrame, zones=None) -> DataFrame:
         z = D.with_carries(self.zone_local(zones), CA.gathered(scanned), self.p)
-        return Z.with_settlement(z, ST.by_chunk(self.settlement, Z.zone_ordinals(self.spark, self.p, zones)))
+        return Z.with_settlement(z, ST.by_chunk(self.settlement, list(self.p.points), Z.zone_ordinals(self.spark, self.p, zones)))
 
     @cached_property
     def zone_series(self) -> DataFrame:

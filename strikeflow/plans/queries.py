@@ -8,15 +8,19 @@ across engines.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strikeflow.functions.rounding import np_round
+from strikeflow.operators import reports as R
 from strikeflow.params import ZONES, Params
+from strikeflow.plans.incremental import History
 from strikeflow.plans.model import DispatchModel
-from strikeflow.sources.fixtures import ticks_from_events
+from strikeflow.session import checkpoint_dir
+from strikeflow.sources.fixtures import ZONE_FACTORS, load_fixture, prices_from_events, ticks_from_events
 
 SERIES_KEYS = ("zone", "scenario", "strike_case", "tick_id")
 SPP_COLS = ("hb_north_spp",) + tuple(f"{z}_spp" for z in ZONES)
@@ -134,6 +138,34 @@ def duration_report_new_ordc(spark, sf_dir):
     return _model(spark, sf_dir).duration_report("new_ordc").drop("zone_ord")
 
 
+def duration_report_by_zone(spark, sf_dir):
+    m = _model(spark, sf_dir)
+    return R.duration_report_by_zone(m.duration_report("base"), m.p)
+
+
+def monthly_value_long_prices(spark, sf_dir):
+    """The monthly value from prices in a long table, keyed by point."""
+    ticks, settlement, lolp = load_fixture(spark, sf_dir)
+    prices = prices_from_events(spark.read.parquet(f"{sf_dir}/events.parquet"))
+    r = DispatchModel(ticks.drop(*ZONE_FACTORS), settlement, lolp, prices=prices).monthly_value()
+    return r.drop("zone_ord", "case_ord")
+
+
+def monthly_value_extended(spark, sf_dir):
+    """The monthly value of a history to which the ticks were added in two parts, cut within a date."""
+    ticks, settlement, lolp = load_fixture(spark, sf_dir)
+    history = History(spark, f"{checkpoint_dir(spark).rstrip('/')}/history-{uuid.uuid4().hex}", lolp)
+    cut = F.lit(EXTENDED_AT).cast("timestamp_ntz")
+    settled = F.to_date("delivery_date", "MM/dd/yyyy") <= cut.cast("date")
+    history.extend(ticks.filter(F.col("ts") < cut), settlement.filter(settled))
+    history.extend(ticks.filter(F.col("ts") >= cut), settlement.filter(~settled))
+    r = R.monthly_value(history.facts(), history.p)
+    return r.drop("zone_ord", "case_ord")
+
+
+#: Where the ticks of ``monthly_value_extended`` are cut; settlement prices come with their date's first ticks.
+EXTENDED_AT = "2024-07-30 12:10:00"
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "tick_scan": tick_scan,
     "calendar_columns": calendar_columns,
@@ -170,4 +202,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "strike_counts": strike_counts,
     "duration_report_base": duration_report_base,
     "duration_report_new_ordc": duration_report_new_ordc,
+    "duration_report_by_zone": duration_report_by_zone,
+    "monthly_value_long_prices": monthly_value_long_prices,
+    "monthly_value_extended": monthly_value_extended,
 }

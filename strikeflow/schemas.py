@@ -45,4 +45,13 @@ LOLP = T.StructType(
     ]
 )
 
+PRICE = T.StructType(
+    [
+        T.StructField("tick_id", T.LongType(), False),
+        T.StructField("ts", T.TimestampNTZType(), False),
+        T.StructField("point", T.StringType(), True),
+        T.StructField("lmp", T.DoubleType(), True),
+    ]
+)
+
 TICK_COLUMNS = [f.name for f in TICK.fields]

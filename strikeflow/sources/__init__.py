@@ -1,6 +1,6 @@
 """Sources and sinks: typed readers, fixture derivation, report writers."""
 
-from strikeflow.sources.readers import read_ticks, read_settlement, read_lolp
+from strikeflow.sources.readers import read_lolp, read_params, read_prices, read_settlement, read_ticks
 from strikeflow.sources.fixtures import (
     ticks_from_events,
     settlement_from_events,
@@ -13,6 +13,8 @@ __all__ = [
     "read_ticks",
     "read_settlement",
     "read_lolp",
+    "read_params",
+    "read_prices",
     "ticks_from_events",
     "settlement_from_events",
     "lolp_fixture",

@@ -91,6 +91,13 @@ def ticks_from_events(events: DataFrame) -> DataFrame:
     )
 
 
+def prices_from_events(events: DataFrame) -> DataFrame:
+    """The ticks' energy prices as a long table: one row per tick and point."""
+    points = F.explode(F.array(*[F.struct(F.lit(z.upper()).alias("point"), F.lit(f).alias("f")) for z, f in ZONE_FACTORS.items()]))
+    rows = events.select(F.col("event_id").alias("tick_id"), _shifted_ts(F.col("ts")).alias("ts"), F.col("value").alias("v"), points.alias("p"))
+    return rows.select(F.col("tick_id").cast("long").alias("tick_id"), "ts", "p.point", ((F.lit(2.0) * F.col("v")) * F.col("p.f")).alias("lmp"))
+
+
 def settlement_from_events(events: DataFrame) -> DataFrame:
     """One settlement row per event and point, in two yearly parts (unioned)."""
     ts = _shifted_ts(F.col("ts"))

@@ -12,7 +12,7 @@ from tests.conftest import SF_SMALL
 KEYS = [
     "settlement_pivot", "tick_seconds", "normal_cdf", "new_ordc_settlement", "dispatch_starts",
     "event_caps_weekly25", "constrained_durations_outside", "constrained_value",
-    "monthly_value", "duration_report_new_ordc", "strike_counts",
+    "monthly_value", "duration_report_new_ordc", "strike_counts", "monthly_value_long_prices", "duration_report_by_zone",
 ]
 
 
