@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import re
+from collections import defaultdict
+from collections.abc import Iterable
 from dataclasses import dataclass, field
 from html import unescape
 
@@ -43,6 +45,7 @@ def parse(html: str, labels: bool = True) -> Page:
     attribute like any other and may have any value.
     """
     page, stack, links = Page(), [("body", 0)], 0
+    places: dict[str, list[int]] = defaultdict(list)  # of each tag's open elements in the stack, so that nothing scans it
     run: list[str] = []
 
     def flush() -> None:
@@ -61,19 +64,26 @@ def parse(html: str, labels: bool = True) -> Page:
         if links:
             page.linked[stack_block()] += len(text)
 
+    def push(tag: str, block: int) -> None:
+        places[tag].append(len(stack))
+        stack.append((tag, block))
+
     def pop_to(i: int) -> None:
         nonlocal links
         if any(tag not in INLINE for tag, _ in stack[i:]):
             flush()
-        links -= sum(tag == "a" for tag, _ in stack[i:])
+        for tag, _ in stack[i:]:
+            places[tag].pop()
+            links -= tag == "a"
         del stack[i:]
 
+    def last(tags: Iterable[str]) -> int:
+        return max((places[t][-1] for t in tags if t in places and places[t]), default=0)
+
     def end_open(tags: tuple[str, ...], scopes: frozenset[str]) -> None:
-        for i in range(len(stack) - 1, 0, -1):
-            if stack[i][0] in tags:
-                return pop_to(i)
-            if stack[i][0] in scopes:
-                return None
+        i = last(tags)
+        if i and i >= last(scopes):
+            pop_to(i)
 
     at, n = 0, len(html)
     while at < n:
@@ -87,13 +97,12 @@ def parse(html: str, labels: bool = True) -> Page:
             continue
         tag = m[2].lower()
         if m[1]:
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i][0] == tag:
-                    pop_to(i)
-                    break
+            if i := last((tag,)):
+                pop_to(i)
             continue
         if tag in SKIPPED:
-            if not m[3].endswith("/"):
+            # only drawings and formulas can be closed by their start tag
+            if not (m[3].endswith("/") and tag in ("svg", "math")):
                 end = re.compile(rf"</{re.escape(tag)}\s*>", re.IGNORECASE).search(html, at)
                 at = end.end() if end else n
             continue
@@ -112,7 +121,7 @@ def parse(html: str, labels: bool = True) -> Page:
         if tag in _SIBLINGS:
             end_open(_SIBLINGS[tag], frozenset(("ul", "ol", "dl", "table")))
         if tag in INLINE:
-            stack.append((tag, stack_block()))
+            push(tag, stack_block())
             links += tag == "a"
             continue
         flush()
@@ -124,7 +133,7 @@ def parse(html: str, labels: bool = True) -> Page:
         page.names.append(frozenset(_NAME.findall(" ".join(found.values()).lower())))
         page.label.append(int(label) if labels and label is not None else page.label[up])
         page.linked.append(0)
-        stack.append((tag, len(page.tag) - 1))
+        push(tag, len(page.tag) - 1)
     if at < n:
         add(html[at:])
     flush()

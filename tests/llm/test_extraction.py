@@ -85,3 +85,17 @@ def test_odd_pages_with_the_label_attribute(spark):
     df = spark.createDataFrame([(i, "u", h) for i, h in enumerate(html)], "page_id long, url string, html string")
     got = {r.page_id: r.text for r in X.extraction_report(df).collect()}
     assert len(got) == len(values) and set(got.values()) == {labelled(PAGES[0])}
+
+
+def test_a_script_is_not_closed_by_its_start_tag():
+    page = "<article><p>One.</p><script src='a.js'/>var code = 1;</script><svg/><p>Two.</p></article>"
+    assert [t for _, t in parse(page).pieces] == ["One.", "Two."]
+
+
+def test_stray_and_unclosed_tags_take_linear_time():
+    import time
+
+    for page in ("<b>x</i>" * 50_000, "<p><td>" + "<b>" * 50_000 + "<div></div>" * 50_000):
+        start = time.perf_counter()
+        parse(page)
+        assert time.perf_counter() - start < 10
