@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import Scratch, let
+from .shared import Scratch, keeps_columns, let
 
 MIN_DOCS = 10
 BATCHES = 4
@@ -154,14 +154,15 @@ def split_lines(docs: DataFrame, found: DataFrame, id: str = "doc_id", text: str
     return joined.withColumn("_n", F.size(lines)).withColumn("_kept", F.when(F.col("_found").isNull(), F.coalesce(F.col(text), F.lit(""))).otherwise(left))
 
 
+@keeps_columns
 def line_dedup(docs: DataFrame, min_docs: int = MIN_DOCS, batches: int = BATCHES, id: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` without the lines found in at least ``min_docs`` documents; columns as given.
 
     Lines are compared by ``line_keys``; blank lines always stay.  A null or
     empty text is one empty line and comes back empty.  Rows with the same id
     and text count as documents of their own.  A text that loses all lines
-    comes back empty, an empty table stays empty, other columns pass through
-    (none may be named ``_h``, ``_id``, ``_t``, ``_found``, ``_n`` or ``_kept``).
+    comes back empty, an empty table stays empty, other columns pass through,
+    whatever their names.
     """
     split = split_lines(docs, frequent_places(docs, min_docs, batches, id=id, text=text), id, text)
     return split.withColumn(text, F.col("_kept")).select(*docs.columns)

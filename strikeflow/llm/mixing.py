@@ -21,7 +21,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import Scratch, words
+from .shared import Scratch, keeps_columns, words
 
 WEIGHTS = (5.0, 2.0, 1.0)
 MAX_REPEATS = 3
@@ -165,8 +165,9 @@ def mix(docs: DataFrame, weights: dict | None = None, total: float | None = None
     )
 
 
+@keeps_columns
 def mix_rows(docs: DataFrame, id: str = "doc_id", **options) -> DataFrame:
-    """Each row of ``docs`` as often as the mix takes it; columns as given, none named ``_row``, ``_key``, ``_copies`` or ``_copy``."""
+    """Each row of ``docs`` as often as the mix takes it; columns as given."""
     # rows are numbered once and staged, so that repeated rows keep apart
     marked = Scratch(docs.sparkSession, "mixed").stage(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
     taken = mix(marked, id="_row", order=id, **options).where("copies > 0").select(F.col("_row").alias("_key"), F.col("copies").alias("_copies"))

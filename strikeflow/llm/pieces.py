@@ -29,7 +29,7 @@ import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import Scratch, let
+from .shared import Scratch, keeps_columns, let
 
 SPACE = "▁"
 #: Units of more code points are segmented by ``segment``.
@@ -300,12 +300,13 @@ def _units_of(docs: DataFrame, text: str, model: Model) -> DataFrame:
     return docs.select(F.col("_part").cast("long").alias("part"), F.col(text).alias("text")).mapInArrow(of, "part long, unit string")
 
 
+@keeps_columns
 def encode(docs: DataFrame, model: Model, text: str = "text", into: str = "ids") -> DataFrame:
     """``docs`` with column ``into``: the ids of the text, those of the model's own encoder.
 
     A null or empty text has no ids.  Equal texts get equal ids, repeated rows
-    stay, an empty table stays empty.  Other columns pass through, but for those
-    named ``_part`` or like ``into``, which are replaced.
+    stay, an empty table stays empty.  Other columns pass through, but for one
+    named like ``into``, which is replaced.
     """
     scratch = Scratch(docs.sparkSession, "pieces")
     share = F.pmod(F.xxhash64(F.col(text)), F.lit(SHARES))

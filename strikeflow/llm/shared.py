@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import contextlib
+import functools
 import os
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -72,6 +73,24 @@ def quiet_conf(spark: SparkSession, **settings: str) -> Iterator[None]:
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
+def keeps_columns(operator: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """For operators whose own columns begin with an underscore: such columns of the given rows get other names on
+    the way through, so that they neither clash nor are lost.  Column arguments keep theirs."""
+
+    @functools.wraps(operator)
+    def run(docs: DataFrame, *args, **options) -> DataFrame:
+        own = {a for a in (*args, *options.values()) if isinstance(a, str)}
+        prefix = "kept"
+        while any(c.lower().startswith(prefix) for c in docs.columns):
+            prefix += "_"
+        away = {c: f"{prefix}{i}" for i, c in enumerate(docs.columns) if c.startswith("_") and c not in own}
+        if not away:
+            return operator(docs, *args, **options)
+        return operator(docs.withColumnsRenamed(away), *args, **options).withColumnsRenamed({v: k for k, v in away.items()})
+
+    return run
+
+
 def words(text: Column) -> Column:
     """The maximal runs of non-space characters; null or blank text: an empty array."""
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), f"[{SPACE}]+"), "")

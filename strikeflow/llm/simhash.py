@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import Scratch
+from .shared import Scratch, keeps_columns
 
 SHINGLE = 3
 MAX_BITS = 2
@@ -187,13 +187,13 @@ def _rooted(docs: DataFrame, id: str, text: str, shingle: int, scratch: Scratch
     return prints.join(named, F.col("fp") == F.col("f")).drop("f")
 
 
+@keeps_columns
 def near_dedup(docs: DataFrame, id: str = "doc_id", text: str = "text", shingle: int = SHINGLE) -> DataFrame:
     """One document of each component, that of the least id; columns as given.
 
     Of rows with this id, the one whose text has the least hash stays.  A
     document with a null id stays only where its component has no other.
     Components that share an id keep a row each.
-    Columns may not be named ``_id``, ``_t`` or ``_h``.
     """
     rows = _rooted(docs, id, text, shingle)
     first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "t")).alias("first")

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import Scratch
+from .shared import Scratch, keeps_columns
 
 WINDOW = 50
 KMER = 16
@@ -209,6 +209,7 @@ def _joined(docs: DataFrame, window: int, kmer: int, id: str, text: str) -> Data
     return hashed.join(spans, (F.col(id).cast("long") == F.col("_id")) & (F.col("_h") == F.col("_t")), "left").drop("_id", "_t", "_h")
 
 
+@keeps_columns
 def substring_dedup(docs: DataFrame, window: int = WINDOW, kmer: int = KMER, id: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` without the repeated windows of ``window`` words; a changed text is its words joined by spaces.
 
@@ -216,8 +217,8 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, kmer: int = KMER, id:
     id, judged on the input.  Texts without such words, also null and empty
     ones, stay as they are.  Rows of the same id are never each other's source,
     so repeated rows are treated alike; a null id neither gives nor loses
-    words.  An empty table stays empty; other columns pass through (not those
-    named ``_id``, ``_t``, ``_h``, ``_spans`` or ``_cut``).
+    words.  An empty table stays empty; other columns pass through,
+    whatever their names.
     """
     joined = _joined(docs, window, kmer, id, text)
 
