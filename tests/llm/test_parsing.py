@@ -87,3 +87,13 @@ def test_edited_form_under_400_characters(spark):
     df = spark.createDataFrame([(2, text), (1, "")], "doc_id long, text string")
     near = {r.doc_id: r.near_edited for r in P.fingerprint_report(df).collect()}
     assert near[2] > 0.4 and near[1] == 1
+
+
+def test_cuts_are_ids_and_nearly_even(spark):
+    # most ids close together, a few far away
+    ids = spark.range(0, 30_000).selectExpr("if(id < 29000, id * 3, id * 1000000000000) AS id")
+    edges, all_ids = P._edges(ids, 40), np.sort([r.id for r in ids.collect()])
+    assert set(edges.tolist()) <= set(all_ids.tolist()) and edges[-1] == all_ids[-1]
+    assert np.bincount(np.searchsorted(edges, all_ids), minlength=len(edges)).max() < 4 * len(all_ids) / 40
+    assert "percentile" not in P.neighbours(ids.selectExpr("id AS doc_id", "'' AS text"))._jdf.queryExecution().toString()
+    assert len(P._edges(ids.limit(0), 40)) == 0
