@@ -67,13 +67,14 @@ def _rate(lam: Column, size: Column, mean: Column, cap: float) -> Column:
 
 
 def solve_rates(hist: DataFrame, sizes: dict, docs: dict, targets: dict, cap: float = MAX_REPEATS, steps: int = NEWTON_STEPS, tolerance: float = TOLERANCE) -> dict:
-    """Lambda per source; None where every rate is ``cap`` or the source has no words.
+    """Lambda per source; None where every rate is ``cap``, the target 0 or the source without words.
 
     ``hist`` has rows (source, size, n).  The words taken rise with lambda, so
     each source keeps a bracket and halves it where a Newton step leaves it.
+    Raises ArithmeticError if a source is still off its target after ``steps``.
     """
     spark = hist.sparkSession
-    todo = {s: [0.0, -math.inf, math.inf] for s in sizes if sizes[s] > 0 and targets[s] < cap * sizes[s] * (1 - 1e-9)}
+    todo = {s: [0.0, -math.inf, math.inf] for s in sizes if sizes[s] > 0 and 0 < targets[s] < cap * sizes[s] * (1 - 1e-9)}
     done = {s: None for s in sizes if s not in todo}
     for _ in range(steps):
         if not todo:
@@ -99,7 +100,9 @@ def solve_rates(hist: DataFrame, sizes: dict, docs: dict, targets: dict, cap: fl
             if not low < new < high:
                 new = (low + high) / 2 if math.isfinite(low + high) else lam + (1.0 if miss < 0 else -1.0) * max(1.0, abs(lam))
             todo[s] = [new, low, high]
-    return done | {s: v[0] for s, v in todo.items()}
+    if todo:
+        raise ArithmeticError(f"{steps} Newton steps leave {len(todo)} sources off their targets, {next(iter(todo))!r} among them")
+    return done
 
 
 def _whole_copies(hist: DataFrame, cap: int, corrections: int) -> DataFrame:

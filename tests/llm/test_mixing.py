@@ -77,3 +77,16 @@ def test_blank_texts_only(spark):
     docs = spark.createDataFrame([(1, None, "s"), (2, "  ", None)], "doc_id long, text string, source string")
     assert [r.taken for r in M.mix_report(docs).collect()] == [0, 0]
     assert np.isfinite([r.target for r in M.mix_report(docs).collect()]).all()
+
+
+def test_a_target_that_is_not_reached_raises(spark):
+    hist = spark.createDataFrame([("s", 10, 1), ("s", 1000, 1)], "source string, size long, n long")
+    sizes, docs, targets = {"s": 1010}, {"s": 2}, {"s": 37.0}
+    assert M.solve_rates(hist, sizes, docs, targets)["s"] < 0
+    with pytest.raises(ArithmeticError):
+        M.solve_rates(hist, sizes, docs, targets, steps=1)
+
+
+def test_a_source_of_weight_zero_is_left_out(spark):
+    docs = spark.createDataFrame([(1, "a b c", "s"), (2, "a b c", "t")], "doc_id long, text string, source string")
+    assert {r.id: r.copies for r in M.mix(docs.withColumnRenamed("doc_id", "id"), weights={"s": 1.0, "t": 0.0}, id="id").collect()} == {1: 2, 2: 0}
