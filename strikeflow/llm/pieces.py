@@ -38,6 +38,8 @@ LONG = 48
 SHARES = 4
 #: Units whose lattices a task holds.
 UNITS_TOGETHER = 20_000
+#: Words of an input split that a task remembers; about 100 MB with their units.
+WORDS_TOGETHER = 250_000
 _KEY = 64  # edge key: start * _KEY + length
 _BITS = 20  # of a piece's id, and of its rank
 #: Ways to cut units, the finest first; one is used if no piece reaches across its cuts.
@@ -86,6 +88,8 @@ def load(path: str) -> Model:
 
 
 def make_model(kind: str, pieces: dict[str, tuple[int, float]], spelled: tuple = (), bytes_at: int | None = None, unknown: int = 0) -> Model:
+    if max(i for i, _ in pieces.values()) >> _BITS or len({s for _, s in pieces.values()}) >> _BITS:
+        raise ValueError(f"ids and ranks of the model's pieces take more than {_BITS} bits")
     return Model(kind, pieces, spelled, bytes_at, unknown, next(u for u in _UNITS if _never_cuts(u, pieces)), max(map(len, pieces)))
 
 
@@ -279,23 +283,36 @@ def _words(text: str | None) -> list[str]:
     return [text] if "  " in text or text[0] == " " or text[-1] == " " or SPACE in text else text.split(" ")
 
 
-def _units_of(docs: DataFrame, text: str, model: Model) -> DataFrame:
-    """(part, unit): the distinct units of each part of an input split."""
+def _units_of(docs: DataFrame, text: str, model: Model, together: int = WORDS_TOGETHER) -> DataFrame:
+    """(part, unit): the units of each part of an input split, each at least once.
+
+    What is known to be out already is kept up to ``together`` words of a
+    split, then forgotten, so that memory doesn't follow the split's vocabulary.
+    """
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         find = regex.compile(model.unit).findall
-        seen, units = defaultdict(set), defaultdict(set)
+        seen, units, held = defaultdict(set), defaultdict(set), 0
+
+        def out() -> Iterator[pa.RecordBatch]:
+            for part, found in units.items():
+                rows = list(found)
+                for i in range(0, len(rows), UNITS_TOGETHER):
+                    some = rows[i : i + UNITS_TOGETHER]
+                    yield pa.RecordBatch.from_arrays([pa.repeat(pa.scalar(part, pa.int64()), len(some)), pa.array(some, pa.string())], ["part", "unit"])
+            seen.clear()
+            units.clear()
+
         for b in batches:
             for part, t in zip(b.column(0).to_pylist(), b.column(1)):
                 new = set(_words(t.as_py())).difference(seen[part])
                 units[part].update(u for w in new for u in find(spaced(w)))
                 seen[part].update(w for w in new if len(w) < LONG)
-        seen.clear()
-        for part, found in units.items():
-            rows = list(found)
-            for i in range(0, len(rows), 20_000):
-                some = rows[i : i + 20_000]
-                yield pa.RecordBatch.from_arrays([pa.repeat(pa.scalar(part, pa.int64()), len(some)), pa.array(some, pa.string())], ["part", "unit"])
+                held += len(new)
+                if held >= together:
+                    yield from out()
+                    held = 0
+        yield from out()
 
     return docs.select(F.col("_part").cast("long").alias("part"), F.col(text).alias("text")).mapInArrow(of, "part long, unit string")
 

@@ -75,3 +75,17 @@ def test_unigram_lattice_finds_the_best_path(spark):
         for ids in (got[u], P.segment(u, model)):
             assert sum(score[i] for i in ids) == pytest.approx(best_score(u, pieces, low))
             assert "".join(names[i - 1] if i else "x" for i in ids) == u
+
+
+def test_memory_bound_of_the_units(spark):
+    from pyspark.sql import functions as F
+
+    model = P.load(PATH)
+    docs = spark.read.parquet(f"{SF}/documents.parquet").withColumn("_part", F.pmod("doc_id", F.lit(3)))
+    all_at_once, in_parts = (P._units_of(docs, "text", model, n).distinct() for n in (10**9, 50))
+    assert all_at_once.count() > 1000 and all_at_once.exceptAll(in_parts).isEmpty() and in_parts.exceptAll(all_at_once).isEmpty()
+
+
+def test_models_too_large_for_the_packing_raise():
+    with pytest.raises(ValueError):
+        P.make_model("bpe", {"a": (1 << 20, 0.0), "b": (2, 0.0)})
