@@ -35,13 +35,24 @@ CHROME = frozenset(
 )
 BODY = frozenset("article articlebody blogpost body content entry main maincontent post prose story text".split())
 
-FEATURES = len(KINDS) + 9
+#: Elements that divide a page.
+_BOXES = frozenset((*KINDS[0], *KINDS[4], *KINDS[5], *KINDS[6], *KINDS[7], *KINDS[8], *KINDS[9], *KINDS[10], *KINDS[11]))
+#: Share of a page's prose that makes an element with a heading its main part.
+RICH = 0.5
+FEATURES = len(KINDS) + 10
 STEPS, RATE, DECAY = 400, 0.5, 1e-3
 BATCH_PAGES = 256
 
 
 def features(page: Page) -> np.ndarray:
-    """One row per block."""
+    """One row per block.
+
+    A name is evidence, not a fact: it doesn't count against an ``article`` or
+    ``main`` element, nor against an element that holds an article and most of
+    the page's prose.  What stands beside an article or beside most of the prose
+    under a heading, whatever its name, is ``apart``: by how much it has less
+    text than that.  Sections aren't, as they divide articles too.
+    """
     n = len(page.tag)
     own, pieces, stops = np.zeros(n), np.zeros(n), np.zeros(n)
     for block, text in page.pieces:
@@ -49,23 +60,43 @@ def features(page: Page) -> np.ndarray:
         pieces[block] += 1
         stops[block] += text[-1] in ".!?…”\""
     linked, kids = np.minimum(np.array(page.linked, dtype=float), own), np.zeros(n)
-    below, below_linked, inside, main = own.copy(), linked.copy(), np.zeros(n), np.zeros(n, dtype=bool)
+    prose = np.where([tag in KINDS[1] for tag in page.tag], own - linked, 0.0)
+    heads = np.array([tag in ("h1", "h2") for tag in page.tag], dtype=float)
+    below, below_linked, below_prose, below_heads = own.copy(), linked.copy(), prose, heads
+    marked = [bool(names & CHROME) for names in page.names]
+    holds = np.array([tag in KINDS[0] and not m for tag, m in zip(page.tag, marked)])
     for i in range(n - 1, 0, -1):
         up = page.parent[i]
         below[up] += below[i]
         below_linked[up] += below_linked[i]
+        below_prose[up] += below_prose[i]
+        below_heads[up] += below_heads[i]
+        holds[up] |= holds[i]
         kids[up] += 1
+    plain = below - below_linked
+    # holds much of the page's prose, and a heading or an article
+    rich = ((below_heads > 0) | holds) & (below_prose > 0) & (below_prose > RICH * below_prose[0])
+    best = np.zeros(n)  # text of the richest child that holds prose under a heading, or an article
+    for i in range(1, n):
+        if (rich[i] or holds[i]) and page.tag[i] in _BOXES:
+            best[page.parent[i]] = max(best[page.parent[i]], plain[i])
     out = np.zeros((n, FEATURES))
+    inside, main, apart = np.zeros(n), np.zeros(n, dtype=bool), np.zeros(n)
     for i, (tag, names) in enumerate(zip(page.tag, page.names)):
         out[i, _KIND.get(tag, len(KINDS))] = 1
-        chrome = bool(names & CHROME)
         up = page.parent[i]
+        within = i > 0 and inside[up] > 0
+        chrome = marked[i] and (within or not (tag in KINDS[0] or (rich[i] and holds[i])))
         main[i] = tag in KINDS[0] or bool(names & BODY) or (i > 0 and main[up])
         # a header outside the main part is the site's; inside, it has the article's title
-        inside[i] = chrome or tag in ("nav", "footer", "aside", "form") or (tag == "header" and not main[i]) or (i > 0 and inside[up])
-        out[i, -8] = chrome
-        out[i, -7] = bool(names & BODY) and not chrome
-    out[:, -6] = inside
+        inside[i] = chrome or tag in ("nav", "footer", "aside", "form") or (tag == "header" and not main[i]) or within
+        if i and not main[i]:
+            beside = tag in _BOXES and tag != "section" and best[up] > 0 and not (rich[i] or holds[i])
+            apart[i] = max(apart[up], 1 - min(1, plain[i] / best[up]) if beside else 0)
+        out[i, -9] = chrome
+        out[i, -8] = bool(names & BODY) and not chrome
+    out[:, -7] = inside
+    out[:, -6] = apart
     out[:, -5] = np.minimum(1, np.log1p(below) / 8)
     out[:, -4] = below_linked / np.maximum(1, below)
     out[:, -3] = stops > 0

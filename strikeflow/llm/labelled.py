@@ -35,4 +35,10 @@ PAGES = (
     f"<body><header><h1>The Daily</h1><nav>{_LINKS}</nav></header><article data-y='1'><h1>Ice</h1><p>{_LONG}</p><section class='comments' data-y='0'><h2>Comments</h2><ul><li>{_LONG}</li><li>{_SHORT}</li></ul></section></article></body>",
     f"<body><header><h1>The Daily</h1><p>{_SHORT}</p></header><p data-y='1'>{_MORE}</p><p data-y='1'>{_SHORT}</p><footer>{_LONG}</footer></body>",
     f"<body><nav>{_LINKS}</nav><div class='post-content' data-y='1'><h2>Ice</h2><div>{_LONG}</div><div>{_MORE}</div></div><div class='related'>{_SHORT}</div></body>",
+    f"<body><div class='kopf'><div>Die Zeitung</div>{_LINKS}</div><div class='inhalt' data-y='1'><h1>Ice</h1><p>{_LONG}</p><p>{_MORE}</p></div><div class='fuss'><p>{_SHORT} Impressum.</p></div></body>",
+    f"<body><div id='s1'><p>{_SHORT}</p></div><div id='s2'><div data-y='1'><h2>Ice</h2><p>{_MORE}</p><p>{_LONG}</p></div><div id='s4'>{_LINKS}</div></div><div id='s5'>{_SHORT} 2024</div></body>",
+    f"<body><div class='cabecera'><a href='/'>El Diario</a></div><div class='texto' data-y='1'><h1>Ice</h1><p>{_LONG}</p><div>{_SHORT}</div><p>{_MORE}</p></div><div class='pie'>{_SHORT} Contacto.</div></body>",
+    f"<body><article class='post' data-y='1'><h1>Ice</h1><p>{_MORE}</p><div class='ads' data-y='0'>Oars for all. Come and see.</div><div class='promo' data-y='0'><p>Read more of it. Now.</p></div><div>{_LONG}</div></article></body>",
+    f"<body><nav>{_LINKS}</nav><article class='news-alert' data-y='1'><h1>Ice</h1><p>{_LONG}</p><p>{_SHORT}</p></article><div class='post-share'><a href='/f'>Share</a> it.</div><footer>{_SHORT}</footer></body>",
+    f"<body><div class='site widget'><nav>{_LINKS}</nav><article data-y='1'><p>{_LONG}</p></article><div class='comments'><article class='comment'><p>{_MORE}</p></article><article class='comment'><p>{_SHORT}</p></article></div></div></body>",
 )

@@ -99,3 +99,36 @@ def test_stray_and_unclosed_tags_take_linear_time():
         start = time.perf_counter()
         parse(page)
         assert time.perf_counter() - start < 10
+
+
+def test_names_of_classes_do_not_decide_alone():
+    T = "The old bridge was closed for the winter because the ice had broken two of its piers, and nobody knew when it would open again."
+    U = "People walked along the river instead, and the bakery on the far side lost half of its customers within a week."
+    good = f"<h1>Bridge</h1><p>{T}</p><p>{U}</p>"
+    want = f"Bridge\n{T}\n{U}"
+    cases = {
+        "alert": f"<body><nav><ul><li><a href=/>Home</a></li></ul></nav><article class='news-alert'>{good}</article><footer>c 2024</footer></body>",
+        "share": f"<body><article class='post-share'>{good}</article></body>",
+        "main widget": f"<body><main class='widget'>{good}</main><aside><p>{T}</p></aside></body>",
+        "german": f"<body><div class='kopfzeile'><a href=/>Zeitung</a><p>Heute.</p></div><div class='haupt'>{good}</div><div class='fusszeile'><p>Alle Rechte vorbehalten.</p><p>Impressum.</p></div></body>",
+        "french": f"<body><div class='entete'><h2>Le Jour</h2><ul><li><a href=/>Accueil</a></li></ul></div><div class='texte'>{good}</div><div class='pied'>Tous droits.</div></body>",
+        "wrapped": f"<body><div id='seite'><div class='kopf'>Zeitung</div><div class='inhalt'>{good}</div><div class='rand'><ul><li><a href=/x>x y z</a></li></ul></div></div></body>",
+        "comments": f"<body><article>{good}</article><section class='comments'><article class='comment'><p>{T}</p></article><article class='comment'><p>{U}</p><p>{T}</p></article></section></body>",
+        "sharebox": f"<body><article>{good}<div class='post-share'><a href=/f>Share</a></div></article><div class='related-posts'><article class='teaser'><h2>Other</h2><p>{U}</p></article></div></body>",
+        "plain": f"<body>{good}</body>", "divs": f"<body><div><h1>Bridge</h1><div>{T}</div><div>{U}</div></div></body>",
+        "sections": f"<body><div class=x><section><h1>Bridge</h1><p>{T}</p></section><section><p>{U}</p></section></div></body>",
+        "flatdivs": f"<body><h1>Bridge</h1><div>{T}</div><div>{U}</div></body>",
+        "cookie": f"<body><div class='cookie-banner'><h2>Cookies</h2><p>{T} {T} {T}</p></div><article>{good}</article></body>",
+    }
+    got = dict(zip(cases, X.extract(list(cases.values()), *X.model())))
+    assert got == dict.fromkeys(cases, want)
+
+
+def test_a_short_section_beside_a_long_one_stays():
+    page = "<body><div class='x'><section><h1>Bridge</h1><p>" + "The ice has broken it. " * 9 + "</p></section><section><p>It did.</p></section></div></body>"
+    assert X.extract([page], *X.model())[0].endswith("\nIt did.")
+
+
+def test_extraction_does_not_depend_on_the_batch():
+    whole = X.extract(PAGES, *X.model())
+    assert [X.extract([p], *X.model())[0] for p in PAGES] == whole
