@@ -1,22 +1,24 @@
 """Quality rules as a short-circuit cascade, in DataFrame functions only.
 
-Each rule is a Boolean Column that rejects a text.  On a seeded sample the
-cascade measures what share of the rows each rule rejects and how long it
-takes alone; the rules then run in order of rejections per second, and a row
-that one of them rejects is not put to the rest.  The verdict is that no rule
-rejects, which is the same in any order: the sample decides the speed only.
+Each rule is a Boolean Column that rejects a text, with a Column that says how
+much work it is.  On a seeded sample the cascade counts the rows that each rule
+rejects and adds up its work; the rules then run in order of rejections per
+work, and a row that one of them rejects is not put to the rest.  Work is
+counted in code points and words, not by the clock, so that the order is the same
+at every run.  A text is split into words once for all rules.  The verdict is
+that no rule rejects, which is the same in any order: the sample decides the
+speed only.
 """
 
 from __future__ import annotations
 
-import time
 from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import SPACE, Scratch, let, words
+from .shared import SPACE, let, words
 
 WINDOW = 5
 MIN_WORDS = 10
@@ -27,14 +29,19 @@ MAX_SYMBOLS_PER_100_WORDS = 20
 MAX_DUP_LINE_PERCENT = 50
 MIN_MEAN_WORD, MAX_MEAN_WORD = 2, 25
 SAMPLE_ROWS = 2000
+#: Work of a rule: a code point searched for symbols counts 1.  The others are
+#: their times beside that, over the documents of the test tables: searching for
+#: lines, for white space, and comparing the windows that begin at a word.
+LINE_WORK, CHARS_WORK, WINDOW_WORK = 0.5, 1.5, 60
 
 
 @dataclass(frozen=True)
 class Rule:
-    """``rejects`` is true, false or never null for every row."""
+    """``rejects`` is true or false, never null, for every row; ``work`` is a number, or one per row."""
 
     name: str
     rejects: Column
+    work: Column | float = 1.0
 
 
 def n_words(text: Column) -> Column:
@@ -101,15 +108,17 @@ def repeat_words(w: Column) -> Column:
     )
 
 
-def default_rules(text: str = "text") -> list[Rule]:
-    """The base rules and the three limits above, on the column named ``text``."""
+def default_rules(text: str = "text", of: Column | None = None) -> list[Rule]:
+    """The base rules and the three limits above, on the column named ``text``; ``of``: its words, if there already."""
     t = F.col(text)
+    w = words(t) if of is None else of
+    n, length = F.size(w), F.coalesce(F.length(t), F.lit(0))
     return [
-        Rule("few_words", n_words(t) < MIN_WORDS),
-        Rule("repeated_words", let(words(t), lambda w: 100 * repeat_words(w) > MAX_REPEAT_PERCENT * F.size(w))),
-        Rule("symbols", 100 * n_symbols(t) > MAX_SYMBOLS_PER_100_WORDS * n_words(t)),
-        Rule("duplicate_lines", let(worded_lines(t), lambda x: 100 * (F.size(x) - F.size(F.array_distinct(x))) > MAX_DUP_LINE_PERCENT * F.size(x))),
-        Rule("word_length", ~word_chars(t).between(MIN_MEAN_WORD * n_words(t), MAX_MEAN_WORD * n_words(t))),
+        Rule("few_words", n < MIN_WORDS),
+        Rule("repeated_words", let(w, lambda x: 100 * repeat_words(x) > MAX_REPEAT_PERCENT * F.size(x)), 1 + WINDOW_WORK * n),
+        Rule("symbols", 100 * n_symbols(t) > MAX_SYMBOLS_PER_100_WORDS * n, 1 + length),
+        Rule("duplicate_lines", let(worded_lines(t), lambda x: 100 * (F.size(x) - F.size(F.array_distinct(x))) > MAX_DUP_LINE_PERCENT * F.size(x)), 1 + LINE_WORK * length),
+        Rule("word_length", let(word_chars(t), lambda x: ~x.between(MIN_MEAN_WORD * n, MAX_MEAN_WORD * n)), 1 + CHARS_WORK * length),
     ]
 
 
@@ -126,23 +135,21 @@ def stat_rules() -> list[Rule]:
 
 
 def order_rules(df: DataFrame, rules: Sequence[Rule], sample_rows: int = SAMPLE_ROWS, seed: int = 7) -> list[Rule]:
-    """``rules`` by rejections per second on a sample of about ``sample_rows`` rows.
+    """``rules`` by rejections per work on a sample of about ``sample_rows`` rows; equals stay in the order given.
 
-    The sample is staged once.  Each rule is timed alone over it after a first
-    untimed pass over all rules, which also gives the rejections.
+    One aggregate over the sample gives both.  The same table gives the same
+    order at every run.
     """
     n = df.count()
     if not n:
         return list(rules)
-    scratch = Scratch(df.sparkSession, "quality")
-    sample = scratch.stage(df.sample(min(1.0, sample_rows / n), seed), "sample")
-    rejected = sample.agg(*[F.count(F.when(r.rejects, 1)).alias(f"r{i}") for i, r in enumerate(rules)]).first()
-    score = []
-    for i, rule in enumerate(rules):
-        began = time.perf_counter()
-        sample.agg(F.count(F.when(rule.rejects, 1))).first()
-        score.append(rejected[i] / (time.perf_counter() - began))
-    scratch.drop("sample")
+    work = [r.work if isinstance(r.work, Column) else F.lit(float(r.work)) for r in rules]
+    found = (
+        df.sample(min(1.0, sample_rows / n), seed)
+        .agg(*[F.count(F.when(r.rejects, 1)).alias(f"r{i}") for i, r in enumerate(rules)], *[F.sum(w.cast("double")).alias(f"w{i}") for i, w in enumerate(work)])
+        .first()
+    )
+    score = [found[f"r{i}"] / found[f"w{i}"] if found[f"w{i}"] else 0.0 for i in range(len(rules))]
     return [rules[i] for i in sorted(range(len(rules)), key=lambda i: (-score[i], i))]
 
 
@@ -154,22 +161,36 @@ def verdict(rules: Sequence[Rule]) -> Column:
     return first
 
 
+def shared_verdict(order: Sequence[str], text: str = "text") -> Column:
+    """``verdict`` of the default rules in the given order of names, on one split of the text."""
+
+    def of(w: Column) -> Column:
+        rules = {r.name: r for r in default_rules(text, w)}
+        return verdict([rules[name] for name in order])
+
+    return let(words(F.col(text)), of)
+
+
+def _decided(df: DataFrame, rules: Sequence[Rule] | None, text: str, sampling: dict) -> Column:
+    if rules is not None:
+        return verdict(order_rules(df, rules, **sampling))
+    return shared_verdict([r.name for r in order_rules(df, default_rules(text), **sampling)], text)
+
+
 def cascade(df: DataFrame, rules: Sequence[Rule] | None = None, text: str = "text", into: str = "rejected_by", **sampling) -> DataFrame:
     """``df`` with column ``into``: the rule that rejected the row, null where the row is kept.
 
     A null text counts as empty and falls to ``few_words``.  Equal texts get
     the same fate, an empty table gives an empty result, other columns pass
     through; a column named like ``into`` is replaced.  Which of several
-    rejecting rules is named depends on the measured order; whether one rejects doesn't.
+    rejecting rules is named depends on the order that the sample gives; whether one rejects doesn't.
     """
-    rules = default_rules(text) if rules is None else rules
-    return df.withColumn(into, verdict(order_rules(df, rules, **sampling)))
+    return df.withColumn(into, _decided(df, rules, text, sampling))
 
 
 def quality_filter(df: DataFrame, rules: Sequence[Rule] | None = None, text: str = "text", **sampling) -> DataFrame:
     """The rows that no rule rejects, with the columns of ``df``."""
-    rules = default_rules(text) if rules is None else rules
-    return df.where(verdict(order_rules(df, rules, **sampling)).isNull())
+    return df.where(_decided(df, rules, text, sampling).isNull())
 
 
 def statistics(df: DataFrame, text: str = "text") -> DataFrame:
@@ -185,7 +206,11 @@ def statistics(df: DataFrame, text: str = "text") -> DataFrame:
 
 
 def quality_report(docs: DataFrame) -> DataFrame:
-    """Statistics and verdict of every document."""
+    """Statistics and verdict of every document.
+
+    A null or empty text has no words and fails; repeated rows get the same
+    verdict, an empty table gives an empty result, other columns don't matter.
+    """
     stats = statistics(docs.select("doc_id", "text")).drop("text")
     rules = order_rules(docs.select("text"), default_rules())
     by_stats = {r.name: r for r in stat_rules()}

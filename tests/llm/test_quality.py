@@ -55,3 +55,29 @@ def test_empty(empty):
 def test_no_python_in_the_plan(odd):
     plan = Q.quality_report(odd)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_the_order_and_the_reasons_are_repeatable(odd):
+    first = [r.name for r in Q.order_rules(odd, Q.default_rules(), sample_rows=20)]
+    for _ in range(3):
+        assert [r.name for r in Q.order_rules(odd, Q.default_rules(), sample_rows=20)] == first
+    rows = [collected(Q.cascade(odd, sample_rows=20), "doc_id", "rejected_by") for _ in range(2)]
+    assert rows[0] == rows[1]
+
+
+def test_the_shared_split_gives_the_same_verdict(odd):
+    names = [r.name for r in Q.default_rules()]
+    for order in (names, names[::-1]):
+        by = {r.name: r for r in Q.default_rules()}
+        both = odd.select(Q.shared_verdict(order).alias("a"), Q.verdict([by[n] for n in order]).alias("b"))
+        assert both.where("not (a <=> b)").count() == 0
+    assert names[0] in {r.a for r in odd.select(Q.shared_verdict(names).alias("a")).collect()}
+
+
+def test_dear_rules_come_late(spark):
+    from pyspark.sql import functions as F
+
+    df = spark.range(3000).select(F.lit("some words").alias("text"), "id")
+    dear = Q.Rule("dear", F.col("id") % 10 != 0, 100 + F.length("text"))
+    cheap = Q.Rule("cheap", F.col("id") % 10 == 0)
+    assert [r.name for r in Q.order_rules(df, [dear, cheap], sample_rows=3000)] == ["cheap", "dear"]
