@@ -1,13 +1,16 @@
 """Line dedup over levelled sorted runs of line hashes.
 
-The corpus comes in batches.  A batch's distinct lines are hashed, lines whose
-verdict is settled already are removed by an anti-join with the settled run,
-and the rest becomes a new run of level 0: one row per hash with the number of
-documents that have it, in hash order.  When a level holds ``fan_out`` runs,
-they are compacted into one run of the next level; hashes that have reached
-``min_docs`` documents move to the settled run then and never enter again.
-At the end the runs are compacted once more, and documents lose the lines
+The corpus comes in batches.  A batch's distinct lines are hashed, counted and
+merge-anti-joined with the runs: lines that a run has settled (found in
+``min_docs`` documents) are removed, and the rest becomes a new run of level 0,
+one row per hash with the number of documents of this batch that have it.  A
+hash whose number over all runs reaches ``min_docs`` here is settled by this
+row and never enters again.  When a level holds ``fan_out`` runs, they are
+merged into one run of the next level.  At the end documents lose the lines
 whose hash is settled.
+
+A run is a table bucketed and sorted by hash, one file a bucket, so both kinds
+of merge read the runs in order, bucket by bucket, and shuffle none of them.
 """
 
 from __future__ import annotations
@@ -19,10 +22,10 @@ from functools import reduce
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import Scratch, keeps_columns, let
+from .shared import Scratch, keeps_columns, let, quiet_conf
 
 MIN_DOCS = 10
 BATCHES = 4
@@ -71,58 +74,86 @@ class LineRuns:
     """The runs of one corpus, in a folder under the shared one.
 
     A hash counts once per document and batch: give every document to one batch.
+    The number of buckets is the session's ``spark.sql.shuffle.partitions`` at
+    the first batch.
     """
 
     def __init__(self, spark, min_docs: int = MIN_DOCS, fan_out: int = FAN_OUT):
-        self.scratch = Scratch(spark, "lines")
+        if min_docs < 1 or fan_out < 2:
+            raise ValueError("min_docs is at least 1 and fan_out at least 2")
+        self.spark, self.scratch = spark, Scratch(spark, "lines")
         self.min_docs, self.fan_out = min_docs, fan_out
         self.levels: dict[int, list[tuple[str, DataFrame]]] = defaultdict(list)
-        self.settled: DataFrame | None = None
+        self.buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
         self._made = 0
 
-    def _write(self, df: DataFrame, kind: str) -> tuple[str, DataFrame]:
+    def _write(self, df: DataFrame) -> tuple[str, DataFrame]:
+        """Write a run: a bucketed table under the scratch folder, whose files stay when the catalog forgets it."""
         self._made += 1
-        name = f"{kind}-{self._made}"
-        return name, self.scratch.stage(df.sortWithinPartitions("a", "b"), name)
+        name = f"run-{self._made}"
+        entry = f"{self.scratch.root.rsplit('/', 1)[1]}_{self._made}".replace("-", "_")
+        writer = df.write.format("parquet").option("compression", "zstd").option("path", f"{self.scratch.root}/{name}")
+        # a bucket that is one file is read in its order
+        with quiet_conf(self.spark, spark__sql__legacy__bucketedTableScan__outputOrdering="true"):
+            writer.bucketBy(self.buckets, "a", "b").sortBy("a", "b").saveAsTable(entry)
+        run = self.spark.table(entry).hint("merge")
+        self.spark.sql(f"DROP TABLE {entry}")
+        return name, run
+
+    def runs(self) -> list[DataFrame]:
+        return [run for level in self.levels.values() for _, run in level]
 
     def add(self, hashes: DataFrame) -> None:
         """Add a batch: a row (a, b) for each document and distinct line of it."""
-        run = hashes.groupBy("a", "b").agg(F.count("*").alias("docs"))
-        if self.settled is not None:
-            run = run.join(self.settled, ["a", "b"], "left_anti")
-        self.levels[0].append(self._write(run, "run"))
+        self.levels[0].append(self._write(self._fresh(hashes)))
         level = 0
         while len(self.levels[level]) >= self.fan_out:
             self._compact(level)
             level += 1
 
+    def _fresh(self, hashes: DataFrame) -> DataFrame:
+        """The batch's own run: what no earlier run has settled, with its number of documents, or the whole number
+        where that reaches the threshold now."""
+        run = hashes.groupBy("a", "b").agg(F.count("*").alias("docs"))
+        before = []
+        for i, old in enumerate(self.runs()):
+            run = run.join(old.withColumnRenamed("docs", f"docs_{i}"), ["a", "b"], "left")
+            before.append(F.coalesce(f"docs_{i}", F.lit(0)))
+        if not before:
+            return run
+        unsettled = reduce(Column.__and__, [n < self.min_docs for n in before])
+        total = reduce(Column.__add__, before, F.col("docs"))
+        return run.where(unsettled).select("a", "b", F.when(total >= self.min_docs, total).otherwise(F.col("docs")).alias("docs"))
+
     def _compact(self, level: int) -> None:
-        runs = self.levels.pop(level)
-        name, merged = self._write(self._sum(runs), "run")
-        for old, _ in runs:
-            self.scratch.drop(old)
-        self.levels[level + 1].append((name, merged))
-        self._settle(merged)
-
-    def _sum(self, runs: list[tuple[str, DataFrame]]) -> DataFrame:
-        return reduce(DataFrame.unionByName, [df for _, df in runs]).groupBy("a", "b").agg(F.sum("docs").alias("docs"))
-
-    def _settle(self, run: DataFrame) -> None:
-        """Add the hashes of ``run`` that have reached the threshold to the settled run."""
-        found = run.where(F.col("docs") >= self.min_docs).select("a", "b")
-        if self.settled is not None:
-            found = found.unionByName(self.settled).distinct()
-        self.settled = self._write(found, "settled")[1]
+        """Merge the runs of a level, two at a time, into one of the next level."""
+        first, *others = self.levels.pop(level)
+        for other in others:
+            merged = self._write(self._merged(first[1], other[1]))
+            for old, _ in (first, other):
+                self.scratch.drop(old)
+            first = merged
+        self.levels[level + 1].append(first)
+
+    @staticmethod
+    def _merged(x: DataFrame, y: DataFrame) -> DataFrame:
+        """Both runs in one.  A settled hash stays settled: the sum is no less than the number that settled it."""
+        both = x.withColumnRenamed("docs", "docs_x").join(y.withColumnRenamed("docs", "docs_y"), ["a", "b"], "full")
+        return both.select("a", "b", (F.coalesce("docs_x", F.lit(0)) + F.coalesce("docs_y", F.lit(0))).alias("docs"))
+
+    def settled(self) -> DataFrame:
+        """Every hash (a, b) found in at least ``min_docs`` documents of the batches so far, once."""
+        found = [run.where(F.col("docs") >= self.min_docs).select("a", "b") for run in self.runs()]
+        return reduce(DataFrame.unionByName, found, self.spark.createDataFrame([], "a long, b long"))
 
     def finish(self) -> DataFrame:
-        """Every hash (a, b) found in at least ``min_docs`` documents of all batches."""
-        runs = [run for level in self.levels.values() for run in level]
-        if runs:
-            self._settle(self._sum(runs))
-            for name, _ in runs:
+        """The settled hashes, in a table of their own; the runs are removed."""
+        found = self.scratch.stage(self.settled(), "settled")
+        for level in self.levels.values():
+            for name, _ in level:
                 self.scratch.drop(name)
-            self.levels.clear()
-        return self.settled
+        self.levels.clear()
+        return found
 
 
 def frequent_places(docs: DataFrame, min_docs: int = MIN_DOCS, batches: int = BATCHES, fan_out: int = FAN_OUT, id: str = "doc_id", text: str = "text", broadcast_hashes: int = BROADCAST_HASHES) -> DataFrame:

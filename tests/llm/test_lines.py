@@ -1,8 +1,16 @@
 import hashlib
+import random
+import re
 from collections import Counter
 
+import duckdb
+import pytest
 from conftest_llm import LOWER, collected
+from pyspark.sql import functions as F
+
 from strikeflow.llm import lines as L
+from strikeflow.llm.shared import quiet_conf
+from strikeflow.llm.sql import LINES
 
 
 def key(line):
@@ -42,14 +50,56 @@ def test_runs_settle_over_batches_and_levels(spark, odd):
 
 
 def test_settled_hashes_do_not_enter_again(spark):
-    runs = L.LineRuns(spark, min_docs=2, fan_out=2)
+    runs = L.LineRuns(spark, min_docs=2, fan_out=9)
     batch = spark.createDataFrame([(1, 1), (2, 2)], "a long, b long")
-    for _ in range(3):
-        runs.add(batch)
-    assert runs.levels[0][0][1].count() == 0
+    sizes = []
+    for n in (1, 2, 2, 2):
+        runs.add(batch.limit(n))
+        sizes.append(runs.runs()[-1].count())
+    assert sizes == [1, 2, 1, 0]
     assert sorted(map(tuple, runs.finish().collect())) == [(1, 1), (2, 2)]
 
 
+@pytest.mark.parametrize(("fan_out", "min_docs"), [(2, 1), (2, 3), (3, 5), (4, 12)])
+def test_settled_after_every_batch(spark, fan_out, min_docs):
+    rng = random.Random(fan_out)
+    runs = L.LineRuns(spark, min_docs, fan_out)
+    seen = Counter()
+    for n in (40, 0, 3, 90, 40, 1):
+        batch = [(a, a % 3 - 1) for a in (int(rng.paretovariate(0.6)) % 60 - 30 for _ in range(n))]
+        seen.update(batch)
+        runs.add(spark.createDataFrame(batch, "a long, b long"))
+        assert all(len(level) < fan_out for level in runs.levels.values())
+        want = sorted(k for k, c in seen.items() if c >= min_docs)
+        assert sorted(map(tuple, runs.settled().collect())) == want
+    assert sorted(map(tuple, runs.finish().collect())) == want
+
+
+def test_runs_merge_without_a_shuffle_or_a_sort(spark):
+    runs = L.LineRuns(spark, min_docs=3, fan_out=9)
+    rows = spark.range(1000).select((F.col("id") % 70).alias("a"), (F.col("id") % 7).alias("b"))
+    for _ in range(3):
+        runs.add(rows)
+    with quiet_conf(spark, spark__sql__legacy__bucketedTableScan__outputOrdering="true"):
+        plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+        merged = plan(L.LineRuns._merged(*runs.runs()[:2]))
+        assert "SortMergeJoin" in merged and "Exchange" not in merged and "Sort [" not in merged
+        # a new batch is shuffled and sorted, once; the three runs it meets are not
+        fresh = plan(runs._fresh(rows))
+        assert [len(re.findall(x, fresh)) for x in ("SortMergeJoin", r"Exchange hash", r"Sort \[")] == [3, 1, 1]
+
+
+def test_repeated_ids_are_documents_of_their_own(spark):
+    rows = [(7, "shared line\nown line")] * 6 + [(7, "Shared line \nother")] * 4 + [(8, f"rare {i}") for i in range(3)]
+    got = L.line_dedup_report(spark.createDataFrame(rows, "doc_id long, text string"))
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?)", rows)
+    cur = con.execute(LINES)
+    assert collected(got, *(d[0] for d in cur.description)) == sorted(cur.fetchall(), key=repr)
+    assert sum(r.n_dropped for r in got.collect()) == 10
+
+
 def test_shuffled_hashes_give_the_same(odd):
     few = L.frequent_places(odd, min_docs=3)
     many = L.frequent_places(odd, min_docs=3, broadcast_hashes=0)
