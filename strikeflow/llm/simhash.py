@@ -197,10 +197,12 @@ def near_dedup(docs: DataFrame, id: str = "doc_id", text: str = "text", shingle:
     """
     rows = _rooted(docs, id, text, shingle)
     first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "t")).alias("first")
-    keep = rows.groupBy("root").agg(first).select(F.col("first.id").alias("_id"), F.col("first.t").alias("_t"))
-    hashed = docs.withColumn("_h", F.xxhash64(F.col(text)))
-    kept = hashed.join(keep, F.col(id).cast("long").eqNullSafe(F.col("_id")) & (F.col("_h") == F.col("_t")))
-    return kept.dropDuplicates(["_id", "_t"]).select(*docs.columns)
+    place = lambda id, t: [id.isNull().alias("_none"), F.coalesce(id, F.lit(0)).alias("_id"), t.alias("_t")]
+    keep = rows.groupBy("root").agg(first).select(*place(F.col("first.id"), F.col("first.t")))
+    # repeated rows go before the texts move; the join takes the texts where that has brought them
+    key = ["_none", "_id", "_t"]
+    once = docs.select("*", *place(F.col(id).cast("long"), F.xxhash64(F.col(text)))).dropDuplicates(key)
+    return once.join(keep, key, "left_semi").select(*docs.columns)
 
 
 def near_dedup_report(docs: DataFrame) -> DataFrame:

@@ -1,9 +1,11 @@
+import re
+
 import numpy as np
 import xxhash
 from conftest_llm import LOWER, SF, WORD
 from strikeflow.llm import simhash as H
 from strikeflow.llm.queries import QUERIES
-from strikeflow.llm.shared import Scratch
+from strikeflow.llm.shared import Scratch, quiet_conf
 
 
 def brute_print(text):
@@ -111,3 +113,16 @@ def test_components_that_share_an_id_keep_a_row_each(spark):
     df = spark.createDataFrame([(5, one), (5, two), (6, one), (7, two), (None, "some words without any id"), (None, "some words without any id")], "doc_id long, text string")
     kept = sorted(((r.doc_id, r.text) for r in H.near_dedup(df).collect()), key=repr)
     assert kept == [(5, two), (5, one), (None, "some words without any id")]
+
+
+def test_texts_move_once(spark):
+    rows = [(i % 50, f"some words of text {i % 25} and some more") for i in range(200)] + [(None, "no id")] * 9
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    with quiet_conf(spark, spark__sql__autoBroadcastJoinThreshold="-1"):
+        plan = H.near_dedup(docs)._jdf.queryExecution().executedPlan().toString()
+    join = plan.index("SortMergeJoin")
+    assert "Exchange" not in plan[:join]
+    # one shuffle of the texts below the join, by its own key
+    assert len(re.findall(r"Exchange hashpartitioning\(_none#\w+, _id#\w+, _t#\w+", plan)) == 2
+    left = plan[join : plan.index("Exchange hashpartitioning(_none", plan.index("Exchange hashpartitioning(_none") + 1)]
+    assert len(re.findall("Exchange hash", left)) == 1 and "SortAggregate" in left
