@@ -32,8 +32,11 @@ def _horner(coeffs, z: Column) -> Column:
 
 
 def std_normal_cdf(x: Column) -> Column:
-    """Standard normal CDF; NULL for NULL input."""
-    z = F.abs(x)
+    """Standard normal CDF; NULL for NULL input.
+
+    ``x`` is used many times: a column will do best.  The terms in between are never NULL, which keeps the
+    generated code small enough to be compiled."""
+    z = F.abs(F.coalesce(x, F.lit(0.0)))
     e = F.exp(-(z * z) / F.lit(2.0))
     cont = z + F.lit(0.65)
     for k in (4.0, 3.0, 2.0, 1.0):
@@ -43,9 +46,16 @@ def std_normal_cdf(x: Column) -> Column:
         .when(z <= F.lit(_CUTOFF), e / cont / F.lit(_SQRT_2PI))
         .when(z > F.lit(_CUTOFF), F.lit(0.0))
     )
-    return F.when(x > F.lit(0.0), F.lit(1.0) - tail).otherwise(tail)
+    # 1 - tail above zero, else tail, with the tail written out once
+    side = F.when(x > F.lit(0.0), F.lit(-1.0)).when(x.isNotNull(), F.lit(1.0))
+    return F.when(x > F.lit(0.0), F.lit(1.0)).otherwise(F.lit(0.0)) + side * tail
+
+
+def standardized(x: Column, mu: Column, sigma: Column) -> Column:
+    """(x - mu) / sigma; NULL when sigma <= 0 or any input is NULL."""
+    return F.when(sigma > F.lit(0.0), (x - mu) / sigma)
 
 
 def normal_cdf(x: Column, mu: Column, sigma: Column) -> Column:
     """P(X <= x) for X ~ N(mu, sigma); NULL when sigma <= 0 or any input is NULL."""
-    return F.when(sigma > F.lit(0.0), std_normal_cdf((x - mu) / sigma))
+    return std_normal_cdf(standardized(x, mu, sigma))

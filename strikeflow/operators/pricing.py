@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from strikeflow.functions.stats import normal_cdf
+from strikeflow.functions.stats import standardized, std_normal_cdf
 from strikeflow.params import Params
 
 
@@ -25,11 +25,18 @@ def with_new_adders(ticks: DataFrame, p: Params) -> DataFrame:
     voll, mcl = F.lit(p.voll), F.lit(p.mcl)
     headroom = voll - lam_c
 
+    # columns of their own, so that each is worked out once
+    ticks = ticks.withColumns(
+        {
+            "_off_x": standardized((olcap + offcap) - mcl, mu, sigma),
+            "_on_x": standardized(olcap - mcl, F.lit(0.5) * mu, F.lit(0.707) * sigma),
+        }
+    )
     off_scarcity = F.when(
         (olcap + F.when(olcap <= mcl, F.lit(0.0)).otherwise(offcap)) <= mcl, F.lit(1.0)
-    ).otherwise(F.lit(1.0) - normal_cdf((olcap + offcap) - mcl, mu, sigma))
+    ).otherwise(F.lit(1.0) - std_normal_cdf(F.col("_off_x")))
     on_scarcity = F.when(olcap <= mcl, F.lit(1.0)).otherwise(
-        F.lit(1.0) - normal_cdf(olcap - mcl, F.lit(0.5) * mu, F.lit(0.707) * sigma)
+        F.lit(1.0) - std_normal_cdf(F.col("_on_x"))
     )
     out = ticks.withColumns(
         {
@@ -41,7 +48,7 @@ def with_new_adders(ticks: DataFrame, p: Params) -> DataFrame:
         "new_rtorpa",
         F.col("new_rtoffpa")
         + F.lit(0.5) * F.when(headroom > 0, headroom).otherwise(F.lit(0.0)) * on_scarcity,
-    )
+    ).drop("_off_x", "_on_x")
 
 
 def with_new_ordc(ticks: DataFrame, p: Params, zones) -> DataFrame:

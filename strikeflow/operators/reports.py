@@ -22,6 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strikeflow.functions.rounding import np_round
+from strikeflow.operators.dispatch import constrained_event, event, series_rows
 from strikeflow.operators.series import named, valuation_strike
 from strikeflow.operators.zones import series_of_zone
 from strikeflow.params import SCENARIOS, Params
@@ -60,15 +61,24 @@ def facts(z: DataFrame, p: Params) -> DataFrame:
     (``b``), unconstrained and constrained (``ca``, ``cb``), and its longest durations."""
     series = series_of_zone(p)
     base, new = (next(x for x, si, ci in series if (si, ci) == (i, 0)) for i in (0, 1))
-    aggs = [F.count("*").alias("n")]
-    for x, si, _ in series:
-        aggs.append(F.sum(F.col(f"strike{x}").cast("long")).alias(f"strike{x}"))
-        for c in ("", "c"):
-            b = f"CASE WHEN spp{si} IS NOT NULL THEN {c}part{x} * 0.25D * weight END"
-            aggs += exact_sums(f"{b} * spp{si}", f"{c}a{x}") + exact_sums(b, f"{c}b{x}")
-        aggs += [F.max(f"duration{x}").alias(f"dur{x}"), F.max(f"cduration{x}").alias(f"cdur{x}")]
-    events = [F.col(f"event{base}").alias("event"), F.col(f"event{new}").alias("new_event"), F.col(f"cevent{new}").alias("new_cevent")]
-    return z.groupBy("zone_ord", "date", "hour", *events).agg(*aggs)
+    low = {
+        "low_event": event(f"strike{base}", f"carry[{base}]."),
+        "new_event": event(f"strike{new}", f"carry[{new}]."),
+        "new_cevent": constrained_event(f"starts{new}", f"carry[{new}]."),
+    }
+    keys = ("zone_ord", "date", "hour", *low)
+    rows = series_rows(z.withColumns({name: F.expr(e) for name, e in low.items()}), p, [x for x, *_ in series])
+    aggs = [F.count("*").alias("n"), F.sum(F.col("strike").cast("long")).alias("strike")]
+    for c in ("", "c"):
+        b = f"CASE WHEN spp IS NOT NULL THEN {c}part * 0.25D * weight END"
+        aggs += exact_sums(f"{b} * spp", f"{c}a") + exact_sums(b, f"{c}b")
+    aggs += [F.max("duration").alias("dur"), F.max("cduration").alias("cdur")]
+    long = rows.groupBy(*keys, "x").agg(*aggs)
+    # one row a series: side by side by their maximum
+    made = [c for c in long.columns if c not in (*keys, "x", "n")]
+    placed = {c: c.replace("_", "#_", 1) if "_" in c else f"{c}#" for c in made}
+    beside = [F.max(F.expr(f"CASE WHEN x = {x} THEN {c} END")).alias(to.replace("#", str(x))) for x, *_ in series for c, to in placed.items()]
+    return long.groupBy(*keys).agg(F.max("n").alias("n"), *beside).withColumnRenamed("low_event", "event")
 
 
 def month_sums(facts: DataFrame, p: Params) -> DataFrame:

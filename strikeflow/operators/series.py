@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strikeflow.operators.dispatch import SERIES_COLUMNS
+from strikeflow.operators.dispatch import SERIES_COLUMNS, picked, series_rows
 from strikeflow.operators.zones import series_of_zone
 from strikeflow.params import SCENARIOS, Params
 
@@ -43,19 +43,24 @@ def to_series(z: DataFrame, p: Params, scenarios=None, columns=None) -> DataFram
     """The long table with values: $/MW = (spp - strike) x share of the quarter hour x 0.25 h x the captured part.
 
     ``columns``: the series columns to make, beside the keys (default: all)."""
-    entries = []
-    for x, si, ci in series_of_zone(p):
-        if scenarios and SCENARIOS[si] not in scenarios:
-            continue
-        k = valuation_strike(p, ci)
-        gain, quarter = f"(spp{si} - {k})", "* 0.25D * weight"
-        made = {
-            "scenario": f"'{SCENARIOS[si]}'", "strike_case": f"'{p.cases[ci]}'", "scen_ord": str(si), "case_ord": str(ci),
-            "price": f"price{si}", "spp": f"spp{si}", "k_spp": k, **{c: f"{c}{x}" for c in SERIES_COLUMNS if c not in ("part", "cpart")},
-            "value": f"part{x} * {gain} {quarter}",
-            "cvalue": f"CASE WHEN cduration{x} IS NOT NULL THEN cpart{x} * {gain} ELSE 0.0D END {quarter}",
-        }
-        wanted = [c for c in made if columns is None or c in columns or c in ("scenario", "strike_case")]
-        entries.append("named_struct(" + ", ".join(f"'{name}', {made[name]}" for name in wanted) + ")")
-    rows = z.select(*TICK_KEEP, named(p.zones, F.col("zone_ord")).alias("zone"), F.expr(f"explode(array({', '.join(entries)}))").alias("s"))
-    return rows.select(*TICK_KEEP, "zone", "s.*")
+    scen, case = ({x: made[i] for x, *made in series_of_zone(p)} for i in (0, 1))
+    numbers = [x for x in scen if not scenarios or SCENARIOS[scen[x]] in scenarios]
+    rows = series_rows(z, p, numbers).withColumns(
+        {
+            "zone": named(p.zones, F.col("zone_ord")),
+            "scen_ord": F.expr(picked(numbers, lambda x: str(scen[x]))),
+            "case_ord": F.expr(picked(numbers, lambda x: str(case[x]))),
+            "k_spp": F.expr(picked(numbers, lambda x: valuation_strike(p, case[x]))),
+        }
+    )
+    gain, quarter = "(spp - k_spp)", "* 0.25D * weight"
+    rows = rows.withColumns(
+        {
+            "scenario": named(SCENARIOS, F.col("scen_ord")),
+            "strike_case": named(p.cases, F.col("case_ord")),
+            "value": F.expr(f"part * {gain} {quarter}"),
+            "cvalue": F.expr(f"CASE WHEN cduration IS NOT NULL THEN cpart * {gain} ELSE 0.0D END {quarter}"),
+        }
+    )
+    made = ["scenario", "strike_case", "scen_ord", "case_ord", "price", "spp", "k_spp", *[c for c in SERIES_COLUMNS if c not in ("part", "cpart")], "value", "cvalue"]
+    return rows.select(*TICK_KEEP, "zone", *[c for c in made if columns is None or c in columns or c in ("scenario", "strike_case")])

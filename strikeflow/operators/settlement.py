@@ -13,26 +13,32 @@ KEYS = ("date", "hour", "interval", "repeated_hour")
 def delivery_date() -> Column:
     """The delivery date; a text that is no MM/dd/yyyy date raises when it is read."""
     text = F.col("delivery_date")
-    date = F.try_to_timestamp(text, F.lit("MM/dd/yyyy")).cast("date")
+    # a plain date is rearranged and cast, at a small part of the formatter's cost; all other texts are the formatter's
+    plain = F.concat_ws("-", F.substring(text, 7, 4), F.substring(text, 1, 2), F.substring(text, 4, 2)).try_cast("date")
+    date = F.when(text.rlike("^[01][0-9]/[0-3][0-9]/[12][0-9]{3}\\z"), plain).otherwise(F.try_to_timestamp(text, F.lit("MM/dd/yyyy")).cast("date"))
     return F.when(date.isNull(), F.raise_error(F.concat(F.lit("not a settlement date (MM/dd/yyyy): "), text)).cast("date")).otherwise(date)
 
 
-def _kept(spp: DataFrame, points, types) -> DataFrame:
-    """Rows of the wanted points and point types with all keys (pushed to the scan), keys typed."""
-    return spp.filter(
+def _kept(spp: DataFrame, points, types, *aggs: Column) -> DataFrame:
+    """Rows of the wanted points and point types with all keys (pushed to the scan), keys typed; given ``aggs``, a row
+    per point and key as written."""
+    rows = spp.filter(
         F.col("point_name").isin(*points)
         & F.col("point_type").isin(*types)
         & F.col("delivery_date").isNotNull()
         & F.col("delivery_hour").isNotNull()
         & F.col("delivery_interval").isNotNull()
         & F.col("repeated_hour").isNotNull()
-    ).select(
+    )
+    if aggs:
+        rows = rows.groupBy("delivery_date", "delivery_hour", "delivery_interval", "repeated_hour", "point_name").agg(*aggs)
+    return rows.select(
         delivery_date().alias("date"),
         (F.col("delivery_hour") - 1).cast("int").alias("hour"),
         F.col("delivery_interval").cast("int").alias("interval"),
         "repeated_hour",
         "point_name",
-        "price",
+        *[c for c in rows.columns if c in ("price", "prices")],
     )
 
 
@@ -42,8 +48,9 @@ def by_chunk(spp: DataFrame, points, ordinals: DataFrame, types=POINT_TYPES) ->
 
     ``ordinals`` (point, zone_ord) has a row per wanted point of ``points``;
     any number of points will do, none of them is a column."""
-    kept = _kept(spp, points, types)
-    means = kept.join(F.broadcast(ordinals), kept["point_name"] == ordinals["point"]).groupBy("zone_ord", *KEYS).agg(F.avg("price").alias("price"))
+    # prices are added up under the text of their date, which is parsed once a quarter hour
+    sums = _kept(spp, points, types, F.sum("price").alias("price"), F.count("price").alias("prices"))
+    means = sums.join(F.broadcast(ordinals), sums["point_name"] == ordinals["point"]).groupBy("zone_ord", *KEYS).agg(F.try_divide(F.sum("price"), F.sum("prices")).alias("price"))
     return means.filter(F.col("price").isNotNull()).groupBy("zone_ord", "date", "hour").agg(
         F.map_from_entries(F.collect_list(F.struct(F.struct("interval", "repeated_hour"), "price"))).alias("_settled")
     )

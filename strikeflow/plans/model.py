@@ -137,12 +137,12 @@ class DispatchModel:
         return self.staged.write(self.scanned(), "carries")
 
     def _zone_series(self, scanned: DataFrame, zones=None) -> DataFrame:
-        z = D.with_carries(self.zone_local(zones), CA.gathered(scanned), self.p)
+        z = D.with_carries(self.zone_local(zones), CA.gathered(scanned))
         return Z.with_settlement(z, ST.by_chunk(self.settlement, list(self.p.points), Z.zone_ordinals(self.spark, self.p, zones)))
 
     @cached_property
     def zone_series(self) -> DataFrame:
-        """Zone ticks with events, durations, caps and captured parts of all their series."""
+        """Zone ticks with both settlement prices and the carries of all their series."""
         return self._zone_series(self.carries)
 
     @cached_property

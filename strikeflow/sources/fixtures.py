@@ -58,7 +58,7 @@ def _shifted_ts(ts: Column) -> Column:
     base = F.date_trunc("second", ts).cast("timestamp_ntz")
     block = F.floor((F.dayofmonth(ts) - 1) / BLOCK_DAYS)
     shift = block * BLOCK_SHIFT_DAYS + F.when(block == AUTUMN_BLOCK, AUTUMN_SHIFT_DAYS).otherwise(0)
-    return base + F.make_dt_interval(days=shift.cast("int"))
+    return base + F.expr("INTERVAL '1' DAY") * shift.cast("int")
 
 
 def _repeated(ts: Column, k: Column) -> Column:
@@ -99,16 +99,17 @@ def prices_from_events(events: DataFrame) -> DataFrame:
 
 
 def settlement_from_events(events: DataFrame) -> DataFrame:
-    """One settlement row per event and point, in two yearly parts (unioned)."""
+    """One settlement row per event and point; all events are read once."""
+    # whole days are added to the time, so its hour and minute are the event's
+    kept = ((F.hour("ts") * 4 + quarter_hour(F.minute("ts"))) % SKIP_MODULUS) != 0
     ts = _shifted_ts(F.col("ts"))
-    base = events.select(ts.alias("t"), F.col("value").alias("v"), _k(F.col("props")).alias("k")).select(
+    base = events.filter(kept).select(ts.alias("t"), F.col("value").alias("v"), _k(F.col("props")).alias("k")).select(
         F.date_format("t", "MM/dd/yyyy").alias("delivery_date"),
-        F.year("t").alias("year"),
         F.hour("t").alias("h"),
         quarter_hour(F.minute("t")).alias("delivery_interval"),
         _repeated(F.col("t"), F.col("k")).alias("repeated_hour"),
         "v",
-    ).filter(((F.col("h") * 4 + F.col("delivery_interval")) % SKIP_MODULUS) != 0)
+    )
     points = F.explode(
         F.array(
             *[
@@ -119,7 +120,6 @@ def settlement_from_events(events: DataFrame) -> DataFrame:
     ).alias("p")
     rows = base.select("*", points).select(
         "delivery_date",
-        "year",
         (F.col("h") + 1).alias("delivery_hour"),
         "delivery_interval",
         "repeated_hour",
@@ -127,13 +127,7 @@ def settlement_from_events(events: DataFrame) -> DataFrame:
         "p.point_type",
         ((F.lit(2.5) * F.col("v")) * F.col("p.f")).alias("price"),
     )
-    cols = [f.name for f in schemas.SETTLEMENT.fields]
-    parts = [rows.filter(F.col("year") == y).select(*cols) for y in (2024, 2025)]
-    rest = rows.filter(~F.col("year").isin(2024, 2025)).select(*cols)
-    out = parts[0]
-    for p in parts[1:] + [rest]:
-        out = out.unionByName(p)
-    return out
+    return rows.select(*[f.name for f in schemas.SETTLEMENT.fields])
 
 
 def lolp_fixture(spark: SparkSession) -> DataFrame:

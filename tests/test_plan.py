@@ -120,3 +120,20 @@ def test_strike_counts_of_both_ways_agree(spark):
     m = _model(spark)
     rows = lambda df: sorted(map(tuple, df.collect()))
     assert rows(m.strike_counts()) == rows(m.reports()["strike_counts"])
+
+
+def _codegen(spark, df) -> list[str]:
+    return spark._jvm.PythonSQLUtils.explainString(df._jdf.queryExecution(), "codegen").split("== Subtree ")[1:]
+
+
+def test_generated_code_is_small_enough_to_be_compiled(spark):
+    """The JVM compiles no method over 8,000 bytes; and a tick's series are rows, in the same generated code as their sums."""
+    adaptive = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        m = _model(spark)
+        parts = _codegen(spark, R.facts(m.zone_series, m.p))
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+    assert max(int(re.search(r"maxMethodCodeSize:(\d+)", part)[1]) for part in parts) < 8000
+    assert any("HashAggregate" in part and "Generate explode" in part and "part" in part for part in parts)

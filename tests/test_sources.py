@@ -108,3 +108,30 @@ def test_tick_table_and_zone_sheet(spark, tmp_path):
         assert filled and all(c.startswith(f"{r.zone}_") for c in filled)
     assert sheet.count() == report.count()
     assert sheet.filter(F.col("lz_west_dur_low").isNotNull()).count() == report.filter("zone = 'lz_west'").count()
+
+
+def test_settlement_dates_are_read_as_the_formatter_reads_them(spark):
+    """Rearranged and cast, or by the formatter: the same date, and none for what is no date."""
+    from strikeflow.operators.settlement import delivery_date
+
+    good = ["01/31/2024", "02/29/2024", "12/01/2025", "06/07/0999", "10/10/2999"]
+    found = spark.createDataFrame([(t,) for t in good], "delivery_date string").select("delivery_date", delivery_date().alias("d"))
+    assert {r.delivery_date: str(r.d) for r in found.collect()} == {t: f"{t[6:]}-{t[:2]}-{t[3:5]}" for t in good}
+    for bad in ("02/30/2024", "13/01/2024", "00/10/2024", "1/2/2024", "01/2 /2024", "01/2T/2024", "2024-01-31", ""):
+        with pytest.raises(Exception, match="not a settlement date"):
+            spark.createDataFrame([(bad,)], "delivery_date string").select(delivery_date()).collect()
+
+
+def test_settlement_means_are_of_all_rows_of_a_quarter_hour(spark):
+    """Summed under the text of the date first: rows without a price count nothing, points of two types are one mean."""
+    from strikeflow.operators import settlement as ST
+    from strikeflow.operators import zones as Z
+    from strikeflow.params import Params
+
+    p = Params()
+    price = lambda date, name, kind, v: (date, 3, 2, "N", name, kind, v)
+    rows = [price("01/31/2024", "LZ_NORTH", "LZ", v) for v in (1.0, 2.0, None, 6.0)] + [price("01/31/2024", "LZ_WEST", "LZ", None)]
+    rows += [price("01/31/2024", "LZ_NORTH", "LZEW", 100.0), price(None, "LZ_NORTH", "LZ", 9.0)]
+    spp = spark.createDataFrame(rows, schemas.SETTLEMENT)
+    got = ST.by_chunk(spp, list(p.points), Z.zone_ordinals(spark, p)).collect()
+    assert [(r.zone_ord, str(r.date), r.hour, list(r._settled.values())) for r in got] == [(p.zones.index("lz_north"), "2024-01-31", 2, [3.0])]
