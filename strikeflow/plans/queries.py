@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from strikeflow.functions.rounding import np_round
 from strikeflow.operators import reports as R
+from strikeflow.operators.settlement import delivery_date
 from strikeflow.params import ZONES, Params
 from strikeflow.plans.incremental import History
 from strikeflow.plans.model import DispatchModel
@@ -156,7 +157,7 @@ def monthly_value_extended(spark, sf_dir):
     ticks, settlement, lolp = load_fixture(spark, sf_dir)
     history = History(spark, f"{checkpoint_dir(spark).rstrip('/')}/history-{uuid.uuid4().hex}", lolp)
     cut = F.lit(EXTENDED_AT).cast("timestamp_ntz")
-    settled = F.to_date("delivery_date", "MM/dd/yyyy") <= cut.cast("date")
+    settled = F.when(F.col("delivery_date").isNotNull(), delivery_date()) <= cut.cast("date")
     history.extend(ticks.filter(F.col("ts") < cut), settlement.filter(settled))
     history.extend(ticks.filter(F.col("ts") >= cut), settlement.filter(~settled))
     r = R.monthly_value(history.facts(), history.p)
