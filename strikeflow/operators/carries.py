@@ -5,8 +5,8 @@
 2. ``scan`` turns the zone's series side by side into rows and runs the windows
    of a whole series, date or week over them: at most about a hundred rows per
    series and calendar day, however many ticks the day has.
-3. ``gathered`` has one row per zone and quarter again, which joins back to the
-   ticks (``dispatch``).
+3. ``gathered`` has one row per zone, date and hour, which joins back to the
+   ticks where they lie (``dispatch``).
 
 Durations are whole microseconds, so sums do not depend on where they are cut.
 """
@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from strikeflow.operators.constraints import constrained_dispatch, constrained_marker, within_daily_cap
-from strikeflow.operators.zones import QUARTER, series_of_zone, with_rules
+from strikeflow.operators.zones import CHUNK, QUARTER, series_of_zone, with_rules
 from strikeflow.params import Params
 
 MIN_PER_SEC = 1.0 / 60.0
@@ -103,6 +103,8 @@ def scan(q: DataFrame, p: Params, edge: DataFrame | None = None, weeks: DataFram
 
 
 def gathered(scanned: DataFrame) -> DataFrame:
-    """The carries of a zone's series side by side: one row per zone and quarter, ``carry`` by number."""
+    """The carries of a zone's series side by side: one row per (zone_ord, date, hour), ``_carried``: by quarter
+    (interval, second_pass), at most eight of them, the carries by number."""
     carry = F.sort_array(F.collect_list(F.struct("x", *CARRY))).alias("carry")
-    return scanned.groupBy(*QUARTER).agg(carry)
+    quarters = scanned.groupBy(*QUARTER).agg(carry)
+    return quarters.groupBy(*CHUNK).agg(F.map_from_entries(F.collect_list(F.struct(F.struct("interval", "second_pass"), "carry"))).alias("_carried"))

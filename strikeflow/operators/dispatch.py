@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from strikeflow.operators.carries import CARRY, minutes
 from strikeflow.operators.constraints import constrained_dispatch, constrained_duration, constrained_marker, within_daily_cap
-from strikeflow.operators.zones import QUARTER, series_of_zone
+from strikeflow.operators.zones import series_of_zone
 from strikeflow.params import Params
 
 #: Columns that a series gets.
@@ -23,9 +23,9 @@ SERIES_COLUMNS = (
 )
 
 
-def with_carries(z: DataFrame, gathered: DataFrame) -> DataFrame:
-    """The carries join on the quarter, by which the zone table is partitioned and sorted."""
-    return z.join(gathered, list(QUARTER), "left")
+def with_carries(z: DataFrame) -> DataFrame:
+    """``carry`` = the carries of a row's quarter, of its hour's (``zones.with_hours``)."""
+    return z.withColumn("carry", F.try_element_at(F.col("_carried"), F.struct("interval", "second_pass"))).drop("_carried")
 
 
 def event(strike: str, carry: str = "") -> str:
@@ -41,9 +41,9 @@ def picked(numbers: Sequence[int], columns: Callable[[int], str]) -> str:
     return "CASE x " + " ".join(f"WHEN {x} THEN {columns(x)}" for x in numbers) + " END"
 
 
-def series_rows(z: DataFrame, p: Params, numbers: Sequence[int]) -> DataFrame:
+def series_rows(z: DataFrame, p: Params, numbers: Sequence[int], wanted: str = "true") -> DataFrame:
     """The zone table's rows (``with_carries``, ``with_settlement``) once per series of the given ``numbers`` (``x``), a narrow step,
-    with the series' price, settlement price and columns.
+    with the series' price, settlement price and columns; only the rows that are ``wanted``, by ``x`` and ``strike``.
 
     ``part`` and ``cpart`` are the shares of the tick's gain that its unconstrained and constrained value have:
     the tick where the strike turns on only captures ``capture_pct``."""
@@ -51,6 +51,7 @@ def series_rows(z: DataFrame, p: Params, numbers: Sequence[int]) -> DataFrame:
     rows = z.withColumn("x", F.explode(F.array(*[F.lit(x) for x in numbers])))
     own = {name: picked(numbers, lambda x, n=name: f"{n}{x}") for name in ("strike", "was", "starts", "last_start")}
     own |= {name: picked(numbers, lambda x, n=name: f"{n}{scenario[x]}") for name in ("price", "spp")}
+    rows = rows.withColumn("strike", F.expr(own.pop("strike"))).filter(wanted)
     for step in (own, *_steps(p)):
         rows = rows.withColumns({name: F.expr(e) for name, e in step.items()})
     return rows

@@ -67,7 +67,8 @@ def facts(z: DataFrame, p: Params) -> DataFrame:
         "new_cevent": constrained_event(f"starts{new}", f"carry[{new}]."),
     }
     keys = ("zone_ord", "date", "hour", *low)
-    rows = series_rows(z.withColumns({name: F.expr(e) for name, e in low.items()}), p, [x for x, *_ in series])
+    # an idle tick of a series has no duration and adds nothing; the first series' rows count the ticks
+    rows = series_rows(z.withColumns({name: F.expr(e) for name, e in low.items()}), p, [x for x, *_ in series], f"x = {base} OR strike = 1")
     aggs = [F.count("*").alias("n"), F.sum(F.col("strike").cast("long")).alias("strike")]
     for c in ("", "c"):
         b = f"CASE WHEN spp IS NOT NULL THEN {c}part * 0.25D * weight END"
@@ -77,7 +78,11 @@ def facts(z: DataFrame, p: Params) -> DataFrame:
     # one row a series: side by side by their maximum
     made = [c for c in long.columns if c not in (*keys, "x", "n")]
     placed = {c: c.replace("_", "#_", 1) if "_" in c else f"{c}#" for c in made}
-    beside = [F.max(F.expr(f"CASE WHEN x = {x} THEN {c} END")).alias(to.replace("#", str(x))) for x, *_ in series for c, to in placed.items()]
+    def of(x: int, c: str) -> Column:
+        own = F.max(F.expr(f"CASE WHEN x = {x} THEN {c} END"))
+        return own if c in ("dur", "cdur") else F.coalesce(own, F.lit(0).cast("long"))
+
+    beside = [of(x, c).alias(to.replace("#", str(x))) for x, *_ in series for c, to in placed.items()]
     return long.groupBy(*keys).agg(F.max("n").alias("n"), *beside).withColumnRenamed("low_event", "event")
 
 

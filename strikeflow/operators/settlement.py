@@ -16,13 +16,14 @@ def delivery_date() -> Column:
     # a plain date is rearranged and cast, at a small part of the formatter's cost; all other texts are the formatter's
     plain = F.concat_ws("-", F.substring(text, 7, 4), F.substring(text, 1, 2), F.substring(text, 4, 2)).try_cast("date")
     date = F.when(text.rlike("^[01][0-9]/[0-3][0-9]/[12][0-9]{3}\\z"), plain).otherwise(F.try_to_timestamp(text, F.lit("MM/dd/yyyy")).cast("date"))
-    return F.when(date.isNull(), F.raise_error(F.concat(F.lit("not a settlement date (MM/dd/yyyy): "), text)).cast("date")).otherwise(date)
+    read = F.when(date.isNull(), F.raise_error(F.concat(F.lit("not a settlement date (MM/dd/yyyy): "), text)).cast("date")).otherwise(date)
+    # never NULL, and Spark is to know it: a join on it would ask every settlement row, before they are added up, and parse its text for that
+    return F.coalesce(read, F.lit("1970-01-01").cast("date"))
 
 
-def _kept(spp: DataFrame, points, types, *aggs: Column) -> DataFrame:
-    """Rows of the wanted points and point types with all keys (pushed to the scan), keys typed; given ``aggs``, a row
-    per point and key as written."""
-    rows = spp.filter(
+def _wanted(spp: DataFrame, points, types) -> DataFrame:
+    """Rows of the wanted points and point types with all keys (pushed to the scan)."""
+    return spp.filter(
         F.col("point_name").isin(*points)
         & F.col("point_type").isin(*types)
         & F.col("delivery_date").isNotNull()
@@ -30,15 +31,15 @@ def _kept(spp: DataFrame, points, types, *aggs: Column) -> DataFrame:
         & F.col("delivery_interval").isNotNull()
         & F.col("repeated_hour").isNotNull()
     )
-    if aggs:
-        rows = rows.groupBy("delivery_date", "delivery_hour", "delivery_interval", "repeated_hour", "point_name").agg(*aggs)
+
+
+def _typed_keys(rows: DataFrame, *kept: str) -> DataFrame:
     return rows.select(
         delivery_date().alias("date"),
         (F.col("delivery_hour") - 1).cast("int").alias("hour"),
         F.col("delivery_interval").cast("int").alias("interval"),
         "repeated_hour",
-        "point_name",
-        *[c for c in rows.columns if c in ("price", "prices")],
+        *kept,
     )
 
 
@@ -48,9 +49,10 @@ def by_chunk(spp: DataFrame, points, ordinals: DataFrame, types=POINT_TYPES) ->
 
     ``ordinals`` (point, zone_ord) has a row per wanted point of ``points``;
     any number of points will do, none of them is a column."""
-    # prices are added up under the text of their date, which is parsed once a quarter hour
-    sums = _kept(spp, points, types, F.sum("price").alias("price"), F.count("price").alias("prices"))
-    means = sums.join(F.broadcast(ordinals), sums["point_name"] == ordinals["point"]).groupBy("zone_ord", *KEYS).agg(F.try_divide(F.sum("price"), F.sum("prices")).alias("price"))
+    # prices are added up by zone under the text of their date, which is parsed once a quarter hour
+    rows = _wanted(spp, points, types).join(F.broadcast(ordinals), F.col("point_name") == F.col("point"))
+    sums = rows.groupBy("zone_ord", "delivery_date", "delivery_hour", "delivery_interval", "repeated_hour").agg(F.sum("price").alias("price"), F.count("price").alias("prices"))
+    means = _typed_keys(sums, "zone_ord", "price", "prices").groupBy("zone_ord", *KEYS).agg(F.try_divide(F.sum("price"), F.sum("prices")).alias("price"))
     return means.filter(F.col("price").isNotNull()).groupBy("zone_ord", "date", "hour").agg(
         F.map_from_entries(F.collect_list(F.struct(F.struct("interval", "repeated_hour"), "price"))).alias("_settled")
     )
@@ -64,7 +66,7 @@ def shape_settlement(spp: DataFrame, points: dict = POINTS, types=POINT_TYPES) -
     the mean is aggregated map-side before the shuffle.  The result has at
     most ~100 rows per calendar day.
     """
-    kept = _kept(spp, points.keys(), types)
+    kept = _typed_keys(_wanted(spp, points.keys(), types), "point_name", "price")
     wide = (
         kept.groupBy(*KEYS)
         .pivot("point_name", list(points.keys()))

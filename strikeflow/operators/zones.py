@@ -105,13 +105,18 @@ def with_new_spp(z: DataFrame) -> DataFrame:
     return z.withColumn("spp1", F.coalesce(F.sum(F.col("price1") * F.col("weight")).over(w), F.lit(0.0)))
 
 
-def with_settlement(z: DataFrame, settled: DataFrame) -> DataFrame:
-    """spp0 = the settlement price, NULL if there is none.
+def with_hours(z: DataFrame, gathered: DataFrame, settled: DataFrame) -> DataFrame:
+    """Carries (``carries.gathered``: all hours of ``z``) and settlement prices (``settlement.by_chunk``), a row per
+    zone, date and hour each: they are put together first, and join inside the zone table's partitioning.
 
-    ``settled``: one row per zone, date and hour (``settlement.by_chunk``); it joins inside the zone table's partitioning."""
+    By the quarter the tables would have to be partitioned by all of its columns, so the ticks would be moved again."""
+    return z.join(gathered.join(settled, list(CHUNK), "left"), list(CHUNK), "left")
+
+
+def with_settlement(z: DataFrame) -> DataFrame:
+    """spp0 = the settlement price, NULL if there is none, of the hour's (``with_hours``)."""
     found = F.try_element_at(F.col("_settled"), F.struct("interval", "repeated_hour"))
-    z = z.join(settled, list(CHUNK), "left").withColumn("spp0", F.when(F.col("repeated_hour").isNotNull(), found))
-    return z.drop("_settled")
+    return z.withColumn("spp0", F.when(F.col("repeated_hour").isNotNull(), found)).drop("_settled")
 
 
 def with_local(z: DataFrame, p: Params) -> DataFrame:

@@ -137,8 +137,8 @@ class DispatchModel:
         return self.staged.write(self.scanned(), "carries")
 
     def _zone_series(self, scanned: DataFrame, zones=None) -> DataFrame:
-        z = D.with_carries(self.zone_local(zones), CA.gathered(scanned))
-        return Z.with_settlement(z, ST.by_chunk(self.settlement, list(self.p.points), Z.zone_ordinals(self.spark, self.p, zones)))
+        settled = ST.by_chunk(self.settlement, list(self.p.points), Z.zone_ordinals(self.spark, self.p, zones))
+        return Z.with_settlement(D.with_carries(Z.with_hours(self.zone_local(zones), CA.gathered(scanned), settled)))
 
     @cached_property
     def zone_series(self) -> DataFrame:

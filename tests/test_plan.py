@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from strikeflow.operators import carries as CA
 from strikeflow.operators import reports as R
+from strikeflow.operators import settlement as ST
+from strikeflow.operators import zones as Z
 from strikeflow.params import Params
 from strikeflow.plans.model import DispatchModel
 from strikeflow.sources.fixtures import load_fixture
@@ -14,6 +16,7 @@ from tests.conftest import SF_SMALL
 
 ZONE_EXCHANGE = r"Exchange hashpartitioning\(zone_ord#\d+, date#\w+, hour#\w+, \d+\), REPARTITION"
 TICK_EXCHANGE = r"Exchange hashpartitioning\(date#\w+, hour#\w+, \d+\), REPARTITION"
+INFERRING = "spark.sql.constraintPropagation.enabled"
 
 
 def _plan(df) -> str:
@@ -137,3 +140,20 @@ def test_generated_code_is_small_enough_to_be_compiled(spark):
         spark.conf.set("spark.sql.adaptive.enabled", adaptive)
     assert max(int(re.search(r"maxMethodCodeSize:(\d+)", part)[1]) for part in parts) < 8000
     assert any("HashAggregate" in part and "Generate explode" in part and "part" in part for part in parts)
+
+
+def test_settlement_dates_are_not_parsed_for_every_row(spark):
+    """A join on the date asks no settlement row whether its date is there, with Spark's default of inferring such filters."""
+    inferring, adaptive = (spark.conf.get(c) for c in (INFERRING, "spark.sql.adaptive.enabled"))
+    spark.conf.set(INFERRING, "true")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        m = _model(spark)
+        hours = spark.createDataFrame([], "zone_ord int, date date, hour int").repartition(4, "zone_ord", "date", "hour")
+        parts = _codegen(spark, hours.join(ST.by_chunk(m.settlement, list(m.p.points), Z.zone_ordinals(spark, m.p)), ["zone_ord", "date", "hour"], "left"))
+    finally:
+        spark.conf.set(INFERRING, inferring)
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+    rows = [part for part in parts if "FileScan" in part and "Exchange" not in part]
+    assert rows and not any("RLIKE" in part for part in rows)
+    assert max(int(re.search(r"maxMethodCodeSize:(\d+)", part)[1]) for part in parts) < 8000
