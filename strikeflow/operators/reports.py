@@ -55,8 +55,10 @@ def total(name: str) -> Column:
 def facts(z: DataFrame, p: Params) -> DataFrame:
     """Per zone, date, hour and low-case event: one aggregation for all reports, inside the zone table's partitioning.
 
-    Of the ticks of an hour that share the low case's events (``event``, of the base scenario; ``new_event`` and
-    ``new_cevent``, of the new curve, unconstrained and constrained): their number ``n``, and per series its ticks on
+    A scenario's series are added up by its own low case's events only: those of the base scenario by ``event``, those of
+    the new curve by ``new_event`` and ``new_cevent``, unconstrained and constrained; the other scenario's events are NULL
+    and its sums 0.  Of the ticks of an hour that share them: their number ``n`` (of the base scenario's rows; 0 in the
+    others, so that every tick counts once), and per series its ticks on
     strike, the sums of the captured part of each tick's quarter-hour share, times its price (``a``) and alone
     (``b``), unconstrained and constrained (``ca``, ``cb``), and its longest durations."""
     series = series_of_zone(p)
@@ -69,7 +71,9 @@ def facts(z: DataFrame, p: Params) -> DataFrame:
     keys = ("zone_ord", "date", "hour", *low)
     # an idle tick of a series has no duration and adds nothing; the first series' rows count the ticks
     rows = series_rows(z.withColumns({name: F.expr(e) for name, e in low.items()}), p, [x for x, *_ in series], f"x = {base} OR strike = 1")
-    aggs = [F.count("*").alias("n"), F.sum(F.col("strike").cast("long")).alias("strike")]
+    of_base = F.col("x").isin(*[x for x, si, _ in series if si == 0])
+    rows = rows.withColumns({name: F.when(of_base if name == "low_event" else ~of_base, F.col(name)) for name in low})
+    aggs = [F.count_if(F.col("x") == base).alias("n"), F.sum(F.col("strike").cast("long")).alias("strike")]
     for c in ("", "c"):
         b = f"CASE WHEN spp IS NOT NULL THEN {c}part * 0.25D * weight END"
         aggs += exact_sums(f"{b} * spp", f"{c}a") + exact_sums(b, f"{c}b")
@@ -78,6 +82,7 @@ def facts(z: DataFrame, p: Params) -> DataFrame:
     # one row a series: side by side by their maximum
     made = [c for c in long.columns if c not in (*keys, "x", "n")]
     placed = {c: c.replace("_", "#_", 1) if "_" in c else f"{c}#" for c in made}
+
     def of(x: int, c: str) -> Column:
         own = F.max(F.expr(f"CASE WHEN x = {x} THEN {c} END"))
         return own if c in ("dur", "cdur") else F.coalesce(own, F.lit(0).cast("long"))

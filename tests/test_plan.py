@@ -149,11 +149,33 @@ def test_settlement_dates_are_not_parsed_for_every_row(spark):
     spark.conf.set("spark.sql.adaptive.enabled", "false")
     try:
         m = _model(spark)
-        hours = spark.createDataFrame([], "zone_ord int, date date, hour int").repartition(4, "zone_ord", "date", "hour")
+        hours = spark.range(4).selectExpr("int(id) AS zone_ord", "date'2024-01-01' + int(id) AS date", "int(id) AS hour").repartition(4, "zone_ord", "date", "hour")
         parts = _codegen(spark, hours.join(ST.by_chunk(m.settlement, list(m.p.points), Z.zone_ordinals(spark, m.p)), ["zone_ord", "date", "hour"], "left"))
     finally:
         spark.conf.set(INFERRING, inferring)
         spark.conf.set("spark.sql.adaptive.enabled", adaptive)
-    rows = [part for part in parts if "FileScan" in part and "Exchange" not in part]
+    rows = [part for part in parts if "FileScan" in part and "Exchange hashpartitioning" not in part]
     assert rows and not any("RLIKE" in part for part in rows)
     assert max(int(re.search(r"maxMethodCodeSize:(\d+)", part)[1]) for part in parts) < 8000
+
+
+def test_carries_join_where_the_ticks_lie(spark):
+    """Carries and settlement prices join by hour: the zone table isn't shuffled by quarter hour, nor with its carries."""
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = _plan(_model(spark).series_days(columns=("cvalue",)))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    top = plan[: min(m.start() for m in re.finditer(r"\bWindow \[", plan))]
+    assert "Exchange" not in top and len(re.findall(r"SortMergeJoin|Join", top)) == 1
+
+
+def test_facts_of_a_scenario_go_by_its_own_events(spark):
+    """Every tick and zone counts once, and idle ticks add nothing: no sum is NULL."""
+    m = _model(spark)
+    facts = m.facts
+    assert facts.agg(F.sum("n")).first()[0] == m.raw_ticks.count() * len(m.p.zones)
+    assert facts.filter("event IS NOT NULL AND (new_event IS NOT NULL OR new_cevent IS NOT NULL)").count() == 0
+    sums = [c for c in facts.columns if c.startswith(("a", "b", "ca", "cb", "strike"))]
+    assert len(sums) == 6 * 9 and facts.filter(" OR ".join(f"{c} IS NULL" for c in sums)).count() == 0
