@@ -10,7 +10,6 @@ corpus is written beside the records.
 from __future__ import annotations
 
 import zlib
-from array import array
 from collections.abc import Iterator
 from functools import cache
 
@@ -27,16 +26,24 @@ RECORD_TOKENS = 8 * rans.BLOCK
 END_ID = 2
 #: Distinct words whose ids a worker keeps at a time.
 WORDS_KEPT = 1 << 20
+#: Code points of texts whose new words are encoded together.
+CHARS_TOGETHER = 1 << 20
+#: New words in one text.
+WORDS_TOGETHER = 256
+#: A space in the names of byte-level tokens.
+BYTE_SPACE = "\u0120"
 
 _PLAIN = "part int, seq int, before long, n long, ids array<long>, sizes array<long>, tokens binary"
 _CODED = "start long, n long, ids array<long>, sizes array<long>, blocks array<binary>"
 
 
 class WordIds(dict):
-    """Ids of words led by one space, by the word without it.
+    """Ids of words led by one space, four bytes each, by the word without it; nothing for what can't be cut off.
 
     The tokenizer never joins over a lone space between other characters, so a
-    text may be cut there and each piece encoded once.
+    text may be cut there and each piece encoded once.  For the same reason the
+    new words of many texts are encoded as a few long texts, and cut before each id
+    whose token begins with a space.
     """
 
     def __init__(self, path: str):
@@ -45,41 +52,59 @@ class WordIds(dict):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.reset()
-
-    def reset(self) -> None:
-        self.clear()
-        self.flat, self.ends = array("I"), array("q", [0])
+        vocabulary = self.tokenizer.get_vocab()
+        self.leads = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+        self.leads[[i for token, i in vocabulary.items() if token.startswith(BYTE_SPACE)]] = True
 
     def whole(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
 
-    def _keep(self, ids: list[int]) -> int:
-        self.flat.extend(ids)
-        self.ends.append(len(self.flat))
-        return len(self.ends) - 2
-
-    def __missing__(self, word: str) -> int:
+    def __missing__(self, word: str) -> bytes:
         # a piece with white space at an end, or of nothing else, can't be cut off
-        n = -1 if not word or word[0].isspace() or word[-1].isspace() else self._keep(self.whole(" " + word))
-        self[word] = n
-        return n
+        found = b"" if not word or word[0].isspace() or word[-1].isspace() else _bytes(self.whole(" " + word))
+        self[word] = found
+        return found
+
+    def learn(self, new: set[str]) -> None:
+        """Encode words together that aren't kept yet; one by one (``__missing__``) if the ids can't be told apart."""
+        words = [w for w in new if w and not w[0].isspace() and not w[-1].isspace()]
+        if not words:
+            return
+        joined = [" " + " ".join(words[i : i + WORDS_TOGETHER]) for i in range(0, len(words), WORDS_TOGETHER)]
+        ids = np.concatenate([np.array(e.ids, dtype="<u4") for e in self.tokenizer.encode_batch_fast(joined, add_special_tokens=False)])
+        starts = np.flatnonzero(self.leads[ids])
+        if len(starts) == len(words) and starts[0] == 0:
+            data, cuts = ids.tobytes(), [*(4 * starts).tolist(), 4 * len(ids)]
+            self.update(zip(words, [data[i:j] for i, j in zip(cuts, cuts[1:])]))
 
     def encode(self, text: str) -> np.ndarray:
+        return self.encode_all([text])[0]
+
+    def encode_all(self, texts: list[str]) -> list[np.ndarray]:
+        """The ids of each text."""
         if len(self) > WORDS_KEPT:
-            self.reset()
-        first, *rest = text.split(" ")
-        if not rest or not first or first[-1].isspace():
-            return np.array(self.whole(text), dtype=np.uint32)
-        at = np.fromiter(map(self.__getitem__, rest), dtype=np.int64, count=len(rest))
-        if (at < 0).any():
-            return np.array(self.whole(text), dtype=np.uint32)
-        ends = np.frombuffer(self.ends, dtype=np.int64)
-        start, size = ends[at], ends[at + 1] - ends[at]
-        place = np.repeat(start - np.cumsum(size) + size, size) + np.arange(size.sum())
-        ids = np.frombuffer(self.flat, dtype=np.uint32)[place]
-        del ends, start  # the buffers can't grow while they are in use
-        return np.concatenate([np.array(self.whole(first), dtype=np.uint32), ids])
+            self.clear()
+        cut, new = [], set()
+        for text in texts:
+            first, *words = text.split(" ")
+            if not words or not first or first[-1].isspace():
+                cut.append(None)
+                continue
+            ids = [*map(self.get, words)]
+            holes = [(k, w) for k, (x, w) in enumerate(zip(ids, words)) if x is None]
+            new.update(w for _, w in holes)
+            cut.append((first, ids, holes))
+        self.learn(new)
+        return [np.frombuffer((found and self._joined(*found)) or _bytes(self.whole(text)), dtype="<u4") for found, text in zip(cut, texts)]
+
+    def _joined(self, first: str, ids: list[bytes | None], holes: list[tuple[int, str]]) -> bytes | None:
+        for k, word in holes:
+            ids[k] = self[word]
+        return None if b"" in ids else _bytes(self.whole(first)) + b"".join(ids)
+
+
+def _bytes(ids: list[int]) -> bytes:
+    return np.array(ids, dtype="<u4").tobytes()
 
 
 @cache
@@ -107,6 +132,20 @@ def _wide(data: bytes) -> np.ndarray:
     return np.frombuffer(data, "<u2" if data[0] == 2 else "<u4", offset=1).astype(np.uint32)
 
 
+def _together(rows: Iterator[tuple]) -> Iterator[tuple[list, list[str]]]:
+    """Ids and texts of rows, CHARS_TOGETHER code points or one text at a time."""
+    ids, texts, size = [], [], 0
+    for i, t in rows:
+        ids.append(i)
+        texts.append(t.as_py())
+        size += len(texts[-1])
+        if size >= CHARS_TOGETHER:
+            yield ids, texts
+            ids, texts, size = [], [], 0
+    if ids:
+        yield ids, texts
+
+
 def encode_records(docs: DataFrame, path: str, end_id: int, id: str = "doc_id", text: str = "text") -> DataFrame:
     """Records of plain ids in ascending order of ``id``; part is the place of the sorted partition."""
     spark = docs.sparkSession
@@ -117,16 +156,17 @@ def encode_records(docs: DataFrame, path: str, end_id: int, id: str = "doc_id",
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, part = _word_ids(path), TaskContext.get().partitionId()
         ids, sizes, tokens, n, seq, before = [], [], [], 0, 0, 0
+        end = np.array([end_id], dtype="<u4")
         for b in batches:
-            for i, t in zip(b.column(0).to_pylist(), b.column(1)):
-                found = np.append(words.encode(t.as_py()), np.uint32(end_id))
-                ids.append(i)
-                sizes.append(len(found))
-                tokens.append(found)
-                n += len(found)
-                if n >= RECORD_TOKENS:
-                    yield _record(part, seq, before, ids, sizes, tokens)
-                    ids, sizes, tokens, n, seq, before = [], [], [], 0, seq + 1, before + n
+            for some, texts in _together(zip(b.column(0).to_pylist(), b.column(1))):
+                for i, found in zip(some, words.encode_all(texts)):
+                    ids.append(i)
+                    sizes.append(len(found) + 1)
+                    tokens += [found, end]
+                    n += len(found) + 1
+                    if n >= RECORD_TOKENS:
+                        yield _record(part, seq, before, ids, sizes, tokens)
+                        ids, sizes, tokens, n, seq, before = [], [], [], 0, seq + 1, before + n
         if ids:
             yield _record(part, seq, before, ids, sizes, tokens)
 

@@ -95,3 +95,21 @@ def test_tokens_come_back(spark, path):
 
 def test_empty(empty, path):
     assert T.token_file_report(empty, path).count() == 0
+
+
+def test_new_words_are_encoded_together(path):
+    words = T.WordIds(path)
+    singly = []
+    words.whole = lambda t: singly.append(t) or T.WordIds.whole(words, t)
+    texts = ["it a1 Ġb é　é <|endoftext|>x", "", "x  y", "a b\n c", "q a1 new's 中文 ퟿", " lead a1", *(f"w{i} v{i} u{i}" for i in range(400))]
+    got = words.encode_all(texts)
+    # the first word of a text, and texts that can't be cut at every space
+    assert sorted(singly) == sorted([t if t in ("", "x  y", "a b\n c", " lead a1") else t.split(" ")[0] for t in texts])
+    assert [g.tolist() for g in got] == [T.WordIds.whole(words, t) for t in texts]
+
+
+def test_words_that_cant_be_told_apart_are_encoded_singly(path):
+    words = T.WordIds(path)
+    words.leads[:] = False
+    for t in ("a b c", "x y z b c"):
+        assert words.encode(t).tolist() == words.whole(t)
