@@ -70,9 +70,21 @@ def point_prices(z: DataFrame) -> DataFrame:
     )
 
 
-def partition_zones(z: DataFrame, n: int) -> DataFrame:
-    """The zone table's one shuffle, of its narrow form, into a fixed number of partitions (see ``ticks.partition_by_chunk``)."""
-    return z.select("zone_ord", *MOVED, "price0", "price1").repartition(n, *CHUNK)
+def partition_zones(z: DataFrame, n: int, together: bool = False) -> DataFrame:
+    """The zone table's one shuffle, of its narrow form, into a fixed number of partitions (see ``ticks.partition_by_chunk``).
+
+    ``together``: what isn't a key moves as one column, ``_tick``, which the windows order by last.  Carries and series need
+    different columns of it, but then ask for the same shuffle; in one plan Spark makes its rows once for both."""
+    rest = [c for c in (*MOVED, "price0", "price1") if c not in (*QUARTER, "ord_ts")]
+    if not together:
+        return z.select(*QUARTER, "ord_ts", *rest).repartition(n, *CHUNK)
+    moved = z.select(*QUARTER, "ord_ts", F.struct(*rest).alias("_tick")).repartition(n, *CHUNK)
+    return moved.select("*", "_tick.*")
+
+
+def _order(z: DataFrame) -> tuple[str, ...]:
+    """``ORDER``, and ``_tick``, which decides nothing where a tick_id comes once."""
+    return (*ORDER, "_tick") if "_tick" in z.columns else ORDER
 
 
 def with_rules(t: DataFrame, p: Params) -> DataFrame:
@@ -95,7 +107,7 @@ def with_rules(t: DataFrame, p: Params) -> DataFrame:
 def with_strikes(z: DataFrame, p: Params) -> DataFrame:
     """Price above the row month's strike (a missing price is not), sticky for the rest of its quarter hour
     (both passes of a repeated one)."""
-    w = Window.partitionBy(*CHUNK, "interval").orderBy("second_pass", *ORDER).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    w = Window.partitionBy(*CHUNK, "interval").orderBy("second_pass", *_order(z)).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     return z.withColumns({f"strike{x}": F.max(F.expr(f"CASE WHEN price{si} > {p.cases[ci]}_lmp THEN 1 ELSE 0 END")).over(w) for x, si, ci in series_of_zone(p)})
 
 
@@ -123,7 +135,7 @@ def with_local(z: DataFrame, p: Params) -> DataFrame:
     """What a quarter knows of itself, as of each tick: its seconds so far (``cum_us``, microseconds), its
     first and last tick, and per series the flag before (``was``), the constrained starts so far but for
     the first tick's (``starts``), and where the last of them was (``last_start``)."""
-    w = Window.partitionBy(*QUARTER).orderBy(*ORDER)
+    w = Window.partitionBy(*QUARTER).orderBy(*_order(z))
     so_far = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     numbers = [x for x, *_ in series_of_zone(p)]
     z = z.withColumns(

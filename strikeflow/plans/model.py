@@ -106,44 +106,45 @@ class DispatchModel:
         return P.with_new_ordc_spp(t, self.p.zones)
 
     # -- zone table --------------------------------------------------------
-    def zone_ticks(self, zones=None) -> DataFrame:
-        """One row per tick and zone with both prices, hash(zone, date, hour)."""
+    def zone_ticks(self, zones=None, together: bool = False) -> DataFrame:
+        """One row per tick and zone with both prices, hash(zone, date, hour); ``together``: see ``partition_zones``."""
         t = P.with_new_adders(E.join_lolp(self.timed_ticks, self.lolp), self.p)
         z = Z.by_zone(t, self.p, zones) if self.prices is None else Z.with_prices(t, self.prices, self.p, zones)
-        return Z.with_rules(Z.partition_zones(Z.point_prices(z), self.n_partitions), self.p)
+        return Z.with_rules(Z.partition_zones(Z.point_prices(z), self.n_partitions, together), self.p)
 
-    def zone_strikes(self, zones=None) -> DataFrame:
+    def zone_strikes(self, zones=None, together: bool = False) -> DataFrame:
         """Zone ticks with the sticky strike flags of all their series (the one sort)."""
-        return Z.with_strikes(self.zone_ticks(zones), self.p)
+        return Z.with_strikes(self.zone_ticks(zones, together), self.p)
 
-    def zone_local(self, zones=None) -> DataFrame:
+    def zone_local(self, zones=None, together: bool = False) -> DataFrame:
         """What each quarter hour knows of itself."""
-        if zones is None:
+        if zones is None and not together:
             return self._all_zones_local
-        return Z.with_local(Z.with_new_spp(self.zone_strikes(zones)), self.p)
+        return Z.with_local(Z.with_new_spp(self.zone_strikes(zones or self.p.zones, together)), self.p)
 
     @cached_property
     def _all_zones_local(self) -> DataFrame:
         return self.zone_local(self.p.zones)
 
-    def scanned(self, zones=None) -> DataFrame:
+    def scanned(self, zones=None, zone_local: DataFrame | None = None) -> DataFrame:
         """The carries of each quarter hour and series."""
         past = self.past
-        return CA.scan(CA.quarters(self.zone_local(zones), self.p), self.p, past and past.last, past and past.weeks)
+        z = self.zone_local(zones) if zone_local is None else zone_local
+        return CA.scan(CA.quarters(z, self.p), self.p, past and past.last, past and past.weeks)
 
     @cached_property
     def carries(self) -> DataFrame:
         """``scanned``, written once to the shared folder: a narrow row per series and quarter hour."""
         return self.staged.write(self.scanned(), "carries")
 
-    def _zone_series(self, scanned: DataFrame, zones=None) -> DataFrame:
+    def _zone_series(self, scanned: DataFrame, zone_local: DataFrame, zones=None) -> DataFrame:
         settled = ST.by_chunk(self.settlement, list(self.p.points), Z.zone_ordinals(self.spark, self.p, zones))
-        return Z.with_settlement(D.with_carries(Z.with_hours(self.zone_local(zones), CA.gathered(scanned), settled)))
+        return Z.with_settlement(D.with_carries(Z.with_hours(zone_local, CA.gathered(scanned), settled)))
 
     @cached_property
     def zone_series(self) -> DataFrame:
         """Zone ticks with both settlement prices and the carries of all their series."""
-        return self._zone_series(self.carries)
+        return self._zone_series(self.carries, self.zone_local())
 
     @cached_property
     def facts(self) -> DataFrame:
@@ -154,7 +155,8 @@ class DispatchModel:
     def series_days(self, zones=None, scenarios=None, columns=None) -> DataFrame:
         """The series table of the given zones and scenarios (default: all), with the given series columns (default:
         all); nothing is read or written yet."""
-        return S.to_series(self._zone_series(self.scanned(zones), zones), self.p, scenarios, columns)
+        z = self.zone_local(zones, together=True)
+        return S.to_series(self._zone_series(self.scanned(zones, z), z, zones), self.p, scenarios, columns)
 
     def series_table(self, columns=None) -> DataFrame:
         """One row per tick, zone, scenario and strike case, from the written carries."""

@@ -179,3 +179,15 @@ def test_facts_of_a_scenario_go_by_its_own_events(spark):
     assert facts.filter("event IS NOT NULL AND (new_event IS NOT NULL OR new_cevent IS NOT NULL)").count() == 0
     sums = [c for c in facts.columns if c.startswith(("a", "b", "ca", "cb", "strike"))]
     assert len(sums) == 6 * 9 and facts.filter(" OR ".join(f"{c} IS NULL" for c in sums)).count() == 0
+
+
+def test_series_and_their_carries_share_the_shuffle_of_zones(spark):
+    """The series' rows and the carries need other columns, but the ticks are read, timed, priced and moved once for both."""
+    adaptive = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        for columns in (("cvalue",), ("cduration",), ("strike",), None):
+            plan = _plan(_model(spark).series_days(columns=columns))
+            assert len(re.findall(ZONE_EXCHANGE, plan)) == len(re.findall(r"ReusedExchange [^\n]*REPARTITION_BY_NUM", plan)) + 1 == 2, columns
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
