@@ -1,17 +1,18 @@
 """SentencePiece encoding as a relational lattice, and decoding.
 
 A text becomes *units*, the longest stretches that no piece of the model can
-reach across; the same units occur again and again.  Each distinct unit's
+reach across; the same units occur again and again.  The units that are new in
+an input split become rows ahead of the texts that are made of them.  Their
 substrings, as long as the longest piece at most, are exploded and equi-joined
-to the piece table; the matches are the edges of the unit's lattice.  Grouped
-by unit, the edges are folded with Spark's higher-order ``aggregate``: for a
+to the piece table by a broadcast join; the matches are the edges of the units'
+lattices.  The lattices are folded, those of a length side by side: for a
 unigram model to the path of the greatest sum of scores (Viterbi), for a BPE
 model to the path that its merges take, the best-scored neighbours first.
 Characters that no piece covers become byte pieces, or the unknown id where the
 model has none.
 
-The dictionary of units returns to the texts by parts of input splits: one row
-per part and distinct unit, not one per occurrence.
+Texts and units stay in their input split from reading to writing, so nothing
+is shuffled, and the rows' order tells which text needs which units.
 """
 
 from __future__ import annotations
@@ -19,29 +20,32 @@ from __future__ import annotations
 import hashlib
 import heapq
 import re
-from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from itertools import filterfalse
 
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import Scratch, keeps_columns, let
+from .shared import keeps_columns
 
 SPACE = "▁"
 #: Units of more code points are segmented by ``segment``.
 LONG = 48
-#: Parts of an input split that meet their dictionaries separately.
-SHARES = 4
-#: Units whose lattices a task holds.
-UNITS_TOGETHER = 20_000
+#: Units whose edges a task holds, and cells of the lattices that it folds side by side.
+UNITS_TOGETHER = 1 << 15
+CELLS = 1 << 19
 #: Words of an input split that a task remembers; about 100 MB with their units.
 WORDS_TOGETHER = 250_000
+#: Code points of texts whose new units come ahead of them together.
+CHARS_TOGETHER = 1 << 21
 _KEY = 64  # edge key: start * _KEY + length
 _BITS = 20  # of a piece's id, and of its rank
+#: The value of no edge.
+NONE = np.iinfo(np.int64).max
 #: Ways to cut units, the finest first; one is used if no piece reaches across its cuts.
 _UNITS = (
     rf"{SPACE}*[\p{{L}}\p{{M}}]+|{SPACE}*[^{SPACE}\p{{L}}\p{{M}}\n]+|{SPACE}+|\n",
@@ -164,65 +168,81 @@ def _best(unit: str, model: Model) -> list[int]:
     return cuts[::-1]
 
 
-def _fold_merges(n: Column, edges: Column) -> Column:
-    """Cuts of the path that merges the best-ranked neighbours first, the left of equals."""
-
-    def step(cuts: Column, _: Column) -> Column:
-        # rank and place in one number; null where the neighbours don't make a piece
-        merges = F.transform(
-            F.sequence(F.lit(0), F.size(cuts) - 3),
-            lambda i: F.shiftleft(F.shiftright(F.try_element_at(edges, F.get(cuts, i) * _KEY + F.get(cuts, i + 2) - F.get(cuts, i)), _BITS), 12) + i,
-        )
-        merged = let(F.array_min(merges), lambda best: F.when(best.isNull(), cuts).otherwise(F.filter(cuts, lambda x, j: j != best.bitwiseAND(F.lit(4095)) + 1)))
-        return F.when(F.size(cuts) < 3, cuts).otherwise(merged)
-
-    return F.aggregate(F.sequence(F.lit(1), F.greatest(F.lit(1), n - 1)), F.sequence(F.lit(0), n), step)
-
-
-def _fold_viterbi(n: Column, edges: Column, longest: int, scores: list[float], low: float) -> Column:
-    """Cuts of the path of the greatest sum of scores; of equals that whose last piece is the shorter."""
-    start = F.array(F.struct(F.lit(0.0).alias("score"), F.lit(0).alias("back")))
-    by_rank = F.array(*[F.lit(float(x)) for x in scores])
-
-    def step(state: Column, end: Column) -> Column:
-        found = F.transform(
-            F.sequence(F.lit(1), F.least(F.lit(longest), end)),
-            lambda k: let(
-                F.get(by_rank, F.shiftright(F.try_element_at(edges, (end - k) * _KEY + k), _BITS).cast("int")),
-                lambda score: F.when(
-                    score.isNotNull() | (k == 1),
-                    F.struct((F.get(state, end - k)["score"] + F.coalesce(score, F.lit(low))).alias("score"), (end - k).alias("back")),
-                ),
-            ),
-        )
-        return F.concat(state, F.array(F.array_max(found)))
-
-    def walk(state: Column) -> Column:
-        return F.aggregate(
-            F.sequence(F.lit(1), n),
-            F.array(n),
-            lambda cuts, _: F.when(F.get(cuts, F.lit(0)) == 0, cuts).otherwise(F.concat(F.array(F.get(state, F.get(cuts, F.lit(0)))["back"]), cuts)),
-        )
-
-    return let(F.aggregate(F.sequence(F.lit(1), n), start, step), walk)
-
-
-def _ids(unit: Column, cuts: Column, edges: Column, model: Model) -> Column:
-    def unknown(char: Column) -> Column:
-        if model.bytes_at is None:
-            return F.array(F.lit(model.unknown))
-        digits = F.hex(F.encode(char, "UTF-8"))
-        return F.transform(F.sequence(F.lit(0), F.octet_length(char) - 1), lambda k: F.conv(F.substring(digits, 2 * k + 1, F.lit(2)), 16, 10).cast("int") + model.bytes_at)
-
-    return F.flatten(
-        F.transform(
-            F.sequence(F.lit(0), F.size(cuts) - 2),
-            lambda i: let(
-                F.try_element_at(edges, F.get(cuts, i) * _KEY + F.get(cuts, i + 1) - F.get(cuts, i)),
-                lambda e: F.when(e.isNotNull(), F.array(e.bitwiseAND(F.lit((1 << _BITS) - 1)).cast("int"))).otherwise(unknown(F.substring(unit, F.get(cuts, i) + 1, F.lit(1)))),
-            ),
-        )
-    )
+def _merge(edges: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The path that merges the best-ranked neighbours first, the left of equals, of many lattices side by side.
+
+    ``edges`` has the value of the piece by unit, start and length, NONE for
+    no piece; the answer has, by unit and start, whether a cut is there and
+    where the next one is.
+    """
+    n, longest = edges.shape[1], edges.shape[2] - 1
+    ranks = edges >> _BITS
+    ends, starts = np.tile(np.arange(1, n + 1), (len(edges), 1)), np.tile(np.arange(-1, n), (len(edges), 1))
+    cuts, best = np.ones((len(edges), n), dtype=bool), np.full((len(edges), n), NONE >> _BITS)
+    best[:, : n - 1] = ranks[:, : n - 1, min(2, longest)] if longest > 1 else NONE >> _BITS
+    live = np.arange(len(edges))
+    while len(live):
+        at = best[live].argmin(axis=1)
+        more = best[live, at] < NONE >> _BITS
+        live, at = live[more], at[more]
+        gone = ends[live, at]
+        end = ends[live, gone]
+        ends[live, at], starts[live, end], cuts[live, gone], best[live, gone] = end, at, False, NONE >> _BITS
+        after = np.where(end < n, ends[live, np.minimum(end, n - 1)], n + longest) - at
+        best[live, at] = ranks[live, at, np.where(after <= longest, after, 0)]
+        before = starts[live, at]
+        some = before >= 0
+        rows, before, span = live[some], before[some], (end - before)[some]
+        best[rows, before] = ranks[rows, before, np.where(span <= longest, span, 0)]
+    return cuts, ends
+
+
+def _viterbi(edges: np.ndarray, scores: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """As ``_merge``: the path of the greatest sum of scores; of equals that whose last piece is the shorter."""
+    n, longest, rows = edges.shape[1], edges.shape[2] - 1, np.arange(len(edges))
+    of = np.append(scores, -np.inf)[np.minimum(edges >> _BITS, len(scores))]
+    of[:, :, 1] = np.where(edges[:, :, 1] == NONE, scores[-1] - 10, of[:, :, 1])
+    score, back = np.full((len(edges), n + 1), -np.inf), np.zeros((len(edges), n + 1), dtype=int)
+    score[:, 0] = 0
+    for end in range(1, n + 1):
+        for k in range(1, min(longest, end) + 1):
+            found = score[:, end - k] + of[:, end - k, k]
+            better = found > score[:, end]
+            score[better, end], back[better, end] = found[better], end - k
+    cuts, ends, end = np.zeros((len(edges), n), dtype=bool), np.zeros((len(edges), n), dtype=int), np.full(len(edges), n)
+    while len(rows):
+        start = back[rows, end]
+        cuts[rows, start], ends[rows, start] = True, end
+        rows, end = rows[start > 0], start[start > 0]
+    return cuts, ends
+
+
+def _fold(units: list[str], of: np.ndarray, edges: np.ndarray, model: Model) -> dict[str, bytes]:
+    """Ids of each unit, four bytes each; ``of`` has the unit's place for each edge.  Units of a length are folded side by side."""
+    found, sizes = {}, np.fromiter(map(len, units), int, len(units))
+    start, length, value = edges >> (2 * _BITS + 6), edges >> 2 * _BITS & _KEY - 1, edges & (1 << 2 * _BITS) - 1
+    scores = np.array(ranked(model))
+    size = sizes[of]
+    by_size = np.argsort(size, kind="stable")
+    for n in np.unique(sizes):
+        own, longest = np.flatnonzero(sizes == n), min(int(n), model.longest)
+        mine = by_size[slice(*(np.searchsorted(size, n, side, by_size) for side in ("left", "right")))]
+        together = max(1, CELLS // (n * (longest + 1)))
+        for i in range(0, len(own), together):
+            some = own[i : i + together]
+            e = mine[slice(*np.searchsorted(of[mine], [some[0], some[-1] + 1]))]
+            lattice = np.full((len(some), n, longest + 1), NONE)
+            lattice[np.searchsorted(some, of[e]), start[e], length[e]] = value[e]
+            cuts, ends = _merge(lattice) if model.kind == "bpe" else _viterbi(lattice, scores)
+            unit, at = np.nonzero(cuts)
+            path = lattice[unit, at, ends[unit, at] - at]
+            data, stops = (path & (1 << _BITS) - 1).astype("<i4").tobytes(), np.cumsum([0, *(4 * cuts.sum(axis=1))]).tolist()
+            found.update(zip([units[u] for u in some], [data[a:b] for a, b in zip(stops, stops[1:])]))
+            for u in np.unique(unit[path == NONE]):
+                name, here = units[some[u]], slice(*np.searchsorted(unit, [u, u + 1]))
+                ids = [[v & (1 << _BITS) - 1] if v != NONE else _unknown(name[a], model) for a, v in zip(at[here].tolist(), path[here].tolist())]
+                found[name] = np.array(sum(ids, []), "<i4").tobytes()
+    return found
 
 
 def ranked(model: Model) -> list[float]:
@@ -236,44 +256,90 @@ def piece_table(spark: SparkSession, model: Model) -> DataFrame:
     return spark.createDataFrame([(p, rank[s] << _BITS | i) for p, (i, s) in model.pieces.items()], "piece string, value long")
 
 
-def encode_units(units: DataFrame, model: Model) -> DataFrame:
-    """(unit, ids) of distinct non-empty units, by the lattice; those over LONG code points by ``segment``.
+def _edges(rows: DataFrame, model: Model) -> DataFrame:
+    """Each row with a ``_unit`` becomes the edges of the unit's lattice, in the order of the rows.
 
-    ``units`` should be a written table: it is counted first.  Partitions are
-    made of UNITS_TOGETHER units, so that a task's edges stay in memory.
+    ``_edge`` packs start, length and value of a piece.  The first row of a
+    unit is there without a piece too, and it alone keeps the unit's name;
+    ``_row`` numbers the given rows within their partition.  Nothing is
+    shuffled: the substrings meet the piece table, which is as large as the
+    model, by a broadcast join.
     """
-    spark = units.sparkSession
-    longest = min(LONG, model.longest)
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), units.count() // UNITS_TOGETHER)
-    short = units.where(F.length("unit") <= LONG).select("unit").repartition(parts, "unit")
+    pieces = piece_table(rows.sparkSession, model).select(F.col("piece").alias("_piece"), F.col("value").alias("_value"))
+    size, longest = F.length("_unit"), min(LONG, model.longest)
     substrings = (
-        short.select("unit", F.length("unit").alias("n"), F.explode(F.sequence(F.lit(0), F.length("unit") - 1)).alias("s"))
-        .select("unit", "s", F.explode(F.sequence(F.lit(1), F.least(F.lit(longest), F.col("n") - F.col("s")))).alias("k"))
-        .select("unit", (F.col("s") * _KEY + F.col("k")).cast("long").alias("key"), F.substring("unit", F.col("s") + 1, F.col("k")).alias("piece"))
+        rows.withColumn("_row", F.monotonically_increasing_id())
+        .select("*", F.explode_outer(F.sequence(F.lit(0), size - 1)).alias("_s"))
+        .select("*", F.explode_outer(F.when(size.isNotNull(), F.sequence(F.lit(1), F.least(F.lit(longest), size - F.col("_s"))))).alias("_k"))
+        .withColumn("_of", F.substring("_unit", F.col("_s") + 1, F.col("_k")))
     )
-    edges = (
-        substrings.join(F.broadcast(piece_table(spark, model)), "piece")
-        .groupBy("unit")
-        .agg(F.collect_list(F.shiftleft("key", 2 * _BITS).bitwiseOR(F.col("value"))).alias("e"))
-        .select(
-            "unit",
-            F.map_from_arrays(
-                F.transform("e", lambda x: F.shiftright(x, 2 * _BITS).cast("int")),
-                F.transform("e", lambda x: x.bitwiseAND(F.lit((1 << 2 * _BITS) - 1))),
-            ).alias("edges"),
-        )
+    first = (F.col("_s") == 0) & (F.col("_k") == 1)
+    edge = F.shiftleft((F.col("_s") * _KEY + F.col("_k")).cast("long"), 2 * _BITS).bitwiseOR(F.col("_value"))
+    return (
+        substrings.join(F.broadcast(pieces), F.col("_of") == F.col("_piece"), "left")
+        .where(F.col("_value").isNotNull() | first | F.col("_unit").isNull())
+        .select(*(f"`{c}`" for c in rows.columns if c != "_unit"), "_row", F.when(first, F.col("_unit")).alias("_unit"), edge.alias("_edge"))
     )
-    lattice = short.withColumnRenamed("unit", "u").join(edges, F.col("u") == F.col("unit"), "left").select(F.col("u").alias("unit"), F.coalesce("edges", F.create_map().cast("map<int,bigint>")).alias("edges"))
-    n, e = F.length("unit"), F.col("edges")
-    scores = ranked(model)
-    cuts = _fold_merges(n, e) if model.kind == "bpe" else _fold_viterbi(n, e, longest, scores, scores[-1] - 10)
-    found = lattice.select("unit", let(cuts, lambda c: _ids(F.col("unit"), c, e, model)).alias("ids"))
+
+
+def _folds(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[tuple[dict[str, bytes], pa.RecordBatch | None]]:
+    """In the order of ``_edges``' rows: the ids of units, and the rows between them that are none."""
+    last, units, firsts, edges = None, [], [], []
+
+    def folded(whole: bool) -> dict[str, bytes]:
+        # the last unit may go on in the next batch
+        nonlocal units, firsts, edges
+        first, edge = np.concatenate(firsts), np.concatenate(edges)
+        to = len(first) if whole else int(np.flatnonzero(first)[-1])
+        has = np.flatnonzero(edge[:to] >= 0)
+        keep = len(units) - int(first[to:].sum())
+        found = _fold(units[:keep], (np.cumsum(first[:to]) - 1)[has], edge[has], model)
+        units, firsts, edges = units[keep:], [first[to:]], [edge[to:]]
+        return found
+
+    for b in batches:
+        if not b.num_rows:
+            continue
+        row, name = b.column("_row").to_numpy(), b.column("_unit")
+        edge = b.column("_edge").fill_null(-1).to_numpy()
+        first = name.is_valid().to_numpy(zero_copy_only=False)
+        other = ~first & (edge < 0)
+        if (np.diff(row, prepend=row[0] - (first | other)[0] if last is None else last) != (first | other)).any():
+            raise ValueError("the edges of the lattices have lost their order")
+        last = row[-1]
+        bounds = [0, *(np.flatnonzero(np.diff(other)) + 1).tolist(), len(row)]
+        for i, j in zip(bounds, bounds[1:]):
+            if other[i]:
+                yield folded(True) if units else {}, b.slice(i, j - i)
+                continue
+            units += name.slice(i, j - i).drop_null().to_pylist()
+            firsts.append(first[i:j])
+            edges.append(edge[i:j])
+            if len(units) > UNITS_TOGETHER:
+                yield folded(False), None
+    if units:
+        yield folded(True), None
+
+
+def encode_units(units: DataFrame, model: Model) -> DataFrame:
+    """(unit, ids) of non-empty units, by the lattice; those over LONG code points by ``segment``."""
+
+    def short(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for found, _ in _folds(batches, model):
+            yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), _lists(list(found.values()))], ["unit", "ids"])
 
     def long(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([segment(u.as_py(), model) for u in b.column(0)], pa.list_(pa.int32()))], ["unit", "ids"])
 
-    return found.unionByName(units.where(F.length("unit") > LONG).select("unit").mapInArrow(long, "unit string, ids array<int>"))
+    rows, kind = units.select(F.col("unit").alias("_unit")), "unit string, ids array<int>"
+    found = _edges(rows.where(F.length("_unit") <= LONG), model).mapInArrow(short, kind)
+    return found.unionByName(rows.where(F.length("_unit") > LONG).mapInArrow(long, kind))
+
+
+def _lists(ids: list[bytes]) -> pa.ListArray:
+    ends = np.cumsum([0, *(len(x) // 4 for x in ids)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(ids), "<i4")))
 
 
 def _words(text: str | None) -> list[str]:
@@ -283,38 +349,86 @@ def _words(text: str | None) -> list[str]:
     return [text] if "  " in text or text[0] == " " or text[-1] == " " or SPACE in text else text.split(" ")
 
 
+def _cut(word: str, find: Callable[[str], list[str]]) -> list[str]:
+    """Units of a word; one of letters alone is never cut."""
+    return [SPACE + word] if word.isalpha() else find(spaced(word))
+
+
 def _units_of(docs: DataFrame, text: str, model: Model, together: int = WORDS_TOGETHER) -> DataFrame:
-    """(part, unit): the units of each part of an input split, each at least once.
+    """``docs``, and rows of nulls with a ``_unit`` each: what the texts after them are made of, but for units over LONG.
 
     What is known to be out already is kept up to ``together`` words of a
     split, then forgotten, so that memory doesn't follow the split's vocabulary.
     """
+    unit = model.unit
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        find = regex.compile(model.unit).findall
-        seen, units, held = defaultdict(set), defaultdict(set), 0
-
-        def out() -> Iterator[pa.RecordBatch]:
-            for part, found in units.items():
-                rows = list(found)
-                for i in range(0, len(rows), UNITS_TOGETHER):
-                    some = rows[i : i + UNITS_TOGETHER]
-                    yield pa.RecordBatch.from_arrays([pa.repeat(pa.scalar(part, pa.int64()), len(some)), pa.array(some, pa.string())], ["part", "unit"])
-            seen.clear()
-            units.clear()
-
+        find, seen, out = regex.compile(unit).findall, set(), set()
         for b in batches:
-            for part, t in zip(b.column(0).to_pylist(), b.column(1)):
-                new = set(_words(t.as_py())).difference(seen[part])
-                units[part].update(u for w in new for u in find(spaced(w)))
-                seen[part].update(w for w in new if len(w) < LONG)
-                held += len(new)
-                if held >= together:
-                    yield from out()
-                    held = 0
-        yield from out()
+            names, kinds = [*b.schema.names, "_unit"], b.schema.types
+            new, begun, size = {}, 0, 0
+            for i, t in enumerate(b.column(text)):
+                t = t.as_py()
+                for w in filterfalse(seen.__contains__, _words(t)):
+                    new.update((u, None) for u in _cut(w, find) if u not in out and len(u) <= LONG)
+                    if len(w) < LONG:
+                        seen.add(w)
+                size += len(t or "")
+                if size < CHARS_TOGETHER and len(seen) < together and i < b.num_rows - 1:
+                    continue
+                if new:
+                    yield pa.RecordBatch.from_arrays([*(pa.nulls(len(new), k) for k in kinds), pa.array(list(new), pa.string())], names)
+                here = b.slice(begun, i + 1 - begun)
+                yield pa.RecordBatch.from_arrays([*here.columns, pa.nulls(len(here), pa.string())], names)
+                out.update(new)
+                if len(seen) >= together:
+                    seen.clear()
+                    out.clear()
+                new, begun, size = {}, i + 1, 0
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
+    return docs.mapInArrow(of, f"{schema}, _unit string")
+
+
+class _WordIds(dict):
+    """Ids of words, four bytes each, put together from those of their units when first asked for."""
+
+    def __init__(self, model: Model):
+        super().__init__()
+        self.model, self.units, self.find = model, {}, regex.compile(model.unit).findall
+
+    def __missing__(self, word: str) -> bytes:
+        found = b"".join([self.units[u] if len(u) <= LONG else np.array(segment(u, self.model), "<i4").tobytes() for u in _cut(word, self.find)])
+        if len(word) < LONG:
+            self[word] = found
+        return found
+
+    def forget(self) -> None:
+        self.clear()
+        self.units.clear()
+
+
+def _encoded(docs: DataFrame, model: Model, text: str, into: str, finish: Callable[[pa.RecordBatch], pa.RecordBatch], kind: str) -> DataFrame:
+    """What ``finish`` makes of the rows of ``docs`` and their ids; it has the columns of ``kind``."""
+    together = WORDS_TOGETHER
+    rows = docs.select(*(f"`{c}`" for c in docs.columns if c != into or c == text))
+    names = [c for c in rows.columns if c != into]
 
-    return docs.select(F.col("_part").cast("long").alias("part"), F.col(text).alias("text")).mapInArrow(of, "part long, unit string")
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = _WordIds(model)
+        for found, b in _folds(batches, model):
+            words.units.update(found)
+            if b is None:
+                continue
+            out = []
+            for t in b.column(text):
+                out.append(b"".join(map(words.__getitem__, _words(t.as_py()))))
+                # as _units_of, after the same text
+                if len(words) >= together:
+                    words.forget()
+            yield finish(pa.RecordBatch.from_arrays([*(b.column(n) for n in names), _lists(out)], [*names, into]))
+
+    return _edges(_units_of(rows, text, model, together), model).mapInArrow(of, kind)
 
 
 @keeps_columns
@@ -325,49 +439,8 @@ def encode(docs: DataFrame, model: Model, text: str = "text", into: str = "ids")
     stay, an empty table stays empty.  Other columns pass through, but for one
     named like ``into``, which is replaced.
     """
-    scratch = Scratch(docs.sparkSession, "pieces")
-    share = F.pmod(F.xxhash64(F.col(text)), F.lit(SHARES))
-    placed = docs.withColumn("_part", F.spark_partition_id().cast("long") * SHARES + share)
-    vocabulary = scratch.stage(_units_of(placed, text, model).groupBy("unit").agg(F.collect_set("part").alias("parts")), "units")
-    known = encode_units(vocabulary, model).withColumnRenamed("unit", "u")
-    given = vocabulary.join(known, F.col("unit") == F.col("u")).select(F.explode("parts").alias("_part"), "unit", "ids")
-
-    schema = [f for f in placed.schema.fields if f.name not in ("_part", into)]
-    names = [f.name for f in schema]
-    out_type = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in schema] + [f"`{into}` array<int>"])
-
-    def of(rows: pa.Table, units: pa.Table) -> pa.Table:
-        find, ids, known = regex.compile(model.unit).findall, _dictionary(units), {}
-
-        def word_ids(word: str) -> bytes:
-            # a split that Spark reads anew in another way may hold a unit that is not in its dictionary
-            return b"".join([ids[u] if u in ids else np.array(segment(u, model), "<i4").tobytes() for u in find(spaced(word))])
-
-        def text_ids(t: str | None) -> bytes:
-            words = _words(t)
-            for w in set(words).difference(known):
-                known[w] = word_ids(w)
-            found = b"".join(map(known.__getitem__, words))
-            if len(words) == 1 and len(words[0]) >= LONG:
-                del known[words[0]]
-            return found
-
-        out = [text_ids(t.as_py()) for chunk in rows.column(text).chunks for t in chunk]
-        ends = np.cumsum([0, *(len(x) // 4 for x in out)]).astype(np.int32)
-        lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(out), "<i4")))
-        return pa.table([*(rows.column(n) for n in names), lists], [*names, into])
-
-    return placed.groupBy("_part").cogroup(given.groupBy("_part")).applyInArrow(of, out_type)
-
-
-def _dictionary(units: pa.Table) -> dict[str, bytes]:
-    """Ids of each unit, four bytes each."""
-    found: dict[str, bytes] = {}
-    for b in units.to_batches():
-        lists = b.column(b.schema.get_field_index("ids"))
-        data, cuts = lists.values.to_numpy(zero_copy_only=False).astype("<i4").tobytes(), (4 * lists.offsets.to_numpy()).tolist()
-        found.update(zip(b.column(b.schema.get_field_index("unit")).to_pylist(), [data[i:j] for i, j in zip(cuts, cuts[1:])]))
-    return found
+    kind = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields if f.name != into] + [f"`{into}` array<int>"])
+    return _encoded(docs, model, text, into, lambda b: b, kind)
 
 
 def decode_ids(ids: list[int], model: Model) -> str:
@@ -403,23 +476,41 @@ def decode(encoded: DataFrame, model: Model, ids: str = "ids", into: str = "deco
     return encoded.select(*names).mapInArrow(of, f"{fields}, `{into}` string")
 
 
+def _spelling(model: Model) -> pa.LargeBinaryArray:
+    """Bytes of each id, and of one more that stands for ids the model doesn't have; control ids have none."""
+    spelled = [bytes([x]) if isinstance(x, int) else (x or "").replace(SPACE, " ").encode() for x in model.spelled]
+    if model.unknown < len(spelled) and model.spelled[model.unknown] is None:
+        spelled[model.unknown] = " ⁇ ".encode()
+    return pa.array([*spelled, b""], pa.large_binary())
+
+
+def _texts(lists: pa.ListArray, spelling: pa.LargeBinaryArray) -> list[str]:
+    """``decode_ids`` of each list."""
+    ids = lists.flatten().to_numpy()
+    if not len(ids):
+        return [""] * len(lists)
+    found = spelling.take(pa.array(np.where((ids >= 0) & (ids < len(spelling)), ids, len(spelling) - 1)))
+    cuts = np.frombuffer(found.buffers()[1], "<i8")[np.cumsum([0, *lists.value_lengths().fill_null(0).to_pylist()])].tolist()
+    data = (found.buffers()[2] or pa.py_buffer(b"")).to_pybytes()
+    return [data[a:b].decode("utf-8", "replace").removeprefix(" ") for a, b in zip(cuts, cuts[1:])]
+
+
 def piece_report(docs: DataFrame, path: str) -> DataFrame:
     """Per document: its ids, their number, and the SHA-256 of the text that they decode to."""
     model = load(path)
-    encoded = encode(docs.select("doc_id", "text"), model)
-
-    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            ids = b.column("ids").to_pylist()
-            texts = [decode_ids(x, model) for x in ids]
-            given = [(t or "").replace(SPACE, " ") for t in b.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    b.column("doc_id"), b.column("ids"), pa.array(map(len, ids), pa.int64()),
-                    pa.array([hashlib.sha256(t.encode()).hexdigest() for t in texts], pa.string()),
-                    pa.array([a == g for a, g in zip(texts, given)], pa.bool_()),
-                ],
-                ["doc_id", "ids", "n_tokens", "decoded_sha256", "round_trip"],
-            )
-
-    return encoded.mapInArrow(of, "doc_id long, ids array<int>, n_tokens long, decoded_sha256 string, round_trip boolean")
+    spelling = _spelling(model)
+
+    def report(b: pa.RecordBatch) -> pa.RecordBatch:
+        texts = _texts(b.column("ids"), spelling)
+        given = [(t or "").replace(SPACE, " ") for t in b.column("text").to_pylist()]
+        return pa.RecordBatch.from_arrays(
+            [
+                b.column("doc_id"), b.column("ids"), b.column("ids").value_lengths().cast(pa.int64()),
+                pa.array([hashlib.sha256(t.encode()).hexdigest() for t in texts], pa.string()),
+                pa.array([a == g for a, g in zip(texts, given)], pa.bool_()),
+            ],
+            ["doc_id", "ids", "n_tokens", "decoded_sha256", "round_trip"],
+        )
+
+    kind = "doc_id long, ids array<int>, n_tokens long, decoded_sha256 string, round_trip boolean"
+    return _encoded(docs.select("doc_id", "text"), model, "text", "ids", report, kind)
