@@ -12,9 +12,11 @@ from __future__ import annotations
 import zlib
 from collections.abc import Iterator
 from functools import cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -24,12 +26,13 @@ from .shared import Scratch, workers_quiet
 
 RECORD_TOKENS = 8 * rans.BLOCK
 END_ID = 2
-#: Distinct words whose ids a worker keeps at a time.
-WORDS_KEPT = 1 << 20
-#: Code points of texts whose new words are encoded together.
-CHARS_TOGETHER = 1 << 20
-#: New words in one text.
+#: Distinct words whose ids a worker keeps at a time, in about 40 bytes each.
+WORDS_KEPT = 1 << 21
+#: Bytes of texts whose words are looked up, and the new ones encoded, together.
+BYTES_TOGETHER = 1 << 24
+#: New words in one text, and such texts that are encoded by one call.
 WORDS_TOGETHER = 256
+TEXTS_TOGETHER = 128
 #: A space in the names of byte-level tokens.
 BYTE_SPACE = "\u0120"
 
@@ -37,17 +40,17 @@ _PLAIN = "part int, seq int, before long, n long, ids array<long>, sizes array<l
 _CODED = "start long, n long, ids array<long>, sizes array<long>, blocks array<binary>"
 
 
-class WordIds(dict):
-    """Ids of words led by one space, four bytes each, by the word without it; nothing for what can't be cut off.
+class WordIds:
+    """Ids of words led by one space, four bytes each, by the word without it; none for what can't be cut off.
 
     The tokenizer never joins over a lone space between other characters, so a
     text may be cut there and each piece encoded once.  For the same reason the
     new words of many texts are encoded as a few long texts, and cut before each id
-    whose token begins with a space.
+    whose token begins with a space.  Words and ids are Arrow arrays, in which the
+    distinct words of many texts are looked up together.
     """
 
     def __init__(self, path: str):
-        super().__init__()
         workers_quiet()
         from tokenizers import Tokenizer
 
@@ -55,52 +58,68 @@ class WordIds(dict):
         vocabulary = self.tokenizer.get_vocab()
         self.leads = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
         self.leads[[i for token, i in vocabulary.items() if token.startswith(BYTE_SPACE)]] = True
+        self.forget()
+
+    def forget(self) -> None:
+        self.words, self.ids = pa.array([], pa.large_string()), pa.array([], pa.large_binary())
 
     def whole(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
 
-    def __missing__(self, word: str) -> bytes:
+    def learn(self, new: pa.Array) -> None:
+        """Encode words that aren't kept yet, together; one by one if the ids can't be told apart."""
+        given = new.to_numpy(zero_copy_only=False).tolist()
         # a piece with white space at an end, or of nothing else, can't be cut off
-        found = b"" if not word or word[0].isspace() or word[-1].isspace() else _bytes(self.whole(" " + word))
-        self[word] = found
-        return found
-
-    def learn(self, new: set[str]) -> None:
-        """Encode words together that aren't kept yet; one by one (``__missing__``) if the ids can't be told apart."""
-        words = [w for w in new if w and not w[0].isspace() and not w[-1].isspace()]
-        if not words:
-            return
-        joined = [" " + " ".join(words[i : i + WORDS_TOGETHER]) for i in range(0, len(words), WORDS_TOGETHER)]
-        ids = np.concatenate([np.array(e.ids, dtype="<u4") for e in self.tokenizer.encode_batch_fast(joined, add_special_tokens=False)])
-        starts = np.flatnonzero(self.leads[ids])
-        if len(starts) == len(words) and starts[0] == 0:
-            data, cuts = ids.tobytes(), [*(4 * starts).tolist(), 4 * len(ids)]
-            self.update(zip(words, [data[i:j] for i, j in zip(cuts, cuts[1:])]))
+        good = np.array([w != "" and not w[0].isspace() and not w[-1].isspace() for w in given], dtype=bool)
+        words = given if good.all() else [given[k] for k in np.flatnonzero(good).tolist()]
+        found = [np.zeros(0, dtype="<u4")]
+        for i in range(0, len(words), WORDS_TOGETHER * TEXTS_TOGETHER):
+            some = words[i : i + WORDS_TOGETHER * TEXTS_TOGETHER]
+            joined = [" " + " ".join(some[j : j + WORDS_TOGETHER]) for j in range(0, len(some), WORDS_TOGETHER)]
+            found += [np.array(e.ids, dtype="<u4") for e in self.tokenizer.encode_batch_fast(joined, add_special_tokens=False)]
+        ids = np.concatenate(found)
+        sizes, starts = np.zeros(len(given) + 1, dtype="<i8"), np.flatnonzero(self.leads[ids])
+        if len(starts) == len(words) and (not words or starts[0] == 0):
+            sizes[1:][good] = np.diff(starts, append=len(ids))
+        else:
+            singly = [self.whole(" " + w) for w in words]
+            ids, sizes[1:][good] = np.array([*chain.from_iterable(singly)], dtype="<u4"), [*map(len, singly)]
+        learnt = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(given), [None, pa.py_buffer(4 * np.cumsum(sizes)), pa.py_buffer(ids)])
+        self.words, self.ids = pa.concat_arrays([self.words, new]), pa.concat_arrays([self.ids, learnt])
 
     def encode(self, text: str) -> np.ndarray:
         return self.encode_all([text])[0]
 
-    def encode_all(self, texts: list[str]) -> list[np.ndarray]:
-        """The ids of each text."""
-        if len(self) > WORDS_KEPT:
-            self.clear()
-        cut, new = [], set()
-        for text in texts:
-            first, *words = text.split(" ")
-            if not words or not first or first[-1].isspace():
-                cut.append(None)
-                continue
-            ids = [*map(self.get, words)]
-            holes = [(k, w) for k, (x, w) in enumerate(zip(ids, words)) if x is None]
-            new.update(w for _, w in holes)
-            cut.append((first, ids, holes))
-        self.learn(new)
-        return [np.frombuffer((found and self._joined(*found)) or _bytes(self.whole(text)), dtype="<u4") for found, text in zip(cut, texts)]
-
-    def _joined(self, first: str, ids: list[bytes | None], holes: list[tuple[int, str]]) -> bytes | None:
-        for k, word in holes:
-            ids[k] = self[word]
-        return None if b"" in ids else _bytes(self.whole(first)) + b"".join(ids)
+    def encode_all(self, texts: list[str] | pa.Array) -> list[np.ndarray]:
+        """The ids of each text.  A word is looked up once, however often the texts have it."""
+        if len(self.words) > WORDS_KEPT:
+            self.forget()
+        if not len(texts):
+            return []
+        texts = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string())
+        parts = pc.split_pattern(texts, " ")
+        sizes = parts.value_lengths().to_numpy()
+        ends = np.cumsum(sizes)
+        flat = parts.flatten().dictionary_encode()
+        words, at = flat.dictionary.cast(pa.large_string()), flat.indices.to_numpy()
+        # the first word of a text is not led by a space
+        firsts = words.take(pa.array(at[ends - sizes])).to_pylist()
+        cut = (sizes > 1) & np.array([w != "" and not w[-1].isspace() for w in firsts])
+        led = np.repeat(cut, sizes)
+        led[ends - sizes] = False
+        used = np.zeros(len(words), dtype=bool)
+        used[at[led]] = True
+        place = pc.index_in(words, self.words).fill_null(-1).to_numpy().copy()
+        new = used & (place < 0)
+        place[new] = len(self.words) + np.arange(new.sum())
+        self.learn(words.filter(pa.array(new)))
+        known = self.ids.take(pa.array(place, mask=place < 0))
+        odd = used & (pc.binary_length(known).fill_null(0).to_numpy() == 0)
+        cut &= np.add.reduceat(odd[at] & led, ends - sizes, dtype=int) == 0
+        ids = known.fill_null(b"").take(flat.indices)
+        stops, data = np.frombuffer(ids.buffers()[1], "<i8"), (ids.buffers()[2] or pa.py_buffer(b"")).to_pybytes()
+        spans = zip(cut.tolist(), firsts, stops[ends - sizes + 1].tolist(), stops[ends].tolist())
+        return [np.frombuffer(_bytes(self.whole(w)) + data[i:j] if c else _bytes(self.whole(t.as_py())), "<u4") for t, (c, w, i, j) in zip(texts, spans)]
 
 
 def _bytes(ids: list[int]) -> bytes:
@@ -132,18 +151,14 @@ def _wide(data: bytes) -> np.ndarray:
     return np.frombuffer(data, "<u2" if data[0] == 2 else "<u4", offset=1).astype(np.uint32)
 
 
-def _together(rows: Iterator[tuple]) -> Iterator[tuple[list, list[str]]]:
-    """Ids and texts of rows, CHARS_TOGETHER code points or one text at a time."""
-    ids, texts, size = [], [], 0
-    for i, t in rows:
-        ids.append(i)
-        texts.append(t.as_py())
-        size += len(texts[-1])
-        if size >= CHARS_TOGETHER:
-            yield ids, texts
-            ids, texts, size = [], [], 0
-    if ids:
-        yield ids, texts
+def _together(texts: pa.Array) -> Iterator[tuple[int, int]]:
+    """Where texts begin and end that make BYTES_TOGETHER, or one text more."""
+    begun, size = 0, 0
+    for i, n in enumerate(pc.binary_length(texts).to_pylist(), 1):
+        size += n
+        if size >= BYTES_TOGETHER or i == len(texts):
+            yield begun, i
+            begun, size = i, 0
 
 
 def encode_records(docs: DataFrame, path: str, end_id: int, id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -158,8 +173,8 @@ def encode_records(docs: DataFrame, path: str, end_id: int, id: str = "doc_id",
         ids, sizes, tokens, n, seq, before = [], [], [], 0, 0, 0
         end = np.array([end_id], dtype="<u4")
         for b in batches:
-            for some, texts in _together(zip(b.column(0).to_pylist(), b.column(1))):
-                for i, found in zip(some, words.encode_all(texts)):
+            for begun, done in _together(b.column(1)):
+                for i, found in zip(b.column(0)[begun:done].to_pylist(), words.encode_all(b.column(1)[begun:done])):
                     ids.append(i)
                     sizes.append(len(found) + 1)
                     tokens += [found, end]

@@ -113,3 +113,14 @@ def test_words_that_cant_be_told_apart_are_encoded_singly(path):
     words.leads[:] = False
     for t in ("a b c", "x y z b c"):
         assert words.encode(t).tolist() == words.whole(t)
+
+
+def test_words_are_looked_up_once_for_many_texts(path, monkeypatch):
+    words = T.WordIds(path)
+    met = []
+    monkeypatch.setattr(words, "learn", lambda new, learn=words.learn: met.append(sorted(new.to_pylist())) or learn(new))
+    texts = ["a b c b", "x b　 c", "y c b d\n e", "b", "", "z c c é"] * 50
+    for _ in range(2):
+        assert [g.tolist() for g in words.encode_all(texts)] == [words.whole(t) for t in texts]
+    assert met == [["b", "b　", "c", "d\n", "e", "é"], []]
+    assert len(words.words) == len(words.ids) == 6
