@@ -484,15 +484,17 @@ def _spelling(model: Model) -> pa.LargeBinaryArray:
     return pa.array([*spelled, b""], pa.large_binary())
 
 
-def _texts(lists: pa.ListArray, spelling: pa.LargeBinaryArray) -> list[str]:
-    """``decode_ids`` of each list."""
+def _texts(lists: pa.ListArray, model: Model, spelling: pa.LargeBinaryArray) -> list[str]:
+    """``decode_ids`` of each list, put together from the bytes of all of them at once."""
     ids = lists.flatten().to_numpy()
     if not len(ids):
         return [""] * len(lists)
     found = spelling.take(pa.array(np.where((ids >= 0) & (ids < len(spelling)), ids, len(spelling) - 1)))
-    cuts = np.frombuffer(found.buffers()[1], "<i8")[np.cumsum([0, *lists.value_lengths().fill_null(0).to_pylist()])].tolist()
-    data = (found.buffers()[2] or pa.py_buffer(b"")).to_pybytes()
-    return [data[a:b].decode("utf-8", "replace").removeprefix(" ") for a, b in zip(cuts, cuts[1:])]
+    stops, ends = np.frombuffer(found.buffers()[1], "<i8"), np.cumsum([0, *lists.value_lengths().to_pylist()])
+    data, cuts = (found.buffers()[2] or pa.py_buffer(b"")).to_pybytes(), stops[ends].tolist()
+    # an id without bytes parts those beside it
+    silent = np.diff(np.cumsum(np.append(0, np.diff(stops) == 0))[ends]).tolist()
+    return [decode_ids(x.as_py(), model) if n else data[a:b].decode("utf-8", "replace").removeprefix(" ") for x, n, a, b in zip(lists, silent, cuts, cuts[1:])]
 
 
 def piece_report(docs: DataFrame, path: str) -> DataFrame:
@@ -501,7 +503,7 @@ def piece_report(docs: DataFrame, path: str) -> DataFrame:
     spelling = _spelling(model)
 
     def report(b: pa.RecordBatch) -> pa.RecordBatch:
-        texts = _texts(b.column("ids"), spelling)
+        texts = _texts(b.column("ids"), model, spelling)
         given = [(t or "").replace(SPACE, " ") for t in b.column("text").to_pylist()]
         return pa.RecordBatch.from_arrays(
             [

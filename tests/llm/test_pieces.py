@@ -89,3 +89,31 @@ def test_memory_bound_of_the_units(spark):
 def test_models_too_large_for_the_packing_raise():
     with pytest.raises(ValueError):
         P.make_model("bpe", {"a": (1 << 20, 0.0), "b": (2, 0.0)})
+
+
+def test_nothing_is_shuffled_and_words_can_be_forgotten(odd, library, monkeypatch):
+    model = P.load(PATH)
+    plan = P.encode(odd.coalesce(2), model)._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "Exchange hashpartitioning" not in plan and "SortMergeJoin" not in plan
+    for name, value in (("WORDS_TOGETHER", 7), ("CHARS_TOGETHER", 100), ("UNITS_TOGETHER", 3), ("CELLS", 50)):
+        monkeypatch.setattr(P, name, value)
+    got = P.encode(odd.coalesce(2), model).select("text", "ids").collect()
+    assert len(got) == odd.count() and all(r.ids == library.encode(r.text or "") for r in got)
+
+
+def test_lost_order_raises(spark):
+    import pyarrow as pa
+
+    rows = {"_row": [0, 0, 2], "_unit": ["ab", None, "c"], "_edge": [None, 5, None]}
+    types = [("_row", pa.int64()), ("_unit", pa.string()), ("_edge", pa.int64())]
+    with pytest.raises(ValueError):
+        list(P._folds(iter([pa.RecordBatch.from_pydict(rows, pa.schema(types))]), P.load(PATH)))
+
+
+def test_texts_of_many_lists():
+    import pyarrow as pa
+
+    rng, model = random.Random(4), P.load(PATH)
+    lists = [rng.choices([-1, *range(400), 31999, 32000, 10**6], k=rng.randint(0, 40)) for _ in range(300)]
+    assert P._texts(pa.array(lists, pa.list_(pa.int32())), model, P._spelling(model)) == [P.decode_ids(x, model) for x in lists]
+    assert P._texts(pa.array([[]], pa.list_(pa.int32())), model, P._spelling(model)) == [""]
